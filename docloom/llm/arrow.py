@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Kernels see batches of about so many bytes.
+BATCH_BYTES = 2 << 20
 #: Texts are handed to native libraries in slices of about so many bytes, whatever a batch's size.
 SLICE_BYTES = 1 << 19
 
@@ -39,7 +41,7 @@ def arrow_map(
     labels = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             made = kernel(*[batch.column(i) for i in range(n, batch.num_columns)])
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made], names=labels)
 
@@ -47,6 +49,14 @@ def arrow_map(
     return out.toDF(*carry, *[f.name for f in outputs])
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes, so that Python objects made from a batch stay few."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: list[str], limit: int = SLICE_BYTES) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters, at least one text each."""
     part: list[str] = []
