@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from docloom.llm.bpe import op1_bpe_round_trip
+from docloom.llm.simhash import op8_simhash_components
+from docloom.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op5_token_counts": op5_token_counts,
+    "op8_simhash_components": op8_simhash_components,
 }
 
 ORACLE_SQL: dict[str, str] = {}
