@@ -2,7 +2,8 @@
 
 A rank file (base64 token, rank) becomes a ``tokenizers`` BPE model: every byte is written as one printable
 character, so that tokens are strings, and each token lists all pairs of tokens that it can be merged from, in rank
-order. Encoding splits text by the library's byte-level pattern, which is the pattern of ``public_tokenizers``.
+order. Encoding splits text into words by ``PATTERN``; each worker keeps the ids of the words it has met, as bytes, so
+that the library's merges run once for a frequent word. With offsets the library's own pipeline does all of it.
 Decoding reverses the byte table; a character whose bytes are split over tokens comes back whole.
 
 Defined results: a null text encodes as the empty text (no ids); null ids decode to empty bytes; bytes that are not
@@ -16,18 +17,23 @@ from __future__ import annotations
 import base64
 import codecs
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.arrow import arrow_map, quoted, slices
 
-#: The merges of one word are kept for so many distinct words per worker.
-CACHED_WORDS = 100_000
+#: A worker keeps the ids of so many distinct words, then starts anew.
+CACHED_WORDS = 300_000
+
+#: A fixed value: the pattern that splits text into words for this kind of vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=1)
@@ -76,18 +82,49 @@ def tokenizer(path: str):
         vocab={to_chars(token): rank for token, rank in ranks.items()},
         merges=[(to_chars(a), to_chars(b)) for a, b in merge_pairs(ranks)],
         ignore_merges=True,  # a word that is a token is that token
-        cache_capacity=CACHED_WORDS,
+        cache_capacity=0,  # slower than merging anew
     )
     built = Tokenizer(model)
     built.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     return built
 
 
+class Words(dict):
+    """The ids of words, as bytes of int32; what is missing is made by the tokenizer's model."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.tokenize = tokenizer(path).model.tokenize
+        self.chars = dict(enumerate(byte_table()))
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        mapped = word.encode().decode("latin-1").translate(self.chars)
+        self[word] = ids = array("i", [t.id for t in self.tokenize(mapped)]).tobytes()
+        return ids
+
+
+@lru_cache(maxsize=2)
+def words(path: str) -> Words:
+    return Words(path)
+
+
+@lru_cache(maxsize=1)
+def splitter() -> regex.Pattern:
+    return regex.compile(PATTERN)
+
+
 @lru_cache(maxsize=2)
 def byte_values(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in read_ranks(path).items()}
 
 
+def _lists(lengths: list[int], values: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, offsets: bool = False, ids_col: str = "ids", starts_col: str = "starts", ends_col: str = "ends") -> DataFrame:
     """``carry`` (default: all columns) and ``ids array<int>``; with ``offsets`` also each token's span of characters.
 
@@ -96,23 +133,21 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str]
     ints = T.ArrayType(T.IntegerType(), False)
     outputs = [T.StructField(x, ints) for x in ([ids_col, starts_col, ends_col] if offsets else [ids_col])]
 
-    def kernel(texts: pa.Array) -> list:
-        own = tokenizer(path)
-        encode_slice = own.encode_batch if offsets else own.encode_batch_fast
-        parts: list[list[np.ndarray]] = [[] for _ in outputs]
-        lengths: list[int] = []
+    def plain(texts: pa.Array) -> list:
+        ids_of, split = words(path).__getitem__, splitter().findall
+        coded = [b"".join(map(ids_of, split(x))) if x else b"" for x in texts.to_pylist()]
+        return [_lists([len(x) // 4 for x in coded], np.frombuffer(b"".join(coded), np.int32))]
+
+    def spanned(texts: pa.Array) -> list:
+        parts: list[list[np.ndarray]] = [[], [], []]
         for part in slices(["" if x is None else x for x in texts.to_pylist()]):
-            for e in encode_slice(part, add_special_tokens=False):
-                ids = e.ids
-                lengths.append(len(ids))
-                parts[0].append(np.array(ids, np.int32))
-                if offsets:
-                    spans = np.array(e.offsets, np.int32).reshape(-1, 2)
-                    parts[1].append(spans[:, 0])
-                    parts[2].append(spans[:, 1])
-        ends = pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32))
-        return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in parts]
+            for e in tokenizer(path).encode_batch(part, add_special_tokens=False):
+                spans = np.array(e.offsets, np.int32).reshape(-1, 2)
+                for made, x in zip(parts, (np.array(e.ids, np.int32), spans[:, 0], spans[:, 1])):
+                    made.append(x)
+        return [_lists([len(x) for x in made], np.concatenate([*made, np.zeros(0, np.int32)])) for made in parts]
 
+    kernel = spanned if offsets else plain
     return arrow_map(docs, docs.columns if carry is None else carry, [quoted(text_col)], outputs, kernel)
 
 
@@ -134,7 +169,7 @@ def token_texts(ids: list[int], path: str) -> list[str]:
     """The text that each token completes: a split character belongs to the token that holds its last byte."""
     values = byte_values(path)
     reader = codecs.getincrementaldecoder("utf-8")("replace")
-    return [reader.decode(values[i], i_last) for i, i_last in zip(ids, [False] * (len(ids) - 1) + [True], strict=True)]
+    return [reader.decode(values[i], final=at == len(ids)) for at, i in enumerate(ids, 1)]
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
