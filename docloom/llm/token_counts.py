@@ -17,17 +17,20 @@ a carried column of the same name.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.arrow import arrow_map, quoted, slices
+from docloom.llm.bpe import CACHED_WORDS, byte_table
 from docloom.session import materialise, new_path
 
 CACHE_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokenizer", T.StringType())])
@@ -60,10 +63,57 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    words = Tokenizer.from_file(path)
-    words.no_truncation()
-    words.no_padding()
-    return lambda texts: [len(x) for x in words.encode_batch_fast(texts, add_special_tokens=False)]
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
+    count_whole = lambda texts: [len(x) for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        described = json.load(f)
+    pattern = lower_word_pattern(described)
+    if pattern is None:
+        return count_whole
+    split, counts = regex.compile(pattern).findall, WordCounts(whole.model.tokenize)
+    special = regex.compile("|".join([regex.escape(x["content"]) for x in described["added_tokens"]] + ["[^\\x00-\\u024f]"]))
+
+    def count(texts: list[str]) -> list[int]:
+        odd = [i for i, x in enumerate(texts) if special.search(x)]
+        whole_counts = dict(zip(odd, count_whole([texts[i] for i in odd]))) if odd else {}
+        return [whole_counts[i] if i in whole_counts else sum(map(counts.__getitem__, split(x.lower()))) for i, x in enumerate(texts)]
+
+    return count
+
+
+def lower_word_pattern(described: dict) -> str | None:
+    """The word pattern of a tokenizer that composes, collapses white space, lower-cases, and then counts word by word.
+
+    For texts within the Latin blocks (below U+0250, so without combining marks) and without special tokens that
+    equals lower-casing and summing the counts of the pattern's matches. None for any other kind of tokenizer.
+    """
+    normal = (described.get("normalizer") or {}).get("normalizers", [])
+    pre = (described.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [x["type"] for x in normal] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in pre] != ["Split", "ByteLevel"]:
+        return None
+    blank, cut, level = normal[1], pre[0], pre[1]
+    if blank["pattern"].get("Regex") != r"\s+" or blank["content"] != " " or level["use_regex"] or level["add_prefix_space"]:
+        return None
+    if (cut["behavior"], cut["invert"]) != ("Removed", True) or described.get("post_processor"):
+        return None
+    return cut["pattern"].get("Regex")
+
+
+class WordCounts(dict):
+    """Tokens of words; what is missing is counted by the tokenizer's model."""
+
+    def __init__(self, tokenize: Callable[[str], list]) -> None:
+        super().__init__()
+        self.tokenize = tokenize
+        self.chars = dict(enumerate(byte_table()))
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = n = len(self.tokenize(word.encode().decode("latin-1").translate(self.chars)))
+        return n
 
 
 def content_digest(text: Column, normalise: Callable[[Column], Column]) -> Column:
@@ -105,6 +155,7 @@ def count_tokens(
         return [pa.array(np.array(counts, np.int64))]
 
     counted = arrow_map(texts, ["digest"], [F.col("text")], [T.StructField("n_tokens", T.LongType())], kernel)
+    counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows may repeat, id included
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
     known = read_cache(spark, cache_path, version)
