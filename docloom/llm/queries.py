@@ -5,17 +5,22 @@ from __future__ import annotations
 from docloom.llm.bpe import op1_bpe_round_trip
 from docloom.llm.mixing import OP10_SQL, op10_pareto_mix
 from docloom.llm.quality import op3_quality_forest
+from docloom.llm.sharding import op4_hash_tree
 from docloom.llm.simhash import op8_simhash_components
 from docloom.llm.token_counts import op5_token_counts
+from docloom.llm.url_reputation import OP2_SQL, op2_host_reputation
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_host_reputation": op2_host_reputation,
     "op3_quality_forest": op3_quality_forest,
+    "op4_hash_tree": op4_hash_tree,
     "op5_token_counts": op5_token_counts,
     "op8_simhash_components": op8_simhash_components,
     "op10_pareto_mix": op10_pareto_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_host_reputation": OP2_SQL,
     "op10_pareto_mix": OP10_SQL,
 }
