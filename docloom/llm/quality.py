@@ -84,13 +84,14 @@ def text_counts(text: bytes) -> tuple[int, ...]:
 
 
 def rates(counts: np.ndarray) -> np.ndarray:
-    """What the forest sees of rows of COUNTS: symbols, capitals and marks a character, in whole tenths.
+    """What the forest sees of rows of COUNTS: symbols and marks a character in tenths, capitals in quarters.
 
-    Rounding down to tenths takes away ordinary variation, which would else fill the trees with splits that tell
-    nothing. Repetition has a base rule of its own and stays out: among texts that pass that rule it isn't a fault.
+    Rounding down takes away ordinary variation (a short text easily has a tenth of capitals), which would else fill
+    the trees with splits that tell nothing. Repetition has a base rule of its own and stays out: among texts that
+    pass that rule it isn't a fault.
     """
     _, chars, symbols, _, _, _, capitals, marks = counts.T
-    return np.stack([10 * x // np.maximum(chars, 1) for x in (symbols, capitals, marks)], axis=1).astype(np.float64)
+    return np.stack([steps * x // np.maximum(chars, 1) for steps, x in ((10, symbols), (4, capitals), (10, marks))], axis=1).astype(np.float64)
 
 
 def usual_path(rows: float) -> float:
@@ -201,7 +202,10 @@ def fit(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id_
     known = known.groupBy("id").agg(F.min("quality").alias("quality"))
     passed = counted.where(~base_failed()).select(quoted(id_col).alias("id"), *COUNTS)
     labelled = materialise(passed.join(known, "id"), "labelled")
-    drawn = labelled.select(*COUNTS, F.xxhash64("id", *COUNTS).alias("draw")).orderBy("draw", *COUNTS).limit(fit_rows).collect()
+    # Of all labelled rows about twice as many as needed pass the first test, so that tasks send few.
+    some = F.pmod(F.xxhash64("id", *COUNTS), F.lit(1 << 30)).alias("draw")
+    pool = labelled.select(*COUNTS, some).where(F.col("draw") < int((1 << 30) * min(1.0, 2 * fit_rows / max(1, labelled.count()))))
+    drawn = pool.orderBy("draw", *COUNTS).limit(fit_rows).collect()
     if not drawn:
         return Model(None)
     forest = grow_forest(rates(np.array([r[: len(COUNTS)] for r in drawn], np.int64)))
