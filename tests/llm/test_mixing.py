@@ -1,0 +1,82 @@
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from docloom.llm import mixing
+
+
+def filled(sizes, weights, share=1.5, most=2.0):
+    """Targets by resharing the excess until no source is above its limit."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_sources, out = share * sum(sizes.values()), set(order), {}
+    while True:
+        total = sum(w[s] for s in open_sources)
+        over = [s for s in open_sources if left * w[s] / total > most * sizes[s]]
+        if not over:
+            return out | {s: left * w[s] / total for s in open_sources}
+        for s in over:
+            out[s] = most * sizes[s]
+            left -= out[s]
+            open_sources.discard(s)
+
+
+def documents(spark, n=3000):
+    sources = [None, "", "a", "b", "é", "Z", "hot"]
+    rows = [Row(doc_id=i, text=None if i % 50 == 0 else "w " * (i * 7919 % 97), source="hot" if i % 3 == 0 else sources[i % 7], size=-1, target="clash", draw=0) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string, draw int")
+
+
+def test_targets_and_near_words(spark):
+    docs = documents(spark)
+    got = mixing.mixture(docs).collect()
+    assert len(got) == 3000
+    sizes, taken, targets = {}, {}, {}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in got:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]] or ""))
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        targets[r["source"]] = r["target"]
+    for s, t in filled(sizes, mixing.WEIGHTS).items():
+        assert targets[s] == pytest.approx(t)
+        assert abs(taken[s] - t) <= 3
+    assert {(r["doc_id"], r["taken"]) for r in mixing.mixture(docs.repartition(7)).collect()} == {(r["doc_id"], r["taken"]) for r in got}
+
+
+def test_rows_come_out_as_often_as_taken(spark):
+    docs = documents(spark, 600)
+    taken = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mixture(docs).where("size > 0").collect()}
+    rows = mixing.mixed_rows(docs)
+    assert rows.columns == docs.columns
+    counted = {r["doc_id"]: r["count"] for r in rows.groupBy("doc_id").count().collect()}
+    assert counted == {d: n for d, n in taken.items() if n}
+
+
+def test_inclusion_follows_the_source(spark):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.when(F.col("id") < 10000, "a").otherwise("b").alias("source"))
+    got = mixing.mixture(docs).groupBy("source").agg(F.avg((F.col("copies") > 0).cast("int")).alias("any"), F.first("target").alias("t"), F.sum("taken").alias("w")).collect()
+    assert {r["source"]: (r["t"], r["w"]) for r in got} == {"a": (40000.0, 40000), "b": (20000.0, 20000)}
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "a")], [(None, "x y z", None)] * 3, [(1, "x", "a"), (1, "x", "a"), (2, "y " * 50000, "a")]])
+def test_odd_tables(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixture(docs).collect()
+    assert len(got) == len(rows)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    mixing.mixed_rows(docs).collect()
+
+
+def test_sql_agrees_on_odd_rows(spark):
+    docs = documents(spark, 800).select("doc_id", "text", "source")
+    con = duckdb.connect()
+    documents_pd = docs.toPandas()
+    con.register("documents", documents_pd)
+    truth = con.sql(mixing.OP10_SQL).fetchall()
+    got = mixing.mixture(docs).select("doc_id", "size", "source_size", "target", "inclusion", "taken").collect()
+    assert sorted(map(tuple, truth)) == sorted(map(tuple, got))
