@@ -1,8 +1,8 @@
 """URL filters: explicit rules, and empirical-Bayes reputation of hosts where no rule fits.
 
 Outcomes of labelled pages (bad or not) are counted by host. Each level's rates are shrunk towards the level above
-through a beta prior whose mean is the parent's posterior mean: all pages, then public suffix, registered domain,
-host. How strongly is estimated from how much more the level's rates vary than chance explains (method of moments of
+through a beta prior: all pages, then public suffix, registered domain, host. A prior's mean is the parent's
+posterior mean without the child's own outcomes, so that no outcome counts twice. How strongly is estimated from how much more the level's rates vary than chance explains (method of moments of
 the beta-binomial). A host is blocked if the lower posterior bound of its bad rate is above ``threshold``, so it
 takes evidence to block and hosts without labels go by their domain.
 
@@ -65,7 +65,7 @@ def path_of(url: Column) -> Column:
 def registered_domain(host: Column, suffix: Column) -> Column:
     """The suffix and one more label; a host that is a suffix itself is its own domain."""
     labels = F.size(F.split(suffix, r"\."))
-    return F.array_join(F.slice(F.reverse(F.split(host, r"\.")), F.lit(1), labels + 1), ".")
+    return F.array_join(F.reverse(F.slice(F.reverse(F.split(host, r"\.")), F.lit(1), labels + 1)), ".")
 
 
 def public_suffix(host: Column, longer: tuple[str, ...] = ()) -> Column:
@@ -85,15 +85,21 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...], value: str) ->
     return out
 
 
-def _shrunk(children: DataFrame) -> DataFrame:
-    """Children with n, bad and their parent's rate p -> with posterior mean and weight."""
+def prior_weight(children: DataFrame) -> float:
+    """How many pages the prior of a level counts for, from its members' n, bad and prior mean p."""
     n, bad, p = F.col("n"), F.col("bad"), F.col("p")
     off = F.sum(F.when(n > 0, (bad - n * p) ** 2 / (n * p * (1 - p))))
     s = children.agg(F.sum((n > 0).cast("long")).alias("k"), F.sum("n").alias("n"), off.alias("off")).first()
     k, pages, off_sum = s["k"] or 0, s["n"] or 0, s["off"] or 0.0
     correlation = (off_sum - (k - 1)) / (pages - k) if pages > k else 0.0
-    weight = min(MOST_WEIGHT, max(LEAST_WEIGHT, 1.0 / correlation - 1.0)) if correlation > 0 else MOST_WEIGHT
-    return children.withColumn("mean", (F.lit(weight) * p + bad) / (F.lit(weight) + n)).withColumn("weight", F.lit(weight) + n)
+    return min(MOST_WEIGHT, max(LEAST_WEIGHT, 1.0 / correlation - 1.0)) if correlation > 0 else MOST_WEIGHT
+
+
+def _with_prior(children: DataFrame, parents: DataFrame, on: str, weight: float) -> DataFrame:
+    """Children with ``p``: their parent's posterior mean, had it only its other children's outcomes."""
+    up = parents.select(on, F.col("n").alias("n_up"), F.col("bad").alias("bad_up"), F.col("p").alias("p_up"))
+    p = (weight * F.col("p_up") + F.col("bad_up") - F.col("bad")) / (weight + F.col("n_up") - F.col("n"))
+    return children.join(up, on).withColumn("p", p).drop("n_up", "bad_up", "p_up")
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame, longer_suffixes: tuple[str, ...] = ()) -> DataFrame:
@@ -109,12 +115,13 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, longer_suffixes: tupl
     total = every.agg(F.sum("n"), F.sum("bad")).first()
     base = ((total[1] or 0) + 0.5) / ((total[0] or 0) + 1.0)
 
-    suffixes = _shrunk(every.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("p", F.lit(base)))
-    domains = every.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = materialise(_shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("p")), "suffix")), "domain-rates")
-    final = _shrunk(every.join(domains.select("domain", F.col("mean").alias("p")), "domain"))
-    mean = F.col("mean")
-    return final.select("host", "mean", (mean - Z * F.sqrt(mean * (1 - mean) / (F.col("weight") + 1))).alias("bound"))
+    summed = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
+    suffixes = every.groupBy("suffix").agg(*summed).withColumn("p", F.lit(base))
+    domains = materialise(_with_prior(every.groupBy("domain", "suffix").agg(*summed), suffixes, "suffix", prior_weight(suffixes)), "domain-rates")
+    rated = materialise(_with_prior(every, domains, "domain", prior_weight(domains)), "host-rates")
+    weight = prior_weight(rated)
+    mean = (weight * F.col("p") + F.col("bad")) / (weight + F.col("n"))
+    return rated.select("host", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (weight + F.col("n") + 1))).alias("bound"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", longer_suffixes: tuple[str, ...] = ()) -> DataFrame:
@@ -162,15 +169,14 @@ hosts AS (
          CASE WHEN host LIKE '%.%' THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain
   FROM (SELECT DISTINCT host FROM parsed) LEFT JOIN outcomes USING (host)),
 base AS (SELECT (coalesce(sum(bad), 0) + 0.5e0) / (coalesce(sum(n), 0) + 1e0) AS p FROM hosts),
-s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p) AS p FROM hosts, base GROUP BY suffix),
-s1 AS (SELECT count(*) FILTER (n > 0) AS k, sum(n) AS total, sum((bad - n * p) ** 2 / (n * p * (1 - p))) FILTER (n > 0) AS off FROM s0),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p) AS p FROM hosts, base GROUP BY suffix),
+s1 AS (SELECT count(*) FILTER (n > 0) AS k, sum(n) AS total, sum((bad - n * p) ** 2 / (n * p * (1 - p))) FILTER (n > 0) AS off FROM suffixes),
 s2 AS (SELECT CASE WHEN total > k AND off > k - 1 THEN least(1e3, greatest(1e0, (total - k) / (off - (k - 1)) - 1)) ELSE 1e3 END AS m FROM s1),
-suffixes AS (SELECT suffix, (m * p + bad) / (m + n) AS mean FROM s0, s2),
-d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS p FROM hosts JOIN suffixes USING (suffix) GROUP BY domain, suffix),
-d1 AS (SELECT count(*) FILTER (n > 0) AS k, sum(n) AS total, sum((bad - n * p) ** 2 / (n * p * (1 - p))) FILTER (n > 0) AS off FROM d0),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
+domains AS (SELECT d.domain, d.n, d.bad, (m * s.p + s.bad - d.bad) / (m + s.n - d.n) AS p FROM d0 d JOIN suffixes s USING (suffix), s2),
+d1 AS (SELECT count(*) FILTER (n > 0) AS k, sum(n) AS total, sum((bad - n * p) ** 2 / (n * p * (1 - p))) FILTER (n > 0) AS off FROM domains),
 d2 AS (SELECT CASE WHEN total > k AND off > k - 1 THEN least(1e3, greatest(1e0, (total - k) / (off - (k - 1)) - 1)) ELSE 1e3 END AS m FROM d1),
-domains AS (SELECT domain, (m * p + bad) / (m + n) AS mean FROM d0, d2),
-h0 AS (SELECT host, n, bad, mean AS p FROM hosts JOIN domains USING (domain)),
+h0 AS (SELECT h.host, h.n, h.bad, (m * d.p + d.bad - h.bad) / (m + d.n - h.n) AS p FROM hosts h JOIN domains d USING (domain), d2),
 h1 AS (SELECT count(*) FILTER (n > 0) AS k, sum(n) AS total, sum((bad - n * p) ** 2 / (n * p * (1 - p))) FILTER (n > 0) AS off FROM h0),
 h2 AS (SELECT CASE WHEN total > k AND off > k - 1 THEN least(1e3, greatest(1e0, (total - k) / (off - (k - 1)) - 1)) ELSE 1e3 END AS m FROM h1),
 rated AS (SELECT host, (m * p + bad) / (m + n) AS mean, m + n AS weight FROM h0, h2),

@@ -1,0 +1,80 @@
+import base64
+import gzip
+import hashlib
+
+import pytest
+from pyspark.sql import Row
+
+from docloom.llm import warc
+from docloom.session import new_path
+
+ROWS = [
+    (1, "http://a/1", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (5, "http://a/5\r\nX: y", "<p>same</p>"), (3, None, None), (4, "", ""),
+    (6, "http://b/é", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3), (7, "http://c", "line\nbreaks\r\n\r\n\x00"), (8, "u", "long " * 200000),
+    (None, "http://n", "<p>same</p>"), (None, "http://n", "only nulls"), (9, "http://r", "repeated"), (9, "http://r", "repeated"), (2, "http://a/2", "<p>same</p>"),
+]
+
+
+def pages(spark):
+    return spark.createDataFrame([Row(page_id=i, url=u, html=h, digest="clash", size=1, id=2) for i, u, h in ROWS], "page_id long, url string, html string, digest string, size int, id int")
+
+
+def digest(text):
+    return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+
+
+def expected(rows, least=0):
+    out = []
+    for i, _, h in rows:
+        size = len((h or "").encode())
+        ids = [x[0] for x in rows if (x[2] or "") == (h or "")]
+        known = [x for x in ids if x is not None]
+        original = max(known) if known else None
+        response = size < least or i == original
+        out.append((str(i), size, digest(h), "response" if response else "revisit", str(None if response else original)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [0, 100])
+def test_round_trip(spark, least):
+    path = new_path(spark, "test-warc")
+    warc.write_archives(pages(spark), path, least_bytes=least)
+    records = warc.resolve(warc.read_archives(spark, path)).collect()
+    assert sorted((str(r["row_id"]), r["bytes"], r["digest"], r["record_type"], str(r["refers_to"])) for r in records) == expected(ROWS, least)
+    texts = {str(i): h or "" for i, _, h in ROWS if i is not None}
+    assert all(r["payload"] == texts[r["row_id"]] for r in records if r["row_id"] is not None)
+
+
+def test_each_payload_is_written_once_with_fresh_headers(spark, tmp_path):
+    path = str(tmp_path / "out")
+    warc.write_archives(pages(spark), path)
+    found = [x for p in tmp_path.rglob("*.gz") for x in warc.parse(p.read_bytes())]
+    assert len(found) == len(ROWS)
+    same = [(f, b) for f, b in found if f["WARC-Payload-Digest"] == "sha1:" + digest("<p>same</p>")]
+    assert sum(b.endswith(b"<p>same</p>") for _, b in same) == 1
+    response = next(f for f, _ in same if f["WARC-Type"] == "response")
+    for f, b in same:
+        assert len(b) == int(f["Content-Length"])
+        if f["WARC-Type"] == "revisit":
+            assert f["WARC-Refers-To"] == response["WARC-Record-ID"]
+            assert f["WARC-Profile"] == warc.REVISIT_PROFILE
+    assert "X" not in response and "%0D%0A" in response["WARC-Target-URI"]
+
+
+def test_parse_takes_records_gzipped_one_by_one():
+    def record(n):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * n
+        return gzip.compress(f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    assert [len(b) for _, b in warc.parse(record(3) + record(0))] == [22, 19]
+    with pytest.raises(ValueError, match="no WARC record"):
+        list(warc.parse(b"nonsense\r\n\r\n"))
+
+
+def test_query_and_empty_table(spark, small_tables):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{small_tables}/pages.parquet").collect()]
+    got = warc.op9_revisit_records(spark, small_tables).collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == expected(rows)
+    path = new_path(spark, "test-warc")
+    warc.write_archives(pages(spark).limit(0), path)
+    assert warc.read_archives(spark, path).collect() == []
