@@ -158,7 +158,7 @@ def count_tokens(
     counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows may repeat, id included
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
-    known = read_cache(spark, cache_path, version)
+    known = materialise(read_cache(spark, cache_path, version), "known-counts")  # a join of two scans can be split where a digest is hot
     return rows.join(known, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
