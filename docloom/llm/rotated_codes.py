@@ -30,7 +30,7 @@ from docloom.llm.arrow import quoted
 from docloom.session import materialise
 
 #: Queries in a block; vectors whose bounds are computed at once; pairs whose distances are computed at once.
-BLOCK, CHUNK, PAIRS = 4096, 2048, 1 << 16
+BLOCK, CHUNK, PAIRS = 2048, 1024, 1 << 16
 #: The error bound holds for all but about 1 in 10,000 pairs.
 CERTAINTY = 3.8
 
@@ -177,19 +177,23 @@ def search(index: DataFrame, about: dict, queries: DataFrame, k: int = 10, certa
     spark = index.sparkSession
     ordered = queries.select("id", "vector").orderBy("id")
     numbered = materialise(ordered.withColumn("n", F.monotonically_increasing_id()), "queries")
-    parts = {r["part"]: (r["first"], r["count"]) for r in numbered.groupBy(F.shiftright("n", 33).alias("part")).agg(F.min("n").alias("first"), F.count("*").alias("count")).collect()}
+    parts = numbered.groupBy(F.shiftright("n", 33).alias("part")).agg(F.min("n").alias("first"), F.count("*").alias("count")).orderBy("part").collect()
+    starts, before = [], 0
+    for r in parts:  # a block may span parts: numbers grow from part to part
+        starts += range(r["first"] + -before % block_rows, r["first"] + r["count"], block_rows)
+        before += r["count"]
     done = []
-    for first, count in (parts[p] for p in sorted(parts)):
-        for at in range(first, first + count, block_rows):
-            rows = numbered.where((F.col("n") >= at) & (F.col("n") < min(at + block_rows, first + count))).orderBy("n").collect()
-            block = Block(np.array([r["id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64), about)
-            near = _top(_scan(index, block, k, certainty, None), k).where(F.col("rank") == k).select("q", "distance").collect()
-            radii = np.full(len(rows), np.inf)
-            for r in near:
-                radii[r["q"]] = r["distance"]
-            names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(block.ids)], "q long, query_id long")
-            found = _top(_scan(index, block, k, certainty, radii), k).join(F.broadcast(names), "q")  # at most BLOCK rows
-            done.append(materialise(found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", F.col("distance").alias("score")), "neighbours"))
+    for start, end in zip(starts, [*starts[1:], None]):
+        inside = F.col("n") >= start if end is None else (F.col("n") >= start) & (F.col("n") < end)
+        rows = numbered.where(inside).orderBy("n").collect()
+        block = Block(np.array([r["id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64), about)
+        near = _top(_scan(index, block, k, certainty, None), k).where(F.col("rank") == k).select("q", "distance").collect()
+        radii = np.full(len(rows), np.inf)
+        for r in near:
+            radii[r["q"]] = r["distance"]
+        names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(block.ids)], "q long, query_id long")
+        found = _top(_scan(index, block, k, certainty, radii), k).join(F.broadcast(names), "q")  # at most BLOCK rows
+        done.append(materialise(found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", F.col("distance").alias("score")), "neighbours"))
     out = spark.createDataFrame([], "query_id long, rank int, id long, score double")
     for part in done:
         out = out.union(part)
