@@ -151,9 +151,11 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def resolve(records: DataFrame) -> DataFrame:
     """Records with, for revisits, the row id, size and payload of the response to which they refer."""
     responses = records.where("record_type = 'response'").groupBy("record_id").agg(F.any_value(F.struct("row_id", "bytes", "payload")).alias("original"))
-    joined = records.join(responses.withColumnRenamed("record_id", "refers_to_record"), "refers_to_record", "left")
-    first = lambda c: F.coalesce(F.col(c), F.col(f"original.{c}")).alias(c)
-    return joined.select("row_id", "record_id", "record_type", "uri", "digest", first("bytes"), first("payload"), F.col("original.row_id").alias("refers_to"))
+    plain = records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("string")).drop("refers_to_record")
+    other = records.where("record_type <> 'response'").drop("bytes", "payload")
+    joined = other.join(responses.withColumnRenamed("record_id", "refers_to_record"), "refers_to_record", "left")
+    resolved = joined.select("row_id", "record_id", "record_type", "uri", "digest", F.col("original.bytes").alias("bytes"), F.col("original.payload").alias("payload"), F.col("original.row_id").alias("refers_to"))
+    return plain.unionByName(resolved)
 
 
 def op9_revisit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
