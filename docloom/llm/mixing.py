@@ -8,8 +8,8 @@ probability p = r - floor(r); documents are ranked by their random odds over the
 gap after the last that fits is closed by the one further document whose size comes nearest to it, if that helps.
 
 Within a source p is one number, so the order by odds is the order by u, a hash of id and text: the cut is one value
-of u per source. It is found from word sums in 65,536 equal steps of u per source (summed before the shuffle) and
-then inside one step, so no task ever holds a source. A row's copies follow from its own u and its source's plan
+of u per source. It is found from word sums in 256 equal steps of u per source (summed before the shuffle), then in
+256 steps inside the step with the cut, then among that step's rows, so no task ever holds a source. A row's copies follow from its own u and its source's plan
 alone, which makes reruns agree and lets the plan be applied where the texts are.
 
 Defined results: a null text has no words and nothing is taken of it; null sources are one source, the last; null ids
@@ -26,8 +26,8 @@ from docloom.llm.arrow import quoted
 from docloom.session import materialise
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Random numbers have 52 bits, of which the upper 16 name a step.
-DRAW_BITS, STEP_BITS = 52, 36
+#: Random numbers have 52 bits; the upper 8 name a step, the upper 16 a step inside it.
+DRAW_BITS, STEP_SHIFTS = 52, (44, 36)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,19 +77,22 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     sources = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     sources = materialise(sources.withColumn("inclusion", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)), "targets")
 
-    step = F.shiftright("draw", STEP_BITS)
-    steps = rows.groupBy(*KEY, step.alias("step")).agg(F.sum("size").alias("words"))
-    running = steps.withColumn("upto", F.sum("words").over(Window.partitionBy(*KEY).orderBy("step")))
-    last = running.join(sources.select(*KEY, "rest"), KEY).where("upto > rest")
-    last = last.groupBy(*KEY).agg(F.min(F.struct("step", F.col("upto"), "words", "rest")).alias("s"))
-    last = materialise(last.select(*KEY, F.col("s.step").alias("step"), (F.col("s.upto") - F.col("s.words")).alias("before"), F.col("s.rest").alias("rest")), "cut-steps")
-
-    inside = rows.withColumn("step", step).join(last, [*KEY, "step"])
+    reach = sources.select(*KEY, "rest", F.lit(0).cast("long").alias("before"))
+    for level, shift in enumerate(STEP_SHIFTS):
+        # ``reach`` has each source's step with the cut, and the words before it.
+        step = F.shiftright("draw", shift).alias("step")
+        inside = rows if level == 0 else rows.withColumn("wide", F.shiftright("draw", STEP_SHIFTS[level - 1])).join(reach.select(*KEY, F.col("step").alias("wide")), [*KEY, "wide"])
+        steps = inside.groupBy(*KEY, step).agg(F.sum("size").alias("words"))
+        running = steps.join(reach.select(*KEY, "rest", "before"), KEY).withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy(*KEY).orderBy("step")))
+        last = running.where("upto > rest").groupBy(*KEY).agg(F.min(F.struct("step", "upto", "words", "rest")).alias("s"))
+        reach = materialise(last.select(*KEY, F.col("s.step").alias("step"), (F.col("s.upto") - F.col("s.words")).alias("before"), F.col("s.rest").alias("rest")), "cut-steps")
+
+    inside = rows.withColumn("step", F.shiftright("draw", STEP_SHIFTS[-1])).join(reach, [*KEY, "step"])
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy(*KEY).orderBy("draw")))
     fits = inside.where("upto <= rest").groupBy(*KEY).agg(F.max("draw").alias("draw"), F.max("upto").alias("upto"))
-    cut = last.join(fits, KEY, "left").select(
+    cut = reach.join(fits, KEY, "left").select(
         *KEY,
-        F.coalesce("draw", F.shiftleft("step", STEP_BITS) - 1).alias("last_draw"),
+        F.coalesce("draw", F.shiftleft("step", STEP_SHIFTS[-1]) - 1).alias("last_draw"),
         (F.col("rest") - F.coalesce("upto", "before")).alias("gap"),
     )
     cut = materialise(cut, "cuts")
