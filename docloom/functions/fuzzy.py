@@ -46,7 +46,8 @@ def join_overlapping(a: str, b: str, between: str = " ", least: int = 1, most: i
     """
     for n in range(min(len(a), len(b), most), least - 1, -1):
         end, start = a[-n:], b[:n]
-        if end == start or sequence_ratio(end, start) >= like:
+        # Matching blocks are a common subsequence, so its length bounds the ratio.
+        if end == start or lcs_length(end, start) >= like * n and sequence_ratio(end, start) >= like:
             return ((a if keep == "one_kept" else a[:-n]) + between + b[n:]).strip()
     return (a + between + b).strip()
 

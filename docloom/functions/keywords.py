@@ -48,7 +48,8 @@ def _term_scores(sentence_words: list[list[str]]) -> dict[str, float]:
     out = {}
     for term, n in count.items():
         casing = max(capital[term], acronym[term]) / (1 + math.log(n))
-        position = math.log(math.log(3 + float(np.median(where[term]))) + 1)
+        places = where[term]  # in order
+        position = math.log(math.log(3 + (places[n // 2] + places[(n - 1) // 2]) / 2) + 1)
         spread = len(set(where[term])) / len(sentence_words)
         share = lambda side: len(side) / sum(side.values()) if side else 0.0
         related = 1 + (share(left[term]) + share(right[term])) * n / most

@@ -21,7 +21,7 @@ ABBREVIATIONS = (
 PAGE_NUMBER = r"(?i)[-(]?[ ]?(?:page|pg\.?|pp\.?|p\.?)?[ ]?(?:[0-9]+|[ivxm]+)\.?[ ]?[-)]?"
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-TIME = r"(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?: ?[AaPp]\.?[Mm]\.?)?|(?:1[0-2]|[1-9]) ?[AaPp][Mm]"
+TIME = r"\b(?:(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?: ?[AaPp]\.?[Mm]\.?)?|(?:1[0-2]|[1-9]) ?[AaPp][Mm])"
 PHONE = r"(?<![0-9-])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9-])"
 _MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 _DAY = r"[0-3]?[0-9](?:st|nd|rd|th)?"

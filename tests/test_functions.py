@@ -1,0 +1,140 @@
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from docloom.functions import fuzzy, keywords, sentences
+from docloom.functions import text as tx
+
+
+def apply(spark, f, values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r[1] for r in sorted(rows.select("i", f(F.col("v"))).collect(), key=lambda r: r[0])]
+
+
+@pytest.mark.parametrize(("text", "plain"), [
+    ("See No. 5 in Fig. 2", "See Number5 in Figure 2"),
+    ("MR. Fox, Mrs. Fox, etc.", "Mr Fox, Mrs Fox, etc"),
+    ("casino. Next", "casino. Next"),
+    ("éno. 6", "éno. 6"),
+    ("Eq. 3 by Dr. Ho Jr.", "Equation 3 by Dr Ho Jr"),
+    (None, None),
+])
+def test_abbreviations(spark, text, plain):
+    assert apply(spark, tx.clean_abbreviations, [text]) == [plain]
+
+
+def test_control_characters_and_glyph_marks(spark):
+    assert apply(spark, tx.clean_control_chars, ["a\x00b\tc\nd(cid:12)e(cid:x)", "", None]) == ["abcde(cid:x)", "", None]
+
+
+def test_page_numbers(spark):
+    yes = ["Page 3", "- 12 -", "p. 4", "xiv", "(iv)", "PP 10", "7."]
+    no = ["Page three", "12 monkeys", "", "chapter 1"]
+    assert apply(spark, tx.is_page_number, yes + no) == [True] * len(yes) + [False] * len(no)
+    assert apply(spark, tx.without_page_numbers, ["12 Annual Report"]) == ["Annual Report"]
+
+
+PATTERNS = {
+    tx.DATE: (["3rd of March 2020", "March 5, 2020", "12/31/1999", "2024-01-05"], ["no digits here", "10:30", "version 1.2"]),
+    tx.TIME: (["10:30 pm", "7am", "23:59"], ["no digits", "25 pm", "7 apples"]),
+    tx.EMAIL: (["a.b+c@x-y.co.uk", "mail a@b.co now"], ["user at example dot com", "a@b"]),
+    tx.PHONE: (["+1 (743) 555-3824", "743-555-3824", "743 555 3824"], ["12345", "1234567890123456"]),
+    tx.ADDRESS: (["12 Long Elm Street", "5 Main St."], ["12 monkeys", "Street 12"]),
+}
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_patterns(spark, pattern):
+    yes, no = PATTERNS[pattern]
+    found = apply(spark, lambda c: c.rlike(pattern), yes + no)
+    assert found == [True] * len(yes) + [False] * len(no)
+
+
+def test_nearest_whitespace(spark):
+    rows = spark.createDataFrame([("ab cd ef", 4), ("ab cd ef", 1), ("ab cd ef", 7), ("ab cd ef", 8), ("ab cd ef", -1)], "t string, i int")
+    got = [tuple(r) for r in rows.select(tx.whitespace_before(F.col("t"), F.col("i")), tx.whitespace_after(F.col("t"), F.col("i"))).collect()]
+    assert got == [(2, 5), (0, 2), (5, 8), (None, None), (None, None)]
+
+
+def test_names_prompts_and_display(spark):
+    row = spark.sql("SELECT 'd' d, 'f' f, CAST(null AS string) n, '' e, binary('x') b").select(
+        tx.file_name(F.col("d"), F.col("f")), tx.file_name(F.col("n"), F.col("f")), tx.file_name(F.col("e"), F.col("n")),
+        tx.pdf_display(F.col("b"), page=3), tx.qa_prompt(F.col("d"), F.col("f")), tx.shortened(F.lit("  " + "x" * 101)),
+        tx.refine_prompt(F.col("d"), F.col("f"), F.col("d")), tx.summary_prompt(F.col("d")), tx.oneline_prompt(F.col("d")), tx.table_prompt(F.col("d"), F.col("f")), tx.image_prompt(F.col("d")),
+    ).first()
+    assert row[:3] == ("d/f", "f", None)
+    assert 'base64,eA==#page=3"' in row[3]
+    assert "d" in row[4] and row[5] == "x" * 100 + "..."
+
+
+def lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcé ", max_size=30), st.text("abcé ", max_size=30))
+def test_lcs_by_brute_force(a, b):
+    assert fuzzy.lcs_length(a, b) == lcs(a, b)
+    assert 0 <= fuzzy.indel_ratio(a, b) <= 100
+
+
+def test_ratios():
+    assert fuzzy.indel_ratio("ACME Corp Annual Report 2023", "ACME Corp Annual Report 2024") == pytest.approx(96.43, abs=0.01)
+    assert fuzzy.indel_ratio("Introduction", "Conclusion") == pytest.approx(45.45, abs=0.01)
+    assert fuzzy.indel_ratio("", "") == 100
+
+
+def test_joining_overlaps():
+    assert fuzzy.join_overlapping("ends with shared tail", "shared tail begins") == "ends with begins"
+    assert fuzzy.join_overlapping("ends with shared tail", "shared tail begins", keep="one_kept") == "ends with shared tail begins"
+    assert fuzzy.join_overlapping("the cat", "table") == "the ca able"
+    assert fuzzy.join_overlapping("abc", "xyz") == "abc xyz"
+
+
+def plain_join(a, b, like=0.9):
+    for n in range(min(len(a), len(b), 50), 0, -1):
+        if fuzzy.sequence_ratio(a[-n:], b[:n]) >= like:
+            return (a[:-n] + " " + b[n:]).strip()
+    return (a + " " + b).strip()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab ", max_size=25), st.text("ab ", max_size=25))
+def test_joining_by_brute_force(a, b):
+    assert fuzzy.join_overlapping(a, b) == plain_join(a, b)
+
+
+def test_alignment_is_in_original_places():
+    source = "Intro. The QUICK, brown fox -- jumps!  End of text."
+    score, a, z, s, e = fuzzy.align("the quick  brown fox", source)
+    assert (a, z) == (0, 20) and score > 90
+    assert "QUICK, brown fox" in source[s:e]
+    assert fuzzy.align("", "x") == (0.0, 0, 0, 0, 0)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab. !?\nMr", max_size=80))
+def test_sentences_cover_all_but_white_space(text):
+    spans = sentences.split_sentences(text)
+    assert all(text[a:z] == t and t for a, z, t in spans)
+    covered = "".join(t for _, _, t in spans)
+    assert re.sub(r"\s", "", covered) == re.sub(r"\s", "", text)
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_sentences_know_abbreviations():
+    assert [t for _, _, t in sentences.split_sentences("Mr. Fox went out. He came back! Why? Ask Dr. Who")] == ["Mr. Fox went out.", "He came back!", "Why?", "Ask Dr. Who"]
+
+
+def test_keywords():
+    found = keywords.keywords("Spark runs analytics. Analytics engines like Apache Spark run SQL analytics on big data clusters.", 5)
+    assert found[0][0] == "analytics" and len(found) == 5
+    assert [s for _, s in found] == sorted((s for _, s in found), reverse=True)
+    assert keywords.keywords("") == [] and keywords.keywords("the of and") == []
