@@ -11,6 +11,10 @@ one: a search follows only edges within the radius, skips subtrees that already
 component, and reports a link only if it joins two components, so a group of m near copies gives m - 1 links.
 Trees travel to their queries through the shuffle, not by broadcast: all trees together grow with the corpus.
 
+One fingerprint misses near copies by chance, as its bits differ in more places the fewer shingles two texts share.
+With ``prints`` above one, each text gets so many independent fingerprints, made from the same hashes mixed anew, and
+a link in any of them counts. The first is always the plain one.
+
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; with fewer words than a
 shingle the whole sequence is the shingle; null ids count as larger than all ids; repeated rows share a component;
 an empty table gives an empty result. Only named columns are read, so other columns can't clash.
@@ -39,35 +43,51 @@ SHARD = 256
 COUNTED = 1 << 14
 
 
-def fingerprint(text: bytes, words_per_shingle: int = 4) -> int:
-    """The fingerprint of a UTF-8 text; A-Z count as a-z, words end at ASCII white space."""
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Another set of hashes from the given ones, by the mixing steps of SplitMix64; turn 0 leaves them."""
+    if not turn:
+        return hashes
+    z = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), COUNTED):
+        ones += np.unpackbits(hashes[i : i + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, words_per_shingle: int = 4, prints: int = 1) -> tuple[int, ...]:
+    """The fingerprints of a UTF-8 text; A-Z count as a-z, words end at ASCII white space."""
     words = text.lower().split()
-    n = len(words) - words_per_shingle + 1
     if not words:
-        return 0
+        return (0,) * prints
+    n = max(1, len(words) - words_per_shingle + 1)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if n <= 1:
-        return digest(joined, SEED)
-    sizes = list(map(len, words))
-    starts = list(accumulate([0, *sizes[: n - 1]], lambda at, size: at + size + 1))
-    length = sum(sizes[:words_per_shingle]) + words_per_shingle - 1
-    lengths = accumulate((b - a for a, b in zip(sizes, sizes[words_per_shingle:])), initial=length)
-    hashes = np.array([digest(joined[s : s + k], SEED) for s, k in zip(starts, lengths)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, COUNTED):
-        ones += np.unpackbits(hashes[i : i + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    if n == 1:
+        hashes = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        sizes = list(map(len, words))
+        starts = list(accumulate([0, *sizes[: n - 1]], lambda at, size: at + size + 1))
+        length = sum(sizes[:words_per_shingle]) + words_per_shingle - 1
+        lengths = accumulate((b - a for a, b in zip(sizes, sizes[words_per_shingle:])), initial=length)
+        hashes = np.array([digest(joined[s : s + k], SEED) for s, k in zip(starts, lengths)], np.uint64)
+    return tuple(_majority(_mixed(hashes, turn)) for turn in range(prints))
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, words_per_shingle: int = 4, out: str = "fp") -> DataFrame:
-    """``carry`` (default: all columns) and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, words_per_shingle: int = 4, prints: int = 1) -> DataFrame:
+    """``carry`` (default: all columns) and ``fps``, the fingerprints as signed longs."""
 
     def kernel(texts: pa.Array) -> list:
-        found = [fingerprint(x or b"", words_per_shingle) for x in texts.cast(pa.binary()).to_pylist()]
-        return [pa.array(np.array(found, np.uint64).view(np.int64))]
+        found = [fingerprint(x or b"", words_per_shingle, prints) for x in texts.cast(pa.binary()).to_pylist()]
+        values = np.array(found, np.uint64).reshape(-1).view(np.int64)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, prints, dtype=np.int32)), pa.array(values))]
 
-    return arrow_map(docs, docs.columns if carry is None else carry, [quoted(text_col)], [T.StructField(out, T.LongType())], kernel)
+    return arrow_map(docs, docs.columns if carry is None else carry, [quoted(text_col)], [T.StructField("fps", T.ArrayType(T.LongType(), False))], kernel)
 
 
 def _signed(mask: int) -> int:
@@ -141,25 +161,28 @@ def _shard_links(radius: int):
         shard, tree = None, None
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 1))))
-            us, vs = [], []
+            ps, us, vs = [], [], []
             for key, x in zip(keys, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64).tolist()):
                 if key != shard:
                     shard, tree = key, Tree(radius)
                 for y in tree.add(x):
+                    ps.append(key[0])
                     us.append(x)
                     vs.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)) for a in (us, vs)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32())] + [pa.array(np.array(a, np.uint64).view(np.int64)) for a in (us, vs)], names=["p", "u", "v"])
 
     return run
 
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) that join the same components as all pairs of distinct fingerprints within the radius."""
-    blocks, chosen = blocks_for(nodes.count(), radius)
+    """From distinct (p, fp): links (p, u, v) that join the same components as all pairs within the radius, print by print."""
+    most = nodes.groupBy("p").count().agg(F.max("count")).first()[0] or 0
+    blocks, chosen = blocks_for(most, radius)
     masks = block_masks(list(range(BITS)), blocks, chosen)
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)]))
-    dealt = nodes.select("fp", tables.alias("s")).select("s.t", "s.key", "fp")
-    large = materialise(dealt.groupBy("t", "key").count().where(F.col("count") > 4 * SHARD).select("t", "key", F.lit(True).alias("large")), "large-shards")
+    dealt = nodes.select("p", "fp", tables.alias("s")).select("p", "s.t", "s.key", "fp")
+    shard = ["p", "t", "key"]
+    large = materialise(dealt.groupBy(*shard).count().where(F.col("count") > 4 * SHARD).select(*shard, F.lit(True).alias("large")), "large-shards")
 
     again = F.lit(None)
     for t, mask in enumerate(masks):
@@ -167,30 +190,45 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         parts = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(rest)])
         again = F.when(F.col("t") == t, parts).otherwise(again)
     alone = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("part")))
-    placed = dealt.join(large, ["t", "key"], "left").select("t", "key", "fp", F.explode(F.when(F.col("large"), again).otherwise(alone)).alias("s"))
-    placed = placed.select("t", "key", F.col("s.i").alias("i"), F.col("s.part").alias("part"), "fp")
-    order = ["t", "key", "i", "part"]
-    return placed.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(_shard_links(radius), "u long, v long")
+    placed = dealt.join(large, shard, "left").select(*shard, "fp", F.explode(F.when(F.col("large"), again).otherwise(alone)).alias("s"))
+    placed = placed.select(*shard, F.col("s.i").alias("i"), F.col("s.part").alias("part"), "fp")
+    order = [*shard, "i", "part"]
+    return placed.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(_shard_links(radius), "p int, u long, v long")
 
 
-def components(rows: DataFrame, radius: int = 4, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
-    """``fp``, ``root``, ``component_id``: for each distinct fingerprint its component and the smallest id in it."""
-    nodes = materialise(rows.groupBy(quoted(fp_col).alias("fp")).agg(F.min(quoted(id_col)).alias("first_id")), "fingerprints")
-    roots = component_roots(links(nodes.select("fp"), radius))
+def _node_links(values: DataFrame, radius: int) -> DataFrame:
+    """Links between nodes from their distinct fingerprints (node, p, fp): by equal ones and by those within the radius.
+
+    Of the nodes that share a fingerprint the smallest stands for all, so m of them give m - 1 links.
+    """
+    standing = materialise(values.groupBy("p", "fp").agg(F.min("node").alias("node")), "standing")
+    equal = values.select("p", "fp", F.col("node").alias("u")).join(standing.withColumnRenamed("node", "v"), ["p", "fp"]).select("u", "v")
+    near = materialise(links(standing.select("p", "fp"), radius), "near")
+    for end in ("u", "v"):
+        near = near.join(standing.select("p", F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), ["p", end])
+    return equal.unionByName(near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))).where("u <> v")
+
+
+def components(rows: DataFrame, radius: int = 4, id_col: str = "doc_id", fps_col: str = "fps") -> DataFrame:
+    """``fp``, ``root``, ``component_id``: for each distinct first fingerprint its component and the smallest id in it."""
+    first = F.get(quoted(fps_col), F.lit(0))
+    nodes = materialise(rows.groupBy(first.alias("fp")).agg(F.min(quoted(id_col)).alias("first_id")), "fingerprints")
+    each = rows.select(first.alias("node"), F.posexplode(quoted(fps_col)).alias("p", "fp")).distinct()
+    roots = component_roots(_node_links(materialise(each, "prints"), radius))
     placed = nodes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "placed")
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return placed.join(least, "root").select("fp", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words_per_shingle: int = 4, prints: int = 1) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` of every row."""
-    rows = materialise(fingerprints(docs, text_col, [id_col], words_per_shingle), "fingerprint-rows")
+    rows = materialise(fingerprints(docs, text_col, [id_col], words_per_shingle, prints), "fingerprint-rows")
     found = materialise(components(rows, radius, id_col), "components")
-    return rows.join(found, "fp").select(quoted(id_col), "fp", "component_id")
+    return rows.withColumn("fp", F.get("fps", F.lit(0))).join(found, "fp").select(quoted(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words_per_shingle: int = 4, prints: int = 1) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
 
     Rows are numbered in a written table, so exactly one stays even where ids repeat or are null.
@@ -198,11 +236,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     carry = docs.columns
     inner = [f"c{i}" for i in range(len(carry))]
     where = dict(zip(carry, inner))
-    rows = fingerprints(docs.toDF(*inner), where[text_col], inner, words_per_shingle, out="fp").withColumn("row", F.monotonically_increasing_id())
+    rows = fingerprints(docs.toDF(*inner), where[text_col], inner, words_per_shingle, prints).withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows, "numbered")
-    narrow = rows.select(F.col(where[id_col]).alias("id"), "fp", "row")
+    narrow = rows.select(F.col(where[id_col]).alias("id"), "fps", F.get("fps", F.lit(0)).alias("fp"), "row")
     found = materialise(components(narrow, radius, "id"), "components")
-    # Null-safe: a component of null ids only has a null component_id, so components are told apart by their root.
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     stay = narrow.join(found, "fp").groupBy("root").agg(F.min(rank).getField("row").alias("row")).select("row")
     return rows.join(stay, "row", "left_semi").select(*[F.col(c).alias(name) for c, name in zip(inner, carry)])

@@ -49,7 +49,8 @@ def near_values(draw, groups=40, size=12, bits=64):
 
 @pytest.mark.parametrize("text", ["", "  \n", "One", "a b c", "A B C D", "a b c d e\tf  g", "Ünïcode ÀB c d e f", "x " * 5000, "\x1c a b\x85c d e"])
 def test_fingerprint(text):
-    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+    assert simhash.fingerprint(text.encode()) == (brute_fingerprint(text),)
+    assert simhash.fingerprint(text.encode(), prints=3)[0] == brute_fingerprint(text)
 
 
 def test_tree_joins_what_links_join():
@@ -87,7 +88,7 @@ def test_components_at_any_shard_size(spark, monkeypatch, shard, chosen):
     values = near_values(draw, 12, 10) + near_values(draw, 1, 150)
     values = sorted({*values, 0, 1, (1 << 64) - 1, 1 << 63})
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    rows = spark.createDataFrame([Row(doc_id=i, fp=s) for i, s in enumerate(signed)] + [Row(doc_id=-1, fp=signed[0])])
+    rows = spark.createDataFrame([Row(doc_id=i, fps=[s]) for i, s in enumerate(signed)] + [Row(doc_id=-1, fps=[signed[0]])])
     got = {r["fp"]: r["component_id"] for r in simhash.components(rows).collect()}
     truth = brute_components(values, 4)
     least = {}
@@ -153,3 +154,40 @@ def test_one_of_each_group_stays(spark):
     nameless = spark.createDataFrame([(None, "a b c d e")] * 5, "doc_id long, text string")
     assert simhash.one_of_each(nameless).count() == 1
     assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_several_prints_by_brute_force(spark):
+    draw = random.Random(9)
+    texts = []
+    for _ in range(30):
+        words = [f"w{draw.randint(0, 4000)}" for _ in range(120)]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            changed = list(words)
+            for _ in range(draw.randint(1, 6)):
+                changed[draw.randrange(120)] = "new"
+            texts.append(" ".join(changed))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for prints in (1, 4):
+        marks = [simhash.fingerprint(t.encode(), prints=prints) for t in texts]
+        label = list(range(len(texts)))
+        for _ in texts:
+            before = list(label)
+            for i, a in enumerate(marks):
+                for j, b in enumerate(marks[:i]):
+                    if any((x ^ y).bit_count() <= 4 for x, y in zip(a, b)):
+                        label[i] = label[j] = min(label[i], label[j])
+            if label == before:
+                break
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, prints=prints).collect()}
+        assert got == dict(enumerate(label))
+        found[prints] = len(set(label))
+    assert found[4] < found[1]
+
+
+def test_unrelated_documents_stay(spark):
+    draw = random.Random(10)
+    docs = spark.createDataFrame([(i, " ".join(f"w{draw.randint(0, 900)}" for _ in range(draw.randint(1, 80)))) for i in range(400)], "doc_id long, text string")
+    kept = simhash.one_of_each(docs, prints=6).count()
+    assert kept == docs.select("text").distinct().count()
