@@ -5,7 +5,8 @@ source gets more than ``most`` times its own words, and what it can't take is sh
 shall have r times its words takes every document floor(r) whole times. For the rest each document has the inclusion
 probability p = r - floor(r); documents are ranked by their random odds over their inclusion odds,
 (u / (1 - u)) / (p / (1 - p)), and the first ones are taken again, as many as fit the source's remaining words. The
-gap after the last that fits is closed by the one further document whose size comes nearest to it, if that helps.
+gap that whole documents leave is then narrowed by at most ``SWAPS`` documents of a source: of those that bring the
+words nearer to the target the best one is added, or left out again where the words are too many.
 
 Within a source p is one number, so the order by odds is the order by u, a hash of id and text: the cut is one value
 of u per source. It is found from word sums in 256 equal steps of u per source (summed before the shuffle), then in
@@ -28,6 +29,8 @@ from docloom.session import materialise
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Random numbers have 52 bits; the upper 8 name a step, the upper 16 a step inside it.
 DRAW_BITS, STEP_SHIFTS = 52, (44, 36)
+#: After the cut so many documents of a source may change sides.
+SWAPS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,7 +72,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """From rows (KEY, size, draw): per source its target, whole copies, inclusion probability and cut of the draws.
 
-    A row is taken ``whole`` times, and once more if ``draw <= last_draw or draw = closing_draw``.
+    A row is taken ``whole`` times, and once more if either ``draw <= last_draw`` or its draw is among ``swapped``.
     """
     sizes = rows.groupBy(*KEY).agg(F.sum("size").alias("source_size"))
     sources = targets(materialise(sizes, "source-sizes"), weights, share, most)
@@ -95,13 +98,23 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
         F.coalesce("draw", F.shiftleft("step", STEP_SHIFTS[-1]) - 1).alias("last_draw"),
         (F.col("rest") - F.coalesce("upto", "before")).alias("gap"),
     )
-    cut = materialise(cut, "cuts")
-
-    off = F.abs(F.col("gap") - F.col("size"))
-    nearest = rows.join(cut, KEY).where((F.col("draw") > F.col("last_draw")) & (off < F.col("gap")))
-    nearest = nearest.groupBy(*KEY).agg(F.min(F.struct(off.alias("off"), F.col("draw").alias("draw"))).getField("draw").alias("closing_draw"))
-    out = sources.join(cut, KEY, "left").join(nearest, KEY, "left")
-    return materialise(out.select(*KEY, "source_size", "weight", "target", "whole", "inclusion", F.coalesce("last_draw", F.lit(-1).cast("long")).alias("last_draw"), F.coalesce("closing_draw", F.lit(-1).cast("long")).alias("closing_draw")), "mix-plan")
+    cut = materialise(cut.withColumn("swapped", F.array().cast("array<bigint>")), "cuts")
+    for _ in range(SWAPS):
+        taken = F.col("draw") <= F.col("last_draw")
+        fresh = ~F.array_contains("swapped", F.col("draw"))
+        off = F.abs(F.abs("gap") - F.col("size"))
+        helps = fresh & (off < F.abs("gap")) & (((F.col("gap") > 0) & ~taken) | ((F.col("gap") < 0) & taken))
+        best = rows.join(cut, KEY).where(helps).groupBy(*KEY).agg(F.min(F.struct(off.alias("off"), F.col("draw").alias("draw"), F.col("size").alias("size"))).alias("b"))
+        best = materialise(best.select(*KEY, F.col("b.draw").alias("draw"), F.col("b.size").alias("size")), "swaps")
+        if not best.limit(1).count():
+            break
+        moved = cut.join(best, KEY, "left")
+        swapped = F.when(F.col("draw").isNull(), F.col("swapped")).otherwise(F.concat("swapped", F.array("draw")))
+        gap = F.col("gap") - F.signum("gap") * F.coalesce("size", F.lit(0))
+        cut = materialise(moved.select(*KEY, "last_draw", gap.alias("gap"), swapped.alias("swapped")), "cuts")
+    out = sources.join(cut, KEY, "left")
+    none = F.array().cast("array<bigint>")
+    return materialise(out.select(*KEY, "source_size", "weight", "target", "whole", "inclusion", F.coalesce("last_draw", F.lit(-1).cast("long")).alias("last_draw"), F.coalesce("swapped", none).alias("swapped")), "mix-plan")
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
@@ -109,7 +122,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> l
 
 
 def copies() -> Column:
-    again = (F.col("draw") <= F.col("last_draw")) | (F.col("draw") == F.col("closing_draw"))
+    again = (F.col("draw") <= F.col("last_draw")) != F.array_contains("swapped", F.col("draw"))
     return F.col("whole") + again.cast("long")
 
 
@@ -130,7 +143,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = wide.join(plan(rows, weights, share, most), KEY)
     # A document without words has nothing that could be taken.
     kept = made.where(F.col(where[text_col]).rlike(WORD) & (copies() > 0))
-    return kept.withColumn("n", F.explode(F.expr("sequence(1L, whole + cast(draw <= last_draw or draw = closing_draw as bigint))"))).select(*inner).toDF(*docs.columns)
+    return kept.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), copies()))).select(*inner).toDF(*docs.columns)
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +152,14 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "inclusion")
 
 
+_SWAP = """
+swap{n} AS (
+  SELECT source, arg_min({{draw: draw, size: size}}, {{off: abs(abs(gap) - size), draw: draw}}) AS b
+  FROM state{m} WHERE NOT list_contains(swapped, draw) AND abs(abs(gap) - size) < abs(gap) AND ((gap > 0 AND NOT taken) OR (gap < 0 AND taken)) GROUP BY source),
+state{n} AS (
+  SELECT s.* REPLACE (CASE WHEN b IS NULL THEN swapped ELSE list_append(swapped, b.draw) END AS swapped, gap - sign(gap) * coalesce(b.size, 0) AS gap)
+  FROM state{m} s LEFT JOIN swap{n} w ON s.source IS NOT DISTINCT FROM w.source),"""
+
 OP10_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -163,11 +184,9 @@ running AS (
   SELECT d.*, p.* EXCLUDE (source), sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS upto
   FROM docs d JOIN remaining p ON d.source IS NOT DISTINCT FROM p.source),
 gaps AS (SELECT source, any_value(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM running GROUP BY source),
-closing AS (
-  SELECT r.source, arg_min(r.draw, {off: abs(g.gap - r.size), draw: r.draw}) AS draw
-  FROM running r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source
-  WHERE r.upto > r.rest AND abs(g.gap - r.size) < g.gap GROUP BY r.source)
-SELECT r.doc_id, r.size, r.source_size, r.target, r.inclusion,
-       r.size * (r.whole + (r.upto <= r.rest OR r.draw = coalesce(c.draw, -1))::BIGINT) AS taken
-FROM running r LEFT JOIN closing c ON r.source IS NOT DISTINCT FROM c.source
+state0 AS (
+  SELECT r.*, r.upto <= r.rest AS taken, g.gap, []::BIGINT[] AS swapped FROM running r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source),
+""" + "".join(_SWAP.format(n=n, m=n - 1) for n in range(1, SWAPS + 1)) + f"""
+final AS (FROM state{SWAPS})
+SELECT doc_id, size, source_size, target, inclusion, size * (whole + (taken <> list_contains(swapped, draw))::BIGINT) AS taken FROM final
 """
