@@ -120,6 +120,20 @@ def byte_values(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in read_ranks(path).items()}
 
 
+def _coded(texts: list[str | None], path: str) -> list[bytes]:
+    """The ids of each text, as bytes of int32."""
+    ids_of, split = words(path).__getitem__, splitter().findall
+    return [b"".join(map(ids_of, split(x))) if x else b"" for x in texts]
+
+
+def _id_lists(coded: list[bytes]) -> pa.Array:
+    return _lists([len(x) // 4 for x in coded], np.frombuffer(b"".join(coded), np.int32))
+
+
+def _joined(ids: list[int], path: str) -> bytes:
+    return b"".join(map(byte_values(path).__getitem__, ids))
+
+
 def _lists(lengths: list[int], values: np.ndarray) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
@@ -134,9 +148,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str]
     outputs = [T.StructField(x, ints) for x in ([ids_col, starts_col, ends_col] if offsets else [ids_col])]
 
     def plain(texts: pa.Array) -> list:
-        ids_of, split = words(path).__getitem__, splitter().findall
-        coded = [b"".join(map(ids_of, split(x))) if x else b"" for x in texts.to_pylist()]
-        return [_lists([len(x) // 4 for x in coded], np.frombuffer(b"".join(coded), np.int32))]
+        return [_id_lists(_coded(texts.to_pylist(), path))]
 
     def spanned(texts: pa.Array) -> list:
         parts: list[list[np.ndarray]] = [[], [], []]
@@ -156,8 +168,7 @@ def decode(frame: DataFrame, path: str, ids_col: str = "ids", carry: list[str] |
     outputs = [T.StructField(bytes_col, T.StringType() if as_text else T.BinaryType())]
 
     def kernel(ids: pa.Array) -> list:
-        values = byte_values(path)
-        joined = [b"".join(map(values.__getitem__, x)) if x else b"" for x in ids.to_pylist()]
+        joined = [_joined(x, path) if x else b"" for x in ids.to_pylist()]
         if as_text:
             return [pa.array([x.decode("utf-8", "replace") for x in joined], pa.string())]
         return [pa.array(joined, pa.binary())]
@@ -165,6 +176,17 @@ def decode(frame: DataFrame, path: str, ids_col: str = "ids", carry: list[str] |
     return arrow_map(frame, frame.columns if carry is None else carry, [quoted(ids_col)], outputs, kernel)
 
 
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass of the executors' Python: ids, and the bytes that they decode to."""
+    outputs = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(bytes_col, T.BinaryType())]
+
+    def kernel(texts: pa.Array) -> list:
+        coded = _coded(texts.to_pylist(), path)
+        return [_id_lists(coded), pa.array([_joined(np.frombuffer(x, np.int32).tolist(), path) for x in coded], pa.binary())]
+
+    return arrow_map(docs, docs.columns if carry is None else carry, [quoted(text_col)], outputs, kernel)
+
+
 def token_texts(ids: list[int], path: str) -> list[str]:
     """The text that each token completes: a split character belongs to the token that holds its last byte."""
     values = byte_values(path)
@@ -178,7 +200,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = decode(encode(docs, path, carry=["doc_id"]), path)
+    done = round_trip(docs, path, carry=["doc_id"])
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -79,6 +79,12 @@ def test_query_digests(spark, small_tables, plain):
         assert r["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest()
 
 
+def test_one_pass_equals_two(spark):
+    docs = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate([*TEXTS, None])])
+    both = bpe.round_trip(docs, PATH).orderBy("doc_id").collect()
+    assert both == bpe.decode(bpe.encode(docs, PATH), PATH).orderBy("doc_id").collect()
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(empty, PATH), PATH).collect() == []
