@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from docloom.session import materialise
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(links.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not seen.where((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("holds") == 1))).limit(1).count()
 
 
 def component_roots(links: DataFrame) -> DataFrame:
@@ -24,18 +27,12 @@ def component_roots(links: DataFrame) -> DataFrame:
     Null ends, loops and repeated links are ignored.
     """
     current = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = _state(current)
-    while state[0]:
+    while not _settled(current):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "star")
         large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.where("u <> v").distinct(), "large-star")
-        below = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "star")
+        below = large.groupBy("u").agg(F.min("v").alias("m"))
         sideways = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        following = materialise(sideways.union(below.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = _state(following)
-        current = following
-        if now == state:
-            break
-        state = now
+        current = materialise(sideways.union(below.select("u", F.col("m").alias("v"))).distinct(), "links")
     return current.select(F.col("u").alias("v"), F.col("v").alias("root"))

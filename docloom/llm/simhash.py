@@ -209,12 +209,16 @@ def _node_links(values: DataFrame, radius: int) -> DataFrame:
     return equal.unionByName(near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))).where("u <> v")
 
 
-def components(rows: DataFrame, radius: int = 4, id_col: str = "doc_id", fps_col: str = "fps") -> DataFrame:
-    """``fp``, ``root``, ``component_id``: for each distinct first fingerprint its component and the smallest id in it."""
+def components(rows: DataFrame, radius: int = 4, id_col: str = "doc_id", fps_col: str = "fps", prints: int = 1) -> DataFrame:
+    """Of rows with ``prints`` fingerprints each: ``fp``, ``root``, ``component_id``: for each distinct first fingerprint its component and the smallest id in it."""
     first = F.get(quoted(fps_col), F.lit(0))
     nodes = materialise(rows.groupBy(first.alias("fp")).agg(F.min(quoted(id_col)).alias("first_id")), "fingerprints")
-    each = rows.select(first.alias("node"), F.posexplode(quoted(fps_col)).alias("p", "fp")).distinct()
-    roots = component_roots(_node_links(materialise(each, "prints"), radius))
+    if prints == 1:  # a node is its fingerprint
+        near = links(nodes.select(F.lit(0).alias("p"), "fp"), radius).select("u", "v")
+    else:
+        each = rows.select(first.alias("node"), F.posexplode(quoted(fps_col)).alias("p", "fp")).distinct()
+        near = _node_links(materialise(each, "prints"), radius)
+    roots = component_roots(near)
     placed = nodes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "placed")
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -224,7 +228,7 @@ def components(rows: DataFrame, radius: int = 4, id_col: str = "doc_id", fps_col
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words_per_shingle: int = 4, prints: int = 1) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` of every row."""
     rows = materialise(fingerprints(docs, text_col, [id_col], words_per_shingle, prints), "fingerprint-rows")
-    found = materialise(components(rows, radius, id_col), "components")
+    found = materialise(components(rows, radius, id_col, prints=prints), "components")
     return rows.withColumn("fp", F.get("fps", F.lit(0))).join(found, "fp").select(quoted(id_col), "fp", "component_id")
 
 
@@ -239,7 +243,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = fingerprints(docs.toDF(*inner), where[text_col], inner, words_per_shingle, prints).withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows, "numbered")
     narrow = rows.select(F.col(where[id_col]).alias("id"), "fps", F.get("fps", F.lit(0)).alias("fp"), "row")
-    found = materialise(components(narrow, radius, "id"), "components")
+    found = materialise(components(narrow, radius, "id", prints=prints), "components")
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     stay = narrow.join(found, "fp").groupBy("root").agg(F.min(rank).getField("row").alias("row")).select("row")
     return rows.join(stay, "row", "left_semi").select(*[F.col(c).alias(name) for c, name in zip(inner, carry)])
