@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import shortened
+from docloom.session import materialise
+
+#: Kinds of events by what they are about; a pipeline's stages are named in this order.
+STAGES = ("query", "agent", "retrieval", "embedding", "rerank", "synthesis", "llm", "chat", "span")
 
 
 def distinct_events(events: DataFrame) -> DataFrame:
@@ -39,12 +43,20 @@ def of_kinds(events: DataFrame, kinds: list[str]) -> DataFrame:
     return events.where(F.col("event_type").isin(kinds))
 
 
+def by_stage(events: DataFrame) -> DataFrame:
+    """Events with ``stage``: the first of STAGES that their kind names, in any case; null for others."""
+    return events.withColumn("stage", F.coalesce(*[F.when(F.lower("event_type").contains(s), s) for s in STAGES]))
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Append events or spans to their log."""
+    rows.write.mode("append").parquet(path)
+
+
 def with_depth(spans: DataFrame, most: int = 64) -> DataFrame:
     """Spans (span_id, parent_id) with their depth below a root; a span whose parent is unknown is a root."""
     known = spans.select(F.col("span_id").alias("parent_id"), F.lit(True).alias("known"))
     rows = spans.join(known, "parent_id", "left").withColumn("up", F.when(F.col("known"), F.col("parent_id"))).select("span_id", "parent_id", "up").withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0))
-    from docloom.session import materialise
-
     for _ in range(most):
         rows = materialise(rows, "spans")
         if rows.where(F.col("up").isNotNull()).limit(1).count() == 0:
@@ -58,3 +70,8 @@ def displayed_node(node_id: Column, score: Column, text: Column, length: int = 1
     """A result in one line."""
     shown = F.coalesce(F.format_number(score, 4), F.lit("-"))
     return F.concat(F.lit("["), node_id.cast("string"), F.lit("] "), shown, F.lit(" "), shortened(text, length))
+
+
+def displayed_nodes(nodes: Column, length: int = 100) -> Column:
+    """An array of (node_id, score, text) with a line for each."""
+    return F.array_join(F.transform(nodes, lambda n: displayed_node(n["node_id"], n["score"], n["text"], length)), "\n")

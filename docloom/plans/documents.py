@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import clean_abbreviations, clean_control_chars, tokens
 from docloom.operators.boilerplate import remove_repeated
@@ -55,16 +57,29 @@ def embed(nodes: DataFrame, embedder: Callable[[Column], Column] = hashed_embedd
 DEFAULT_STEPS: tuple[Step, ...] = (similarity_cutoff, rerank, prune_sentences)
 
 
-def answer(results: DataFrame, queries: DataFrame, steps: tuple[Step, ...] = DEFAULT_STEPS, budget: int = 4096) -> DataFrame:
-    """query_id, response: the best sentences of what the steps leave, the built-in stand-in for a language model."""
-    kept = apply_steps(results, list(steps))
-    context = compact(kept.select("query_id", "rank", "text"), budget).where("pack = 0")
+@F.pandas_udf(T.StringType())
+def refined_answer(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The best sentences of the first context, then of what they and each further context hold together."""
+    for batch in lists:
+        out = []
+        for contexts in batch:
+            best = ""
+            for context in contexts:
+                best = key_sentences([best, context], 3)
+            out.append(best)
+        yield pd.Series(out, dtype="object")
+
 
-    @F.pandas_udf("string")
-    def best(column):
-        return column.map(lambda text: key_sentences([text], 3))
+def answer(results: DataFrame, queries: DataFrame, steps: tuple[Step, ...] = DEFAULT_STEPS, budget: int = 4096, synthesise: Callable[[Column], Column] = refined_answer) -> DataFrame:
+    """query_id, response: contexts packed into the budget, answered from the first and refined with the others.
 
-    return queries.select("query_id").join(context.select("query_id", best("context").alias("response")), "query_id", "left")
+    ``synthesise`` takes a query's packs in order; the built-in one stands in for a language model.
+    """
+    kept = apply_steps(results, list(steps))
+    packed = compact(kept.select("query_id", "rank", "text"), budget)
+    lists = packed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pack", "context"))).alias("p"))
+    lists = lists.select("query_id", synthesise(F.transform("p", lambda x: x["context"])).alias("response"))
+    return queries.select("query_id").join(lists, "query_id", "left")
 
 
 def ask(nodes: DataFrame, embeddings: DataFrame, queries: DataFrame, embedder: Callable[[Column], Column] = hashed_embedding, steps: tuple[Step, ...] = DEFAULT_STEPS, threshold: float = 60.0) -> DataFrame:

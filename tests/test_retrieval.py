@@ -165,6 +165,10 @@ def test_span_trees(spark):
     spans = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "zz"), ("e", "c")], "span_id string, parent_id string")
     assert {r["span_id"]: r["depth"] for r in observe.with_depth(spans).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0, "e": 3}
     assert spark.range(1).select(observe.displayed_node(F.lit("n"), F.lit(0.5), F.lit(" t "))).first()[0] == "[n] 0.5000 t"
+    lines = spark.range(1).select(observe.displayed_nodes(F.array(F.struct(F.lit("a").alias("node_id"), F.lit(1.0).alias("score"), F.lit("x").alias("text")), F.struct(F.lit("b").alias("node_id"), F.lit(None).cast("double").alias("score"), F.lit("y").alias("text"))))).first()[0]
+    assert lines == "[a] 1.0000 x\n[b] - y"
+    staged = observe.by_stage(spark.createDataFrame([("RetrievalStart",), ("LLMChatEnd",), ("other",)], "event_type string")).collect()
+    assert [r["stage"] for r in staged] == ["retrieval", "llm", None]
 
 
 def test_tools_and_routes(spark):
@@ -177,6 +181,14 @@ def test_tools_and_routes(spark):
     assert [r["query_text"] for r in parts.orderBy("sub_id").collect()] == ["What is it?", "Who made it?"]
 
 
+def test_answers_are_refined_over_packs(spark):
+    results = spark.createDataFrame([(1, f"n{i}", 1.0, i, "q", t) for i, t in enumerate(["Alpha beta gamma. " * 3, "Delta epsilon zeta eta."])], LIST + ", rank int, query_text string, text string")
+    queries = spark.createDataFrame([(1,), (2,)], "query_id long")
+    got = {r["query_id"]: r["response"] for r in plans.answer(results, queries, steps=(), budget=60).collect()}
+    assert got[1].count(".") == 3
+    assert got[2] is None
+
+
 def test_ask_cites_only_what_sources_say(spark):
     docs = spark.createDataFrame([(1, "The heron nests in tall reeds near the lake. It eats fish."), (2, "Granite is an igneous rock. It cools slowly underground.")], "doc_id long, text string")
     nodes = plans.ingest(readers.text_elements(docs), adders=())
