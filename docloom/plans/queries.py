@@ -423,7 +423,7 @@ def citation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = passages.where(long).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, ANCHOR), " ")).alias("gram"))
     places = docs.select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), ANCHOR))).alias("gram"))
     pairs = places.join(named, "gram").select("doc_id", "item_id", "passage").distinct()
-    # Short passages have no inner words to go by; a passage's own first whole word is in the text, or it is one word.
+    # Passages of fewer words have no inner words to go by and are looked for in every text.
     short = passages.where(~long).select("item_id", "passage")
     near = pairs.unionByName(docs.select("doc_id").join(short))
     found = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
