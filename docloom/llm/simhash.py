@@ -221,7 +221,7 @@ def components(rows: DataFrame, radius: int = 4, id_col: str = "doc_id", fps_col
     roots = component_roots(near)
     placed = nodes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = materialise(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "least-ids")
     return placed.join(least, "root").select("fp", "root", "component_id")
 
 
