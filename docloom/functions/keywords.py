@@ -28,18 +28,18 @@ def _term_scores(sentence_words: list[list[str]]) -> dict[str, float]:
     capital: Counter[str] = Counter()
     acronym: Counter[str] = Counter()
     where: dict[str, list[int]] = defaultdict(list)
-    left: dict[str, Counter[str]] = defaultdict(Counter)
-    right: dict[str, Counter[str]] = defaultdict(Counter)
+    left: dict[str, list[str]] = defaultdict(list)
+    right: dict[str, list[str]] = defaultdict(list)
     for s, words in enumerate(sentence_words):
-        for i, word in enumerate(words):
-            term = word.lower()
-            count[term] += 1
+        low = [w.lower() for w in words]
+        count.update(low)
+        for term in low:
             where[term].append(s)
-            acronym[term] += len(word) > 1 and word.isupper()
-            capital[term] += i > 0 and word[:1].isupper()
-            if i:
-                left[term][words[i - 1].lower()] += 1
-                right[words[i - 1].lower()][term] += 1
+        for before, term in zip(low, low[1:]):
+            left[term].append(before)
+            right[before].append(term)
+        acronym.update(t for t, w in zip(low, words) if len(w) > 1 and w.isupper())
+        capital.update(t for t, w in zip(low[1:], words[1:]) if w[:1].isupper())
     content = [n for t, n in count.items() if t not in STOPWORDS]
     if not content:
         return {}
@@ -51,8 +51,10 @@ def _term_scores(sentence_words: list[list[str]]) -> dict[str, float]:
         places = where[term]  # in order
         position = math.log(math.log(3 + (places[n // 2] + places[(n - 1) // 2]) / 2) + 1)
         spread = len(set(where[term])) / len(sentence_words)
-        share = lambda side: len(side) / sum(side.values()) if side else 0.0
-        related = 1 + (share(left[term]) + share(right[term])) * n / most
+        related = 1.0
+        for side in (left.get(term), right.get(term)):
+            if side:
+                related += len(set(side)) / len(side) * n / most
         out[term] = related * position / (casing + n / usual / related + spread / related)
     return out
 
@@ -64,11 +66,16 @@ def keywords(text: str, top: int | None = TOP, longest: int = LONGEST) -> list[t
     found: Counter[str] = Counter()
     for words in spans:
         low = [w.lower() for w in words]
+        ends = [w not in STOPWORDS for w in low]
+        starts = [e and len(w) > 2 for e, w in zip(ends, low)]
+        number = [w.isdigit() for w in low]
         for i in range(len(low)):
-            for n in range(1, longest + 1):
-                gram = low[i : i + n]
-                if len(gram) == n and gram[0] not in STOPWORDS and gram[-1] not in STOPWORDS and not any(w.isdigit() for w in gram) and len(gram[0]) > 2:
-                    found[" ".join(gram)] += 1
+            if starts[i]:
+                for z in range(i + 1, min(i + longest, len(low)) + 1):
+                    if number[z - 1]:
+                        break
+                    if ends[z - 1]:
+                        found[" ".join(low[i:z])] += 1
     ranked = []
     for gram, n in found.items():
         parts = [scores[w] for w in gram.split() if w not in STOPWORDS]

@@ -52,7 +52,8 @@ def keyword_adder(top: int | None = 5, text_col: str = "text") -> Adder:
 
 def document_keywords(nodes: DataFrame) -> DataFrame:
     """The distinct keywords of all nodes of a document, sorted; empty ones are left out."""
-    each = nodes.select("doc_id", F.explode("keywords").alias("k")).where(F.col("k") != "")
+    # The outer form: for the inner one the optimizer would compute the keywords twice, once to filter on their number.
+    each = nodes.select("doc_id", F.explode_outer("keywords").alias("k")).where(F.col("k") != "")
     return each.groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("keywords"))
 
 

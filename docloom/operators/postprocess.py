@@ -32,7 +32,7 @@ def rerank(results: DataFrame, top_n: int = 3, scorer: Callable[[Column, Column]
 
 def prune_sentences(results: DataFrame, keep: float = 0.2, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
     """Texts cut down to the share of sentences that are most like the query, at least one, in their order."""
-    each = results.select("query_id", "node_id", "query_text", F.posexplode(sentences("text")).alias("n", "s"))
+    each = results.select("query_id", "node_id", "query_text", F.posexplode_outer(sentences("text")).alias("n", "s")).where(F.col("s").isNotNull())
     each = each.withColumn("likeness", scorer(F.col("query_text"), F.col("s.text")))
     group = Window.partitionBy("query_id", "node_id")
     each = each.withColumn("at", F.row_number().over(group.orderBy(F.desc("likeness"), "n"))).withColumn("all", F.count("*").over(group))

@@ -40,7 +40,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences(text_col)).alias("n", "s"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(sentences(text_col)).alias("n", "s")).where(F.col("s").isNotNull())
     return rows.select("doc_id", "n", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
 
 

@@ -9,7 +9,7 @@ from docloom import schemas as S
 from docloom.functions import text as tx
 from docloom.operators import boilerplate, cite, combine, enrich, fusion, observe, postprocess, retrieval, split, structure
 from docloom.plans import documents as plans
-from docloom.session import materialise
+from docloom.session import materialise, spread
 from docloom.sources import readers
 
 QUERIES: dict = {}
@@ -27,7 +27,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,15 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer tasks than there are cores, dealt out to all of them; any other scan as it is.
+
+    A small file of one row group is read by one task, and so would be all that is done to its rows before a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's code to the executors, once per application."""
     app = spark.sparkContext.applicationId
