@@ -119,3 +119,22 @@ def test_query_counts(spark, small_tables):
         c = brute_counts(docs[r["doc_id"]])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == c
         assert r["base_failed"] == (c[0] < 10 or 100 * c[4] > 20 * c[0])
+
+
+def test_few_symbols_are_told_from_none(spark):
+    """A symbol every fourth word, about 4 %: under the step of a tenth that the forest once saw."""
+    draw = random.Random(5)
+    words = [f"word{i}" for i in range(500)]
+    rows = [(i, " ".join(draw.choice(words) + ("|" if i % 10 == 0 and j % 4 == 0 else "") for j in range(60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(400)], "doc_id long, quality int")
+    assert all(r["kept"] == (r["doc_id"] % 10 > 0) for r in quality.judge(docs, labels).collect())
+
+
+def test_the_forest_sees_every_statistic():
+    plain = np.array([[100, 520, 0, 0, 0, 10, 5, 0]])
+    usual = quality.rates(plain)
+    for at, value in (("n_symbols", 3), ("n_capitals", 300), ("n_marks", 90), ("n_dup_lines", 6), ("n_repeat_words", 20), ("word_chars", 2000)):
+        odd = plain.copy()
+        odd[0, quality.COUNTS.index(at)] = value
+        assert (quality.rates(odd) != usual).any(), at
