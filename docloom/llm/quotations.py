@@ -3,8 +3,10 @@
 A line that starts with ``>`` marks (blanks between them allowed) is quoted, at the level of their number. Runs of
 lines of one level are passages; normalised (lower case, single spaces) they are named by their hash. A message's own
 text is its unquoted lines; its units are that text, its paragraphs, and its lines. Inside a conversation a passage
-belongs to the earliest message that has a unit of that hash, if that is earlier than the quoting one. A message
-replies to the original of its first resolved passage of the lowest level. Threads follow from replies by pointer
+belongs to the earliest message that has a unit of that hash, if that is earlier than the quoting one. A trimmed
+passage, which as a whole is no unit, is taken apart: into its paragraphs, and if none of them has an original, into
+its lines. Each part belongs to a message as a whole passage does, and the passage to the one with most of its parts,
+of several such to the one with the first of them. OP6_SQL knows whole passages only. A message replies to the original of its first resolved passage of the lowest level. Threads follow from replies by pointer
 doubling, and a conversation's order is by thread (of the earliest root first) and then by turn, so that every
 message comes after the one to which it replies. Texts come out without their quotes.
 
@@ -65,17 +67,31 @@ def units(own: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.transform(parts, normalised), lambda x: x != ""), F.md5))
 
 
+def parts(text: Column) -> Column:
+    """(kind, hash) of a passage's parts in order: 0 the whole, 1 its paragraphs, 2 its lines."""
+
+    def named(kind: int, found: Column) -> Column:
+        return F.transform(F.filter(F.transform(found, normalised), lambda x: x != ""), lambda x: F.struct(F.lit(kind).alias("kind"), F.md5(x).alias("hash")))
+
+    return F.concat(named(0, F.array(text)), named(1, F.split(text, r"\n[ \t\r]*\n")), named(2, F.split(text, "\n")))
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """conv, turn, passage, level, hash, original: every quoted passage, with the turn of its original or null."""
+    """conv, turn, passage, level, hash, original: every different quoted passage, with the turn of its original or null."""
     lines = lines_of(quoted(text_col))
     parsed = messages.select(quoted(conv_col).alias("conv"), quoted(turn_col).alias("turn"), lines.alias("lines"))
     quotes = parsed.where(F.exists("lines", lambda x: x.level > 0)).select("conv", "turn", F.posexplode(passages(F.col("lines"))).alias("passage", "p"))
-    quotes = materialise(quotes.select("conv", "turn", "passage", F.col("p.level").alias("level"), F.md5(normalised(F.col("p.text"))).alias("hash")), "quotes")
-    wanted = materialise(quotes.select("conv", "hash").distinct(), "wanted")
+    named = quotes.select("conv", "turn", "passage", F.col("p.level").alias("level"), parts(F.col("p.text")).alias("parts"))
+    named = named.select("conv", "turn", "passage", "level", F.element_at("parts", 1).getField("hash").alias("hash"), F.posexplode("parts").alias("at", "part"))
+    quotes = materialise(named.select("conv", "turn", "passage", "level", "hash", "at", F.col("part.kind").alias("kind"), F.col("part.hash").alias("part")), "quotes")
+    wanted = materialise(quotes.select("conv", F.col("part").alias("hash")).distinct(), "wanted")
     had = parsed.select("conv", "turn", F.explode(units(own_text(F.col("lines")))).alias("hash")).join(wanted, ["conv", "hash"], "left_semi")
-    originals = materialise(had.groupBy("conv", "hash").agg(F.min("turn").alias("first_turn")), "originals")
-    linked = quotes.join(originals, ["conv", "hash"], "left")
-    return linked.select("conv", "turn", "passage", "level", "hash", F.when(F.col("first_turn") < F.col("turn"), F.col("first_turn")).alias("original"))
+    originals = materialise(had.groupBy("conv", F.col("hash").alias("part")).agg(F.min("turn").alias("first_turn")), "originals")
+    linked = quotes.join(originals, ["conv", "part"], "left").withColumn("original", F.when(F.col("first_turn") < F.col("turn"), F.col("first_turn")))
+    passage = ["conv", "turn", "passage", "level", "hash"]
+    found = linked.groupBy(*passage, "kind", "original").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    best = F.min(F.when(F.col("original").isNotNull(), F.struct("kind", (-F.col("n")).alias("n"), "at", "original"))).getField("original")
+    return found.groupBy(*passage).agg(best.alias("original"))
 
 
 def threads(replies: DataFrame) -> DataFrame:

@@ -69,3 +69,21 @@ def test_a_long_chain_and_a_large_conversation(spark):
 
 def test_empty_table(spark):
     assert qt.reply_order(frame(spark).limit(0)).collect() == []
+
+
+def test_trimmed_quotes(spark):
+    """Two of three lines of a paragraph, two of three paragraphs, one line of two, and parts of two messages."""
+    rows = [
+        (1, 0, "user", "thanks"),
+        (1, 1, "user", "one\ntwo\nthree\n\nfour\n\nfive\nsix"),
+        (1, 2, "user", "> two\n> three\nyes"),
+        (1, 3, "user", "> one\n> two\n> three\n>\n> Four\nno"),
+        (1, 4, "user", "> five\n> changed\nwhy"),
+        (1, 5, "user", "> thanks\n> five\n> six\nagain"),
+        (1, 6, "user", "> thanks\n> yes\nfirst of two"),
+        (1, 7, "user", "> later\n> never\nlost"),
+        (1, 8, "user", "later"),
+    ]
+    got = {r["turn"]: r for r in qt.reply_order(frame(spark, rows)).collect()}
+    assert {t: r["reply_to"] for t, r in got.items()} == {0: None, 1: None, 2: 1, 3: 1, 4: 1, 5: 1, 6: 0, 7: None, 8: None}
+    assert all((got[t]["n_quotes"], got[t]["n_linked"]) == (1, 1) for t in range(2, 7)) and got[3]["own_text"] == "no"
