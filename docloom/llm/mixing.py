@@ -1,17 +1,25 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 The mix is measured in words. Sources get weights by their order, and share a multiple of all words by weight; no
-source gets more than ``most`` times its own words, and what it can't take is shared among the others. A source that
-shall have r times its words takes every document floor(r) whole times. For the rest each document has the inclusion
-probability p = r - floor(r); documents are ranked by their random odds over their inclusion odds,
-(u / (1 - u)) / (p / (1 - p)), and the first ones are taken again, as many as fit the source's remaining words. The
-gap that whole documents leave is then narrowed by at most ``SWAPS`` documents of a source: of those that bring the
-words nearer to the target the best one is added, or left out again where the words are too many.
-
-Within a source p is one number, so the order by odds is the order by u, a hash of id and text: the cut is one value
-of u per source. It is found from word sums in 256 equal steps of u per source (summed before the shuffle), then in
-256 steps inside the step with the cut, then among that step's rows, so no task ever holds a source. A row's copies follow from its own u and its source's plan
-alone, which makes reruns agree and lets the plan be applied where the texts are.
+source gets more than ``most`` times its own words, and what it can't take is shared among the others.
+
+Inside a source documents have unequal propensities: the number of binary digits of a document's words, so that one of
+a thousand words has ten times the propensity of a single word. A document's expected copies are its propensity times
+the source's level, ``most`` at the highest; the level is the one at which the expected words are the target. As the
+propensity depends on the digits alone, it is solved from one word sum per source and number of digits (a band).
+
+A document is allocated the whole part of its expected copies for certain; the rest is its inclusion probability p. For
+the remaining words, documents are ranked by their random odds over their inclusion odds, (u / (1 - u)) / (p / (1 - p)),
+u being a hash of id and text, and taken in this order: each that fits into the words that are left is taken once
+more, each that doesn't is passed over. So the words taken miss the target by less than the smallest document passed
+over, even where a very long one stands at the cut. Documents before the first one passed over, which are nearly all,
+are a Pareto sample of fixed size in words.
+
+The order is walked in rounds: a round takes the documents up to the first one that doesn't fit, found from word sums in
+65,536 equal steps of the rank per source (summed before the shuffle), then among that step's rows, so no task ever
+holds a source. The next round goes on behind it, with the documents that are no longer than what is left. A round is
+kept as an interval of ranks and a longest size, and a row's copies follow from its own rank, its band and its
+source's rounds alone, which makes reruns agree and lets the plan be applied where the texts are.
 
 Defined results: a null text has no words and nothing is taken of it; null sources are one source, the last; null ids
 are hashed as empty; repeated rows (same id and text) are taken or left together; sources without words have target
@@ -27,10 +35,8 @@ from docloom.llm.arrow import quoted
 from docloom.session import materialise
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Random numbers have 52 bits; the upper 8 name a step, the upper 16 a step inside it.
-DRAW_BITS, STEP_SHIFTS = 52, (44, 36)
-#: After the cut so many documents of a source may change sides.
-SWAPS = 4
+#: Random numbers and ranks have 52 bits; the upper 16 name a rank's step.
+DRAW_BITS, STEP_SHIFT = 52, 36
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,12 +44,24 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digits_of(size: Column) -> Column:
+    """A document's propensity: the binary digits of its words."""
+    return F.length(F.bin(size))
+
+
 def draw_of(row_id: Column, text: Column) -> Column:
     """A number of 52 bits that depends on id and text alone."""
     named = F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(F.md5(named), 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
+def rank_of(draw: Column, inclusion: Column) -> Column:
+    """The order of Pareto sampling: random odds over inclusion odds, x, as the 52 bits of x / (1 + x)."""
+    u = (draw + F.lit(0.5)) / F.lit(float(2**DRAW_BITS))
+    x = (u / (1 - u)) / F.nullif(inclusion / (1 - inclusion), F.lit(0.0))
+    return F.floor(x / (1 + x) * float(2**DRAW_BITS)).cast("long")
+
+
 def _keyed(source: Column) -> list[Column]:
     """A source as two columns without nulls."""
     return [source.isNull().alias("no_source"), F.coalesce(source.cast("string"), F.lit("")).alias("source_key")]
@@ -69,52 +87,73 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return out.withColumn("target", F.least("cap", F.coalesce(level, F.col("fills_at")) * F.col("weight"))).select(*KEY, "source_size", "weight", "target")
 
 
-def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """From rows (KEY, size, draw): per source its target, whole copies, inclusion probability and cut of the draws.
+def allocation(bands: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
+    """From (KEY, digits, words) and targets: per band ``whole``, the certain copies, and ``inclusion``, the probability of one more.
 
-    A row is taken ``whole`` times, and once more if either ``draw <= last_draw`` or its draw is among ``swapped``.
+    Long documents reach ``most`` copies first. If the bands above this one are full, ``level`` is what the others get
+    for each digit: right for the first band that isn't full.
+    """
+    down = Window.partitionBy(*KEY).orderBy(F.desc("digits"))
+    above, upwards = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(0, Window.unboundedFollowing)
+    out = bands.join(sources.select(*KEY, "target"), KEY)
+    open_words = F.sum(F.col("words") * F.col("digits")).over(upwards)
+    level = (F.col("target") - float(most) * F.coalesce(F.sum("words").over(above), F.lit(0))) / F.nullif(open_words, F.lit(0))
+    out = out.withColumn("level", level)
+    right = F.max(F.when(F.col("level") * F.col("digits") <= float(most), F.struct("digits", "level"))).over(Window.partitionBy(*KEY)).getField("level")
+    expected = F.least(F.lit(float(most)), F.coalesce(right * F.col("digits"), F.lit(float(most))))
+    out = out.withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
+    return out.select(*KEY, "digits", "words", "whole", (F.col("expected") - F.col("whole")).alias("inclusion"))
+
+
+def _first_misfit(rows: DataFrame, open_sources: DataFrame) -> DataFrame:
+    """Of open sources (KEY, low, limit) the next round: also ``high``, the last rank taken, ``stop``, the rank that doesn't fit or null, and ``left``.
+
+    ``rows`` has KEY, rank and size; those above ``low`` and no longer than ``limit`` are walked.
     """
-    sizes = rows.groupBy(*KEY).agg(F.sum("size").alias("source_size"))
-    sources = targets(materialise(sizes, "source-sizes"), weights, share, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    sources = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = materialise(sources.withColumn("inclusion", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)), "targets")
-
-    reach = sources.select(*KEY, "rest", F.lit(0).cast("long").alias("before"))
-    for level, shift in enumerate(STEP_SHIFTS):
-        # ``reach`` has each source's step with the cut, and the words before it.
-        step = F.shiftright("draw", shift).alias("step")
-        inside = rows if level == 0 else rows.withColumn("wide", F.shiftright("draw", STEP_SHIFTS[level - 1])).join(reach.select(*KEY, F.col("step").alias("wide")), [*KEY, "wide"])
-        steps = inside.groupBy(*KEY, step).agg(F.sum("size").alias("words"))
-        running = steps.join(reach.select(*KEY, "rest", "before"), KEY).withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy(*KEY).orderBy("step")))
-        last = running.where("upto > rest").groupBy(*KEY).agg(F.min(F.struct("step", "upto", "words", "rest")).alias("s"))
-        reach = materialise(last.select(*KEY, F.col("s.step").alias("step"), (F.col("s.upto") - F.col("s.words")).alias("before"), F.col("s.rest").alias("rest")), "cut-steps")
-
-    inside = rows.withColumn("step", F.shiftright("draw", STEP_SHIFTS[-1])).join(reach, [*KEY, "step"])
-    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy(*KEY).orderBy("draw")))
-    fits = inside.where("upto <= rest").groupBy(*KEY).agg(F.max("draw").alias("draw"), F.max("upto").alias("upto"))
-    cut = reach.join(fits, KEY, "left").select(
-        *KEY,
-        F.coalesce("draw", F.shiftleft("step", STEP_SHIFTS[-1]) - 1).alias("last_draw"),
-        (F.col("rest") - F.coalesce("upto", "before")).alias("gap"),
+    walked = rows.join(open_sources, KEY).where((F.col("rank") > F.col("low")) & (F.col("size") <= F.col("limit")))
+    step = F.shiftright("rank", STEP_SHIFT)
+    sums = walked.groupBy(*KEY, step.alias("step")).agg(F.sum("size").alias("words"), F.max("limit").alias("limit"), F.max("rank").alias("last"))
+    upto = F.sum("words").over(Window.partitionBy(*KEY).orderBy("step"))
+    sums = sums.withColumn("upto", upto)
+    fits = F.col("upto") <= F.col("limit")
+    reach = sums.groupBy(*KEY).agg(
+        F.min(F.when(~fits, F.struct("step", (F.col("upto") - F.col("words")).alias("before")))).alias("cut"),
+        F.max(F.when(fits, F.struct("step", "last", "upto"))).alias("whole"),
     )
-    cut = materialise(cut.withColumn("swapped", F.array().cast("array<bigint>")), "cuts")
-    for _ in range(SWAPS):
-        taken = F.col("draw") <= F.col("last_draw")
-        fresh = ~F.array_contains("swapped", F.col("draw"))
-        off = F.abs(F.abs("gap") - F.col("size"))
-        helps = fresh & (off < F.abs("gap")) & (((F.col("gap") > 0) & ~taken) | ((F.col("gap") < 0) & taken))
-        best = rows.join(cut, KEY).where(helps).groupBy(*KEY).agg(F.min(F.struct(off.alias("off"), F.col("draw").alias("draw"), F.col("size").alias("size"))).alias("b"))
-        best = materialise(best.select(*KEY, F.col("b.draw").alias("draw"), F.col("b.size").alias("size")), "swaps")
-        if not best.limit(1).count():
-            break
-        moved = cut.join(best, KEY, "left")
-        swapped = F.when(F.col("draw").isNull(), F.col("swapped")).otherwise(F.concat("swapped", F.array("draw")))
-        gap = F.col("gap") - F.signum("gap") * F.coalesce("size", F.lit(0))
-        cut = materialise(moved.select(*KEY, "last_draw", gap.alias("gap"), swapped.alias("swapped")), "cuts")
-    out = sources.join(cut, KEY, "left")
-    none = F.array().cast("array<bigint>")
-    return materialise(out.select(*KEY, "source_size", "weight", "target", "whole", "inclusion", F.coalesce("last_draw", F.lit(-1).cast("long")).alias("last_draw"), F.coalesce("swapped", none).alias("swapped")), "mix-plan")
+    reach = materialise(reach.select(*KEY, "cut.step", "cut.before", "whole.last", F.coalesce("whole.upto", F.lit(0)).alias("held")), "cut-steps")
+    inside = walked.withColumn("step", step).join(reach.where(F.col("step").isNotNull()).select(*KEY, "step", "before"), [*KEY, "step"])
+    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy(*KEY).orderBy("rank")))
+    ends = inside.groupBy(*KEY).agg(F.min(F.when(F.col("upto") > F.col("limit"), F.col("rank"))).alias("stop"), F.max(F.when(F.col("upto") <= F.col("limit"), F.struct("rank", "upto"))).alias("fit"))
+    found = open_sources.join(reach, KEY).join(ends, KEY, "left")
+    return found.select(*KEY, "low", "limit", F.coalesce("fit.rank", "last", "low").alias("high"), "stop", (F.col("limit") - F.coalesce("fit.upto", "held")).alias("left"))
+
+
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """From rows (KEY, size, draw): per source and digits its sizes, target, ``whole`` copies, ``inclusion`` and ``rounds``.
+
+    A row is taken ``whole`` times, and once more if one of the rounds (low, high, limit) has its rank and size.
+    """
+    bands = materialise(rows.groupBy(*KEY, digits_of(F.col("size")).alias("digits")).agg(F.sum("size").alias("words")), "bands")
+    sources = materialise(targets(bands.groupBy(*KEY).agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
+    allocated = materialise(allocation(bands, sources, most), "allocation")
+
+    certain = allocated.groupBy(*KEY).agg(F.sum(F.col("whole") * F.col("words")).alias("certain"))
+    ranked = rows.where("size > 0").withColumn("digits", digits_of(F.col("size"))).join(allocated.where("inclusion > 0").select(*KEY, "digits", "inclusion"), [*KEY, "digits"])
+    ranked = materialise(ranked.select(*KEY, "size", rank_of(F.col("draw"), F.col("inclusion")).alias("rank")), "ranks")
+    start = sources.join(certain, KEY).select(*KEY, F.lit(-1).cast("long").alias("low"), F.floor(F.col("target") - F.col("certain")).cast("long").alias("limit"))
+    waiting = materialise(start.where("limit > 0"), "rounds")
+    done = None
+    while waiting.limit(1).count():
+        made = materialise(_first_misfit(ranked, waiting), "rounds")
+        taken = made.where("high > low").select(*KEY, F.struct("low", "high", "limit").alias("round"))
+        done = taken if done is None else done.union(taken)
+        waiting = made.where(F.col("stop").isNotNull() & (F.col("left") > 0)).select(*KEY, F.col("stop").alias("low"), F.col("left").alias("limit"))
+    out = allocated.drop("words").join(sources, KEY)
+    none = F.array().cast("array<struct<low: bigint, high: bigint, limit: bigint>>")
+    if done is None:
+        return materialise(out.withColumn("rounds", none), "mix-plan")
+    rounds = done.groupBy(*KEY).agg(F.collect_list("round").alias("rounds"))
+    return materialise(out.join(rounds, KEY, "left").withColumn("rounds", F.coalesce("rounds", none)), "mix-plan")
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
@@ -122,15 +161,17 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> l
 
 
 def copies() -> Column:
-    again = (F.col("draw") <= F.col("last_draw")) != F.array_contains("swapped", F.col("draw"))
-    return F.col("whole") + again.cast("long")
+    rank = rank_of(F.col("draw"), F.col("inclusion"))
+    again = F.exists("rounds", lambda r: (rank > r.low) & (rank <= r.high) & (F.col("size") <= r.limit))
+    return F.col("whole") + F.when((F.col("inclusion") > 0) & (F.col("size") > 0), again.cast("long")).otherwise(0)
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``id_col``, ``source_col``, size, source_size, target, inclusion, copies and taken of every row."""
     rows = materialise(docs.select(quoted(id_col).alias("id"), quoted(source_col).alias("src"), *_measured(docs, id_col, text_col, source_col)), "mix-rows")
-    made = rows.join(plan(rows, weights, share, most), KEY)
-    return made.select(F.col("id").alias(id_col), F.col("src").alias(source_col), "size", "source_size", "target", "inclusion", copies().alias("copies"), (F.col("size") * copies()).alias("taken"))
+    made = rows.withColumn("digits", digits_of(F.col("size"))).join(plan(rows, weights, share, most), [*KEY, "digits"])
+    made = made.withColumn("copies", copies())
+    return made.select(F.col("id").alias(id_col), F.col("src").alias(source_col), "size", "source_size", "target", "inclusion", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -139,11 +180,11 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inner = [f"c{i}" for i in range(len(docs.columns))]
     where = dict(zip(docs.columns, inner))
     wide = docs.toDF(*inner)
-    wide = wide.select(*inner, *_measured(wide, where[id_col], where[text_col], where[source_col])).drop("size")
-    made = wide.join(plan(rows, weights, share, most), KEY)
+    wide = wide.select(*inner, *_measured(wide, where[id_col], where[text_col], where[source_col])).withColumn("digits", digits_of(F.col("size")))
+    made = wide.join(plan(rows, weights, share, most), [*KEY, "digits"]).withColumn("copies", copies())
     # A document without words has nothing that could be taken.
-    kept = made.where(F.col(where[text_col]).rlike(WORD) & (copies() > 0))
-    return kept.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), copies()))).select(*inner).toDF(*docs.columns)
+    kept = made.where((F.col("size") > 0) & (F.col("copies") > 0))
+    return kept.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*inner).toDF(*docs.columns)
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,16 +193,8 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "inclusion")
 
 
-_SWAP = """
-swap{n} AS (
-  SELECT source, arg_min({{draw: draw, size: size}}, {{off: abs(abs(gap) - size), draw: draw}}) AS b
-  FROM state{m} WHERE NOT list_contains(swapped, draw) AND abs(abs(gap) - size) < abs(gap) AND ((gap > 0 AND NOT taken) OR (gap < 0 AND taken)) GROUP BY source),
-state{n} AS (
-  SELECT s.* REPLACE (CASE WHEN b IS NULL THEN swapped ELSE list_append(swapped, b.draw) END AS swapped, gap - sign(gap) * coalesce(b.size, 0) AS gap)
-  FROM state{m} s LEFT JOIN swap{n} w ON s.source IS NOT DISTINCT FROM w.source),"""
-
 OP10_SQL = r"""
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS draw
   FROM documents),
@@ -176,17 +209,27 @@ filled AS (
   WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 target AS (
   SELECT source, source_size, least(cap, (SELECT arg_min(level, pos) FROM filled WHERE level <= fills_at) * weight) AS target FROM filled),
-planned AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM target),
-remaining AS (
-  SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0e0 END AS inclusion FROM planned),
-running AS (
-  SELECT d.*, p.* EXCLUDE (source), sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS upto
-  FROM docs d JOIN remaining p ON d.source IS NOT DISTINCT FROM p.source),
-gaps AS (SELECT source, any_value(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM running GROUP BY source),
-state0 AS (
-  SELECT r.*, r.upto <= r.rest AS taken, g.gap, []::BIGINT[] AS swapped FROM running r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source),
-""" + "".join(_SWAP.format(n=n, m=n - 1) for n in range(1, SWAPS + 1)) + f"""
-final AS (FROM state{SWAPS})
-SELECT doc_id, size, source_size, target, inclusion, size * (whole + (taken <> list_contains(swapped, draw))::BIGINT) AS taken FROM final
+bands AS (SELECT source, length(bin(size)) AS digits, sum(size)::BIGINT AS words FROM docs GROUP BY ALL),
+levels AS (
+  SELECT b.*, t.target, t.source_size,
+         (t.target - 2e0 * coalesce(sum(b.words) OVER (PARTITION BY b.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / nullif((sum(b.words * digits) OVER (PARTITION BY b.source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE, 0) AS level
+  FROM bands b JOIN target t ON b.source IS NOT DISTINCT FROM t.source),
+expecting AS (
+  SELECT *, least(2e0, coalesce((arg_max(level, digits) FILTER (level * digits <= 2e0) OVER (PARTITION BY source)) * digits, 2e0)) AS expected FROM levels),
+allocated AS (SELECT *, floor(expected)::BIGINT AS whole, expected - floor(expected) AS inclusion FROM expecting),
+budget AS (SELECT source, floor(any_value(target) - sum(whole * words)::DOUBLE)::BIGINT AS words_left FROM allocated GROUP BY source),
+odds AS (
+  SELECT d.doc_id, d.source, d.size, a.source_size, a.target, a.whole, a.inclusion,
+         CASE WHEN a.inclusion > 0 AND d.size > 0 THEN (((draw + 0.5e0) / 4503599627370496e0) / (1 - (draw + 0.5e0) / 4503599627370496e0)) / (a.inclusion / (1 - a.inclusion)) END AS x
+  FROM docs d JOIN allocated a ON d.source IS NOT DISTINCT FROM a.source AND length(bin(d.size)) = a.digits),
+ranked AS (SELECT *, floor(x / (1 + x) * 4503599627370496e0)::BIGINT AS rnk FROM odds),
+ties AS (SELECT source, rnk, sum(size)::BIGINT AS words FROM ranked WHERE rnk IS NOT NULL GROUP BY source, rnk),
+walk AS (
+  SELECT source, -1::BIGINT AS rnk, words_left FROM budget
+  UNION ALL
+  SELECT w.source, n.rnk, w.words_left - n.words
+  FROM walk w JOIN LATERAL (SELECT rnk, words FROM ties t WHERE t.source IS NOT DISTINCT FROM w.source AND t.rnk > w.rnk AND t.words <= w.words_left ORDER BY rnk LIMIT 1) n ON true)
+SELECT doc_id, size, source_size, target, inclusion, size * (whole + (w.rnk IS NOT NULL)::BIGINT) AS taken
+FROM ranked r LEFT JOIN walk w ON r.source IS NOT DISTINCT FROM w.source AND r.rnk = w.rnk
 """

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import duckdb
@@ -63,6 +64,55 @@ def test_inclusion_follows_the_source(spark):
     assert {r["source"]: (r["t"], r["w"]) for r in got} == {"a": (40000.0, 40000), "b": (20000.0, 20000)}
 
 
+def test_pareto_sample_by_brute_force(spark):
+    """Whole copies, inclusion odds and the walk down the ranks, by hand."""
+    docs = documents(spark, 1500)
+    got = mixing.mixture(docs).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for s in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == s]
+        target = own[0]["target"]
+        low, high = 0.0, 1e9  # the level, by halving
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(r["size"] * min(2.0, mid * len(f"{r['size']:b}")) for r in own) < target else (low, mid)
+        left, order = target, []
+        for r in own:
+            expected = min(2.0, low * len(f"{r['size']:b}"))
+            whole = int(expected + 1e-9)
+            assert r["copies"] in (whole, whole + 1)
+            assert r["inclusion"] == pytest.approx(max(0.0, expected - whole), abs=1e-6)
+            left -= whole * r["size"]
+            digest = hashlib.md5((f"{r['doc_id']}:" + hashlib.md5((texts[r["doc_id"]] or "").encode()).hexdigest()).encode()).hexdigest()
+            u = (int(digest[:13], 16) + 0.5) / 2**52
+            if r["inclusion"] > 1e-9 and r["size"]:
+                order.append((u / (1 - u) / (r["inclusion"] / (1 - r["inclusion"])), r))
+        left = int(left + 1e-6)
+        for _, r in sorted(order, key=lambda x: x[0]):
+            fits = r["size"] <= left
+            left -= r["size"] * fits
+            whole = int(min(2.0, low * len(f"{r['size']:b}")) + 1e-9)
+            assert r["copies"] == whole + fits, r
+
+
+def test_a_long_document_at_the_cut_is_passed_over(spark):
+    """One document has a third of a source's words; whichever way its draw falls, the target is met."""
+    for seed in range(6):
+        rows = [(seed * 10000 + i, "w " * (20000 if i == 0 else 50 + i % 90), s) for s in ("a", "b", "c") for i in range(400)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        for r in mixing.mixture(docs).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("w")).collect():
+            assert 0 <= r["t"] - r["w"] <= 50
+
+
+def test_longer_documents_have_higher_odds(spark):
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', case when id % 2 = 0 then 1 else 15 end)").alias("text"), F.when(F.col("id") < 4000, "a").otherwise("b").alias("source"))
+    got = mixing.mixture(docs, weights=(1, 9), share=0.5).where("source = 'a'").groupBy("size").agg(F.first("inclusion").alias("p"), F.avg("copies").alias("n")).collect()
+    odds = {r["size"]: r for r in got}
+    assert 0 < odds[1]["p"] * 3.9 < odds[15]["p"] <= 1
+    for r in got:
+        assert r["n"] == pytest.approx(r["p"], abs=0.03)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, "a")], [(None, "x y z", None)] * 3, [(1, "x", "a"), (1, "x", "a"), (2, "y " * 50000, "a")]])
 def test_odd_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
