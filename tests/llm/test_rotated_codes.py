@@ -50,9 +50,14 @@ def test_estimates_are_close_and_bounds_hold(spark):
     index, about = rc.build_index(frame(spark, x))
     batch = index.toArrow().combine_chunks().to_batches()[0]
     block = rc.Block(np.arange(50), x[:50].astype(np.float64), about)
-    estimate, lower = block.squares(batch, rc.CERTAINTY)
-    true = ((x[:50, None, :].astype(float) - rc.matrix(batch.column(1), 64)[None]) ** 2).sum(axis=2)
+    batch = batch.select(["id", "bits", "radius", "fit", "vector"])
+    _, bits, radius, fit = rc._codes(batch)
+    estimate, lower = block.squares(bits, radius, fit, rc.CERTAINTY)
+    true = ((x[:50, None, :].astype(float) - rc.matrix(batch.column(4), 64)[None]) ** 2).sum(axis=2)
     assert np.mean(lower <= true + 1e-6) > 0.999
+    signs = np.unpackbits(bits.view(np.uint8), axis=1, count=block.wide) * 2.0 - 1
+    turned = (x[:50] - about["centre"]) @ about["turn"]
+    assert np.abs(block.inner(bits) - turned @ signs.T).max() <= block.step.max() * block.wide / 4
     off = (estimate - true)[true > 1] / true[true > 1]
     assert abs(np.mean(off)) < 0.02
 
@@ -71,6 +76,24 @@ def test_empty_tables(spark):
         assert rc.search(index, about, index).collect() == []
 
 
+def test_few_vectors_are_reranked(spark):
+    """At the supplied table: under a tenth of all vectors a query, and no neighbour is lost."""
+    index, about = rc.build_index(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    rows = rc.search(index, about, index.where(F.col("id") % 100 == 0), reranked=True).select("query_id", "tried").distinct().collect()
+    assert len(rows) == 20 and sum(r["tried"] for r in rows) < 0.1 * 20 * 2000
+
+
+def test_dimensions_that_fill_no_word(spark):
+    for dim in (1, 3, 70):
+        x = np.random.default_rng(dim).standard_normal((300, dim)).astype(np.float32)
+        index, about = rc.build_index(frame(spark, x), bits=100)
+        truth = brute(list(range(300)), x.astype(np.float64), range(0, 300, 100), 10)
+        got = {}
+        for r in rc.search(index, about, index.where(F.col("id") % 100 == 0)).collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert sum(len(set(got[q]) & {i for _, i in truth[q]}) for q in truth) >= 29
+
+
 def test_recall_on_the_supplied_table(spark):
     path = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{path}/embeddings.parquet").collect()
