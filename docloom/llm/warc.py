@@ -1,35 +1,47 @@
 """WARC archives without repeated payloads.
 
 Headers alone (id, digest, size, address) are shuffled by payload digest to find each payload's original, the record
-with the largest id; the others become revisit records that name it. Records get fresh headers and are written by
-Spark's text sink, one gzip file per task and at most ``FILE_ROWS`` records a file, so output goes wherever Spark can
-write, and a lost executor's file is written again. Reading takes whole files, follows each record's Content-Length,
-recomputes size and digest from the payload, and joins revisits to their responses by record id.
+with the largest id; the others become revisit records that name it. Records get fresh headers, with the time of
+writing unless told otherwise, and are written by Spark's text sink, so output goes wherever Spark can write, and a lost
+executor's file is written again.
+
+Archives are bounded by bytes: payloads are written by classes of size, each with so many records a file that their
+payloads stay below ``FILE_BYTES``, or one record a file if it is longer by itself. Spark's sink compresses a file as
+one gzip member. Reading unpacks an archive piece by piece, follows each record's Content-Length, recomputes size and
+digest from the payload, and joins revisits to their responses by record id: a task holds a compressed archive, one
+record, and a batch of about ``BATCH_BYTES`` of records. Archives of a gzip member a record are read likewise.
 
 Payloads are text columns written as UTF-8. Only revisit decisions are joined to the payloads' rows; where they are
 few Spark broadcasts them by its size check, and payloads stay where they are.
 
 Defined results: a null payload is the empty one; a null or empty address leaves its header out, and line breaks in
 an address are percent-encoded; payloads shorter than ``least_bytes`` are all responses; null ids count as the
-smallest and stay null; rows that repeat both id and payload of an original are all responses; an empty table writes
-no record and reads as empty.
+smallest and stay null; of rows that repeat both id and payload of an original one is the response and the others
+revisit it, so that each payload is written once; an empty table writes no record and reads as empty. Other columns
+aren't read, so they can't clash.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.arrow import quoted
-from docloom.session import materialise, new_path
-
-FILE_ROWS = 4096
+from docloom.session import materialise, new_path, ship_package
+
+#: Payload bytes of an archive at most, unless one payload is longer; records of an archive at most.
+FILE_BYTES, FILE_ROWS = 32 << 20, 4096
+#: Classes of payloads by size: up to so many bytes each, and the rest.
+CLASSES = (FILE_BYTES // FILE_ROWS, FILE_BYTES // 128, FILE_BYTES // 4)
+#: Records are handed on in batches of about so many payload bytes; archives are unpacked in pieces of so many.
+BATCH_BYTES, PIECE = 4 << 20, 1 << 18
 END = "\r\n"
 #: Names and forms of the WARC 1.1 standard, and the alphabet of base 32.
 VERSION = "WARC/1.1"
@@ -37,8 +49,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Extension field that carries a row's own id through an archive.
 ID_FIELD = "X-Row-ID"
-#: Records say this date unless told otherwise, so that rewriting gives the same archive.
-DATE = "1970-01-01T00:00:00Z"
 
 
 def base32(hex_digits: Column) -> Column:
@@ -57,12 +67,22 @@ def _uuid(row_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
 
 
-def revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """From headers (id, digest, size, uri): id, digest and the original's id and uri of each record that repeats one."""
-    original = headers.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "uri")).alias("o"), F.count("*").alias("n"))
+def revisits(headers: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """From headers (id, digest, size, uri): what each repeated payload's other records refer to, and the tied originals.
+
+    The first has id, digest and the original's id and uri; the second the digest, id and uri of originals of which
+    there are several rows: all but one of these rows, ``others``, are revisits too.
+    """
+    rank = F.struct(F.col("id").isNotNull().alias("known"), "id", "uri")
+    each = headers.where(F.col("size") >= least_bytes).groupBy("digest", "id", "uri").agg(F.count("*").alias("n"))
+    original = each.groupBy("digest").agg(F.max(rank).alias("o"), F.sum("n").alias("n"))
     original = original.where("n > 1").select("digest", F.col("o.id").alias("original_id"), F.col("o.uri").alias("original_uri"))
-    repeated = headers.join(original, "digest").where(~F.col("id").eqNullSafe(F.col("original_id")))
-    return repeated.select("id", "digest", "original_id", "original_uri").dropDuplicates(["id", "digest"])
+    met = materialise(each.join(original, "digest"), "repeated")
+    same = F.col("id").eqNullSafe(F.col("original_id"))
+    repeated = met.where(~same).select("id", "digest", "original_id", "original_uri").dropDuplicates(["id", "digest"])
+    tied = met.where(same).withColumn("others", F.col("n") - F.when(F.col("uri") == F.col("original_uri"), 1).otherwise(0))
+    tied = tied.withColumn("rows", F.sum("n").over(Window.partitionBy("digest"))).where("rows > 1")
+    return repeated, tied.select("digest", "id", "uri", "others", "original_uri")
 
 
 def record_text(date: str) -> Column:
@@ -75,7 +95,7 @@ def record_text(date: str) -> Column:
     return F.concat(
         F.lit(VERSION + END),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _uuid(F.col("id"), F.col("digest"))),
+        line("WARC-Record-ID", F.when(revisit, F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))).otherwise(_uuid(F.col("id"), F.col("digest")))),
         line("WARC-Date", F.lit(date)),
         with_uri("WARC-Target-URI", F.col("uri")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -88,73 +108,147 @@ def record_text(date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = DATE) -> None:
-    """One record per row, each payload of at least ``least_bytes`` written once."""
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str | None = None) -> None:
+    """One record per row, each payload of at least ``least_bytes`` written once. Archives lie in folders of ``path``, one a class of sizes."""
+    date = date or now()
     payload = F.coalesce(quoted(payload_col), F.lit(""))
-    rows = pages.select(quoted(id_col).alias("id"), quoted(url_col).alias("uri"), payload.alias("payload"))
+    rows = pages.select(quoted(id_col).alias("id"), F.coalesce(quoted(url_col), F.lit("")).alias("uri"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", base32(F.sha1("payload")))
     headers = materialise(rows.select("id", "digest", "size", "uri"), "headers")
-    found = materialise(revisits(headers, least_bytes), "revisits").withColumnRenamed("id", "r_id").withColumnRenamed("digest", "r_digest")
-    joined = rows.join(found, (F.col("digest") == F.col("r_digest")) & F.col("id").eqNullSafe(F.col("r_id")), "left")
-    records = joined.withColumn("revisit", F.col("r_digest").isNotNull()).select(record_text(date).alias("value"))
-    records.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
-
-
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an archive, gzipped whole or by record, or not at all."""
-    data = gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:head].decode("utf-8").split(END)
+    repeated, tied = revisits(headers, least_bytes)
+    found = materialise(repeated, "revisits").withColumnRenamed("id", "r_id").withColumnRenamed("digest", "r_digest")
+    tied = materialise(tied, "tied")
+    sizes = headers.groupBy(size_class(F.col("size")).alias("class")).agg(F.count("*").alias("n")).collect()  # a row a class
+
+    def write(records: DataFrame, name: str, file_rows: int) -> None:
+        records.select(record_text(date).alias("value")).write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", file_rows).text(f"{path}/{name}")
+
+    has_ties = tied.limit(1).count() > 0
+    of_response = {"revisit": F.lit(False), "original_id": F.lit(None).cast(rows.schema["id"].dataType), "original_uri": F.lit(None).cast("string")}
+    own = rows
+    if has_ties:
+        names = materialise(tied.select(F.col("digest").alias("t_digest"), F.col("id").alias("t_id")).distinct(), "tied-ids")
+        is_tied = (F.col("digest") == F.col("t_digest")) & F.col("id").eqNullSafe(F.col("t_id"))
+        own = rows.join(names, is_tied, "left_anti")
+        # One payload each, combined before it is shuffled; the other rows need no payload.
+        first = rows.join(names, is_tied, "left_semi").groupBy("digest").agg(F.first("id").alias("id"), F.max("uri").alias("uri"), F.first("payload").alias("payload"), F.first("size").alias("size"))
+        others = tied.where("others > 0").join(headers.select("digest", "size").distinct(), "digest")
+        others = others.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("others"))), "digest", "id", "uri", F.lit("").alias("payload"), "size", F.lit(True).alias("revisit"), F.col("id").alias("original_id"), "original_uri")
+        write(others, "revisits", FILE_ROWS)
+    for at in sorted(r["class"] for r in sizes) or [0]:
+        file_rows = FILE_BYTES // CLASSES[at] if at < len(CLASSES) else 1
+        part = own.where(size_class(F.col("size")) == at) if len(sizes) > 1 else own
+        joined = part.join(found, (F.col("digest") == F.col("r_digest")) & F.col("id").eqNullSafe(F.col("r_id")), "left")
+        write(joined.withColumn("revisit", F.col("r_digest").isNotNull()), f"class-{at}", file_rows)
+        if has_ties:
+            write(first.where(size_class(F.col("size")) == at).withColumns(of_response), f"class-{at}", file_rows)
+
+
+def size_class(size: Column) -> Column:
+    out: Column = F.when(size <= CLASSES[0], 0)
+    for at, most in enumerate(CLASSES[1:], 1):
+        out = out.when(size <= most, at)
+    return out.otherwise(len(CLASSES))
+
+
+def pieces(archive: memoryview) -> Iterator[bytes]:
+    """The bytes of an archive, gzipped in one member or many or not at all, piece by piece."""
+    if bytes(archive[:2]) != b"\x1f\x8b":
+        for at in range(0, len(archive), PIECE):
+            yield bytes(archive[at : at + PIECE])
+        return
+    rest = archive
+    while len(rest):
+        unpack = zlib.decompressobj(wbits=31)
+        while not unpack.eof:
+            if not len(rest) and not unpack.unconsumed_tail:
+                raise ValueError("the archive ends inside a gzip member")
+            given = unpack.unconsumed_tail or bytes(rest[:PIECE])
+            if given is not unpack.unconsumed_tail:
+                rest = rest[PIECE:]
+            yield unpack.decompress(given, PIECE)
+        left = len(unpack.unused_data)
+        rest = archive[len(archive) - len(rest) - left :] if left else rest
+
+
+def parse(archive: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record of an archive. Holds one record and one piece at a time."""
+    held, source = bytearray(), pieces(memoryview(archive))
+
+    def fill(until: int) -> bool:
+        while len(held) < until:
+            more = next(source, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while held or fill(1):
+        seen = 0
+        while (head := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not fill(len(held) + 1):
+                raise ValueError("the archive ends inside a record's header")
+        version, *lines = held[:head].decode("utf-8").split(END)
         if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record where one begins: {version[:40]!r}")
         fields = dict(x.split(": ", 1) for x in lines)
         start = head + 4
-        size = int(fields["Content-Length"])
-        yield fields, data[start : start + size]
-        at = start + size + 4
+        end = start + int(fields["Content-Length"])
+        if not fill(end):
+            raise ValueError(f"the archive ends inside {fields.get('WARC-Record-ID')}")
+        yield fields, bytes(held[start:end])
+        fill(end + 4)
+        del held[: end + 4]
 
 
-READ_SCHEMA = "row_id string, record_id string, record_type string, uri string, digest string, refers_to_record string, bytes long, payload string"
+READ_SCHEMA = "row_id string, record_id string, record_type string, uri string, date string, digest string, refers_to_record string, bytes long, payload string"
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per record. Digest and size of responses are recomputed from the payload, and the digest is verified."""
+    """A row per record of all archives in ``path`` and its folders. Digest and size of responses are recomputed from the payload, and the digest is verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row_id", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("refers_to_record", pa.string()), ("bytes", pa.int64()), ("payload", pa.string())])
+        schema = pa.schema([(x, pa.int64() if x == "bytes" else pa.string()) for x in ("row_id", "record_id", "record_type", "uri", "date", "digest", "refers_to_record", "bytes", "payload")])
         for batch in batches:
             for archive in batch.column(0):
                 rows: list[tuple] = []
                 held = 0
-                for fields, block in parse(archive.as_py()):
+                for fields, block in parse(memoryview(archive.as_buffer())):
                     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = text = None
                     if kind == "response":
-                        body = block[block.index(b"\r\n\r\n") + 4 :]
+                        body = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
                         size = len(body)
                         if base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                             raise ValueError(f"digest of {fields['WARC-Record-ID']} doesn't fit its payload")
-                        text = body.decode("utf-8") if payloads else None
+                        text = str(body, "utf-8") if payloads else None
                         held += size if payloads else 0
-                    rows.append((fields.get(ID_FIELD), fields["WARC-Record-ID"], kind, fields.get("WARC-Target-URI"), digest, fields.get("WARC-Refers-To"), size, text))
-                    if held > 1 << 22:
+                    rows.append((fields.get(ID_FIELD), fields["WARC-Record-ID"], kind, fields.get("WARC-Target-URI"), fields.get("WARC-Date"), digest, fields.get("WARC-Refers-To"), size, text))
+                    if held > BATCH_BYTES or len(rows) >= FILE_ROWS:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                         rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ_SCHEMA)
+    ship_package(spark)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return found.select("content").mapInArrow(run, READ_SCHEMA)
 
 
 def resolve(records: DataFrame) -> DataFrame:
     """Records with, for revisits, the row id, size and payload of the response to which they refer."""
-    responses = records.where("record_type = 'response'").groupBy("record_id").agg(F.any_value(F.struct("row_id", "bytes", "payload")).alias("original"))
     plain = records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("string")).drop("refers_to_record")
     other = records.where("record_type <> 'response'").drop("bytes", "payload")
+    wanted = other.select(F.col("refers_to_record").alias("record_id")).distinct()
+    responses = records.where("record_type = 'response'").join(wanted, "record_id", "left_semi")
+    responses = responses.groupBy("record_id").agg(F.any_value(F.struct("row_id", "bytes", "payload")).alias("original"))
     joined = other.join(responses.withColumnRenamed("record_id", "refers_to_record"), "refers_to_record", "left")
-    resolved = joined.select("row_id", "record_id", "record_type", "uri", "digest", F.col("original.bytes").alias("bytes"), F.col("original.payload").alias("payload"), F.col("original.row_id").alias("refers_to"))
+    resolved = joined.select("row_id", "record_id", "record_type", "uri", "date", "digest", F.col("original.bytes").alias("bytes"), F.col("original.payload").alias("payload"), F.col("original.row_id").alias("refers_to"))
     return plain.unionByName(resolved)
 
 
