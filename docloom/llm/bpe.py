@@ -2,9 +2,11 @@
 
 A rank file (base64 token, rank) becomes a ``tokenizers`` BPE model: every byte is written as one printable
 character, so that tokens are strings, and each token lists all pairs of tokens that it can be merged from, in rank
-order. Encoding splits text into words by ``PATTERN``; each worker keeps the ids of the words it has met, as bytes, so
-that the library's merges run once for a frequent word. With offsets the library's own pipeline does all of it.
-Decoding reverses the byte table; a character whose bytes are split over tokens comes back whole.
+order. Encoding splits text into words by ``PATTERN``; each worker keeps the ids and spans of the words it has met, so
+that the library's merges run once for a frequent word. A token's span is that of the characters its bytes belong to: a
+token that holds only some bytes of a character has the whole character in its span, so that spans cover the text and
+overlap just where a character is split. Decoding joins the tokens' characters and reverses the byte table; a character
+whose bytes are split over tokens comes back whole.
 
 Defined results: a null text encodes as the empty text (no ids); null ids decode to empty bytes; bytes that are not
 UTF-8 decode with replacement characters in the text form and unchanged in the byte form. Rows are independent, so
@@ -19,6 +21,7 @@ import codecs
 import os
 from array import array
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.arrow import arrow_map, quoted, slices
+from docloom.llm.arrow import arrow_map, quoted
 
 #: A worker keeps the ids of so many distinct words, then starts anew.
 CACHED_WORDS = 300_000
@@ -90,19 +93,29 @@ def tokenizer(path: str):
 
 
 class Words(dict):
-    """The ids of words, as bytes of int32; what is missing is made by the tokenizer's model."""
+    """Of words: ids, and the starts and ends of their spans, as bytes of int32, and their number.
+
+    What is missing is made by the tokenizer's model.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenize = tokenizer(path).model.tokenize
         self.chars = dict(enumerate(byte_table()))
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> tuple[bytes, bytes, bytes, int]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        mapped = word.encode().decode("latin-1").translate(self.chars)
-        self[word] = ids = array("i", [t.id for t in self.tokenize(mapped)]).tobytes()
-        return ids
+        data = word.encode()
+        tokens = self.tokenize(data.decode("latin-1").translate(self.chars))
+        upto = list(accumulate((len(t.value) for t in tokens), initial=0))  # one mapped character is one byte
+        spans = list(zip(upto, upto[1:]))
+        if len(data) > len(word):
+            char_of = [i for i, c in enumerate(word) for _ in c.encode()]
+            spans = [(char_of[a], char_of[b - 1] + 1) for a, b in spans]
+        parts = ([t.id for t in tokens], [a for a, _ in spans], [b for _, b in spans])
+        self[word] = known = (*(array("i", x).tobytes() for x in parts), len(tokens))
+        return known
 
 
 @lru_cache(maxsize=2)
@@ -116,22 +129,45 @@ def splitter() -> regex.Pattern:
 
 
 @lru_cache(maxsize=2)
-def byte_values(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+def token_chars(path: str) -> dict[int, str]:
+    """The characters of each token, one a byte."""
+    return {rank: to_chars(token) for token, rank in read_ranks(path).items()}
+
+
+@lru_cache(maxsize=1)
+def byte_of() -> np.ndarray:
+    """The byte table reversed: the byte for which each character stands, by code point."""
+    out = np.zeros(0x200, np.uint8)
+    for byte, char in enumerate(byte_table()):
+        out[ord(char)] = byte
+    return out
+
+
+def joined(ids: list[int], path: str) -> bytes:
+    """The bytes of a list of ids."""
+    chars = "".join(map(token_chars(path).__getitem__, ids))
+    return byte_of()[np.frombuffer(chars.encode("utf-16-le"), np.uint16)].tobytes()
 
 
 def _coded(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text, as bytes of int32."""
-    ids_of, split = words(path).__getitem__, splitter().findall
-    return [b"".join(map(ids_of, split(x))) if x else b"" for x in texts]
+    known_of, split = words(path).__getitem__, splitter().findall
+    return [b"".join([known[0] for known in map(known_of, split(x))]) if x else b"" for x in texts]
 
 
-def _id_lists(coded: list[bytes]) -> pa.Array:
-    return _lists([len(x) // 4 for x in coded], np.frombuffer(b"".join(coded), np.int32))
+def spanned(text: str | None, path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The ids of a text, as bytes of int32, and the starts and ends of their spans of characters."""
+    if not text:
+        return b"", np.zeros(0, np.int32), np.zeros(0, np.int32)
+    found = splitter().findall(text)
+    ids, starts, ends, counts = zip(*map(words(path).__getitem__, found))
+    upto = np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), dtype=np.int32)
+    before = np.repeat(np.concatenate([[np.int32(0)], upto[:-1]]), counts)
+    return b"".join(ids), np.frombuffer(b"".join(starts), np.int32) + before, np.frombuffer(b"".join(ends), np.int32) + before
 
 
-def _joined(ids: list[int], path: str) -> bytes:
-    return b"".join(map(byte_values(path).__getitem__, ids))
+def _id_lists(coded: list[bytes]) -> pa.Array:
+    return _lists([len(x) // 4 for x in coded], np.frombuffer(b"".join(coded), np.int32))
 
 
 def _lists(lengths: list[int], values: np.ndarray) -> pa.Array:
@@ -150,16 +186,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str]
     def plain(texts: pa.Array) -> list:
         return [_id_lists(_coded(texts.to_pylist(), path))]
 
-    def spanned(texts: pa.Array) -> list:
-        parts: list[list[np.ndarray]] = [[], [], []]
-        for part in slices(["" if x is None else x for x in texts.to_pylist()]):
-            for e in tokenizer(path).encode_batch(part, add_special_tokens=False):
-                spans = np.array(e.offsets, np.int32).reshape(-1, 2)
-                for made, x in zip(parts, (np.array(e.ids, np.int32), spans[:, 0], spans[:, 1])):
-                    made.append(x)
-        return [_lists([len(x) for x in made], np.concatenate([*made, np.zeros(0, np.int32)])) for made in parts]
+    def with_spans(texts: pa.Array) -> list:
+        each = [spanned(x, path) for x in texts.to_pylist()]
+        ids = _id_lists([x for x, _, _ in each])
+        lengths = [len(x) for _, x, _ in each]
+        return [ids] + [_lists(lengths, np.concatenate([*(x[at] for x in each), np.zeros(0, np.int32)]).astype(np.int32)) for at in (1, 2)]
 
-    kernel = spanned if offsets else plain
+    kernel = with_spans if offsets else plain
     return arrow_map(docs, docs.columns if carry is None else carry, [quoted(text_col)], outputs, kernel)
 
 
@@ -168,30 +201,39 @@ def decode(frame: DataFrame, path: str, ids_col: str = "ids", carry: list[str] |
     outputs = [T.StructField(bytes_col, T.StringType() if as_text else T.BinaryType())]
 
     def kernel(ids: pa.Array) -> list:
-        joined = [_joined(x, path) if x else b"" for x in ids.to_pylist()]
+        made = [joined(x, path) if x else b"" for x in ids.to_pylist()]
         if as_text:
-            return [pa.array([x.decode("utf-8", "replace") for x in joined], pa.string())]
-        return [pa.array(joined, pa.binary())]
+            return [pa.array([x.decode("utf-8", "replace") for x in made], pa.string())]
+        return [pa.array(made, pa.binary())]
 
     return arrow_map(frame, frame.columns if carry is None else carry, [quoted(ids_col)], outputs, kernel)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """``encode`` and ``decode`` in one pass of the executors' Python: ids, and the bytes that they decode to."""
-    outputs = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(bytes_col, T.BinaryType())]
+    """``encode`` and ``decode`` in one pass of the executors' Python: ids, and the bytes that they decode to.
+
+    Besides, from the spans: ``n_split``, how many tokens begin inside a character, and ``covered``, whether the spans
+    cover the text's characters without a gap.
+    """
+    outputs = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(bytes_col, T.BinaryType()), T.StructField("n_split", T.LongType()), T.StructField("covered", T.BooleanType())]
 
     def kernel(texts: pa.Array) -> list:
-        coded = _coded(texts.to_pylist(), path)
-        return [_id_lists(coded), pa.array([_joined(np.frombuffer(x, np.int32).tolist(), path) for x in coded], pa.binary())]
+        coded, decoded, split, covered = [], [], [], []
+        for text in texts.to_pylist():
+            ids, starts, ends = spanned(text, path)
+            coded.append(ids)
+            decoded.append(joined(np.frombuffer(ids, np.int32).tolist(), path))
+            split.append(int((starts[1:] < ends[:-1]).sum()))
+            covered.append(bool(starts[0] == 0 and ends[-1] == len(text) and (starts[1:] <= ends[:-1]).all()) if len(starts) else not text)
+        return [_id_lists(coded), pa.array(decoded, pa.binary()), pa.array(split, pa.int64()), pa.array(covered, pa.bool_())]
 
     return arrow_map(docs, docs.columns if carry is None else carry, [quoted(text_col)], outputs, kernel)
 
 
 def token_texts(ids: list[int], path: str) -> list[str]:
     """The text that each token completes: a split character belongs to the token that holds its last byte."""
-    values = byte_values(path)
     reader = codecs.getincrementaldecoder("utf-8")("replace")
-    return [reader.decode(values[i], final=at == len(ids)) for at, i in enumerate(ids, 1)]
+    return [reader.decode(joined([i], path), final=at == len(ids)) for at, i in enumerate(ids, 1)]
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,4 +248,6 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "n_split",
+        "covered",
     )
