@@ -12,6 +12,7 @@ URLS = [
     None, "", "no scheme/en/7", "http://", "HTTP://Example.COM/en/7/x?q#f", "https://a.example.com/en/1", "http://com/en/", "http://xcom/en/",
     "http://example.net/de/80", "http://sub.example.net/de/8#x", "http://example.net/de/7", "ftp://b.org/es/?x", "http://b.org/es", "http://b.org?/es/",
     "http://É.org:80/es/ü", "//x://y.com/en/", "http://a.com/en/\nx?y", "http://h#://com/en/", "http://.net/de/", "http://HOST.Org#/es/",
+    "http://user:pw@Spam.B.com:8080/p/1002", "http://spam.b.com./p/1", "http://10.0.0.1/p/1002", "http://10.0.0.2:80/", "http://[::1]:80/x", "http://a.b.co.uk/1003", "http://@:9/", "http://co.uk\n/", "http://spam.b.com:x/",
 ]
 
 
@@ -112,6 +113,42 @@ def test_longer_suffixes(spark):
     assert got == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("uk", "b.uk"), ("x", "x")]
 
 
+def test_keys_leave_out_user_port_and_closing_dot(spark):
+    hosts = {"a.com": "a.com", "u:p@a.com:80": "a.com", "a.com.": "a.com", "a.com.:443": "a.com", "x@y@a.com": "a.com", "": "", "a.com:x": "a.com:x", "[::1]:80": "[::1]"}
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", ur.reputation_key(F.col("h"))).collect()
+    assert dict(map(tuple, got)) == hosts
+
+
+def test_addresses_are_domains_of_their_own(spark):
+    rows = spark.createDataFrame([("10.0.0.1",), ("[::1]",), ("1.2.3.4.com",)], "h string")
+    s = ur.public_suffix(F.col("h"))
+    got = [tuple(r) for r in rows.select(s, ur.registered_domain(F.col("h"), s)).collect()]
+    assert got == [("address", "10.0.0.1"), ("address", "[::1]"), ("com", "4.com")]
+
+
+def test_a_bad_hosts_port_is_blocked_too(spark):
+    pages = spark.createDataFrame([(1, "http://u@spam.b.com:81/x"), (2, "http://good.a.com:81/x")], "page_id long, url string")
+    _, outcomes = labelled()
+    known = spark.createDataFrame([(f"http://{h}:{i % 3}/x", b) for i, (h, b) in enumerate(outcomes) if h], "url string, bad long")
+    assert {r["page_id"]: r["verdict"] for r in ur.filter_urls(pages, known).collect()} == {1: "block", 2: "allow"}
+
+
+def test_many_domains_and_suffixes_by_brute_force(spark):
+    import random
+
+    draw = random.Random(4)
+    hosts = [f"h{i % 7}.d{i % 211}.{draw.choice(['com', 'net', 'org', 'info', 'de', 'fr', 'xyz'])}" for i in range(900)]
+    poor = {h.split(".", 1)[1] for h in draw.sample(hosts, 150)}
+    outcomes = [(h, int(draw.random() < (0.9 if h.split(".", 1)[1] in poor else 0.05))) for h in hosts for _ in range(draw.randint(0, 12))]
+    got = ur.host_reputation(spark.createDataFrame(outcomes, "host string, bad long"), spark.createDataFrame([(h,) for h in hosts], "host string")).collect()
+    truth = brute_reputation(outcomes, sorted(set(hosts)))
+    assert len(got) == len(set(hosts))
+    for r in got:
+        assert (r["mean"], r["bound"]) == pytest.approx(truth[r["host"]])
+    blocked = [r["host"].split(".", 1)[1] in poor for r in got if r["bound"] > ur.THRESHOLD]
+    assert len(blocked) > 50 and sum(blocked) >= 0.97 * len(blocked)
+
+
 def test_sql_agrees_on_odd_rows(spark, tmp_path):
     _, outcomes = labelled()
     rows = list(enumerate(URLS)) + [(1000 + i, f"http://{h}/p/{1000 + i}.html") for i, (h, _) in enumerate(outcomes) if h]
