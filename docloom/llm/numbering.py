@@ -14,12 +14,13 @@ ROW_BITS = 33
 def number_within(rows: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
     """``rows`` and ``out``: 0, 1, 2, ... inside each group, by ``order`` (nulls first).
 
-    Rows are dealt by ranges of (group, order), sorted, and written with their place. Inside a range a row's number
+    Rows are written once, so that neither the sampling of the ranges nor the sort computes them again, then dealt by
+    ranges of (group, order), sorted, and written with their place. Inside a range a row's number
     is its place less the place of its group's first row there; the rows of the same group in earlier ranges are
     added, of which there is one count per group and range. A group that holds most rows spans many ranges, and
     rows that are equal in ``order`` are told apart by where they were read, so equal rows spread too.
     """
-    spread = rows.withColumn("_read", F.monotonically_increasing_id())
+    spread = materialise(rows.withColumn("_read", F.monotonically_increasing_id()), "rows-to-number")
     placed = spread.repartitionByRange(*groups, *order, "_read").sortWithinPartitions(*groups, *order, "_read")
     placed = materialise(placed.drop("_read").withColumn("_place", F.monotonically_increasing_id()), "placed-rows")
     part = F.shiftright("_place", ROW_BITS)
