@@ -6,9 +6,9 @@ text is its unquoted lines; its units are that text, its paragraphs, and its lin
 belongs to the earliest message that has a unit of that hash, if that is earlier than the quoting one. A trimmed
 passage, which as a whole is no unit, is taken apart: into its paragraphs, and if none of them has an original, into
 its lines. Each part belongs to a message as a whole passage does, and the passage to the one with most of its parts,
-of several such to the one with the first of them. OP6_SQL knows whole passages only. A message replies to the original of its first resolved passage of the lowest level. Threads follow from replies by pointer
-doubling, and a conversation's order is by thread (of the earliest root first) and then by turn, so that every
-message comes after the one to which it replies. Texts come out without their quotes.
+of several such to the one with the first of them. A message replies to the original of its first resolved passage of
+the lowest level. Threads follow from replies by pointer doubling, and a conversation's order is by thread (of the
+earliest root first) and then by turn, so that every message comes after the one to which it replies. Texts come out without their quotes.
 
 Lines are taken apart inside their row; only hashes of quoted passages, and of those units that some passage of the
 same conversation has, are shuffled. The earliest unit is a minimum, so a phrase that everybody writes costs one row
@@ -159,16 +159,28 @@ cut AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY m ORDER BY pos
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY m ORDER BY pos) AS run FROM cut),
 runs AS (SELECT m, conv_id, turn, level, run, string_agg(line, chr(10) ORDER BY pos) AS text FROM numbered WHERE level > 0 GROUP BY ALL HAVING regexp_matches(string_agg(line, chr(10)), '[^\t-\r ]')),
 quotes AS (SELECT *, md5(trim(regexp_replace(lower(text), '[\t-\r ]+', ' ', 'g'))) AS hash, row_number() OVER (PARTITION BY m ORDER BY run) AS passage FROM runs),
+taken_apart AS (
+  SELECT conv_id, turn, passage, level, hash, 0 AS kind, 1 AS pos, text AS part FROM quotes
+  UNION ALL
+  SELECT conv_id, turn, passage, level, hash, 1, generate_subscripts(regexp_split_to_array(text, '\n[ \t\r]*\n'), 1), unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM quotes
+  UNION ALL
+  SELECT conv_id, turn, passage, level, hash, 2, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM quotes),
+parts AS (
+  SELECT * EXCLUDE (part), md5(trim(regexp_replace(lower(part), '[\t-\r ]+', ' ', 'g'))) AS part_hash
+  FROM taken_apart WHERE trim(regexp_replace(lower(part), '[\t-\r ]+', ' ', 'g')) <> ''),
 units AS (
   SELECT conv_id, turn, unnest(list_concat([own_text], regexp_split_to_array(own_text, '\n[ \t\r]*\n'), string_split(own_text, chr(10)))) AS unit FROM own),
 originals AS (
   SELECT conv_id, md5(trim(regexp_replace(lower(unit), '[\t-\r ]+', ' ', 'g'))) AS hash, min(turn) AS first_turn
   FROM units WHERE trim(regexp_replace(lower(unit), '[\t-\r ]+', ' ', 'g')) <> '' GROUP BY 1, 2),
+votes AS (
+  SELECT p.conv_id, p.turn, passage, level, p.hash, kind, CASE WHEN o.first_turn < p.turn THEN o.first_turn END AS original, count(*) AS n, min(pos) AS pos
+  FROM parts p LEFT JOIN originals o ON p.conv_id = o.conv_id AND p.part_hash = o.hash GROUP BY ALL),
 links AS (
-  SELECT q.conv_id, q.turn, q.passage, q.level, CASE WHEN o.first_turn < q.turn THEN o.first_turn END AS original
-  FROM quotes q LEFT JOIN originals o ON q.conv_id = o.conv_id AND q.hash = o.hash),
+  SELECT conv_id, turn, passage, level, hash, (list(original ORDER BY kind, n DESC, pos, original) FILTER (original IS NOT NULL))[1] AS original
+  FROM votes GROUP BY ALL),
 replying AS (
-  SELECT conv_id, turn, arg_min(original, level * 1000000 + passage) FILTER (original IS NOT NULL) AS parent,
+  SELECT conv_id, turn, (list(original ORDER BY level, passage, original) FILTER (original IS NOT NULL))[1] AS parent,
          count(DISTINCT passage) AS n_quotes, count(DISTINCT passage) FILTER (original IS NOT NULL) AS n_linked
   FROM links GROUP BY conv_id, turn),
 climb AS (

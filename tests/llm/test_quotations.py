@@ -1,4 +1,7 @@
+import random
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import quotations as qt
@@ -48,17 +51,52 @@ def test_links_of_nested_levels(spark):
     assert links[2, 0] == (2, 0) and links[2, 1] == (1, 1) and links[2, 2] == (1, None)
 
 
-def test_sql_agrees(spark):
-    rows = frame(spark).select("conv_id", "turn", "role", "text")
+TRIMMED = [
+    (1, 0, "user", "thanks"),
+    (1, 1, "user", "one\ntwo\nthree\n\nfour\n\nfive\nsix"),
+    (1, 2, "user", "> two\n> three\nyes"),
+    (1, 3, "user", "> one\n> two\n> three\n>\n> Four\nno"),
+    (1, 4, "user", "> five\n> changed\nwhy"),
+    (1, 5, "user", "> thanks\n> five\n> six\nagain"),
+    (1, 6, "user", "> thanks\n> yes\nfirst of two"),
+    (1, 7, "user", "> later\n> never\nlost"),
+    (1, 8, "user", "later"),
+]
+
+
+def planted():
+    """Conversations in which messages quote whole texts, paragraphs, lines and runs of lines of earlier ones, nested or not."""
+    draw = random.Random(8)
+    rows = []
+    for c in range(40):
+        said = []
+        for t in range(draw.randint(1, 12)):
+            own = "\n\n".join("\n".join(f"line {draw.randint(0, 60)} of {c}" for _ in range(draw.randint(1, 3))) for _ in range(draw.randint(1, 3)))
+            lines = []
+            for _ in range(draw.randint(0, 2) if said else 0):
+                of = draw.choice(said).split("\n")
+                start = draw.randrange(len(of))
+                run = draw.choice([of, of[start : start + draw.randint(1, 4)]])
+                mark = draw.choice(["> ", ">", ">> ", "> > "])
+                lines += [mark + x for x in run] + draw.choice([[], [""]])
+            rows.append((c, t, draw.choice(["user", "assistant", None]), "\n".join([*lines, own])))
+            said.append(own)
+    return rows
+
+
+@pytest.mark.parametrize("messages", [MESSAGES, TRIMMED, planted()], ids=["odd", "trimmed", "planted"])
+def test_sql_agrees(spark, tmp_path, messages):
+    spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     con = duckdb.connect()
-    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(r) for r in MESSAGES])
-    got = qt.reply_order(rows)
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = qt.op6_quotation_links(spark, str(tmp_path))
     truth = con.sql(qt.OP6_SQL)
     names = sorted(got.columns)
     key = lambda r: tuple(map(str, r))
     assert sorted(names) == sorted(truth.columns)
-    assert sorted(map(key, truth.select(*names).fetchall())) == sorted(map(key, map(tuple, got.select(*names).collect())))
+    rows = got.select(*names).collect()
+    assert sorted(map(key, truth.select(*names).fetchall())) == sorted(map(key, map(tuple, rows)))
+    assert any(r["reply_to"] is not None for r in rows)
 
 
 def test_a_long_chain_and_a_large_conversation(spark):
@@ -73,17 +111,6 @@ def test_empty_table(spark):
 
 def test_trimmed_quotes(spark):
     """Two of three lines of a paragraph, two of three paragraphs, one line of two, and parts of two messages."""
-    rows = [
-        (1, 0, "user", "thanks"),
-        (1, 1, "user", "one\ntwo\nthree\n\nfour\n\nfive\nsix"),
-        (1, 2, "user", "> two\n> three\nyes"),
-        (1, 3, "user", "> one\n> two\n> three\n>\n> Four\nno"),
-        (1, 4, "user", "> five\n> changed\nwhy"),
-        (1, 5, "user", "> thanks\n> five\n> six\nagain"),
-        (1, 6, "user", "> thanks\n> yes\nfirst of two"),
-        (1, 7, "user", "> later\n> never\nlost"),
-        (1, 8, "user", "later"),
-    ]
-    got = {r["turn"]: r for r in qt.reply_order(frame(spark, rows)).collect()}
+    got = {r["turn"]: r for r in qt.reply_order(frame(spark, TRIMMED)).collect()}
     assert {t: r["reply_to"] for t, r in got.items()} == {0: None, 1: None, 2: 1, 3: 1, 4: 1, 5: 1, 6: 0, 7: None, 8: None}
     assert all((got[t]["n_quotes"], got[t]["n_linked"]) == (1, 1) for t in range(2, 7)) and got[3]["own_text"] == "no"
