@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from docloom.session import ship_package
 
 #: Kernels see batches of about so many bytes.
 BATCH_BYTES = 2 << 20
@@ -32,6 +35,7 @@ def arrow_map(
     A carried column with the name of an output gives way to it. ``kernel`` gets one Arrow array per input and
     returns one Arrow array (or list) per output, of the same length; rows are neither added nor dropped.
     """
+    ship_package(df.sparkSession)
     names = {f.name for f in outputs}
     carry = [c for c in carry if c not in names]
     n = len(carry)
@@ -49,6 +53,35 @@ def arrow_map(
     return out.toDF(*carry, *[f.name for f in outputs])
 
 
+def arrow_column(inputs: list[Column], kind: T.DataType, kernel: Callable[..., pa.Array]) -> Column:
+    """A column that ``kernel`` makes from the ``inputs`` of each batch; all other columns stay in the JVM.
+
+    ``kernel`` gets one Arrow array per input and returns one Arrow array of the same length.
+    """
+
+    ship_package(SparkSession.active())
+    n = len(inputs)
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            columns = [batch] if n == 1 else list(batch)
+            whole = pa.RecordBatch.from_arrays(columns, names=[f"x{i}" for i in range(len(columns))])
+            made = [kernel(*part.columns) for part in small_batches([whole])]
+            yield pa.concat_arrays(made) if made else pa.array([], to_arrow_type(kind))
+
+    if len(inputs) == 1:
+
+        def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            return run(batches)
+
+        return F.arrow_udf(one, kind)(*inputs)
+
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return run(batches)
+
+    return F.arrow_udf(several, kind)(*inputs)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes, so that Python objects made from a batch stay few."""
     for batch in batches:

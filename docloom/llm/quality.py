@@ -1,13 +1,17 @@
 """Quality rules: base rules on word statistics, then an isolation forest on rates made from them.
 
-One pass over whole texts makes the counts. The forest is fitted on the driver from a sample of labelled rows of at
-most ``FIT_ROWS`` rows (that bound is a parameter; each of its trees sees ``TREE_ROWS`` of them, as the method has
-it); a document's anomaly comes from its mean path length over the trees' random splits. The threshold is calibrated
-on all labelled rows that pass the base rules: the lowest score step from which on at most ``max_good_loss`` of the
-good rows would go and at least half of what goes is bad. Without labelled rows, or if no step is good enough, only
-the base rules reject.
-
-Rates, not sizes, go into the forest, so that long documents and rare languages aren't anomalies by themselves.
+One pass over whole texts makes the counts. From them come rates (symbols, capitals, marks, lines, repeated lines,
+repeated windows and echoed words by their wholes, word length), on logarithmic scales and not rounded. Rates, not
+sizes, so that long documents and rare languages aren't anomalies by themselves. What the forest sees is how far a rate
+lies outside the range that rows labelled good usually have (all but ``TAIL`` at either end, and half the range's width
+beyond): variation inside that range would else fill the trees with splits that tell nothing.
+
+Labelled rows that pass the base rules are split in two by a hash. Ranges and forest are fitted on the driver from at
+most ``FIT_ROWS`` rows of the one half (that bound is a parameter; each tree sees ``TREE_ROWS`` of them, as the method
+has it); a document's anomaly comes from its mean path length over the trees' random splits. The threshold is
+calibrated on all rows of the other half, which the forest hasn't seen: the lowest score step from which on at most
+``max_good_loss`` of the good rows would go and at least half of what goes is bad. Without labelled rows, or if no step
+is good enough, only the base rules reject.
 
 Defined results: a null, empty or blank text has no words and fails the base rules; labels of null ids or null
 quality are ignored; of conflicting labels the worse one counts; null ids are kept in the result; repeated rows get
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.arrow import arrow_map, quoted
+from docloom.llm.arrow import arrow_column, arrow_map, quoted
 from docloom.session import materialise
 
 FIT_ROWS, TREE_ROWS, TREES = 8192, 256, 100
-#: Scores are compared in steps of a thousandth.
-STEPS = 1000
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks"]
+#: Scores are compared in steps of a ten-thousandth.
+STEPS = 10_000
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_echoes"]
 WINDOW = 5
-#: Characters of a usual word.
-USUAL_LENGTH = 5.2
+#: The share of good rows at either end of a rate that isn't its usual range, and by how much of its width the range is
+#: widened at either end. A rate that is the same for all good rows, as that of symbols, gets no such margin.
+TAIL, MARGIN = 0.002, 0.5
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -82,22 +88,16 @@ def text_counts(text: bytes) -> tuple[int, ...]:
         len(lines),
         having(CAPITALS),
         having(MARKS),
+        sum(map(eq, words, words[1:])),
     )
 
 
 def rates(counts: np.ndarray) -> np.ndarray:
-    """What the forest sees of rows of COUNTS.
-
-    Symbols a character on a fine logarithmic scale, so that few are told from none; capitals in quarters and marks in
-    tenths a character; repeated lines in halves; words in repeated windows in fifths; word length in octaves from the
-    usual one. Rounding down takes away ordinary variation (a short text easily has a tenth of capitals), which would
-    else fill the trees with splits that tell nothing: of all rates unrounded, the forest rejected 7 of 301 bad rows.
-    """
-    words, chars, symbols, dup_lines, repeated, lines, capitals, marks = counts.T
+    """Rates of rows of COUNTS on logarithmic scales, on which few are told from none."""
+    words, chars, symbols, dup_lines, repeated, lines, capitals, marks, echoes = counts.T
     per = lambda x, whole: x / np.maximum(whole, 1)
-    length = np.abs(np.log2(np.maximum(per(chars, words), 0.5) / USUAL_LENGTH))
-    seen = (4 * np.log2(1 + 1000 * per(symbols, chars)), 4 * per(capitals, chars), 10 * per(marks, chars), 2 * per(dup_lines, lines), 5 * per(repeated, words), length)
-    return np.floor(np.stack(seen, axis=1))
+    shares = (per(symbols, chars), per(capitals, chars), per(marks, chars), per(lines, words), per(dup_lines, lines), per(repeated, words), per(echoes, words))
+    return np.stack([*(np.log2(1 + 1000 * x) for x in shares), np.log2(np.maximum(per(chars, words), 0.5))], axis=1)
 
 
 def usual_path(rows: float) -> float:
@@ -167,15 +167,31 @@ def grow_forest(x: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, s
 
 @dataclass
 class Model:
-    """A forest, if there was something to fit it on, and the first score step that is rejected."""
+    """Usual ranges and a forest, if there was something to fit them on, and the first score step that is rejected."""
 
-    forest: Forest | None
+    forest: Forest | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
     limit: int = STEPS + 1
 
+    def outside(self, counts: np.ndarray) -> np.ndarray:
+        """How far each rate lies outside its usual range, below it as a negative number."""
+        x = rates(counts)
+        return np.maximum(x - self.high, 0) + np.minimum(x - self.low, 0)
+
     def steps(self, counts: np.ndarray) -> np.ndarray:
         if self.forest is None or not len(counts):
             return np.zeros(len(counts), np.int32)
-        return np.floor(self.forest.scores(rates(counts)) * STEPS).astype(np.int32)
+        return np.floor(self.forest.scores(self.outside(counts)) * STEPS).astype(np.int32)
+
+
+def fitted(counts: np.ndarray, good: np.ndarray) -> Model:
+    """Ranges of the good rows (of all, if there are none), and a forest over all rows."""
+    usual = rates(counts[good] if good.any() else counts)
+    low, high = np.quantile(usual, [TAIL, 1 - TAIL], axis=0)
+    model = Model(None, low - MARGIN * (high - low), high + MARGIN * (high - low))
+    model.forest = grow_forest(model.outside(counts))
+    return model
 
 
 def base_failed() -> F.Column:
@@ -207,18 +223,22 @@ def fit(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id_
     known = labels.select(quoted(label_id_col).alias("id"), quoted(quality_col).alias("quality")).dropna()
     known = known.groupBy("id").agg(F.min("quality").alias("quality"))
     passed = counted.where(~base_failed()).select(quoted(id_col).alias("id"), *COUNTS)
-    labelled = materialise(passed.join(known, "id"), "labelled")
-    # Of all labelled rows about twice as many as needed pass the first test, so that tasks send few.
-    some = F.pmod(F.xxhash64("id", *COUNTS), F.lit(1 << 30)).alias("draw")
-    pool = labelled.select(*COUNTS, some).where(F.col("draw") < int((1 << 30) * min(1.0, 2 * fit_rows / max(1, labelled.count()))))
-    drawn = pool.orderBy("draw", *COUNTS).limit(fit_rows).collect()
-    if not drawn:
-        return Model(None)
-    forest = grow_forest(rates(np.array([r[: len(COUNTS)] for r in drawn], np.int64)))
-    scored = score(labelled, Model(forest), ["quality"])
+    drawn = F.pmod(F.xxhash64("id", *COUNTS), F.lit(1 << 30))
+    labelled = materialise(passed.join(known, "id").withColumn("draw", drawn), "labelled")
+    # The lower half of the draws fits; of it about twice as many rows as needed pass the first test, so that tasks send few.
+    half = 1 << 29
+    fitting, held_out = labelled.where(F.col("draw") < half), labelled.where(F.col("draw") >= half)
+    pool = fitting.where(F.col("draw") < int(half * min(1.0, 2 * fit_rows / max(1, fitting.count()))))
+    rows = pool.select(*COUNTS, (F.col("quality") > 0).cast("long"), "draw").orderBy("draw", *COUNTS).limit(fit_rows).collect()
+    if not rows:
+        return Model()
+    table = np.array([r[:-1] for r in rows], np.int64)
+    model = fitted(table[:, : len(COUNTS)], table[:, len(COUNTS)] > 0)
+    scored = score(held_out, model, ["quality"])
     good, bad = F.sum((F.col("quality") > 0).cast("long")), F.sum((F.col("quality") <= 0).cast("long"))
     steps = scored.groupBy("anomaly").agg(good.alias("good"), bad.alias("bad")).collect()  # at most STEPS + 1 rows
-    return Model(forest, calibrated({r["anomaly"]: (r["good"], r["bad"]) for r in steps}, max_good_loss))
+    model.limit = calibrated({r["anomaly"]: (r["good"], r["bad"]) for r in steps}, max_good_loss)
+    return model
 
 
 def calibrated(steps: dict[int, tuple[int, int]], max_good_loss: float) -> int:
@@ -246,19 +266,15 @@ def verdicts(scored: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_good_loss: float = 0.002) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``. Texts are read twice and never shuffled."""
+    """The rows of ``docs`` that are kept, with the columns of ``docs``. Texts are read twice and never shuffled, and come back from no Python."""
     model = fit(materialise(statistics(docs, text_col, [id_col]), "text-counts"), labels, id_col, max_good_loss=max_good_loss)
 
-    inner = [f"c{i}" for i in range(len(docs.columns))]
-    text = inner[docs.columns.index(text_col)]
-
-    def kernel(texts: pa.Array) -> list:
+    def kernel(texts: pa.Array) -> pa.Array:
         table = np.array([text_counts(x or b"") for x in texts.cast(pa.binary()).to_pylist()], np.int64).reshape(-1, len(COUNTS))
         failed = (table[:, 0] < 10) | (100 * table[:, 4] > 20 * table[:, 0])
-        return [pa.array(~failed & (model.steps(table) < model.limit))]
+        return pa.array(~failed & (model.steps(table) < model.limit))
 
-    kept = arrow_map(docs.toDF(*inner), inner, [F.col(text)], [T.StructField("kept", T.BooleanType())], kernel)
-    return kept.where("kept").drop("kept").toDF(*docs.columns)
+    return docs.where(arrow_column([quoted(text_col)], T.BooleanType(), kernel))
 
 
 def op3_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import quality
 
@@ -132,9 +133,91 @@ def test_few_symbols_are_told_from_none(spark):
 
 
 def test_the_forest_sees_every_statistic():
-    plain = np.array([[100, 520, 0, 0, 0, 10, 5, 0]])
+    plain = np.array([[100, 520, 0, 0, 0, 10, 5, 0, 0]])
     usual = quality.rates(plain)
-    for at, value in (("n_symbols", 3), ("n_capitals", 300), ("n_marks", 90), ("n_dup_lines", 6), ("n_repeat_words", 20), ("word_chars", 2000)):
+    for at, value in (("n_symbols", 3), ("n_capitals", 300), ("n_marks", 90), ("n_dup_lines", 6), ("n_repeat_words", 20), ("word_chars", 2000), ("n_lines", 60), ("n_echoes", 30)):
         odd = plain.copy()
         odd[0, quality.COUNTS.index(at)] = value
         assert (quality.rates(odd) != usual).any(), at
+
+
+def test_rates_are_not_rounded(spark):
+    """The forest's inputs on the supplied table: many points, not a few cells."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.statistics(docs, carry=[]).where(~quality.base_failed()).collect()
+    table = np.array([list(r) for r in rows], np.int64)
+    assert len(np.unique(quality.rates(table), axis=0)) > 0.9 * len({tuple(r) for r in rows})
+
+
+def test_echoed_words_are_seen(spark):
+    draw = random.Random(6)
+    words = [f"word{i}" for i in range(500)]
+    rows = []
+    for i in range(500):
+        chosen = [draw.choice(words) for _ in range(60)]
+        rows.append((i, " ".join(w for w in chosen for _ in range(1 + (i % 10 == 0)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(500)], "doc_id long, quality int")
+    assert all(r["kept"] == (r["doc_id"] % 10 > 0) for r in quality.judge(docs, labels).collect() if not r["base_failed"])
+
+
+def brute_kept(rows, labels):
+    """Verdicts without Spark: fit on the lower half of the draws, calibrated on the upper one."""
+    counts = {d: quality.text_counts((t or "").encode()) for d, t in rows}
+    passed = {d: c for d, c in counts.items() if not (c[0] < 10 or 100 * c[4] > 20 * c[0])}
+    return counts, {d: (passed[d], q) for d, q in labels.items() if d in passed}
+
+
+def test_whole_query_by_brute_force(spark):
+    """``kept`` of every document of the supplied table, from a forest grown and followed here."""
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    counts, labelled = brute_kept(texts, known)
+    schema = "id long, " + ", ".join(f"{c} long" for c in quality.COUNTS)
+    frame = spark.createDataFrame([(d, *c) for d, (c, _) in labelled.items()], schema)
+    draws = {r["id"]: r["d"] for r in frame.select("id", F.pmod(F.xxhash64("id", *quality.COUNTS), F.lit(1 << 30)).alias("d")).collect()}
+    fit = sorted((draws[d], c, q) for d, (c, q) in labelled.items() if draws[d] < 1 << 29)
+    assert len(fit) < quality.FIT_ROWS
+    model = quality.fitted(np.array([c for _, c, _ in fit], np.int64), np.array([q > 0 for _, _, q in fit]))
+
+    def anomaly(c):
+        x = model.outside(np.array([c], np.int64))[0]
+        total, f = 0.0, model.forest
+        for t in range(len(f.feature)):
+            at = 0
+            while f.feature[t, at] >= 0:
+                at = f.left[t, at] + int(x[f.feature[t, at]] >= f.value[t, at])
+            total += f.path[t, at]
+        return int(2 ** (-total / (len(f.feature) * f.norm)) * quality.STEPS)
+
+    held = [(anomaly(c), q) for d, (c, q) in labelled.items() if draws[d] >= 1 << 29]
+    good = sum(q > 0 for _, q in held)
+    limit = quality.STEPS + 1
+    for step in sorted({s for s, _ in held}, reverse=True):
+        lost = sum(q > 0 for s, q in held if s >= step)
+        if lost > 0.002 * good:
+            break
+        if any(q <= 0 and s == step for s, q in held) and sum(q <= 0 for s, q in held if s >= step) >= lost:
+            limit = step
+    got = {r["doc_id"]: r for r in quality.op3_quality_forest(spark, base).collect()}
+    assert len(got) == len(texts)
+    for d, _ in texts:
+        c = counts[d]
+        failed = c[0] < 10 or 100 * c[4] > 20 * c[0]
+        assert got[d]["kept"] == (not failed and anomaly(c) < limit), d
+
+
+def test_error_rates_on_a_third_part(spark):
+    """At sf0.1, fitted and calibrated on two thirds of the labels, judged on the rest."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    rows = {r["doc_id"]: r for r in quality.judge(docs, labels.where(~third)).collect()}
+    held = [(r["quality"], rows[r["doc_id"]]) for r in labels.where(third).collect()]
+    held = [(q, r["kept"]) for q, r in held if not r["base_failed"]]
+    good, bad = [k for q, k in held if q], [k for q, k in held if not q]
+    print(f"good rejected {good.count(False)} of {len(good)}, bad kept {bad.count(True)} of {len(bad)}")
+    assert good.count(False) <= 0.01 * len(good)
+    assert bad.count(True) <= 0.05 * len(bad)
