@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from docloom.functions.fuzzy import indel_ratio
 from docloom.functions.sentences import split_sentences
+from docloom.session import shipped
 
 #: English words that carry no topic.
 STOPWORDS = frozenset(
@@ -92,6 +93,7 @@ def keywords(text: str, top: int | None = TOP, longest: int = LONGEST) -> list[t
 def keywords_function(top: int | None = 5):
     """An Arrow function from text to its keywords."""
 
+    @shipped
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.session import shipped
+
 #: Words whose dot ends no sentence.
 UNFINISHED = frozenset("mr mrs ms dr prof jr sr st no fig eq vs etc al inc ltd co approx dept est p pp vol".split())
 _END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)|\n\s*\n")
@@ -43,6 +45,7 @@ def split_sentences(text: str) -> list[tuple[int, int, str]]:
 SENTENCES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
+@shipped
 @F.pandas_udf(SENTENCES)
 def sentences(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _OWN_SHARED: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -30,21 +35,54 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a folder of our own used; it lives as long as the
-    application and is the same for all calls in it.
+    Only where that setting is absent and the master is local (tests, a laptop) is a folder of our own used; it is the
+    same for all calls of the application and goes with the process. On a cluster without the setting this raises: each
+    executor would write to a disk of its own, and later reads would miss those files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (the master is {master})")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SHARED:
-        _OWN_SHARED[app] = "file://" + tempfile.mkdtemp(prefix="docloom-shared-")
+        folder = tempfile.mkdtemp(prefix="docloom-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN_SHARED[app] = "file://" + folder
     return _OWN_SHARED[app]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that holds what this application writes between its steps."""
+    return f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application wrote between its steps. Results that are still lazy read from it: write them first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class scratch:
+    """``with scratch(spark):`` everything that is written between steps inside goes at its end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.name = spark, uuid.uuid4().hex
+
+    def __enter__(self) -> scratch:
+        _SCRATCH.append(self.name)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _SCRATCH.remove(self.name)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{run_dir(self.spark)}/{self.name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/docloom/{label}-{uuid.uuid4().hex}"
+    return "/".join([run_dir(spark), *_SCRATCH, f"{label}-{uuid.uuid4().hex}"])
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -55,6 +93,7 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     Spark's own size check and all others shuffle.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = new_path(spark, label)
     writer = df.write
     if partition_by:
@@ -84,3 +123,14 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def shipped(function: Callable[..., Column]) -> Callable[..., Column]:
+    """A function that makes Columns with Python in them, and sends this package to the executors first."""
+
+    @wraps(function)
+    def made(*args: object, **kwargs: object) -> Column:
+        ship_package(SparkSession.active())
+        return function(*args, **kwargs)
+
+    return made
