@@ -17,16 +17,17 @@ ABBREVIATIONS = (
     (r"etc\.", "etc"),
 )
 
-#: A page number: decimal, or roman of the letters i, v, x and m, with its usual dressing.
-PAGE_NUMBER = r"(?i)[-(]?[ ]?(?:page|pg\.?|pp\.?|p\.?)?[ ]?(?:[0-9]+|[ivxm]+)\.?[ ]?[-)]?"
-
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-TIME = r"\b(?:(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?: ?[AaPp]\.?[Mm]\.?)?|(?:1[0-2]|[1-9]) ?[AaPp][Mm])"
-PHONE = r"(?<![0-9-])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9-])"
-_MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-_DAY = r"[0-3]?[0-9](?:st|nd|rd|th)?"
-DATE = rf"(?i)(?<![0-9:])(?:{_DAY} (?:of )?{_MONTH}(?:,? [0-9]{{4}})?|{_MONTH} {_DAY}(?:,? [0-9]{{4}})?|[0-3]?[0-9][/.-][0-3]?[0-9][/.-](?:[0-9]{{4}}|[0-9]{{2}})|[0-9]{{4}}-[01][0-9]-[0-3][0-9])(?![0-9:])"
-ADDRESS = r"(?i)\b[0-9]{1,5} (?:[a-z]+\.? ){1,4}(?:street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|court|ct|square|sq|way|highway|hwy|park|parkway|circle|cir)\b\.?"
+# Patterns that decide what counts as a page number, date, time, e-mail address, phone number and postal
+# address. All but the e-mail address ignore case; classes are those of Unicode.
+PAGE_NUMBER = r"(?:-|\( ?)?\b(?:page|p\.?(?:[pg]\.?)?)? ?(?:\d+|\b[ivxm]+\b)\.?(?: ?-|\))?\b"
+MONTH = r"(?:jan\.?|january|feb\.?|february|mar\.?|march|apr\.?|april|may|jun\.?|june|jul\.?|july|aug\.?|august|sep\.?|september|oct\.?|october|nov\.?|november|dec\.?|december)"
+DAY = r"(?<!\:)(?<!\:\d)[0-3]?\d(?:st|nd|rd|th)?"
+DATE = rf"(?iU)(?:{DAY}\s+(?:of\s+)?{MONTH}|{MONTH}\s+{DAY})(?:\,)?\s*(?:\d{{4}})?|[0-3]?\d[-\./][0-3]?\d[-\./]\d{{2,4}}"
+TIME = r"(?iU)\d{1,2}:\d{2} ?(?:[ap]\.?m\.?)?|\d[ap]\.?m\.?"
+EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
+PHONE = r"(?U)(?<![\d-])(?:\+?\d{1,3}[-.\s*]?)?(?:\(?\d{3}\)?[-.\s*]?)?\d{3}[-.\s*]?\d{4}(?![\d-])|(?<![\d-])(?:\(\+?\d{2}\)|\+?\d{2})\s*\d{2}\s*\d{3}\s*\d{4}(?![\d-])"
+STREET = r"(?:street|st|avenue|ave|road|rd|highway|hwy|square|sq|trail|trl|drive|dr|court|ct|parkway|pkwy|circle|cir|boulevard|blvd)"
+ADDRESS = rf"(?iU)\d{{1,4}}.{{1,10}}[\w\s]{{1,20}}\s+{STREET}\W?(?=\s|$)"
 
 
 def clean_control_chars(text: Column) -> Column:
@@ -42,15 +43,15 @@ def clean_abbreviations(text: Column) -> Column:
 
 
 def is_page_number(text: Column) -> Column:
-    return F.trim(text).rlike("^(?:" + PAGE_NUMBER + ")$")
+    return text.rlike(r"(?iU)\A(?:" + PAGE_NUMBER + r")\z")
 
 
 def starts_with_page_number(text: Column) -> Column:
-    return text.rlike("^(?:" + PAGE_NUMBER + ")")
+    return text.rlike(r"(?iU)\A(?:" + PAGE_NUMBER + ")")
 
 
 def without_page_numbers(text: Column) -> Column:
-    return F.regexp_replace(text, PAGE_NUMBER, "")
+    return F.regexp_replace(text, "(?iU)" + PAGE_NUMBER, "")
 
 
 def normalised(text: Column) -> Column:
