@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import difflib
-import re
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.session import shipped
+
 #: The ends of two texts may share at most so many characters, at least so alike, to count as overlapping.
 OVERLAP_MOST, OVERLAP_LIKE = 50, 0.9
 
@@ -67,66 +70,110 @@ def normalise_with_places(text: str) -> tuple[str, list[int]]:
     return "".join(chars[a:z]), places[a:z]
 
 
-def best_window(short: str, long: str) -> tuple[float, int, int]:
-    """Indel ratio and span of the part of ``long``, as long as ``short``, that is most like ``short``.
+def _masks(text: str) -> dict[str, int]:
+    """For each character of ``text`` its places as bits."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(text):
+        at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def _prefix_lengths(at: dict[str, int], n: int, text: str) -> Iterator[int]:
+    """For each prefix of ``text``, from one character on, its common subsequence with the masked text of length ``n``."""
+    full = (1 << n) - 1
+    state = full
+    for c in text:
+        hit = state & at.get(c, 0)
+        state = (state + hit | state - hit) & full
+        yield n - state.bit_count()
 
-    Parts start at words. Of equal ones the first counts.
+
+def best_window(short: str, long: str, cutoff: float = 0.0) -> tuple[float, int, int]:
+    """Indel ratio and span of the part of ``long`` that is most like ``short``; 0 and no span if none reaches ``cutoff``.
+
+    Parts are all runs as long as ``short``, and shorter ones at either end of ``long``. Of equal ones the first counts:
+    beginnings, then runs, then ends. Two runs that begin d characters apart differ by d at most in what they have in
+    common with ``short``, so from a run that falls short by d, the next d - 1 are passed over.
     """
     if not short or not long:
         return 0.0, 0, 0
     if len(short) > len(long):
-        score, _, _ = best_window(long, short)
-        return score, 0, len(long)
+        score, _, _ = best_window(long, short, cutoff)
+        return (score, 0, len(long)) if score else (0.0, 0, 0)
     exact = long.find(short)
     if exact >= 0:
         return 100.0, exact, exact + len(short)
-    at: dict[str, int] = {}
-    for i, c in enumerate(short):
-        at[c] = at.get(c, 0) | 1 << i
-    full, n = (1 << len(short)) - 1, len(short)
-    best, place = 0.0, 0
-    for start in [0, *(m.end() for m in re.finditer(r"\s+", long))]:
-        start = min(start, len(long) - n)
+    n, at = len(short), _masks(short)
+    best, span = 0.0, (0, 0)
+
+    def better(score: float) -> bool:
+        return score > best and score >= cutoff
+
+    for k, common in enumerate(_prefix_lengths(at, n, long[: n - 1]), 1):
+        if better(score := 200.0 * common / (n + k)):
+            best, span = score, (0, k)
+    full, start = (1 << n) - 1, 0
+    while start <= len(long) - n:
         state = full
         for c in long[start : start + n]:
             hit = state & at.get(c, 0)
             state = (state + hit | state - hit) & full
-        score = 100.0 * (n - state.bit_count()) / n
-        if score > best:
-            best, place = score, start
-    return best, place, place + n
-
-
-def align(sentence: str, source: str) -> tuple[float, int, int, int, int]:
+        common = n - state.bit_count()
+        if better(score := 100.0 * common / n):
+            best, span = score, (start, start + n)
+        # Only so many characters in common would be better than the best, and reach the cutoff.
+        wanted = max(int(best * n / 100.0 + 1e-9) + 1, math.ceil(cutoff * n / 100.0 - 1e-9))
+        start += max(1, wanted - common)
+    back = _masks(short[::-1])
+    ends = [200.0 * common / (n + k) for k, common in enumerate(_prefix_lengths(back, n, long[: len(long) - n : -1]), 1)]
+    for k in range(len(ends), 0, -1):
+        if better(ends[k - 1]):
+            best, span = ends[k - 1], (len(long) - k, len(long))
+    return best, *span
+
+
+def align(sentence: str, source: str, cutoff: float = 0.0) -> tuple[float, int, int, int, int]:
     """Score and spans (sentence, source), in the strings as they are, of the best aligned parts of both."""
     a, at_a = normalise_with_places(sentence)
     b, at_b = normalise_with_places(source)
     if not a or not b:
         return 0.0, 0, 0, 0, 0
+    score, s, e, sentence_is_short = 0.0, 0, 0, True
     if len(a) <= len(b):
-        score, s, e = best_window(a, b)
+        score, s, e = best_window(a, b, cutoff)
+    if len(a) > len(b) or len(a) == len(b) and score < 100.0:  # texts of one length are tried both ways
+        other = best_window(b, a, cutoff)
+        if other[0] > score:
+            (score, s, e), sentence_is_short = other, False
+    if not score:
+        return 0.0, 0, 0, 0, 0
+    if sentence_is_short:
         return score, at_a[0], at_a[-1] + 1, at_b[s], at_b[e - 1] + 1
-    score, s, e = best_window(b, a)
     return score, at_a[s], at_a[e - 1] + 1, at_b[0], at_b[-1] + 1
 
 
+@shipped
 @F.pandas_udf(T.DoubleType())
 def indel_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def partial_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Of normalised texts, the shorter against its best window in the longer."""
-    for a, b in pairs:
-        yield pd.Series([None if x is None or y is None else align(x, y)[0] for x, y in zip(a, b)], dtype="float64")
+def partial_similarity(a: Column | str, b: Column | str, cutoff: float = 0.0) -> Column:
+    """Of normalised texts, the shorter against its best window in the longer; 0 below ``cutoff``."""
+    return alignment(a, b, cutoff).getField("score")
 
 
 ALIGNMENT = T.StructType([T.StructField("score", T.DoubleType())] + [T.StructField(x, T.IntegerType()) for x in ("sent_start", "sent_end", "node_start", "node_end")])
 
 
-@F.pandas_udf(ALIGNMENT)
-def alignment(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for a, b in pairs:
-        yield pd.DataFrame([align(x or "", y or "") for x, y in zip(a, b)], columns=["score", "sent_start", "sent_end", "node_start", "node_end"])
+@shipped
+def alignment(a: Column | str, b: Column | str, cutoff: float = 0.0) -> Column:
+    """Score and spans of the best aligned parts of two texts; score 0 below ``cutoff``, null for a null text."""
+
+    @F.pandas_udf(ALIGNMENT)
+    def aligned(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for x, y in pairs:
+            yield pd.DataFrame([align(s, t, cutoff) if s is not None and t is not None else (None,) * 5 for s, t in zip(x, y)], columns=ALIGNMENT.names)
+
+    return aligned(a, b)

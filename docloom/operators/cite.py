@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from docloom.functions.fuzzy import alignment, indel_similarity, partial_similarity
 from docloom.functions.sentences import sentences
 from docloom.operators.fusion import fuse
+from docloom.session import shipped
 
 THRESHOLD, SNIPPET, CITED, CONSIDERED = 70.0, 128, 3, 5
+#: A fixed value: what stands on both sides of a quote.
 FENCE = "|||||"
 
 
@@ -37,21 +39,36 @@ def tagged(response: str, marks: list[tuple[int, int, int]]) -> str:
     return "".join(out) + response[at:]
 
 
+def word_start(text: str, index: int) -> int:
+    """Where the word that holds ``index`` begins."""
+    while index > 0 and not text[index - 1].isspace():
+        index -= 1
+    return index
+
+
+def word_end(text: str, index: int) -> int:
+    """The first white space at or after ``index``, or the length."""
+    while index < len(text) and not text[index].isspace():
+        index += 1
+    return index
+
+
 def snippet(text: str, start: int, end: int, length: int = SNIPPET) -> str:
-    """The matched span, fenced, with about ``length`` characters in all around it, cut at white space."""
+    """The matched span, widened to whole words and fenced, with about ``length`` characters in all around it, cut at white space."""
     margin = max(0, round((length - (end - start)) / 2))
-    a, z = max(0, start - margin), min(len(text), end + margin)
-    a = nearest_whitespace(text, a, True) if 0 < a < len(text) else a
-    z = nearest_whitespace(text, z) if z < len(text) else z
-    return (text[a:start] + FENCE + text[start:end] + FENCE + text[end:z]).strip()
+    quote, quote_end = word_start(text, start), word_end(text, end)
+    a, z = word_start(text, max(0, quote - margin)), word_end(text, min(len(text), quote_end + margin))
+    return (text[a:quote] + FENCE + text[quote:quote_end] + FENCE + text[quote_end:z]).strip()
 
 
+@shipped
 @F.pandas_udf(T.StringType())
 def tagged_response(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for response, marks in columns:
         yield pd.Series([r if r is None or m is None else tagged(r, [(x["tag"], x["sentence_start"], x["quote_start"]) for x in m]) for r, m in zip(response, marks)], dtype="object")
 
 
+@shipped
 @F.pandas_udf(T.StringType())
 def cited_snippet(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for text, start, end in columns:
@@ -67,7 +84,7 @@ def citable(sources: DataFrame) -> DataFrame:
 
 def cited_nodes(responses: DataFrame, sources: DataFrame, threshold: float = THRESHOLD, weight: float = 0.85) -> DataFrame:
     """The passages that a response draws on: fuzzy likeness fused with the retrieval score."""
-    pairs = responses.join(citable(sources), "query_id").withColumn("likeness", partial_similarity("response", "text"))
+    pairs = responses.join(citable(sources), "query_id").withColumn("likeness", partial_similarity("response", "text", max(10.0, threshold - 10)))
     order = Window.partitionBy("query_id").orderBy(F.desc("likeness"), "rank")
     near = pairs.where(F.col("likeness") >= max(10.0, threshold - 10)).withColumn("at", F.row_number().over(order)).where(F.col("at") <= CONSIDERED)
     fuzzy = near.select("query_id", "node_id", F.col("likeness").alias("score"))
@@ -79,7 +96,7 @@ def alignments(responses: DataFrame, sources: DataFrame, threshold: float = THRE
     """Per sentence of a response its best passage, with spans in both texts as they are; the earliest of equal ones."""
     each = responses.select("query_id", F.posexplode_outer(sentences("response")).alias("sentence_no", "s")).where(F.col("s").isNotNull())
     pairs = each.join(citable(sources).select("query_id", "node_id", "rank", "text"), "query_id")
-    found = pairs.withColumn("a", alignment("s.text", "text")).where((F.col("a.score") >= threshold) & (F.col("a.sent_end") > F.col("a.sent_start")) & (F.col("a.node_end") > F.col("a.node_start")))
+    found = pairs.withColumn("a", alignment("s.text", "text", threshold)).where((F.col("a.score") >= threshold) & (F.col("a.sent_end") > F.col("a.sent_start")) & (F.col("a.node_end") > F.col("a.node_start")))
     part = lambda c, a, z: F.substring(c, F.col(a) + 1, F.col(z) - F.col(a))
     quote = part("s.text", "a.sent_start", "a.sent_end")
     likeness = indel_similarity(part("text", "a.node_start", "a.node_end"), quote)

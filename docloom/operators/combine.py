@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 from docloom import schemas as S
 from docloom.functions.fuzzy import join_overlapping
 from docloom.operators.structure import runs, sections
-from docloom.session import materialise
+from docloom.session import materialise, shipped
 
-#: Last characters after which a text goes on in the same line.
-GOES_ON = re.compile(r"[a-z0-9\s\[\](){}<>%^&\"':;,/\-_+=]\Z")
+#: A fixed value: last characters after which a text goes on in the same line.
+GOES_ON = re.compile(r"[a-z\d\[\](){}<>%^&\"':;,/\-_+= \t\n\r]\Z")
 
 
 def combined_kind(a: Column, b: Column) -> Column:
@@ -45,6 +45,7 @@ def combine_texts(a: str, b: str, keep: str) -> str:
 def fold_texts(keep: str = "one_kept") -> Callable[[Column], Column]:
     """An Arrow function from an array of texts to the text that they make."""
 
+    @shipped
     @F.pandas_udf(T.StringType())
     def fold(groups: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in groups:

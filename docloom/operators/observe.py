@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from docloom.functions.text import shortened
 from docloom.session import materialise
 
-#: Kinds of events by what they are about; a pipeline's stages are named in this order.
-STAGES = ("query", "agent", "retrieval", "embedding", "rerank", "synthesis", "llm", "chat", "span")
+#: Kinds of events by the stage of a pipeline that they are about. Their class names end in "Event".
+KINDS = {
+    "agent": ("AgentRunStepStart", "AgentRunStepEnd", "AgentChatWithStepStart", "AgentChatWithStepEnd", "AgentToolCall"),
+    "chat": ("StreamChatDeltaReceived", "StreamChatError"),
+    "embedding": ("EmbeddingStart", "EmbeddingEnd"),
+    "llm": ("LLMPredictStart", "LLMPredictEnd", "LLMStructuredPredictStart", "LLMStructuredPredictEnd", "LLMCompletionStart", "LLMCompletionEnd", "LLMChatInProgress", "LLMChatStart", "LLMChatEnd"),
+    "query": ("QueryStart", "QueryEnd"),
+    "rerank": ("ReRankStart", "ReRankEnd"),
+    "retrieval": ("RetrievalStart", "RetrievalEnd"),
+    "span": ("SpanDrop",),
+    "synthesis": ("SynthesizeStart", "SynthesizeEnd", "GetResponseStart"),
+}
 
 
 def distinct_events(events: DataFrame) -> DataFrame:
@@ -44,8 +54,9 @@ def of_kinds(events: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def by_stage(events: DataFrame) -> DataFrame:
-    """Events with ``stage``: the first of STAGES that their kind names, in any case; null for others."""
-    return events.withColumn("stage", F.coalesce(*[F.when(F.lower("event_type").contains(s), s) for s in STAGES]))
+    """Events with ``stage`` by their kind, with or without "Event" at its end; null for kinds that aren't among KINDS."""
+    kind = F.regexp_replace("event_type", r"Event\z", "")
+    return events.withColumn("stage", F.coalesce(*[F.when(kind.isin(*kinds), stage) for stage, kinds in KINDS.items()]))
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
@@ -53,14 +64,20 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def with_depth(spans: DataFrame, most: int = 64) -> DataFrame:
-    """Spans (span_id, parent_id) with their depth below a root; a span whose parent is unknown is a root."""
+def with_depth(spans: DataFrame) -> DataFrame:
+    """Spans (span_id, parent_id) with their depth below a root; a span whose parent is unknown is a root.
+
+    Each round doubles the steps climbed, so 40 rounds climb any tree; spans that are still climbing are a cycle, which
+    is an error.
+    """
     known = spans.select(F.col("span_id").alias("parent_id"), F.lit(True).alias("known"))
-    rows = spans.join(known, "parent_id", "left").withColumn("up", F.when(F.col("known"), F.col("parent_id"))).select("span_id", "parent_id", "up").withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0))
-    for _ in range(most):
+    rows = spans.join(known, "parent_id", "left").withColumn("up", F.when(F.col("known"), F.col("parent_id"))).select("span_id", "parent_id", "up").withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long"))
+    for climbed in range(41):
         rows = materialise(rows, "spans")
         if rows.where(F.col("up").isNotNull()).limit(1).count() == 0:
             break
+        if climbed == 40:
+            raise ValueError("some spans are their own ancestors")
         above = rows.select(F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         rows = rows.join(above, "up", "left").select("span_id", "parent_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
     return rows.select("span_id", "parent_id", "depth")

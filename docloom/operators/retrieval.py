@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
 from docloom.operators.fusion import DIGITS, fuse, ranked
-from docloom.session import materialise
+from docloom.session import materialise, ship_package
 
 #: Usual parameters of BM25.
 K1, B = 1.5, 0.75
@@ -25,9 +25,11 @@ BLOCK, CHUNK = 1024, 4096
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", vector_col: str = "embedding", skip_own: bool = False) -> DataFrame:
     """The ``k`` nearest by cosine of every query (query_id, query_vec), exact.
 
-    Each part of the vectors keeps its own best, so k rows a query and part are shuffled. Queries beyond a block of
-    BLOCK are served by passes of their own. Vectors that are null or zero don't match.
+    Each chunk of the vectors keeps its own best and those that tie with the last of them, and no more than k rows a
+    query and task are shuffled. Queries beyond a block of BLOCK are served by passes of their own. Vectors that are
+    null or zero don't match.
     """
+    ship_package(vectors.sparkSession)
     id_kind = dict(vectors.dtypes)[id_col]
     blocks = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec").orderBy("query_id")
     waiting, found = blocks.toLocalIterator(), None
@@ -49,14 +51,15 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "n
                     x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
                     size = np.sqrt((x * x).sum(axis=1))
                     scores = np.round(q @ (x / np.where(size > 0, size, 1.0)[:, None]).T, DIGITS)
-                    rank_of = np.empty(len(names), np.int64)
-                    rank_of[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-                    out: tuple[list, list, list] = ([], [], [])
-                    for i, row in enumerate(scores):
-                        own = [j for j in np.lexsort((rank_of, -row))[: k + 1] if size[j] > 0 and not (skip_own and names[j] == ids[i])][:k]
-                        out[0].extend([ids[i]] * len(own))
-                        out[1].extend(names[j] for j in own)
-                        out[2].extend(float(row[j]) for j in own)
+                    own = np.array(ids, object)[:, None] == np.array(names, object) if skip_own else False
+                    scores[:, size == 0] = -np.inf
+                    scores[own] = -np.inf
+                    if batch.num_rows > k:  # what is as good as the k-th stays, so that ties are settled by id
+                        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+                        rows, places = np.nonzero((scores >= least) & np.isfinite(scores))
+                    else:
+                        rows, places = np.nonzero(np.isfinite(scores))
+                    out = ([ids[i] for i in rows], [names[j] for j in places], scores[rows, places])
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], query_arrow), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.float64())], names=["query_id", "node_id", "score"])
 
         query_kind = dict(queries.dtypes)["query_id"]
@@ -78,21 +81,41 @@ def postings(nodes: DataFrame, id_col: str = "node_id", text_col: str = "text")
 
 
 def bm25_top_k(nodes: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "text") -> DataFrame:
-    """The ``k`` best nodes by BM25 of every query (query_id, query_text); each distinct query term counts once.
+    """The ``k`` best nodes by BM25 of every query (query_id, query_text); each distinct query term counts once. Exact.
 
-    The index is joined by the queries' terms only; weights of a term are computed where its postings are.
+    A term's ``bound`` is the most that it adds to any score. A query's rarest terms, which hold half of its bounds, give
+    partial scores, and the k-th best of them is a score that the k-th best node has at least (``least``). Its most
+    common terms whose bounds together stay below that can't bring a node up that has no other term: their postings,
+    the bulk of all, are looked up only for the nodes that the other terms find and that could still come in.
     """
     wanted = materialise(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")), "query-terms")
     texts = nodes.select(F.col(id_col).alias("node_id"), tokens(F.col(text_col)).alias("words"))
     totals = texts.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     n, mean = float(totals["n"]), float(totals["mean"] or 1.0) or 1.0
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
     index = postings(nodes, id_col, text_col).join(wanted.select("term").distinct(), "term", "left_semi")
-    index = materialise(index, "postings")
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    index = materialise(index.select("node_id", "term", part.alias("part")), "postings")
+    known = index.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = wanted.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    scored = index.join(weighted, "term").groupBy("query_id", "node_id").agg(F.round(F.sum(F.col("idf") * tf), DIGITS).alias("score"))
+    weighted = wanted.join(known, "term").select("query_id", "term", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound"))
+    of_query = Window.partitionBy("query_id")
+    rarer, commoner = (F.sum("bound").over(of_query.orderBy(*o)) for o in (("df", "term"), (F.desc("df"), F.desc("term"))))
+    terms = materialise(weighted.withColumns({"rarer": rarer, "commoner": commoner, "all": F.sum("bound").over(of_query)}), "query-weights")
+
+    def scores(some: DataFrame) -> DataFrame:
+        return index.join(some.select("query_id", "term", "idf"), "term").groupBy("query_id", "node_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
+
+    first = ranked(scores(terms.where(F.col("rarer") - F.col("bound") < 0.5 * F.col("all")))).where(F.col("rank") == k)
+    least = materialise(first.select("query_id", F.col("score").alias("least")), "least-scores")
+    slack = 10.0**-DIGITS
+    terms = terms.join(least, "query_id", "left").withColumn("looked_up", F.coalesce(F.col("commoner") < F.col("least") - slack, F.lit(False)))
+    terms = materialise(terms.select("query_id", "term", "idf", "bound", "least", "looked_up"), "split-terms")
+    reach = terms.groupBy("query_id").agg(F.sum(F.when(F.col("looked_up"), F.col("bound")).otherwise(0.0)).alias("more"), F.max("least").alias("least"))
+    found = scores(terms.where(~F.col("looked_up"))).join(reach, "query_id")
+    found = materialise(found.where(F.col("least").isNull() | (F.col("score") + F.col("more") >= F.col("least") - slack)).select("query_id", "node_id", "score"), "candidates")
+    rest = found.select("query_id", "node_id").join(terms.where("looked_up").select("query_id", "term", "idf"), "query_id").join(index, ["node_id", "term"])
+    rest = rest.select("query_id", "node_id", (F.col("idf") * F.col("part")).alias("score"))
+    scored = found.unionByName(rest).groupBy("query_id", "node_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
     return ranked(scored).where(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
 
 
@@ -129,18 +152,23 @@ def merge_up(results: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> Da
     return stay.unionByName(new).withColumn("rank", F.row_number().over(order)).drop("place")
 
 
-def settle(results: DataFrame, nodes: DataFrame, threshold: float = 0.5, most_rounds: int = 32) -> DataFrame:
-    """Gaps filled and children merged until nothing changes, sorted by score. Lists hold at most a few rows a query."""
+def settle(results: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Gaps filled and children merged until nothing changes, sorted by score. Lists hold at most a few rows a query.
+
+    A round that changes anything adds a node between two others or replaces children by their parent, of which there
+    are finitely many; a state that comes again after others is an error.
+    """
     nodes = materialise(nodes.select("node_id", "parent_id", "prev_id", "next_id"), "hierarchy")
     now = materialise(results.select("query_id", "node_id", F.col("score").cast("double"), F.col("rank").cast("int")), "results")
-    state = None
-    for _ in range(most_rounds):
+    states: list = []
+    while True:
         now = materialise(merge_up(fill_gaps(now, nodes), nodes, threshold), "results")
-        following = now.agg(F.count("*"), F.sum(F.xxhash64("query_id", "node_id").cast("decimal(38,0)"))).first()
-        if following == state:
-            break
-        state = following
-    return ranked(now)
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("query_id", "node_id").cast("decimal(38,0)"))).first()
+        if states and state == states[-1]:
+            return ranked(now)
+        if state in states:
+            raise ValueError("gap fill and merge-up undo each other")
+        states.append(state)
 
 
 def retrieve(nodes: DataFrame, vectors: DataFrame, queries: DataFrame, dense_k: int = 10, sparse_k: int = 6, fused_k: int = 10, weight: float = 0.6, threshold: float = 0.5) -> DataFrame:

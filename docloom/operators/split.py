@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,24 +14,26 @@ from pyspark.sql import types as T
 
 from docloom.functions.sentences import sentences
 from docloom.operators.fusion import DIGITS
+from docloom.session import materialise, shipped
 
 DIM = 64
 
 
+TOKEN = re.compile(r"\w+")
+
+
+def hashed_vector(text: str) -> np.ndarray:
+    """Tokens of a text hashed into DIM signed counts."""
+    hashes = np.array([zlib.crc32(token.encode()) for token in TOKEN.findall(text.lower())], np.int64)
+    return np.bincount(hashes % DIM, np.where(hashes >> 16 & 1, 1.0, -1.0), DIM) if len(hashes) else np.zeros(DIM)
+
+
+@shipped
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hashed_embedding(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The built-in embedder: tokens hashed into DIM signed counts. A model goes in its place where there is one."""
-    import re
-
+    """The built-in embedder, see ``hashed_vector``. A model goes in its place where there is one."""
     for batch in texts:
-        out = []
-        for text in batch:
-            v = np.zeros(DIM)
-            for token in re.findall(r"\w+", (text or "").lower()):
-                h = zlib.crc32(token.encode())
-                v[h % DIM] += 1.0 if h >> 16 & 1 else -1.0
-            out.append(v.tolist())
-        yield pd.Series(out)
+        yield pd.Series([hashed_vector(text or "") for text in batch])
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -50,13 +53,26 @@ def sentence_windows(docs: DataFrame, around: int = 0, id_col: str = "doc_id", t
     return sentence_rows(docs, id_col, text_col).select("doc_id", "n", F.col("text").alias("original_text"), F.array_join(F.collect_list("text").over(near), " ").alias("window"))
 
 
-def semantic_groups(docs: DataFrame, around: int = 3, percentile: float = 0.95, embedder: Callable[[Column], Column] = hashed_embedding, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, group, text: runs of sentences, broken where neighbourhoods differ more than usual in the document."""
+def summed(vectors: Column) -> Column:
+    """The sum of an array of vectors."""
+    return F.aggregate(vectors, F.array_repeat(F.lit(0.0), F.size(F.get(vectors, F.lit(0)))), lambda total, v: F.zip_with(total, v, lambda x, y: x + y))
+
+
+def semantic_groups(docs: DataFrame, around: int = 3, percentile: float = 0.95, embedder: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, group, text: runs of sentences, broken where neighbourhoods differ more than usual in the document.
+
+    The built-in embedder counts tokens, so a neighbourhood's vector is the sum of its sentences' vectors, each made
+    once. Any other embedder gets the neighbourhoods' texts. Distances are written once.
+    """
     rows = sentence_rows(docs, id_col, text_col)
     order = Window.partitionBy("doc_id").orderBy("n")
-    rows = rows.withColumn("context", F.array_join(F.collect_list("text").over(order.rowsBetween(-around, around)), " "))
-    rows = rows.withColumn("v", embedder(F.col("context")))
-    rows = rows.withColumn("distance", F.round(1 - cosine(F.lag("v").over(order), F.col("v")), DIGITS)).drop("v", "context")
+    near = order.rowsBetween(-around, around)
+    if embedder is None:
+        rows = rows.withColumn("own", hashed_embedding("text")).withColumn("v", summed(F.collect_list("own").over(near))).drop("own")
+    else:
+        rows = rows.withColumn("v", embedder(F.array_join(F.collect_list("text").over(near), " ")))
+    rows = rows.withColumn("distance", F.round(1 - cosine(F.lag("v").over(order), F.col("v")), DIGITS))
+    rows = materialise(rows.select("doc_id", "n", "text", "distance"), "sentence-distances")
     limits = rows.groupBy("doc_id").agg(F.percentile("distance", F.lit(percentile)).alias("limit"))
     rows = rows.join(limits, "doc_id").withColumn("group", F.sum(F.when(F.col("distance") > F.col("limit"), 1).otherwise(0)).over(order))
     out = rows.groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("s"))
