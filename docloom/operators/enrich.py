@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from docloom import schemas as S
 from docloom.functions.keywords import STOPWORDS, keywords_function
 from docloom.functions.sentences import split_sentences
+from docloom.session import shipped
 
 Adder = Callable[[DataFrame], DataFrame]
 
@@ -70,6 +71,7 @@ def key_sentences(texts: list[str], most: int) -> str:
 def summariser(most: int = 3) -> Callable[[Column], Column]:
     """An Arrow function from an array of texts to a summary."""
 
+    @shipped
     @F.pandas_udf(T.StringType())
     def summary(groups: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in groups:

@@ -13,6 +13,13 @@ HIDDEN_FROM_LLM = ("doc_id", "seq", "node_id", "parent_id", "coordinates", "dete
 HIDDEN_FROM_EMBEDDER = (*HIDDEN_FROM_LLM, "page_numbers", "languages", "summary")
 
 
+#: Columns of elements that nodes keep as they are, where there are any.
+KEPT = (
+    "coordinates", "detection_class_prob", "category_depth", "is_continuation", "section", "sent_from", "sent_to", "subject",
+    "languages", "link_texts", "link_urls", "emphasized_text_contents", "image_mime_type", "image_width", "extra",
+)
+
+
 def by_document(*order: str) -> Window:
     return Window.partitionBy("doc_id").orderBy(*(order or ("seq",)))
 
@@ -48,22 +55,46 @@ def to_nodes(elements: DataFrame) -> DataFrame:
         kind().alias("kind"),
         F.when(kind() == "table", F.coalesce(html, "text")).otherwise(F.col("text")).alias("text"),
         F.when(kind() == "table", html).alias("table_html"),
+        F.when((kind() == "table") & html.isNotNull(), F.col("text")).alias("table_text"),
         listed("page_number").alias("page_numbers"),
         listed("page_name").alias("page_names"),
         file_name(F.col("file_directory"), F.col("filename")).alias("filename"),
         "image_path",
         "image_base64",
         "orig_elements",
-        *[c for c in ("languages", "link_texts", "link_urls", "emphasized_text_contents", "extra") if c in known],
+        *[c for c in KEPT if c in known],
     )
     parents = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
     return nodes.join(parents, ["doc_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).drop("there")
 
 
 def composite_parts(nodes: DataFrame) -> DataFrame:
-    """The original elements of composites as nodes of their own, below the composite."""
-    parts = nodes.where(F.size("orig_elements") > 0).select("doc_id", F.col("node_id").alias("parent_id"), F.posexplode("orig_elements").alias("part", "o"))
-    return parts.select("doc_id", F.concat_ws("/", "parent_id", "part").alias("node_id"), "parent_id", "part", F.col("o.category").alias("type"), F.col("o.text").alias("text"))
+    """The original elements of composites as nodes below the composite, linked to their neighbours in it.
+
+    An element that is a composite itself, whose type has ``orig_elements`` again, is taken apart in turn.
+    """
+    level, out = nodes.select("doc_id", "node_id", "orig_elements"), None
+    while True:
+        fields = level.schema["orig_elements"].dataType.elementType.names
+        parts = level.where(F.size("orig_elements") > 0).select("doc_id", F.col("node_id").alias("parent_id"), F.size("orig_elements").alias("n"), F.posexplode("orig_elements").alias("part", "o"))
+        named = lambda at: F.concat_ws("/", "parent_id", at)
+        parts = parts.withColumn("node_id", named(F.col("part")))
+        is_table = F.col("o.category") == S.TABLE
+        text = F.when(is_table, F.coalesce(F.nullif(F.col("o.text_as_html"), F.lit("")), "o.text")).otherwise(F.col("o.text")) if "text_as_html" in fields else F.col("o.text")
+        made = parts.select(
+            "doc_id",
+            "node_id",
+            "parent_id",
+            "part",
+            F.col("o.category").alias("type"),
+            text.alias("text"),
+            F.when(F.col("part") > 0, named(F.col("part") - 1)).alias("prev_id"),
+            F.when(F.col("part") + 1 < F.col("n"), named(F.col("part") + 1)).alias("next_id"),
+        )
+        out = made if out is None else out.unionByName(made)
+        if "orig_elements" not in fields:
+            return out
+        level = parts.select("doc_id", "node_id", F.col("o.orig_elements").alias("orig_elements"))
 
 
 def linked(nodes: DataFrame, group: str = "doc_id", order: str = "seq", key: str = "node_id") -> DataFrame:

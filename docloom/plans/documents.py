@@ -5,20 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import clean_abbreviations, clean_control_chars, tokens
 from docloom.operators.boilerplate import remove_repeated
-from docloom.operators.cite import cite
+from docloom.operators.cite import cite, with_citations
 from docloom.operators.combine import merge_list_items, merge_titles, section_nodes
 from docloom.operators.enrich import Adder, add_all, document_keywords, key_sentences, keyword_adder, tree_summary
+from docloom.operators.fusion import DIGITS, fuse, ranked
 from docloom.operators.postprocess import Step, apply_steps, overlap, prune_sentences, rerank, similarity_cutoff
-from docloom.operators.retrieval import retrieve
-from docloom.operators.split import compact, hashed_embedding
+from docloom.operators.retrieval import retrieve, settle
+from docloom.operators.split import compact, cosine, hashed_embedding
 from docloom.operators.structure import linked, to_nodes
-from docloom.session import materialise
+from docloom.session import materialise, shipped
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -57,6 +58,7 @@ def embed(nodes: DataFrame, embedder: Callable[[Column], Column] = hashed_embedd
 DEFAULT_STEPS: tuple[Step, ...] = (similarity_cutoff, rerank, prune_sentences)
 
 
+@shipped
 @F.pandas_udf(T.StringType())
 def refined_answer(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The best sentences of the first context, then of what they and each further context hold together."""
@@ -133,3 +135,85 @@ def ask_by_parts(nodes: DataFrame, embeddings: DataFrame, queries: DataFrame) ->
     answers = ask(nodes, embeddings, parts.select(F.col("part_id").alias("query_id"), "query_text")).withColumnRenamed("query_id", "part_id")
     joined = parts.join(answers, "part_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("sub_id", F.coalesce("response", F.lit("")).alias("response"), "citations"))).alias("m"))
     return joined.select("query_id", F.array_join(F.transform("m", lambda x: x["response"]), "\n\n").alias("response"), F.flatten(F.filter(F.transform("m", lambda x: x["citations"]), lambda c: c.isNotNull())).alias("citations"))
+
+
+def retrieve_within(nodes: DataFrame, embeddings: DataFrame, queries: DataFrame, routed: DataFrame, k: int = 3, weight: float = 0.6, embedder: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
+    """Hybrid results of each query (query_id, query_text) from the documents (query_id, doc_id) to which it is routed.
+
+    Nodes meet queries by document. Dense is the cosine of vectors, sparse the overlap of tokens.
+    """
+    asked = queries.withColumn("query_vec", embedder(F.col("query_text"))).join(routed.select("query_id", "doc_id").distinct(), "query_id")
+    met = asked.join(nodes.select("doc_id", "node_id", "text"), "doc_id").join(embeddings.select("node_id", "embedding"), "node_id")
+    met = materialise(met.select("query_id", "node_id", F.round(cosine(F.col("query_vec"), F.col("embedding")), DIGITS).alias("dense"), overlap(F.col("query_text"), F.col("text")).alias("sparse")), "routed-scores")
+    lists = [ranked(met.select("query_id", "node_id", F.col(side).alias("score")).where(F.col(side).isNotNull())).where(F.col("rank") <= 2 * k) for side in ("dense", "sparse")]
+    return settle(fuse(*lists, weight, k), nodes)
+
+
+def ask_tools(nodes: DataFrame, embeddings: DataFrame, documents: DataFrame, queries: DataFrame, top: int = 1, synthesise: Callable[[Column], Column] = refined_answer, threshold: float = 60.0) -> DataFrame:
+    """query_id, response, citations, parts: each part of a question goes to the documents whose summary is most like it.
+
+    A part is answered from its documents' nodes; ``synthesise`` makes the response from the parts' answers, in order,
+    and cites from all that was retrieved. ``parts`` has each part's text, documents and answer. A part that is like no
+    document has no answer; a question without any has a null response.
+    """
+    parts = materialise(sub_questions(queries).withColumn("part_id", F.concat_ws("#", "query_id", "sub_id")), "question-parts")
+    asked = parts.select(F.col("part_id").alias("query_id"), "query_text")
+    routed = materialise(route(asked, documents, top), "routed")
+    found = retrieve_within(nodes, embeddings, asked, routed)
+    results = materialise(found.join(nodes.select("node_id", "text", *[c for c in ("name", "page_numbers") if c in nodes.columns]), "node_id").join(asked, "query_id"), "tool-results")
+    answers = answer(results, asked).select(F.col("query_id").alias("part_id"), F.col("response").alias("answer"))
+    went_to = routed.groupBy(F.col("query_id").alias("part_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("r"))
+    told = parts.join(answers, "part_id", "left").join(went_to, "part_id", "left")
+    part = F.struct("sub_id", F.col("query_text").alias("question"), F.transform("r", lambda x: x["doc_id"]).alias("documents"), "answer")
+    lists = materialise(told.groupBy("query_id").agg(F.array_sort(F.collect_list(part)).alias("parts")), "part-answers")
+    there = F.filter(F.transform("parts", lambda p: p["answer"]), lambda x: x.isNotNull() & (x != ""))
+    responses = lists.select("query_id", F.when(F.size(there) > 0, synthesise(there)).alias("response"))
+    sources = results.withColumnRenamed("query_id", "part_id").join(parts.select("part_id", F.col("query_id")), "part_id")
+    best = Window.partitionBy("query_id", "node_id").orderBy("rank", "part_id")
+    sources = sources.withColumn("at", F.row_number().over(best)).where("at = 1").drop("at", "part_id", "query_text")
+    cited = cite(responses, sources, threshold)
+    return queries.select("query_id").join(cited, "query_id", "left").join(lists, "query_id", "left")
+
+
+# Thin factories: settings now, data later.
+
+
+def get_retriever(nodes: DataFrame, embeddings: DataFrame, embedder: Callable[[Column], Column] = hashed_embedding, **settings: float) -> Stage:
+    """A function from queries (query_id, query_text) to results, with the texts of what was found."""
+
+    def results(queries: DataFrame) -> DataFrame:
+        found = retrieve(nodes, embeddings, queries.withColumn("query_vec", embedder(F.col("query_text"))), **settings)
+        return found.join(nodes.select("node_id", "text"), "node_id").join(queries, "query_id")
+
+    return results
+
+
+def get_engine(nodes: DataFrame, embeddings: DataFrame, embedder: Callable[[Column], Column] = hashed_embedding, steps: tuple[Step, ...] = DEFAULT_STEPS, threshold: float = 60.0) -> Stage:
+    """A function from queries to cited answers."""
+    return lambda queries: ask(nodes, embeddings, queries, embedder, steps, threshold)
+
+
+def get_citation_builder(threshold: float = 70.0, listed: bool = False) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A function from responses and sources to tagged responses, with the citations ``listed`` below them or not."""
+
+    def cited(responses: DataFrame, sources: DataFrame) -> DataFrame:
+        made = cite(responses, sources, threshold)
+        return with_citations(made) if listed else made
+
+    return cited
+
+
+def build_index(elements: DataFrame, path: str, embedder: Callable[[Column], Column] = hashed_embedding, adders: tuple[Adder, ...] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, embeddings and documents of elements, written below ``path`` and read back from there."""
+    nodes = ingest(elements, adders=adders)
+    nodes = nodes if "keywords" in nodes.columns else nodes.withColumn("keywords", F.array().cast("array<string>"))
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    stored = elements.sparkSession.read.parquet(f"{path}/nodes")
+    embed(stored, embedder).write.mode("overwrite").parquet(f"{path}/embeddings")
+    describe(stored).write.mode("overwrite").parquet(f"{path}/documents")
+    return load_index(elements.sparkSession, path)
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``build_index`` wrote: nodes, embeddings, documents."""
+    return tuple(spark.read.parquet(f"{path}/{x}") for x in ("nodes", "embeddings", "documents"))

@@ -173,14 +173,24 @@ def html_files(spark: SparkSession, path: str) -> DataFrame:
     return html_elements(files, "doc_id", "html")
 
 
+def image_kind(content: Column) -> Column:
+    """The MIME type that a picture's first bytes name, else null."""
+    start = F.hex(F.substring(content, 1, 12))
+    known = {"FFD8FF": "image/jpeg", "89504E47": "image/png", "47494638": "image/gif", "49492A00": "image/tiff", "4D4D002A": "image/tiff", "424D": "image/bmp"}
+    found = F.coalesce(*[F.when(start.startswith(begin), kind) for begin, kind in known.items()])
+    return F.coalesce(found, F.when(start.rlike("^52494646.{8}57454250"), "image/webp"))
+
+
 def with_images(elements: DataFrame, files: DataFrame) -> DataFrame:
-    """Elements with ``image`` bytes: of the file named by image_path, else of inline base64; neither is an error."""
+    """Elements with ``image`` bytes and ``image_kind``: of the file named by image_path, else of inline base64; neither is an error."""
     pictures = files.select(F.col("path").alias("image_path"), F.col("content").alias("from_file"))
     joined = elements.join(pictures, "image_path", "left")
     found = F.coalesce("from_file", F.unbase64("image_base64"))
     missing = F.raise_error(F.concat(F.lit("no image for element "), F.col("element_id")))
     wanted = (F.col("category") == S.IMAGE) & (F.col("image_path").isNotNull() | F.col("image_base64").isNotNull())
-    return joined.withColumn("image", F.when(wanted, F.coalesce(found, missing.cast("binary")))).drop("from_file")
+    given = F.col("image_mime_type") if "image_mime_type" in elements.columns else F.lit(None).cast("string")
+    out = joined.withColumn("image", F.when(wanted, F.coalesce(found, missing.cast("binary")))).drop("from_file")
+    return out.withColumn("image_kind", F.when(F.col("image").isNotNull(), F.coalesce(image_kind(F.col("image")), given)))
 
 
 def unseen(files: DataFrame, seen: DataFrame, key: str = "filename") -> DataFrame:

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.operators import cite, enrich, fusion, observe, postprocess, retrieval, split
+from docloom.operators import cite, enrich, fusion, observe, postprocess, retrieval, split, structure
 from docloom.plans import documents as plans
 from docloom.sources import readers, stores
 
@@ -141,7 +141,7 @@ def test_citations(spark):
     assert got[1]["response"].count("[0]") == 1
     assert cite.without_tags(got[1]["response"]) == responses.first()["response"]
     snippet = got[1]["citations"][0]["snippet"]
-    assert "|||||The engine quotes its sources word for word|||||" in snippet and snippet.endswith("(doc) p. 3")
+    assert "|||||The engine quotes its sources word for word.|||||" in snippet and snippet.endswith("(doc) p. 3")
     assert got[2]["response"] == "" and got[3]["response"] == "No sources." and got[3]["citations"] is None
     assert "Citations" in {r["query_id"]: r["response"] for r in cite.with_citations(cite.cite(responses, sources)).collect()}[1]
     assert [r["node_id"] for r in cite.cited_nodes(responses, sources).collect()] == ["n1"]
@@ -167,8 +167,11 @@ def test_span_trees(spark):
     assert spark.range(1).select(observe.displayed_node(F.lit("n"), F.lit(0.5), F.lit(" t "))).first()[0] == "[n] 0.5000 t"
     lines = spark.range(1).select(observe.displayed_nodes(F.array(F.struct(F.lit("a").alias("node_id"), F.lit(1.0).alias("score"), F.lit("x").alias("text")), F.struct(F.lit("b").alias("node_id"), F.lit(None).cast("double").alias("score"), F.lit("y").alias("text"))))).first()[0]
     assert lines == "[a] 1.0000 x\n[b] - y"
-    staged = observe.by_stage(spark.createDataFrame([("RetrievalStart",), ("LLMChatEnd",), ("other",)], "event_type string")).collect()
-    assert [r["stage"] for r in staged] == ["retrieval", "llm", None]
+    staged = observe.by_stage(spark.createDataFrame([("RetrievalStart",), ("LLMChatEndEvent",), ("StreamChatErrorEvent",), ("other",), (None,)], "event_type string")).collect()
+    assert [r["stage"] for r in staged] == ["retrieval", "llm", "chat", None, None]
+    assert sum(map(len, observe.KINDS.values())) == 28
+    with pytest.raises(ValueError, match="ancestors"):
+        observe.with_depth(spark.createDataFrame([("a", "b"), ("b", "a")], "span_id string, parent_id string"))
 
 
 def test_tools_and_routes(spark):
@@ -229,3 +232,85 @@ def test_files(spark, tmp_path):
     assert readers.unseen(readers.read_files(spark, str(tmp_path)), seen).count() == 2
     names = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "filename string, seq int, v string")
     assert readers.latest_by_name(names).first()["v"] == "new"
+
+
+def animals(spark):
+    texts = ["# Herons\nThe heron nests in high trees near rivers. It fishes at dawn.", "# Rocks\nGranite is a hard rock of quartz and feldspar. It forms underground."]
+    return readers.text_elements(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_parts_of_a_question_go_to_their_documents(spark, tmp_path):
+    nodes, vectors, _ = plans.build_index(animals(spark), str(tmp_path / "index"))
+    described = spark.createDataFrame([(0, "herons and where they nest"), (1, "granite and other rock")], "doc_id long, summary_oneline string")
+    queries = spark.createDataFrame([(1, "Where does the heron nest? What rock is granite?"), (2, "zzz")], "query_id long, query_text string")
+    got = {r["query_id"]: r for r in plans.ask_tools(nodes, vectors, described, queries).collect()}
+    assert [(p["question"], p["documents"]) for p in got[1]["parts"]] == [("Where does the heron nest?", [0]), ("What rock is granite?", [1])]
+    assert "heron" in got[1]["parts"][0]["answer"] and "Granite" in got[1]["parts"][1]["answer"]
+    assert "heron" in got[1]["response"] and "Granite" in got[1]["response"]
+    assert len(got[1]["citations"]) >= 2
+    assert got[2]["response"] is None and got[2]["parts"][0]["documents"] is None
+
+
+def test_factories_and_stored_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    nodes, vectors, documents = plans.build_index(animals(spark), path)
+    again = plans.load_index(spark, path)
+    assert [x.count() for x in again] == [nodes.count(), vectors.count(), 2] and documents.columns == again[2].columns
+    queries = spark.createDataFrame([(1, "heron nests in trees")], "query_id long, query_text string")
+    results = plans.get_retriever(nodes, vectors, dense_k=2, sparse_k=2, fused_k=1)(queries)
+    assert ["heron" in r["text"] for r in results.collect()] == [True]
+    answer = plans.get_engine(nodes, vectors)(queries).first()
+    assert "heron" in answer["response"]
+    sources = results.select("query_id", "node_id", "text", "score", "rank")
+    response = spark.createDataFrame([(1, "The heron nests in high trees near rivers.")], "query_id long, response string")
+    assert "----- Citations -----" in plans.get_citation_builder(listed=True)(response, sources).first()["response"]
+    assert "----- Citations -----" not in plans.get_citation_builder()(response, sources).first()["response"]
+
+
+def test_models_are_loaded_once_a_worker(spark):
+    def load():
+        import os
+        import time
+
+        born = f"{os.getpid()}-{time.time_ns()}"
+        return lambda batch: [f"{born}:{len(x or '')}" for x in batch]
+
+    from docloom.functions.models import model_column
+
+    embed = model_column(load, "string")
+    rows = spark.range(4000).repartition(8).select(embed(F.repeat(F.lit("x"), F.col("id").cast("int") % 5)).alias("v")).collect()
+    born = {r["v"].split(":")[0] for r in rows}
+    assert len(born) == len({b.split("-")[0] for b in born}) and {r["v"].split(":")[1] for r in rows} == set("01234")
+    scorer = model_column(lambda: lambda pairs: [float(len(a) + len(b)) for a, b in pairs], "double")
+    assert spark.sql("select 'ab' a, 'c' b").select(scorer(F.col("a"), F.col("b"))).first()[0] == 3.0
+
+
+def test_kinds_of_pictures(spark):
+    begins = {"ffd8ffe0": "image/jpeg", "89504e470d0a": "image/png", "474946383961": "image/gif", "52494646000000005745425020": "image/webp", "00": None}
+    rows = spark.createDataFrame([(bytes.fromhex(b), k) for b, k in begins.items()], "c binary, k string").select(readers.image_kind(F.col("c")).alias("found"), "k").collect()
+    assert all(r["found"] == r["k"] for r in rows)
+
+
+def test_composites_of_composites_and_kept_metadata(spark):
+    inner = "struct<text:string,category:string,text_as_html:string>"
+    schema = f"doc_id long, seq int, element_id string, parent_id string, category string, text string, section string, detection_class_prob double, sent_to array<string>, orig_elements array<struct<text:string,category:string,text_as_html:string,orig_elements:array<{inner}>>>"
+    rows = [(1, 0, "c", None, "CompositeElement", "all", "s1", 0.5, ["x"], [("a", "Title", None, None), ("b", "CompositeElement", None, [("t", "Table", "<table/>"), ("u", "Table", None)])]), (1, 1, "d", None, "Title", "plain", None, None, None, None)]
+    nodes = structure.to_nodes(spark.createDataFrame(rows, schema))
+    assert [(r["section"], r["detection_class_prob"], r["sent_to"]) for r in nodes.orderBy("seq").collect()] == [("s1", 0.5, ["x"]), (None, None, None)]
+    parts = {r["node_id"]: r for r in structure.composite_parts(nodes).collect()}
+    assert {k: (r["parent_id"], r["type"], r["text"], r["prev_id"], r["next_id"]) for k, r in parts.items()} == {
+        "c/0": ("c", "Title", "a", None, "c/1"),
+        "c/1": ("c", "CompositeElement", "b", "c/0", None),
+        "c/1/0": ("c/1", "Table", "<table/>", None, "c/1/1"),
+        "c/1/1": ("c/1", "Table", "u", "c/1/0", None),
+    }
+
+
+def test_zero_vectors_hide_no_neighbour(spark):
+    """More zero vectors than k in a chunk, and only negative cosines besides."""
+    rows = [(i, [0.0, 0.0]) for i in range(20)] + [(100 + i, [-1.0, float(i)]) for i in range(3)]
+    vectors = spark.createDataFrame(rows, "node_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query_vec array<double>")
+    assert [r["node_id"] for r in retrieval.dense_top_k(vectors, asked, 5).orderBy("rank").collect()] == [102, 101, 100]
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)], "node_id long, embedding array<double>").coalesce(1)
+    assert [r["node_id"] for r in retrieval.dense_top_k(same, asked, 3, skip_own=True).orderBy("rank").collect()] == [0, 2, 3]
