@@ -102,26 +102,29 @@ def parent_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.child_counts(line_nodes(spark, sf_dir))
 
 
-def _runs_sql(kind: str) -> str:
-    return f"""WITH {LINES},
+def _runs_sql(kind: str, nodes: str) -> str:
+    return f"""WITH {nodes},
 marked AS (SELECT *, CASE WHEN type = '{kind}' AND lag(type) OVER (PARTITION BY doc_id ORDER BY seq) = '{kind}' THEN 0 ELSE 1 END AS starts FROM nodes),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM marked)
 SELECT doc_id, run::BIGINT AS run, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM numbered WHERE type = '{kind}' GROUP BY doc_id, run"""
 
 
-def _runs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows = structure.runs(line_nodes(spark, sf_dir), kind).where(F.col("type") == kind)
+def _runs(nodes: DataFrame, kind: str) -> DataFrame:
+    rows = structure.runs(nodes, kind).where(F.col("type") == kind)
     return rows.groupBy("doc_id", "run").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-@query(_runs_sql(S.TITLE))
+@query(_runs_sql(S.TITLE, LINES))
 def title_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir, S.TITLE)
+    return _runs(line_nodes(spark, sf_dir), S.TITLE)
 
 
-@query(_runs_sql(S.LIST_ITEM))
+@query(_runs_sql(S.LIST_ITEM, "nodes AS (SELECT conv_id AS doc_id, turn AS seq, CASE WHEN length(text) < 400 THEN 'ListItem' ELSE 'NarrativeText' END AS type FROM conversations)"))
 def listitem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir, S.LIST_ITEM)
+    """Conversations as documents whose short messages are list items: the lines of the documents hold none."""
+    kind = F.when(F.length("text") < 400, S.LIST_ITEM).otherwise(S.NARRATIVE)
+    messages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), kind.alias("type"))
+    return _runs(messages, S.LIST_ITEM)
 
 
 @query()
@@ -140,7 +143,10 @@ def page_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.zones(line_nodes(spark, sf_dir)).select("doc_id", "node_id", "page", "in_header", "in_footer")
 
 
-@query(f"""WITH {LINES} SELECT doc_id, node_id, regexp_matches(trim(text), '^(?:{tx.PAGE_NUMBER})$') AS is_number, regexp_matches(text, '^(?:{tx.PAGE_NUMBER})') AS starts_with_number FROM nodes""")
+_NUMBERED = r"^(?:-|\( |\()?\b(?:(?i:page|pp\.|pg\.|pp|pg|p\.[pg]\.|p\.[pg]|p\.|p))? ?(?:[0-9]+|\b(?i:[ivxm]+)\b)\.?(?: -|-|\))?"
+
+
+@query(f"""WITH {LINES} SELECT doc_id, node_id, regexp_matches(text, '{_NUMBERED}\\b\\z') AS is_number, regexp_matches(text, '{_NUMBERED}\\b') AS starts_with_number FROM nodes""")
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_nodes(spark, sf_dir).select("doc_id", "node_id", tx.is_page_number(F.col("text")).alias("is_number"), tx.starts_with_page_number(F.col("text")).alias("starts_with_number"))
 
@@ -187,8 +193,11 @@ def section_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.section_nodes(line_nodes(spark, sf_dir)).select("doc_id", "seq", "node_id", "type", "text")
 
 
-def _found_sql(pattern: str) -> str:
-    return f"SELECT doc_id, len(regexp_extract_all(text, '{pattern}')) AS n_found, array_to_string(regexp_extract_all(text, '{pattern}'), '|') AS found FROM documents"
+def _found_sql(pattern: str, before: str = "", after: str = "") -> str:
+    """Matches by a pattern of DuckDB's own; what stands in for looking around is part of the match, but not of the result."""
+    whole = "text || ' '" if after else "text"
+    all_found = f"regexp_extract_all({whole}, '{before}({pattern}){after}', 1)"
+    return f"SELECT doc_id, len({all_found}) AS n_found, array_to_string({all_found}, '|') AS found FROM documents"
 
 
 def _found(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
@@ -196,12 +205,12 @@ def _found(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
     return rows.select("doc_id", F.size("found").cast("long").alias("n_found"), F.array_join("found", "|").alias("found"))
 
 
-@query(_found_sql(tx.EMAIL))
+@query(_found_sql("[A-Za-z0-9.+_-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"))
 def regex_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, tx.EMAIL)
 
 
-@query(_found_sql(tx.TIME))
+@query(_found_sql("[0-9][0-9]?:[0-9][0-9](?: ?[AaPp][.]?[Mm][.]?| )?|[0-9][AaPp][.]?[Mm][.]?"))
 def regex_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, tx.TIME)
 
@@ -216,12 +225,12 @@ def regex_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, tx.DATE)
 
 
-@query(_found_sql(tx.ADDRESS))
+@query(_found_sql(r"[0-9]{1,4}.{1,10}[\pL\pN_\s]{1,20}\s+(?i:street|st|avenue|ave|road|rd|highway|hwy|square|sq|trail|trl|drive|dr|court|ct|parkway|pkwy|circle|cir|boulevard|blvd)[^\pL\pN_]?", after=r"\s"))
 def regex_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, tx.ADDRESS)
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{tx.EMAIL}') AS has_email, regexp_matches(text, '^(?:{tx.TIME})') AS starts_with_time FROM documents")
+@query(f"SELECT doc_id, regexp_matches(text, '[A-Za-z0-9.+_-]@[A-Za-z0-9-]+[.][A-Za-z0-9.-]') AS has_email, regexp_matches(text, '^(?:[0-9][0-9]?:[0-9][0-9]|[0-9][AaPp][.]?[Mm])') AS starts_with_time FROM documents")
 def regex_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = enrich.add_all(table(spark, sf_dir, "documents"), [enrich.pattern_adder("has_email", tx.EMAIL, "contains"), enrich.pattern_adder("starts_with_time", tx.TIME, "match")])
     return rows.select("doc_id", "has_email", "starts_with_time")
