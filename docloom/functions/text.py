@@ -90,9 +90,9 @@ def whitespace_after(text: Column, index: Column) -> Column:
 
 
 def pdf_display(content: Column, width: str = "100%", height: str = "500", page: int | None = None) -> Column:
-    """An HTML embed of a PDF as a data URI; the page fragment is part of the address."""
+    """An HTML embed of a PDF as a data URI without line breaks; the page fragment is part of the address."""
     fragment = f"#page={page}" if page is not None else ""
-    return F.concat(F.lit('<embed src="data:application/pdf;base64,'), F.base64(content), F.lit(f'{fragment}" width="{width}" height="{height}" type="application/pdf">'))
+    return F.concat(F.lit('<embed src="data:application/pdf;base64,'), F.translate(F.base64(content), "\r\n", ""), F.lit(f'{fragment}" width="{width}" height="{height}" type="application/pdf">'))
 
 
 def qa_prompt(context: Column, query: Column) -> Column:

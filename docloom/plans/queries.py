@@ -9,8 +9,9 @@ from docloom import schemas as S
 from docloom.functions import text as tx
 from docloom.operators import boilerplate, cite, combine, enrich, fusion, observe, postprocess, retrieval, split, structure
 from docloom.plans import documents as plans
-from docloom.session import materialise, spread
-from docloom.sources import readers
+from docloom.session import materialise, new_path, spread
+from docloom.sources import readers, stores
+from docloom.streaming import event_log
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -532,3 +533,135 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = materialise(plans.embed(nodes), "section-vectors")
     answers = plans.ask(nodes, vectors, _passages(spark, sf_dir))
     return answers.select("query_id", "response", F.coalesce(F.size("citations"), F.lit(0)).alias("n_citations"))
+
+
+# Structure and display.
+@query(rf"""WITH {LINES},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1 AS part, count(*) OVER (PARTITION BY doc_id, page) AS n FROM nodes)
+SELECT doc_id, doc_id || '-' || page || '/' || part AS node_id, doc_id || '-' || page AS parent_id, part::INT AS part, type, text,
+       CASE WHEN part > 0 THEN doc_id || '-' || page || '/' || (part - 1) END AS prev_id, CASE WHEN part + 1 < n THEN doc_id || '-' || page || '/' || (part + 1) END AS next_id FROM ordered""")
+def composite_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's lines as the original elements of one composite, taken apart again."""
+    pages = line_nodes(spark, sf_dir).groupBy("doc_id", F.array_min("page_numbers").alias("page")).agg(F.array_sort(F.collect_list(F.struct("seq", "text", "type"))).alias("m"))
+    elements = pages.select(
+        "doc_id", F.col("page").alias("seq"), F.concat_ws("-", "doc_id", "page").alias("element_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("CompositeElement").alias("category"),
+        F.lit("").alias("text"), F.transform("m", lambda x: F.struct(x["text"].alias("text"), x["type"].alias("category"))).alias("orig_elements"),
+    )
+    return structure.composite_parts(structure.to_nodes(elements))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, node_id, seq, type, CASE WHEN parent_id IS NOT NULL THEN NULL END AS parent_id FROM nodes WHERE type <> 'Title'""")
+def nodes_without_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = materialise(line_nodes(spark, sf_dir).select("doc_id", "node_id", "seq", "type", "parent_id"), "line-nodes")
+    return structure.without(nodes, nodes.where(F.col("type") == S.TITLE))
+
+
+@query(f"""WITH {LINES} SELECT n.doc_id, n.node_id, d.source || '/' || d.lang AS name FROM nodes n JOIN documents d USING (doc_id)""")
+def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", tx.file_name(F.col("source"), F.col("lang")).alias("name"))
+    return enrich.named(enrich.text_bearing(line_nodes(spark, sf_dir)).select("doc_id", "node_id"), documents)
+
+
+@query("SELECT doc_id, 'lang: ' || lang || chr(10) || 'source: ' || source AS shown, map_keys(MAP {'lang': lang}) [1] AS kept FROM documents")
+def visible_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata as it is rendered for a language model: hidden keys don't show."""
+    values = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"), F.lit("doc_id"), F.col("doc_id").cast("string"))
+    kept = F.get(F.map_keys(structure.kept_keys(values, ["lang"])), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", structure.visible(values, structure.HIDDEN_FROM_LLM).alias("shown"), kept.alias("kept"))
+
+
+KINDS_FOLDED = """list_reduce(kinds, lambda a, b: CASE WHEN a = b THEN a
+  WHEN a IN ('NarrativeText', 'ListItem', 'Formula', 'UncategorizedText', 'Composite-TextOnly') AND b IN ('NarrativeText', 'ListItem', 'Formula', 'UncategorizedText', 'Composite-TextOnly') THEN 'Composite-TextOnly'
+  WHEN a IN ('FigureCaption', 'Image') AND b IN ('FigureCaption', 'Image') THEN 'Image' ELSE 'Composite' END)"""
+
+
+@query(f"""WITH {SECTIONS},
+kinds AS (SELECT p.doc_id, p.target, list(CASE WHEN p.anchor AND n.type = 'Title' THEN 'Composite' WHEN p.anchor THEN 'Composite-TextOnly' ELSE n.type END ORDER BY p.seq) AS kinds FROM placed p JOIN nodes n USING (node_id) WHERE target IS NOT NULL GROUP BY ALL)
+SELECT doc_id, target AS node_id, {KINDS_FOLDED} AS type FROM kinds""")
+def section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combine.section_nodes(line_nodes(spark, sf_dir)).select("doc_id", "node_id", "type")
+
+
+@query("""SELECT doc_id, coalesce(len(regexp_extract(left(text, least(100, length(text) - 1)), '^([\\s\\S]*)\\s\\S*$', 1)), 0)::INT AS before,
+  CASE WHEN length(text) > 0 THEN least(100, length(text) - 1) + length(regexp_extract(substr(text, least(100, length(text) - 1) + 1), '^\\S*')) END::INT AS after FROM documents WHERE length(text) > 0""")
+def nearest_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.least(F.lit(100), F.length("text") - 1)
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return docs.select("doc_id", tx.whitespace_before(F.col("text"), at).alias("before"), tx.whitespace_after(F.col("text"), at).alias("after"))
+
+
+@query("""SELECT page_id, '<embed src="data:application/pdf;base64,' || base64(encode(html)) || '#page=3" width="100%" height="500" type="application/pdf">' AS shown FROM pages""")
+def pdf_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.pdf_display(F.encode("html", "UTF-8"), page=3).alias("shown"))
+
+
+@query("""SELECT item_id, 'Question: q' || chr(10) || 'Answer so far: a' || chr(10) || 'More passages:' || chr(10) || text || chr(10) || 'Answer, improved where they help:' AS refine,
+  'Summarise what follows.' || chr(10) || text || chr(10) || 'Summary:' AS summary, 'Say in one sentence what this is about.' || chr(10) || text || chr(10) || 'Sentence:' AS oneline FROM benchmark""")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.refine_prompt(F.lit("a"), text, F.lit("q")).alias("refine"), tx.summary_prompt(text).alias("summary"), tx.oneline_prompt(text).alias("oneline"))
+
+
+# Retrieval and citation.
+@query(f"""WITH RECURSIVE {BM25},
+found AS (SELECT query_id, rank, length(text) AS n, text FROM sparse JOIN documents ON doc_id = node_id WHERE rank <= 3),
+walk AS (
+  SELECT query_id, rank, n AS used, 0 AS pack FROM found WHERE rank = 1
+  UNION ALL
+  SELECT f.query_id, f.rank, CASE WHEN used + f.n <= 4096 THEN used + f.n ELSE f.n END, CASE WHEN used + f.n <= 4096 THEN pack ELSE pack + 1 END FROM walk w JOIN found f ON f.query_id = w.query_id AND f.rank = w.rank + 1)
+SELECT query_id, pack, count(*)::INT AS n_contexts, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM walk JOIN found USING (query_id, rank) GROUP BY query_id, pack""")
+def packed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``compact_pack`` gives, with SQL that packs recursively."""
+    return split.compact(_retrieved(spark, sf_dir, 3).select("query_id", "rank", "text"))
+
+
+@query("""WITH sources AS (SELECT lang AS query_id, doc_id AS node_id, text, n_chars AS score, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE length(text) > 0)
+SELECT query_id, node_id, rank::INT AS rank FROM sources QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY rank) = 1""")
+def citable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of sources with one text the best-ranked one: documents as the sources of their language."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.col("lang").alias("query_id"), F.col("doc_id").alias("node_id"), "text", F.col("n_chars").alias("score"))
+    return cite.citable(fusion.ranked(docs)).select("query_id", "node_id", "rank")
+
+
+@query(f"""WITH {DENSE}, asked AS (SELECT query_id, node_id FROM dense WHERE rank <= 6) SELECT vec_id AS node_id, label FROM embeddings WHERE vec_id IN (SELECT node_id FROM asked)""")
+def looked_up_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes written to a store, read back, and looked up by the ids of results."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("node_id"), "label")
+    path = new_path(spark, "node-store")
+    stores.write_nodes(vectors, path)
+    return stores.lookup(stores.read_nodes(spark, path), _dense(spark, sf_dir, 6)).select("node_id", "label")
+
+
+# Events: spans below each other, kinds, windows and sessions.
+@query("SELECT conv_id || '/' || turn AS span_id, CASE WHEN lag(turn) OVER w IS NOT NULL THEN conv_id || '/' || lag(turn) OVER w END AS parent_id, (row_number() OVER w - 1)::BIGINT AS depth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def span_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as a span below the one before it."""
+    linked = structure.linked(table(spark, sf_dir, "conversations"), "conv_id", "turn", "turn")
+    above = F.when(F.col("prev_id").isNotNull(), F.concat_ws("/", "conv_id", "prev_id"))
+    return observe.with_depth(linked.select(F.concat_ws("/", "conv_id", "turn").alias("span_id"), above.alias("parent_id")))
+
+
+_KINDS = [k for kinds in observe.KINDS.values() for k in kinds]
+
+
+@query("""SELECT stage, count(*) AS n FROM (SELECT CASE event_id % 29
+  WHEN 0 THEN 'agent' WHEN 1 THEN 'agent' WHEN 2 THEN 'agent' WHEN 3 THEN 'agent' WHEN 4 THEN 'agent' WHEN 5 THEN 'chat' WHEN 6 THEN 'chat' WHEN 7 THEN 'embedding' WHEN 8 THEN 'embedding'
+  WHEN 18 THEN 'query' WHEN 19 THEN 'query' WHEN 20 THEN 'rerank' WHEN 21 THEN 'rerank' WHEN 22 THEN 'retrieval' WHEN 23 THEN 'retrieval' WHEN 24 THEN 'span'
+  WHEN 25 THEN 'synthesis' WHEN 26 THEN 'synthesis' WHEN 27 THEN 'synthesis' WHEN 28 THEN NULL ELSE 'llm' END AS stage FROM events) GROUP BY stage""")
+def event_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are given the known kinds in turn, and one that isn't known, by stage."""
+    kind = F.get(F.array(*[F.lit(f"{k}Event") for k in _KINDS]), (F.col("event_id") % (len(_KINDS) + 1)).cast("int"))
+    return observe.by_stage(table(spark, sf_dir, "events").withColumn("event_type", F.coalesce(kind, F.lit("other")))).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 hour, ts) AS start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS "end", event_type, count(*) AS n FROM events GROUP BY ALL""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's windows over the table as it is."""
+    return event_log.counts_by_window(table(spark, sf_dir, "events").dropDuplicates(["event_id"]))
+
+
+@query("""WITH gaps AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 minutes THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+runs AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM gaps)
+SELECT user_id AS span_id, min(ts) AS start, max(ts) + INTERVAL 30 minutes AS "end", count(*) AS n FROM runs GROUP BY user_id, run""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_log.span_sessions(table(spark, sf_dir, "events"))
