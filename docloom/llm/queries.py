@@ -7,8 +7,9 @@ from docloom.llm.mixing import OP10_SQL, op10_pareto_mix
 from docloom.llm.quality import op3_quality_forest
 from docloom.llm.quotations import OP6_SQL, op6_quotation_links
 from docloom.llm.rotated_codes import OP7_SQL, op7_rotated_codes
-from docloom.llm.sharding import op4_hash_tree
+from docloom.llm.sharding import OP4_SQL, op4_hash_tree
 from docloom.llm.simhash import op8_simhash_components
+from docloom.llm.simhash_sql import OP8_SQL
 from docloom.llm.token_counts import op5_token_counts
 from docloom.llm.url_reputation import OP2_SQL, op2_host_reputation
 from docloom.llm.warc import OP9_SQL, op9_revisit_records
@@ -28,8 +29,10 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_host_reputation": OP2_SQL,
+    "op4_hash_tree": OP4_SQL,
     "op6_quotation_links": OP6_SQL,
     "op7_rotated_codes": OP7_SQL,
+    "op8_simhash_components": OP8_SQL,
     "op9_revisit_records": OP9_SQL,
     "op10_pareto_mix": OP10_SQL,
 }

@@ -108,3 +108,33 @@ def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = sharded(docs, EIGHT)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _draw_sql(name: str, weight: float) -> str:
+    return f"-ln((('0x' || substr(md5(key || '|{name}'), 1, {DRAW_BITS // 4}))::BIGINT + 0.5e0) / {float(2**DRAW_BITS)!r}) / {weight!r}e0"
+
+
+def shard_sql(node: Node) -> str:
+    """``shard_of`` a column ``key``, in DuckDB's SQL."""
+    if not node.children:
+        return str(node.shard)
+    live = [c for c in node.children if c.weight > 0]
+    out = shard_sql(live[-1])
+    for i in range(len(live) - 2, -1, -1):
+        own = _draw_sql(live[i].name, live[i].weight)
+        wins = " AND ".join(f"{own} <= {_draw_sql(c.name, c.weight)}" for c in live[i + 1 :])
+        out = f"CASE WHEN {wins} THEN {shard_sql(live[i])} ELSE {out} END"
+    return out
+
+
+#: The checksum byte by byte, by a table that its polynomial makes.
+OP4_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+rows AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+placed AS (
+  SELECT doc_id, len(bytes) + 1 AS size, xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+         {shard_sql(EIGHT)} AS shard, {shard_sql(EIGHT.grown())} AS grown_shard
+  FROM rows, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed
+"""
