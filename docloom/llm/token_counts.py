@@ -6,7 +6,8 @@ appended to the cache. Normalising may only merge texts that have the same count
 parameter that goes with it.
 
 What moves: texts cross the network once, and only to the tasks that encode them, keyed by digest and row id so that
-copies spread out; everything else that is shuffled is a digest with a number. The cache is Parquet, one folder per
+copies spread out, or not at all if there are at most ``FEW`` misses, which are then broadcast to the texts; everything
+else that is shuffled is a digest with a number. The cache is Parquet, one folder per
 tokenizer version; appending the same count twice (after a retry, or by two jobs) is harmless.
 
 Defined results: a null text counts as the empty text (0 bytes, 0 tokens); null ids are kept; repeated rows each get
@@ -33,6 +34,8 @@ from docloom.llm.arrow import arrow_map, quoted, slices
 from docloom.llm.bpe import CACHED_WORDS, byte_table
 from docloom.session import materialise, new_path
 
+#: So many digests of missing texts are broadcast.
+FEW = 1 << 12
 CACHE_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokenizer", T.StringType())])
 
 
@@ -146,8 +149,9 @@ def count_tokens(
     rows = materialise(keyed.select("id", "row_key", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-rows")
 
     firsts = rows.groupBy("digest").agg(F.min("row_key").alias("row_key"))
-    misses = firsts.join(read_cache(spark, cache_path, version), "digest", "left_anti")
-    texts = keyed.select("digest", "row_key", "text").join(misses.hint("shuffle_hash"), ["digest", "row_key"], "left_semi")
+    misses = materialise(firsts.join(read_cache(spark, cache_path, version), "digest", "left_anti"), "misses")
+    misses = F.broadcast(misses) if misses.count() <= FEW else misses.hint("shuffle_hash")
+    texts = keyed.select("digest", "row_key", "text").join(misses, ["digest", "row_key"], "left_semi")
 
     def kernel(column: pa.Array) -> list:
         count = counter(tokenizer_path)
