@@ -3,7 +3,7 @@
 Each round hangs every node on the smallest node it can see, first along larger neighbours, then along smaller ones,
 until every link joins a node to the smallest node of its component. Nodes are longs. A round moves pairs of longs
 only; minima are aggregated before the shuffle, and the join back to a hub's links can be split where it is skewed.
-Every round is written to the shared folder, so a lost executor never costs more than a round.
+A round is one job, whose result is written to the shared folder, so a lost executor never costs more than a round.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ def component_roots(links: DataFrame) -> DataFrame:
     current = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while not _settled(current):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "star")
+        smallest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u <> v").distinct(), "large-star")
+        large = large.where("u <> v").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         sideways = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         current = materialise(sideways.union(below.select("u", F.col("m").alias("v"))).distinct(), "links")

@@ -5,11 +5,16 @@ link if they differ in at most ``radius`` bits, and documents belong together if
 
 Equal fingerprints are one node. Nodes are dealt to shards by whole blocks of bits: with ``radius + g`` blocks, two
 linked fingerprints agree in at least ``g`` of them, so each pair meets in the shard of some choice of ``g`` blocks.
-A shard with more than ``SHARD`` nodes is dealt again by blocks of its remaining bits, which loses no pair for the
-same reason. In each shard a BK-tree (children keyed by their Hamming distance to the parent) takes the nodes one by
+A shard with more than four times ``SHARD`` nodes is dealt again by blocks of its remaining bits, which loses no pair for
+the same reason. In each shard a BK-tree (children keyed by their Hamming distance to the parent) takes the nodes one by
 one: a search follows only edges within the radius, skips subtrees that already belong to the searching node's
 component, and reports a link only if it joins two components, so a group of m near copies gives m - 1 links.
-Trees travel to their queries through the shuffle, not by broadcast: all trees together grow with the corpus.
+A shard of up to ``TREE`` nodes is one tree, built where the shuffle brings its nodes: all trees together grow with the
+corpus, so they can't be broadcast. What is still larger, a crowd of fingerprints that agree in most bits, is cut into
+chunks by hash. Its trees are a written table, one row a chunk, which is joined to the chunks that search them: Spark
+broadcasts that table if its exact size is below the session's limit, and shuffles it otherwise. So every crowd's tree
+meets every chunk of it, no task holds more than two chunks, and links of a chunk count once for each component they
+reach in a tree.
 
 One fingerprint misses near copies by chance, as its bits differ in more places the fewer shingles two texts share.
 With ``prints`` above one, each text gets so many independent fingerprints, made from the same hashes mixed anew, and
@@ -28,17 +33,19 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.arrow import arrow_map, quoted
+from docloom.llm.arrow import arrow_column, quoted
 from docloom.llm.components import component_roots
 from docloom.session import materialise
 
 BITS, SEED = 64, 42
 #: A shard is meant to hold so many nodes; the number of blocks follows from it.
 SHARD = 256
+#: A tree has about so many nodes at most.
+TREE = 1 << 16
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 14
 
@@ -79,15 +86,21 @@ def fingerprint(text: bytes, words_per_shingle: int = 4, prints: int = 1) -> tup
     return tuple(_majority(_mixed(hashes, turn)) for turn in range(prints))
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, words_per_shingle: int = 4, prints: int = 1) -> DataFrame:
-    """``carry`` (default: all columns) and ``fps``, the fingerprints as signed longs."""
+def fingerprints_of(text: Column, words_per_shingle: int = 4, prints: int = 1) -> Column:
+    """The fingerprints of a text as an array of signed longs."""
 
-    def kernel(texts: pa.Array) -> list:
+    def kernel(texts: pa.Array) -> pa.Array:
         found = [fingerprint(x or b"", words_per_shingle, prints) for x in texts.cast(pa.binary()).to_pylist()]
         values = np.array(found, np.uint64).reshape(-1).view(np.int64)
-        return [pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, prints, dtype=np.int32)), pa.array(values))]
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, prints, dtype=np.int32)), pa.array(values))
+
+    return arrow_column([text], T.ArrayType(T.LongType()), kernel)
+
 
-    return arrow_map(docs, docs.columns if carry is None else carry, [quoted(text_col)], [T.StructField("fps", T.ArrayType(T.LongType(), False))], kernel)
+def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, words_per_shingle: int = 4, prints: int = 1) -> DataFrame:
+    """``carry`` (default: all columns) and ``fps``, the fingerprints as signed longs."""
+    kept = [c for c in (docs.columns if carry is None else carry) if c != "fps"]
+    return docs.select(*map(quoted, kept), fingerprints_of(quoted(text_col), words_per_shingle, prints).alias("fps"))
 
 
 def _signed(mask: int) -> int:
@@ -156,6 +169,58 @@ class Tree:
         return links
 
 
+    def reached(self, x: int) -> list[int]:
+        """The values within the radius of ``x``, one for each component; ``x`` isn't inserted."""
+        values, children, whole, radius = self.values, self.children, self.whole, self.radius
+        links, seen = [], set()
+        stack = [0] if values else []
+        while stack:
+            i = stack.pop()
+            if whole[i] >= 0 and self.component(whole[i]) in seen:
+                continue
+            d = (values[i] ^ x).bit_count()
+            if d <= radius and (a := self.component(i)) not in seen:
+                seen.add(a)
+                links.append(values[i])
+            stack += [j for e, j in children[i].items() if -radius <= e - d <= radius]
+        return links
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _chunk_links(radius: int):
+    """From (p, nodes of a tree, nodes of a chunk or null): links inside the tree, or of the chunk's nodes with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                p, tree, us, vs = batch.column(0)[at].as_py(), Tree(radius), [], []
+                nodes, searching = (batch.column(c)[at].values for c in (1, 2))
+                for x in nodes.to_numpy().view(np.uint64).tolist():
+                    for y in tree.add(x):
+                        if searching is None:
+                            us.append(x)
+                            vs.append(y)
+                for x in [] if searching is None else searching.to_numpy().view(np.uint64).tolist():
+                    for y in tree.reached(x):
+                        us.append(x)
+                        vs.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(us), pa.int32()), _longs(us), _longs(vs)], names=["p", "u", "v"])
+
+    return run
+
+
+def _crowd_links(crowded: DataFrame, order: list[str], radius: int) -> DataFrame:
+    """Links inside shards of more than TREE nodes, from (order, fp, chunk)."""
+    trees = materialise(crowded.groupBy(*order, "chunk").agg(F.collect_list("fp").alias("nodes")), "trees")  # about TREE nodes each
+    inside = trees.select("p", "nodes", F.lit(None).cast("array<bigint>").alias("searching"))
+    other = trees.select(*order, F.col("chunk").alias("later"), F.col("nodes").alias("searching"))
+    across = trees.join(other, order).where(F.col("chunk") < F.col("later")).select("p", "nodes", "searching")
+    return inside.union(across).mapInArrow(_chunk_links(radius), "p int, u long, v long")
+
+
 def _shard_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tree = None, None
@@ -169,15 +234,15 @@ def _shard_links(radius: int):
                     ps.append(key[0])
                     us.append(x)
                     vs.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32())] + [pa.array(np.array(a, np.uint64).view(np.int64)) for a in (us, vs)], names=["p", "u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), _longs(us), _longs(vs)], names=["p", "u", "v"])
 
     return run
 
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """From distinct (p, fp): links (p, u, v) that join the same components as all pairs within the radius, print by print."""
-    most = nodes.groupBy("p").count().agg(F.max("count")).first()[0] or 0
-    blocks, chosen = blocks_for(most, radius)
+    about = nodes.agg(F.count("*").alias("n"), F.max("p").alias("last")).first()
+    blocks, chosen = blocks_for(about["n"] // ((about["last"] or 0) + 1), radius)
     masks = block_masks(list(range(BITS)), blocks, chosen)
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)]))
     dealt = nodes.select("p", "fp", tables.alias("s")).select("p", "s.t", "s.key", "fp")
@@ -189,11 +254,21 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         rest = block_masks([b for b in range(BITS) if not mask >> b & 1], radius + 1, 1)
         parts = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(rest)])
         again = F.when(F.col("t") == t, parts).otherwise(again)
+    order = [*shard, "i", "part"]
+    redealt = dealt.join(large, shard, "left_semi").select(*shard, "fp", F.explode(again).alias("s")).select(*shard, "s.i", "s.part", "fp")
+    crowds = None
+    if large.limit(1).count():
+        chunks = F.ceil(F.count("*") / TREE).cast("int")
+        crowds = materialise(redealt.groupBy(*order).agg(chunks.alias("chunks")).where("chunks > 1"), "crowds")
+
     alone = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("part")))
     placed = dealt.join(large, shard, "left").select(*shard, "fp", F.explode(F.when(F.col("large"), again).otherwise(alone)).alias("s"))
     placed = placed.select(*shard, F.col("s.i").alias("i"), F.col("s.part").alias("part"), "fp")
-    order = [*shard, "i", "part"]
-    return placed.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(_shard_links(radius), "p int, u long, v long")
+    if crowds is None or not crowds.limit(1).count():
+        return placed.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(_shard_links(radius), "p int, u long, v long")
+    fitting = placed.join(crowds, order, "left_anti").repartition(*order).sortWithinPartitions(*order, "fp")
+    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("chunk")
+    return fitting.mapInArrow(_shard_links(radius), "p int, u long, v long").union(_crowd_links(redealt.join(crowds, order).select(*order, "fp", chunk), order, radius))
 
 
 def _node_links(values: DataFrame, radius: int) -> DataFrame:

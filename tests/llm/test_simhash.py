@@ -67,6 +67,19 @@ def test_tree_joins_what_links_join():
         assert all((seen[a] == seen[b]) == (truth[a] == truth[b]) for a in values for b in values)
 
 
+def test_a_tree_names_each_component_that_is_reached():
+    draw = random.Random(3)
+    values = near_values(draw, 10, 8)
+    tree = simhash.Tree(4)
+    for x in values[::2]:
+        tree.add(x)
+    truth = brute_components(values[::2], 4)
+    for x in values[1::2]:
+        got = tree.reached(x)
+        near = {truth[v] for v in values[::2] if (v ^ x).bit_count() <= 4}
+        assert sorted(truth[v] for v in got) == sorted(near)
+
+
 def brute_components_from(values, links):
     label = {v: v for v in values}
     changed = True
@@ -80,9 +93,11 @@ def brute_components_from(values, links):
     return label
 
 
-@pytest.mark.parametrize(("shard", "chosen"), [(256, 1), (1, 1), (256, 2), (2, 3)])
-def test_components_at_any_shard_size(spark, monkeypatch, shard, chosen):
+@pytest.mark.parametrize(("shard", "chosen", "tree"), [(256, 1, 1 << 16), (1, 1, 1 << 16), (256, 2, 1 << 16), (2, 3, 1 << 16), (2, 1, 9), (4, 2, 30)])
+def test_components_at_any_shard_size(spark, monkeypatch, shard, chosen, tree):
+    """With a small ``tree`` crowds are cut into chunks, each searched in each other's tree."""
     monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "TREE", tree)
     monkeypatch.setattr(simhash, "blocks_for", lambda nodes, radius: (radius + chosen, chosen))
     draw = random.Random(2)
     values = near_values(draw, 12, 10) + near_values(draw, 1, 150)
