@@ -16,8 +16,8 @@ over, even where a very long one stands at the cut. Documents before the first o
 are a Pareto sample of fixed size in words.
 
 The order is walked in rounds: a round takes the documents up to the first one that doesn't fit, found from word sums in
-65,536 equal steps of the rank per source (summed before the shuffle), then among that step's rows, so no task ever
-holds a source. The next round goes on behind it, with the documents that are no longer than what is left. A round is
+256 equal steps of the rank per source (summed before the shuffle), then in 256 steps inside the step with the cut, then
+among that step's rows, so no task ever holds a source. The next round goes on behind it, with the documents that are no longer than what is left. A round is
 kept as an interval of ranks and a longest size, and a row's copies follow from its own rank, its band and its
 source's rounds alone, which makes reruns agree and lets the plan be applied where the texts are.
 
@@ -35,8 +35,8 @@ from docloom.llm.arrow import quoted
 from docloom.session import materialise
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Random numbers and ranks have 52 bits; the upper 16 name a rank's step.
-DRAW_BITS, STEP_SHIFT = 52, 36
+#: Random numbers and ranks have 52 bits; the upper 8 name a rank's step, the upper 16 a step inside it.
+DRAW_BITS, STEP_SHIFTS = 52, (44, 36)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -111,21 +111,27 @@ def _first_misfit(rows: DataFrame, open_sources: DataFrame) -> DataFrame:
     ``rows`` has KEY, rank and size; those above ``low`` and no longer than ``limit`` are walked.
     """
     walked = rows.join(open_sources, KEY).where((F.col("rank") > F.col("low")) & (F.col("size") <= F.col("limit")))
-    step = F.shiftright("rank", STEP_SHIFT)
-    sums = walked.groupBy(*KEY, step.alias("step")).agg(F.sum("size").alias("words"), F.max("limit").alias("limit"), F.max("rank").alias("last"))
-    upto = F.sum("words").over(Window.partitionBy(*KEY).orderBy("step"))
-    sums = sums.withColumn("upto", upto)
-    fits = F.col("upto") <= F.col("limit")
-    reach = sums.groupBy(*KEY).agg(
-        F.min(F.when(~fits, F.struct("step", (F.col("upto") - F.col("words")).alias("before")))).alias("cut"),
-        F.max(F.when(fits, F.struct("step", "last", "upto"))).alias("whole"),
-    )
-    reach = materialise(reach.select(*KEY, "cut.step", "cut.before", "whole.last", F.coalesce("whole.upto", F.lit(0)).alias("held")), "cut-steps")
-    inside = walked.withColumn("step", step).join(reach.where(F.col("step").isNotNull()).select(*KEY, "step", "before"), [*KEY, "step"])
+    reach = None  # each source's step with the cut, the words before it, and the last rank before it
+    for level, shift in enumerate(STEP_SHIFTS):
+        step = F.shiftright("rank", shift)
+        if level == 0:
+            inside = walked.withColumns({"before": F.lit(0).cast("long"), "last": F.col("low")})
+        else:
+            inside = walked.withColumn("cut", F.shiftright("rank", STEP_SHIFTS[level - 1])).join(reach.where(F.col("cut").isNotNull()), [*KEY, "cut"])
+        sums = inside.groupBy(*KEY, step.alias("step")).agg(F.sum("size").alias("words"), F.max("rank").alias("end"), *[F.first(c).alias(c) for c in ("limit", "before", "last")])
+        sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy(*KEY).orderBy("step")))
+        fits = F.col("upto") <= F.col("limit")
+        cut = F.min(F.when(~fits, F.struct("step", (F.col("upto") - F.col("words")).alias("before")))).alias("c")
+        whole = F.max(F.when(fits, F.struct("step", "end", "upto"))).alias("w")
+        found = sums.groupBy(*KEY).agg(cut, whole, F.first("before").alias("had"), F.first("last").alias("last"))
+        found = found.select(*KEY, F.col("c.step").alias("cut"), F.coalesce("c.before", "w.upto", "had").alias("before"), F.coalesce("w.end", "last").alias("last"))
+        done = None if reach is None else reach.where(F.col("cut").isNull())
+        reach = materialise(found if done is None else found.union(done), "cut-steps")
+    inside = walked.withColumn("cut", F.shiftright("rank", STEP_SHIFTS[-1])).join(reach.where(F.col("cut").isNotNull()).select(*KEY, "cut", "before"), [*KEY, "cut"])
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy(*KEY).orderBy("rank")))
     ends = inside.groupBy(*KEY).agg(F.min(F.when(F.col("upto") > F.col("limit"), F.col("rank"))).alias("stop"), F.max(F.when(F.col("upto") <= F.col("limit"), F.struct("rank", "upto"))).alias("fit"))
     found = open_sources.join(reach, KEY).join(ends, KEY, "left")
-    return found.select(*KEY, "low", "limit", F.coalesce("fit.rank", "last", "low").alias("high"), "stop", (F.col("limit") - F.coalesce("fit.upto", "held")).alias("left"))
+    return found.select(*KEY, "low", "limit", F.coalesce("fit.rank", "last").alias("high"), "stop", (F.col("limit") - F.coalesce("fit.upto", "before")).alias("left"))
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
