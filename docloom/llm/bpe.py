@@ -2,8 +2,8 @@
 
 A rank file (base64 token, rank) becomes a ``tokenizers`` BPE model: every byte is written as one printable
 character, so that tokens are strings, and each token lists all pairs of tokens that it can be merged from, in rank
-order. Encoding splits text into words by ``PATTERN``; each worker keeps the ids and spans of the words it has met, so
-that the library's merges run once for a frequent word. A token's span is that of the characters its bytes belong to: a
+order. Encoding splits text into words by ``PATTERN``; each worker keeps the ids of the words it has met, so that the
+library's merges run once for a frequent word. A token's span is that of the characters its bytes belong to: a
 token that holds only some bytes of a character has the whole character in its span, so that spans cover the text and
 overlap just where a character is split. Decoding joins the tokens' characters and reverses the byte table; a character
 whose bytes are split over tokens comes back whole.
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from docloom.llm.arrow import arrow_map, quoted
 
-#: A worker keeps the ids of so many distinct words, then starts anew.
-CACHED_WORDS = 300_000
+#: A worker keeps the ids of about so many distinct words, then starts anew.
+CACHED_WORDS = 200_000
 
 #: A fixed value: the pattern that splits text into words for this kind of vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -93,31 +93,66 @@ def tokenizer(path: str):
 
 
 class Words(dict):
-    """Of words: ids, and the starts and ends of their spans, as bytes of int32, and their number.
+    """The ids of words, as bytes of int32; what is missing is made by the tokenizer's model.
 
-    What is missing is made by the tokenizer's model.
+    ``splits`` has how many tokens begin inside a character, of words that have such, and ``gaps`` has words of which
+    not all bytes are in a token.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenize = tokenizer(path).model.tokenize
         self.chars = dict(enumerate(byte_table()))
+        self.splits: dict[str, int] = {}
+        self.gaps: set[str] = set()
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes, bytes, int]:
+    def bounded(self) -> Words:
+        """These, or none if they have become too many. To be called between texts."""
         if len(self) >= CACHED_WORDS:
             self.clear()
+            self.splits.clear()
+        return self
+
+    def tokens(self, word: str) -> tuple[bytes, list]:
         data = word.encode()
-        tokens = self.tokenize(data.decode("latin-1").translate(self.chars))
-        upto = list(accumulate((len(t.value) for t in tokens), initial=0))  # one mapped character is one byte
+        return data, self.tokenize(data.decode("latin-1").translate(self.chars))
+
+    def __missing__(self, word: str) -> bytes:
+        data, tokens = self.tokens(word)
+        begins = list(accumulate((len(t.value) for t in tokens), initial=0))  # one mapped character is one byte
+        if begins[-1] != len(data):
+            self.gaps.add(word)
+        if len(data) > len(word) and (n := sum(data[i] & 0xC0 == 0x80 for i in begins[1:-1])):
+            self.splits[word] = n
+        self[word] = ids = array("i", [t.id for t in tokens]).tobytes()
+        return ids
+
+
+class Spans(dict):
+    """Of words: the starts and ends of their tokens' spans of characters, and their number."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.tokens = words(path).tokens
+
+    def __missing__(self, word: str) -> tuple[bytes, bytes, int]:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        data, tokens = self.tokens(word)
+        upto = list(accumulate((len(t.value) for t in tokens), initial=0))
         spans = list(zip(upto, upto[1:]))
         if len(data) > len(word):
             char_of = [i for i, c in enumerate(word) for _ in c.encode()]
             spans = [(char_of[a], char_of[b - 1] + 1) for a, b in spans]
-        parts = ([t.id for t in tokens], [a for a, _ in spans], [b for _, b in spans])
-        self[word] = known = (*(array("i", x).tobytes() for x in parts), len(tokens))
+        self[word] = known = (*(array("i", x).tobytes() for x in zip(*spans)), len(spans))
         return known
 
 
+@lru_cache(maxsize=2)
+def spans(path: str) -> Spans:
+    return Spans(path)
+
+
 @lru_cache(maxsize=2)
 def words(path: str) -> Words:
     return Words(path)
@@ -151,19 +186,19 @@ def joined(ids: list[int], path: str) -> bytes:
 
 def _coded(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text, as bytes of int32."""
-    known_of, split = words(path).__getitem__, splitter().findall
-    return [b"".join([known[0] for known in map(known_of, split(x))]) if x else b"" for x in texts]
+    known, split = words(path), splitter().findall
+    return [b"".join(map(known.bounded().__getitem__, split(x))) if x else b"" for x in texts]
 
 
-def spanned(text: str | None, path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The ids of a text, as bytes of int32, and the starts and ends of their spans of characters."""
+def spanned(text: str | None, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The starts and ends of the spans of a text's tokens."""
     if not text:
-        return b"", np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     found = splitter().findall(text)
-    ids, starts, ends, counts = zip(*map(words(path).__getitem__, found))
+    starts, ends, counts = zip(*map(spans(path).__getitem__, found))
     upto = np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), dtype=np.int32)
     before = np.repeat(np.concatenate([[np.int32(0)], upto[:-1]]), counts)
-    return b"".join(ids), np.frombuffer(b"".join(starts), np.int32) + before, np.frombuffer(b"".join(ends), np.int32) + before
+    return np.frombuffer(b"".join(starts), np.int32) + before, np.frombuffer(b"".join(ends), np.int32) + before
 
 
 def _id_lists(coded: list[bytes]) -> pa.Array:
@@ -187,10 +222,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str]
         return [_id_lists(_coded(texts.to_pylist(), path))]
 
     def with_spans(texts: pa.Array) -> list:
-        each = [spanned(x, path) for x in texts.to_pylist()]
-        ids = _id_lists([x for x, _, _ in each])
-        lengths = [len(x) for _, x, _ in each]
-        return [ids] + [_lists(lengths, np.concatenate([*(x[at] for x in each), np.zeros(0, np.int32)]).astype(np.int32)) for at in (1, 2)]
+        told = texts.to_pylist()
+        each = [spanned(x, path) for x in told]
+        lengths = [len(x) for x, _ in each]
+        return [_id_lists(_coded(told, path))] + [_lists(lengths, np.concatenate([*(x[at] for x in each), np.zeros(0, np.int32)]).astype(np.int32)) for at in (0, 1)]
 
     kernel = with_spans if offsets else plain
     return arrow_map(docs, docs.columns if carry is None else carry, [quoted(text_col)], outputs, kernel)
@@ -212,19 +247,21 @@ def decode(frame: DataFrame, path: str, ids_col: str = "ids", carry: list[str] |
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``encode`` and ``decode`` in one pass of the executors' Python: ids, and the bytes that they decode to.
 
-    Besides, from the spans: ``n_split``, how many tokens begin inside a character, and ``covered``, whether the spans
-    cover the text's characters without a gap.
+    Besides ``n_split``, how many tokens begin inside a character, and ``covered``, whether the tokens' spans cover the
+    text without a gap: both are sums over words, as no token goes beyond one.
     """
     outputs = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(bytes_col, T.BinaryType()), T.StructField("n_split", T.LongType()), T.StructField("covered", T.BooleanType())]
 
     def kernel(texts: pa.Array) -> list:
+        known, find = words(path), splitter().findall
         coded, decoded, split, covered = [], [], [], []
         for text in texts.to_pylist():
-            ids, starts, ends = spanned(text, path)
+            found = find(text) if text else []
+            ids = b"".join(map(known.bounded().__getitem__, found))
             coded.append(ids)
             decoded.append(joined(np.frombuffer(ids, np.int32).tolist(), path))
-            split.append(int((starts[1:] < ends[:-1]).sum()))
-            covered.append(bool(starts[0] == 0 and ends[-1] == len(text) and (starts[1:] <= ends[:-1]).all()) if len(starts) else not text)
+            split.append(0 if not text or text.isascii() else sum(map(known.splits.__getitem__, filter(known.splits.__contains__, found))))
+            covered.append(sum(map(len, found)) == len(text or "") and known.gaps.isdisjoint(found))
         return [_id_lists(coded), pa.array(decoded, pa.binary()), pa.array(split, pa.int64()), pa.array(covered, pa.bool_())]
 
     return arrow_map(docs, docs.columns if carry is None else carry, [quoted(text_col)], outputs, kernel)
