@@ -111,9 +111,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+#: Rows that Spark hands to Python at once, unless the session says something else than Spark's own 10,000: long texts
+#: would else make batches that neither side can hold.
+BATCH_ROWS = 1024
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per application."""
+    """Send this package's code to the executors, once per application, and bound the batches they get."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
