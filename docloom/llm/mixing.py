@@ -22,7 +22,8 @@ kept as an interval of ranks and a longest size, and a row's copies follow from
 source's rounds alone, which makes reruns agree and lets the plan be applied where the texts are.
 
 Defined results: a null text has no words and nothing is taken of it; null sources are one source, the last; null ids
-are hashed as empty; repeated rows (same id and text) are taken or left together; sources without words have target
+are hashed as empty; repeated rows (same id and text) are taken or left together, and not in rounding if all of them are
+too long; sources without words have target
 0; empty tables give empty results. Other columns aren't read, so they can't clash.
 """
 
@@ -148,27 +149,43 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     ranked = materialise(ranked.select(*KEY, "size", rank_of(F.col("draw"), F.col("inclusion")).alias("rank")), "ranks")
     start = sources.join(certain, KEY).select(*KEY, F.lit(-1).cast("long").alias("low"), F.floor(F.col("target") - F.col("certain")).cast("long").alias("limit"))
     waiting = materialise(start.where("limit > 0"), "rounds")
-    done = None
+    done, lefts = None, waiting.select(*KEY, F.col("limit").alias("left"))
     while waiting.limit(1).count():
         made = materialise(_first_misfit(ranked, waiting), "rounds")
         taken = made.where("high > low").select(*KEY, F.struct("low", "high", "limit").alias("round"))
-        done = taken if done is None else done.union(taken)
+        done, lefts = taken if done is None else done.union(taken), lefts.union(made.select(*KEY, "left"))
         waiting = made.where(F.col("stop").isNotNull() & (F.col("left") > 0)).select(*KEY, F.col("stop").alias("low"), F.col("left").alias("limit"))
     out = allocated.drop("words").join(sources, KEY)
     none = F.array().cast("array<struct<low: bigint, high: bigint, limit: bigint>>")
     if done is None:
         return materialise(out.withColumn("rounds", none), "mix-plan")
-    rounds = done.groupBy(*KEY).agg(F.collect_list("round").alias("rounds"))
+    rounds = materialise(done.groupBy(*KEY).agg(F.collect_list("round").alias("rounds")), "source-rounds")
+    extra = _rounding(ranked, lefts.groupBy(*KEY).agg(F.min("left").alias("left")).where("left > 0"), rounds)
+    rounds = rounds.join(extra, KEY, "full_outer").select(*KEY, F.concat(F.coalesce("rounds", none), F.coalesce("extra", none)).alias("rounds"))
     return materialise(out.join(rounds, KEY, "left").withColumn("rounds", F.coalesce("rounds", none)), "mix-plan")
 
 
+def _in_rounds(rank: Column) -> Column:
+    return F.exists("rounds", lambda r: (rank > r.low) & (rank <= r.high) & (F.col("size") <= r.limit))
+
+
+def _rounding(ranked: DataFrame, lefts: DataFrame, rounds: DataFrame) -> DataFrame:
+    """KEY, ``extra``: one more round for the first document that isn't taken and overshoots what is left by less than that."""
+    lefts = materialise(lefts, "words-left")
+    near = ranked.join(lefts, KEY).where((F.col("size") > F.col("left")) & (F.col("size") < 2 * F.col("left")))
+    free = near.join(rounds, KEY, "left").where(~F.coalesce(_in_rounds(F.col("rank")), F.lit(False)))
+    first = materialise(free.groupBy(*KEY, "left").agg(F.min("rank").alias("rank")), "first-passed-over")
+    whole = ranked.join(first, [*KEY, "rank"]).groupBy(*KEY, "rank", "left").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
+    as_round = F.struct((F.col("rank") - 1).alias("low"), F.col("rank").alias("high"), F.col("size").alias("limit"))
+    return whole.where(F.col("words") < 2 * F.col("left")).select(*KEY, F.array(as_round).alias("extra"))
+
+
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
     return [*_keyed(quoted(source_col)), words_of(quoted(text_col)).alias("size"), draw_of(quoted(id_col), quoted(text_col)).alias("draw")]
 
 
 def copies() -> Column:
-    rank = rank_of(F.col("draw"), F.col("inclusion"))
-    again = F.exists("rounds", lambda r: (rank > r.low) & (rank <= r.high) & (F.col("size") <= r.limit))
+    again = _in_rounds(rank_of(F.col("draw"), F.col("inclusion")))
     return F.col("whole") + F.when((F.col("inclusion") > 0) & (F.col("size") > 0), again.cast("long")).otherwise(0)
 
 
@@ -230,12 +247,18 @@ odds AS (
          CASE WHEN a.inclusion > 0 AND d.size > 0 THEN (((draw + 0.5e0) / 4503599627370496e0) / (1 - (draw + 0.5e0) / 4503599627370496e0)) / (a.inclusion / (1 - a.inclusion)) END AS x
   FROM docs d JOIN allocated a ON d.source IS NOT DISTINCT FROM a.source AND length(bin(d.size)) = a.digits),
 ranked AS (SELECT *, floor(x / (1 + x) * 4503599627370496e0)::BIGINT AS rnk FROM odds),
-ties AS (SELECT source, rnk, sum(size)::BIGINT AS words FROM ranked WHERE rnk IS NOT NULL GROUP BY source, rnk),
+ties AS (SELECT source, rnk, sum(size)::BIGINT AS words, max(size) AS size FROM ranked WHERE rnk IS NOT NULL GROUP BY source, rnk),
 walk AS (
   SELECT source, -1::BIGINT AS rnk, words_left FROM budget
   UNION ALL
   SELECT w.source, n.rnk, w.words_left - n.words
-  FROM walk w JOIN LATERAL (SELECT rnk, words FROM ties t WHERE t.source IS NOT DISTINCT FROM w.source AND t.rnk > w.rnk AND t.words <= w.words_left ORDER BY rnk LIMIT 1) n ON true)
+  FROM walk w JOIN LATERAL (SELECT rnk, words FROM ties t WHERE t.source IS NOT DISTINCT FROM w.source AND t.rnk > w.rnk AND t.words <= w.words_left ORDER BY rnk LIMIT 1) n ON true),
+lefts AS (SELECT source, min(words_left) AS words_left FROM walk GROUP BY source),
+near AS (
+  SELECT t.source, t.rnk, t.words, l.words_left FROM ties t JOIN lefts l ON t.source IS NOT DISTINCT FROM l.source
+  WHERE t.size > words_left AND t.size < 2 * words_left AND NOT EXISTS (SELECT 1 FROM walk w WHERE w.source IS NOT DISTINCT FROM t.source AND w.rnk = t.rnk)
+  QUALIFY row_number() OVER (PARTITION BY t.source ORDER BY t.rnk) = 1),
+taken AS (SELECT source, rnk FROM walk UNION ALL SELECT source, rnk FROM near WHERE words < 2 * words_left)
 SELECT doc_id, size, source_size, target, inclusion, size * (whole + (w.rnk IS NOT NULL)::BIGINT) AS taken
-FROM ranked r LEFT JOIN walk w ON r.source IS NOT DISTINCT FROM w.source AND r.rnk = w.rnk
+FROM ranked r LEFT JOIN taken w ON r.source IS NOT DISTINCT FROM w.source AND r.rnk = w.rnk
 """
