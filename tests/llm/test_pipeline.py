@@ -7,7 +7,8 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from docloom.llm import mixing, quality, simhash
+from docloom.llm import mixing, quality
+from test_near_copies import brute_kept
 
 
 @pytest.fixture(scope="module")
@@ -35,18 +36,10 @@ def test_quality_stage_follows_the_operators_verdicts(spark, stages, small_table
 
 
 def test_dedup_stage_by_brute_force(stages):
+    """Five words and a similarity of 0.8: the comparison of all pairs' shingle sets."""
     docs, kept = stages[1]
-    rows = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode(), prints=corpus_pipeline.PRINTS) for r in docs.collect()}
-    label = {d: d for d in rows}
-    changed = True
-    while changed:
-        changed = False
-        for a, x in rows.items():
-            for b, y in rows.items():
-                if label[a] != label[b] and any((p ^ q).bit_count() <= 4 for p, q in zip(x, y)):
-                    label[a] = label[b] = min(label[a], label[b])
-                    changed = True
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label.values()))
+    truth, _ = brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(r["doc_id"] for r in kept.collect()) == truth
 
 
 def test_mixing_stage_follows_the_operators_copies(stages):
