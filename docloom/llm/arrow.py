@@ -48,6 +48,7 @@ def arrow_map(
         for batch in small_batches(batches):
             made = kernel(*[batch.column(i) for i in range(n, batch.num_columns)])
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made], names=labels)
+        pa.default_memory_pool().release_unused()  # workers live on
 
     out = frame.mapInArrow(run, schema)
     return out.toDF(*carry, *[f.name for f in outputs])
@@ -68,6 +69,7 @@ def arrow_column(inputs: list[Column], kind: T.DataType, kernel: Callable[..., p
             whole = pa.RecordBatch.from_arrays(columns, names=[f"x{i}" for i in range(len(columns))])
             made = [kernel(*part.columns) for part in small_batches([whole])]
             yield pa.concat_arrays(made) if made else pa.array([], to_arrow_type(kind))
+        pa.default_memory_pool().release_unused()  # workers live on
 
     if len(inputs) == 1:
 
