@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from docloom.llm.arrow import arrow_map, quoted
 
 #: A worker keeps the ids of about so many distinct words, then starts anew.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 
 #: A fixed value: the pattern that splits text into words for this kind of vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -103,6 +103,7 @@ class Words(dict):
         super().__init__()
         self.tokenize = tokenizer(path).model.tokenize
         self.chars = dict(enumerate(byte_table()))
+        self.sizes = {rank: len(token) for token, rank in read_ranks(path).items()}
         self.splits: dict[str, int] = {}
         self.gaps: set[str] = set()
 
@@ -119,12 +120,13 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         data, tokens = self.tokens(word)
-        begins = list(accumulate((len(t.value) for t in tokens), initial=0))  # one mapped character is one byte
-        if begins[-1] != len(data):
+        named = [t.id for t in tokens]
+        upto = list(accumulate(map(self.sizes.__getitem__, named)))
+        if not upto or upto[-1] != len(data):
             self.gaps.add(word)
-        if len(data) > len(word) and (n := sum(data[i] & 0xC0 == 0x80 for i in begins[1:-1])):
+        elif len(data) > len(word) and (n := sum(data[i] & 0xC0 == 0x80 for i in upto[:-1])):
             self.splits[word] = n
-        self[word] = ids = array("i", [t.id for t in tokens]).tobytes()
+        self[word] = ids = array("i", named).tobytes()
         return ids
 
 
