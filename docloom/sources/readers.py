@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
+from docloom.session import ship_package
 
 Reader = Callable[[DataFrame], DataFrame]
 
@@ -134,6 +135,7 @@ def partition_html(html: str) -> list[dict]:
 
 def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per element of a page, as ``text_elements`` has them, with links and emphasised text."""
+    ship_package(pages.sparkSession)
     id_kind = dict(pages.dtypes)[id_col]
     schema = f"doc_id {id_kind}, seq int, category string, text string, link_texts array<string>, link_urls array<string>, emphasized_text_contents array<string>, image_path string"
 
