@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docloom.llm.bpe import op1_bpe_round_trip
+from docloom.llm.merkle import OP12_SQL, op12_merkle_manifest
 from docloom.llm.mixing import OP10_SQL, op10_pareto_mix
 from docloom.llm.quality import op3_quality_forest
 from docloom.llm.quotations import OP6_SQL, op6_quotation_links
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_simhash_components": op8_simhash_components,
     "op9_revisit_records": op9_revisit_records,
     "op10_pareto_mix": op10_pareto_mix,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_simhash_components": OP8_SQL,
     "op9_revisit_records": OP9_SQL,
     "op10_pareto_mix": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }

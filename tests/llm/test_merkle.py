@@ -1,0 +1,130 @@
+"""The manifest against a tree built in plain Python, ranks against sorting, proofs against tampering."""
+
+import random
+import string
+import zlib
+from collections import defaultdict
+from hashlib import sha256
+
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.llm.merkle import manifest, op12_merkle_manifest, third_by_checksum
+from docloom.llm.radix_ranks import ranks, unsigned_order
+
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def digest(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def frame(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def leaf(row, text):
+    return digest(*map(frame, (row["doc_id"], row["source"], row["lang"], row["n_chars"], text)))
+
+
+def tree(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([digest(*levels[-1][i : i + 8]) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def beside(levels, at):
+    for nodes in levels[:-1]:
+        run = at - at % 8
+        yield "".join(nodes[run:at]), "".join(nodes[at + 1 : run + 8])
+        at //= 8
+
+
+def expected(rows):
+    """Sorted (doc_id, leaf, subroot, root, proof, folded root, verified)."""
+    groups = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf(r, r["text"]))):
+        groups[r["lang"]].append(r)
+    trees = {g: tree([leaf(r, r["text"]) for r in rs]) for g, rs in groups.items()}
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    top = tree([trees[g][-1][0] for g in names])
+    out = []
+    for at, g in enumerate(names):
+        for i, r in enumerate(groups[g]):
+            path = [*beside(trees[g], i), *beside(top, at)]
+            tampered = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 0
+            node = leaf(r, r["text"].translate(LOWER) if tampered and r["text"] is not None else r["text"])
+            for left, right in path:
+                node = digest(left, node, right)
+            out.append((r["doc_id"], trees[g][0][i], trees[g][-1][0], top[-1][0], digest(*(a + b for a, b in path)), node, node == top[-1][0]))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in manifest(df, tamper=third_by_checksum()).select("id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()), key=repr)
+
+
+def test_whole_query(spark, small_tables):
+    rows = [r.asDict() for r in spark.read.parquet(f"{small_tables}/documents.parquet").collect()]
+    out = op12_merkle_manifest(spark, small_tables).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()
+    assert sorted(map(tuple, out), key=repr) == expected(rows)
+    assert {r["verified"] for r in out} == {True, False}
+
+
+def test_several_floors(spark):
+    """Over 4096 rows of one group, a lone leaf, a last run of one, many groups."""
+    rows = [(i * 7 - 3000, f"Text {i}", "en", None, i) for i in range(4097)] + [(5, "A", "one", "s", 1)] + [(i, "B", "nine", "s", 1) for i in range(9)]
+    rows += [(1, "Ü", f"g{i}", "s", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert got(df) == expected([r.asDict() for r in df.collect()])
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated ids and rows, extreme ids."""
+    rows = [(None, None, None, None, None), (None, "", None, None, None), (3, None, "", "", 0), (3, "", "", "", 0), (3, "X" * 300_000, "", "", 0)]
+    rows += [(6, "Same", "en", "a", 4)] * 20 + [(6, f"Same {i}", "en", "a", 4) for i in range(20)]
+    rows += [(-(1 << 63), "MIN", "en", "a", 3), ((1 << 63) - 1, "MAX", "en", "a", 3), (0, "É A", "en", "a", 3), (None, "N", "en", "a", 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(df) == expected([r.asDict() for r in df.collect()])
+
+
+def test_empty_table_and_clashing_columns(spark):
+    assert got(spark.createDataFrame([], SCHEMA)) == []
+    df = spark.createDataFrame([(1, "a", "en", "s", 1), (2, "B", "en", "s", 1)], SCHEMA)
+    more = df.withColumns({c: F.lit("x") for c in ("id", "g", "leaf", "digest", "pos", "row", "rank", "n", "base", "prefix", "path", "total")})
+    assert got(more) == got(df)
+
+
+def test_any_change_is_seen(spark):
+    """Another value in any column, with the old siblings, doesn't fold to the old root."""
+    rows = [(i, f"T{i}", "en", "s", i) for i in range(20)]
+    root = got(spark.createDataFrame(rows, SCHEMA))[0][3]
+    for column, value in ((0, 99), (1, "T"), (2, "de"), (3, None), (4, 0)):
+        changed = [tuple(value if (i, j) == (7, column) else x for j, x in enumerate(r)) for i, r in enumerate(rows)]
+        assert got(spark.createDataFrame(changed, SCHEMA))[0][3] != root
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 4096])
+def test_ranks(spark, bucket):
+    """Dense, far apart and repeated keys, with buckets small enough that rows go down all digits."""
+    draw = random.Random(7)
+    keys = [*range(1000, 1200), *(draw.randrange(-(1 << 63), 1 << 63) for _ in range(50)), *[77] * 40]
+    rows = [("g" if i % 3 else "h", k, i) for i, k in enumerate(keys)]
+    from docloom.session import materialise
+
+    df = materialise(spark.createDataFrame(rows, "grp string, k long, row long").withColumn("u", unsigned_order(F.col("k"))), "test-keys")
+    out = ranks(df, "grp", ["u", "row"], bucket).collect()
+    for g in "gh":
+        ordered = sorted((k, i) for name, k, i in rows if name == g)
+        assert [(r["k"], r["row"]) for r in sorted((r for r in out if r["grp"] == g), key=lambda r: r["rank"])] == ordered
+        assert sorted(r["rank"] for r in out if r["grp"] == g) == list(range(len(ordered)))
+
+
+def test_ranks_need_distinct_keys(spark):
+    from docloom.session import materialise
+
+    df = materialise(spark.createDataFrame([("g", 1)] * 5, "grp string, k long"), "test-keys")
+    with pytest.raises(ValueError):
+        ranks(df, "grp", ["k"], 2)

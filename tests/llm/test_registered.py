@@ -30,4 +30,4 @@ def test_sql(spark, small_tables, name):
 def test_all_are_registered():
     known = __spark_entry__.queries()
     assert set(QUERIES) <= set(known) and "pipeline" in known
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{n}" for n in range(1, 14))
