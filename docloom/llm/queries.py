@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docloom.llm.alignment import op13_token_alignment
 from docloom.llm.bpe import op1_bpe_round_trip
 from docloom.llm.merkle import OP12_SQL, op12_merkle_manifest
 from docloom.llm.mixing import OP10_SQL, op10_pareto_mix
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_revisit_records": op9_revisit_records,
     "op10_pareto_mix": op10_pareto_mix,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
