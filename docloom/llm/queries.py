@@ -13,6 +13,7 @@ from docloom.llm.sharding import OP4_SQL, op4_hash_tree
 from docloom.llm.simhash import op8_simhash_components
 from docloom.llm.simhash_sql import OP8_SQL
 from docloom.llm.token_counts import op5_token_counts
+from docloom.llm.toxicity import op11_toxicity
 from docloom.llm.url_reputation import OP2_SQL, op2_host_reputation
 from docloom.llm.warc import OP9_SQL, op9_revisit_records
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_simhash_components": op8_simhash_components,
     "op9_revisit_records": op9_revisit_records,
     "op10_pareto_mix": op10_pareto_mix,
+    "op11_toxicity": op11_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_alignment": op13_token_alignment,
 }
