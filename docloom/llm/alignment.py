@@ -9,8 +9,8 @@ counts of all blocks, finds each B id's highest, and a second pass looks its lin
 
 The merged counts are one row for each pair of ids that meet anywhere. Vocabularies bound them, not the corpus; up to
 ``PAIRS`` of them go to every task, and beyond that the documents' own pairs travel to the counts instead. A block is
-``BLOCK_BYTES`` of texts or one text; DuckDB gets the distinct pieces in slices of ``SLICE_BYTES`` or one piece, so only
-a piece without blanks that is itself huge can make a task large.
+rows with ``PIECES`` distinct pieces or ``BLOCK_WORDS`` pieces in all, or one text; DuckDB gets the distinct pieces in
+slices of ``SLICE_BYTES`` or one piece, so only a text or a piece without blanks that is itself huge makes a task large.
 
 Defined results: a null or empty text, and a text whose joined token bytes under either tokenizer aren't a space and
 the text, has no tokens: zeros, an empty string, and no part in the counts. Repeated rows count each. Null ids are kept.
@@ -34,20 +34,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.arrow import quoted
+from docloom.llm.arrow import quoted, small_batches
 from docloom.llm.bpe import byte_table
 from docloom.session import materialise, ship_package
 
-BLOCK_BYTES, SLICE_BYTES = 12 << 20, 2 << 20
+PIECES, BLOCK_WORDS, SLICE_BYTES = 600_000, 1 << 23, 1 << 20
 #: So many pairs of ids, with their counts, go to every task.
 PAIRS = 1 << 21
 
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT, _RUN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
 @dataclass
 class Tokens:
-    """Encodes pieces that begin with a blank; the bytes of each id."""
+    """Encodes pieces, given without the blank that they begin with; the bytes of each id."""
 
     encode: Callable[[list[str]], list[list[int]]]
     ids: list[bytes]
@@ -55,6 +55,9 @@ class Tokens:
     def __post_init__(self) -> None:
         self.sizes = np.array([len(x) for x in self.ids], np.int64)
 
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.ids.__getitem__, ids))
+
 
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> Tokens:
@@ -82,12 +85,12 @@ def byte_level(path: str) -> Tokens:
         import tiktoken
 
         coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return Tokens(lambda pieces: [coder.encode_ordinary(x) for x in pieces], table)
+        return Tokens(lambda pieces: [coder.encode_ordinary(" " + x) for x in pieces], table)
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
     whole.no_truncation()
     whole.no_padding()
-    return Tokens(lambda pieces: [x.ids for x in whole.encode_batch_fast(pieces, add_special_tokens=False)], table)
+    return Tokens(lambda pieces: [x.ids for x in whole.encode_batch_fast([" " + x for x in pieces], add_special_tokens=False)], table)
 
 
 @lru_cache(maxsize=2)
@@ -102,40 +105,54 @@ def byte_fallback(path: str) -> Tokens:
         return bytes([int(pieces.id_to_piece(i)[1:-1], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode()
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [x or blank for x in pieces.encode([t[1:] for t in texts], num_threads=1)]
+        return [x or blank for x in pieces.encode(texts, num_threads=1)]
 
     return Tokens(encode, [bytes_of(i) for i in range(pieces.vocab_size())])
 
 
 def cut(text: str) -> list[str]:
-    """The pieces of a blank and a text, each of which begins with a blank."""
-    return _CUT.split(" " + text)
+    """The pieces of a blank and a text, each without the blank that it begins with."""
+    if text[0] != " " and not _RUN.search(text):
+        return text.split(" ")
+    return [piece[1:] for piece in _CUT.split(" " + text)]
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each list has: one or more."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
 
 
 @dataclass
 class Line:
-    """Token intervals of both tokenizers, of pieces whose bytes both give back."""
+    """Ids under both tokenizers, in order, of pieces whose bytes both give back."""
 
     pieces: np.ndarray  # numbers of these pieces
-    a: pa.Table
-    b: pa.Table
+    ids: list[np.ndarray]
+    counts: list[np.ndarray]  # of ids, for each piece
 
     @classmethod
-    def of(cls, pieces: list[str], numbers: np.ndarray, one: Tokens, other: Tokens) -> Line:
-        coded = [one.encode(pieces), other.encode(pieces)]
-        right = []
-        for i, piece in enumerate(pieces):
-            whole = piece.encode()
-            right.append(all(b"".join(map(t.ids.__getitem__, c[i])) == whole for t, c in zip((one, other), coded)))
+    def of(cls, pieces: list[str], first: int, both: tuple[Tokens, Tokens]) -> Line:
+        wholes = [b" " + piece.encode() for piece in pieces]
+        line, sizes = b"".join(wholes), np.fromiter(map(len, wholes), np.int64, len(wholes))
+        coded = [tokens.encode(pieces) for tokens in both]
+        right = np.ones(len(pieces), bool)
+        flat, counts = zip(*map(flattened, coded))
+        for tokens, ids, own, n in zip(both, coded, flat, counts):
+            if not (np.array_equal(np.add.reduceat(tokens.sizes[own], np.cumsum(n) - n), sizes) and tokens.joined(own.tolist()) == line):
+                right &= np.array([tokens.joined(x) == whole for x, whole in zip(ids, wholes)], bool)
+        if not right.all():
+            flat, counts = zip(*(flattened([x for x, fine in zip(ids, right) if fine]) for ids in coded))
+        return cls(first + np.flatnonzero(right), list(flat), list(counts))
+
+    def tables(self, both: tuple[Tokens, Tokens]) -> list[pa.Table]:
+        """The tokens' intervals, one piece after the other."""
         made = []
-        for tokens, ids in zip((one, other), coded):
-            kept = [x for x, fine in zip(ids, right) if fine]
-            counts = np.fromiter(map(len, kept), np.int64, len(kept))
-            flat = np.fromiter(chain.from_iterable(kept), np.int32, int(counts.sum()))
-            ends = np.cumsum(tokens.sizes[flat])
-            piece = np.repeat(numbers[right], counts)
-            made.append(pa.table({"k": np.arange(len(flat)), "piece": piece, "s": ends - tokens.sizes[flat], "e": ends, "id": flat}))
-        return cls(numbers[right], *made)
+        for tokens, ids, counts in zip(both, self.ids, self.counts):
+            sizes = tokens.sizes[ids]
+            ends = np.cumsum(sizes)
+            made.append(pa.table({"k": np.arange(len(ids)), "piece": np.repeat(self.pieces, counts), "s": ends - sizes, "e": ends, "id": ids}))
+        return made
 
 
 #: From tables a and b, intervals on one line: links (piece, a, b), and the tokens with the numbers of their groups.
@@ -148,7 +165,7 @@ SELECT spans.piece, spans.id AS a, b.id AS b FROM spans JOIN b USING (k)"""
 _GROUPS = """
 SELECT x.k, x.piece, x.id, coalesce(sum((y.e IS NOT NULL)::INT) OVER (ORDER BY x.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g
 FROM {0} x LEFT JOIN {1} y USING (e) ORDER BY x.k"""
-_COUNTED = "SELECT a, b, sum(rows)::BIGINT AS n FROM links JOIN used USING (piece) GROUP BY a, b"
+_COUNTED = "SELECT a, b, sum(rows)::BIGINT AS n FROM links JOIN used USING (piece) WHERE rows > 0 GROUP BY a, b"
 _LOOKED_UP = "SELECT piece, count(*) AS n_links, sum(n)::BIGINT AS count_sum, sum(best::INT)::BIGINT AS n_best FROM links JOIN counts USING (a, b) GROUP BY piece"
 _OWN = "SELECT piece, a, b, count(*) AS n FROM links GROUP BY ALL"
 
@@ -175,64 +192,79 @@ def joined_groups(con: object) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     return piece_of[starts], np.diff(np.append(starts, len(piece_of))), whole.to_pylist()
 
 
+class Numbers(dict):
+    """Numbers pieces as they come."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Block:
-    """The rows of a block: their pieces' numbers, and the distinct pieces."""
+    """Rows' pieces as numbers, and the distinct pieces."""
+
+    def __init__(self) -> None:
+        self.known, self.ids, self.rows, self.words = Numbers(), [], [], 0
 
-    def __init__(self, texts: list[str | None]) -> None:
-        known: dict[str, int] = {}
-        self.rows = [np.array([known.setdefault(p, len(known)) for p in cut(x)], np.int32) if x else np.zeros(0, np.int32) for x in texts]
-        self.pieces = list(known)
+    def add(self, row_id: int | None, text: str | None) -> None:
+        words = list(map(self.known.__getitem__, cut(text))) if text else []
+        self.ids.append(row_id)
+        self.rows.append(np.array(words, np.int32))
+        self.words += len(words)
 
-    def lines(self, one: Tokens, other: Tokens) -> Iterator[Line]:
+    def full(self) -> bool:
+        return len(self.known) >= PIECES or self.words >= BLOCK_WORDS
+
+    def lines(self, both: tuple[Tokens, Tokens]) -> Iterator[Line]:
+        pieces = list(self.known)
         start, held = 0, 0
-        for i, piece in enumerate(self.pieces):
-            held += len(piece)
-            if held >= SLICE_BYTES or i + 1 == len(self.pieces):
-                yield Line.of(self.pieces[start : i + 1], np.arange(start, i + 1), one, other)
+        for i, piece in enumerate(pieces):
+            held += len(piece) + 1
+            if held >= SLICE_BYTES or i + 1 == len(pieces):
+                yield Line.of(pieces[start : i + 1], start, both)
                 start, held = i + 1, 0
 
-    def right(self, fine: np.ndarray) -> list[bool]:
-        """Rows that have pieces, all of them fine."""
+    def right(self, lines: list[Line]) -> list[bool]:
+        """Rows that have pieces, all of them on a line."""
+        fine = np.zeros(len(self.known), bool)
+        for line in lines:
+            fine[line.pieces] = True
         return [bool(len(r)) and bool(fine[r].all()) for r in self.rows]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``limit`` bytes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        rows = max(1, batch.num_rows * limit // max(1, batch.nbytes))
-        for at in range(0, batch.num_rows, rows):
-            held.append(batch.slice(at, rows))
-            if sum(x.nbytes for x in held) >= limit:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """From batches of (id, text)."""
+    block = Block()
+    for batch in small_batches(batches):
+        for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            block.add(row_id, text)
+            if block.full():
+                yield block
+                block = Block()
+    if block.ids:
+        yield block
 
 
 def pair_counts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(a, b, n, best) of all links of a column ``text``: how many links join ids a and b, and whether none of b's pairs has more."""
+    """(a, b, n, best) of all links of rows (id, text): how many links join ids a and b, and whether none of b's pairs has more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, other, con = byte_level(a_path), byte_fallback(b_path), connection()
-        for batch in _blocks(batches, BLOCK_BYTES):
-            block = Block(batch.column(0).to_pylist())
-            lines = list(block.lines(one, other))
-            fine = np.zeros(len(block.pieces) + 1, bool)
+        both, con = (byte_level(a_path), byte_fallback(b_path)), connection()
+        for block in _blocks(batches):
+            lines = list(block.lines(both))
+            counted = [r for r, ok in zip(block.rows, block.right(lines)) if ok]
+            uses = np.bincount(np.concatenate([*counted, np.zeros(0, np.int32)]), minlength=len(block.known))
             for line in lines:
-                fine[line.pieces] = True
-            counted = [r for r, ok in zip(block.rows, block.right(fine)) if ok]
-            uses = np.bincount(np.concatenate([*counted, np.zeros(0, np.int32)]), minlength=len(block.pieces))
-            for line in lines:
-                used = pa.table({"piece": line.pieces, "rows": uses[line.pieces]}).filter(pa.array(uses[line.pieces] > 0))
-                for name, table in (("a", line.a), ("b", line.b), ("used", used)):
-                    con.register(name, table)
-                con.execute(_LINKS)
-                for part in con.sql(_COUNTED).to_arrow_table().to_batches():
-                    yield pa.RecordBatch.from_arrays(part.columns, names=["a", "b", "n"])
+                if len(line.pieces):
+                    used = pa.table({"piece": line.pieces, "rows": uses[line.pieces]})
+                    for name, table in zip(("a", "b", "used"), (*line.tables(both), used)):
+                        con.register(name, table)
+                    con.execute(_LINKS)
+                    for part in con.sql(_COUNTED).to_arrow_table().to_batches():
+                        yield pa.RecordBatch.from_arrays(part.columns, names=["a", "b", "n"])
         pa.default_memory_pool().release_unused()
 
-    partial = texts.select("text").mapInArrow(count, "a int, b int, n long")
+    partial = texts.select("id", "text").mapInArrow(count, "a int, b int, n long")
     merged = materialise(partial.groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts")
     highest = merged.groupBy("b").agg(F.max("n").alias("most"))
     return materialise(merged.join(highest, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best")), "pairs")
@@ -246,26 +278,24 @@ def _aligner(a_path: str, b_path: str, counts: object | None) -> Callable:
     """Rows of _ROW; without ``counts`` also the row's own pairs of ids, whose counts are looked up elsewhere."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, other, con = byte_level(a_path), byte_fallback(b_path), connection()
+        both, con = (byte_level(a_path), byte_fallback(b_path)), connection()
         if counts is not None:
             con.register("sent", pa.ipc.open_stream(counts.value).read_all())
             con.execute("CREATE TEMP TABLE counts AS SELECT * FROM sent")
-        for batch in _blocks(batches, BLOCK_BYTES):
-            block = Block(batch.column(1).to_pylist())
-            n = len(block.pieces)
+        for block in _blocks(batches):
+            n = len(block.known)
             sums = {name: np.zeros(n, np.int64) for name in _SUMS}
             texts: list[str] = [""] * n
-            fine = np.zeros(n + 1, bool)
             own: list[pa.Table] = []
-            for line in block.lines(one, other):
-                fine[line.pieces] = True
+            lines = list(block.lines(both))
+            right = block.right(lines)
+            for line in lines:
                 if not len(line.pieces):
                     continue
-                con.register("a", line.a)
-                con.register("b", line.b)
+                for name, table in zip("ab", line.tables(both)):
+                    con.register(name, table)
                 con.execute(_LINKS)
-                sums["n_a"] += np.bincount(line.a["piece"].to_numpy(), minlength=n)
-                sums["n_b"] += np.bincount(line.b["piece"].to_numpy(), minlength=n)
+                sums["n_a"][line.pieces], sums["n_b"][line.pieces] = line.counts
                 pieces, groups, joined = joined_groups(con)
                 sums["n_groups"][pieces] = groups
                 for i, text in zip(pieces.tolist(), joined):
@@ -276,11 +306,10 @@ def _aligner(a_path: str, b_path: str, counts: object | None) -> Callable:
                 looked = con.sql(_LOOKED_UP).to_arrow_table()
                 for name in ("n_links", "n_best", "count_sum"):
                     sums[name][looked["piece"].to_numpy()] = looked[name].to_numpy()
-            right = block.right(fine)
             empty = np.zeros(0, np.int32)
             rows = [r if ok else empty for r, ok in zip(block.rows, right)]
             digests = [sha256(";".join(map(texts.__getitem__, r.tolist())).encode()).hexdigest() if ok else "" for r, ok in zip(rows, right)]
-            columns = [batch.column(0)] + [pa.array([int(sums[name][r].sum()) for r in rows], pa.int64()) for name in _SUMS] + [pa.array(digests)]
+            columns = [pa.array(block.ids, pa.int64())] + [pa.array([int(sums[name][r].sum()) for r in rows], pa.int64()) for name in _SUMS] + [pa.array(digests)]
             names = ["id", *_SUMS, "groups_sha256"]
             if counts is None:
                 columns.append(_pairs_of(rows, n, own))

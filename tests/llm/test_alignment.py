@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -96,13 +97,11 @@ def test_small_blocks_and_slices(spark, libraries, monkeypatch):
     """What a block or a slice holds doesn't change the result."""
     texts = [f"The number {i} of {i * i} words, repeated; Wörter und Straße {i % 3}." * (1 + i % 4) for i in range(40)] + ODD
     truth = expected(libraries, texts)
-    for block, piece in ((200, 50), (5_000, 100)):
-        monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
+    for pieces, words, piece in ((5, 1 << 20, 50), (1 << 20, 100, 100), (1 << 20, 1 << 20, 300)):
+        monkeypatch.setattr(alignment, "PIECES", pieces)
+        monkeypatch.setattr(alignment, "BLOCK_WORDS", words)
         monkeypatch.setattr(alignment, "SLICE_BYTES", piece)
-        table = {"id": list(range(len(texts))), "text": texts}
-        import pyarrow as pa
-
-        batches = pa.table({"id": pa.array(table["id"], pa.int64()), "text": pa.array(texts, pa.string())}).to_batches()
+        batches = pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}).to_batches()
         rows = [r for b in alignment._aligner(A, B, None)(iter(batches)) for r in b.to_pylist()]
         assert [(r["n_a"], r["n_b"], r["n_groups"], r["groups_sha256"]) for r in rows] == [(*t[:3], t[6]) for t in truth]
         assert [sum(p["m"] for p in r["pairs"]) for r in rows] == [t[3] for t in truth]
