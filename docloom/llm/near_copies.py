@@ -1,22 +1,31 @@
-"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash name candidates, whole sets decide.
-
-Texts with one set of shingles are one node. Candidates are the links of operator 8's BK-trees over the nodes'
-fingerprints, and pairs of nodes that share a MinHash band: ``BANDS`` bands of ``BAND_ROWS`` minima, of which two
-texts at the least similarity of 0.8 share none in 2 of 10,000 cases, and less similar texts often one. Four bits of
-each minimum go with a node; two texts at the least similarity agree in at least ``AGREE`` of the 64 in all but 2 of
-100,000 cases, so pairs that agree in fewer, and pairs whose sizes don't allow the similarity, are no candidates. A
-candidate links only if the similarity of the whole sets of shingles is high enough; a chain of links joins documents.
-
-A band that many nodes share gives one pair for each node and round, not one for each two: each is held against the
-band's centre. In the first round the centre is the node whose bands are the most shared ones, as those of a text are
-from which many copies were made, and of a node's bands only the pair that agrees best is looked at. Then a round looks only at bands whose nodes aren't all joined yet,
-with ``CENTRES`` centres drawn anew for each band and round, and at the ``TRIED`` pairs of a node that agree best and
-weren't looked at before; the rounds end with the first after the second that joins nothing. So a group of m near
-copies costs in proportion to m.
-
-What moves: bands with their nodes' bits, and sets of shingles of nodes in a pair that passed all this, which are made
-once. Texts are written once, with their row numbers. They are met with the rows whose sets are wanted, or that go in the end, by
-broadcast of these numbers if there are at most ``FEW`` of them, and else by shuffle.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash name groups, whole sets decide.
+
+Texts with one set of shingles are one node. Two things are looked at: the links of operator 8's BK-trees over the nodes'
+fingerprints, and groups of nodes that share a MinHash band. Of ``BANDS`` bands of ``BAND_ROWS`` minima two texts at the
+least similarity of 0.8 share none in 3 of a million cases, and more similar ones yet more seldom. Within a group no link
+is lost, however many nodes it has.
+
+The smallest node of a group is its centre, and groups of one centre are one crowd. A crowd of at most ``CROWD`` nodes
+goes to a task with its sets, which finds all links in it. Of a larger one all nodes are first held against the centre,
+set by set, which costs in proportion to the crowd:
+
+* Let x share i of its shingles with centre c, and let r be its other ones. x links to c if (x + c) 4/9 <= i, for numbers
+  of shingles x and c.
+* If x doesn't link to c, a link of x to any y of the crowd needs (x + y) 4/9 >= (x + c) 4/9 shared shingles, and at most
+  i of them are shingles of c. So k = (x + max(c, 0.8 x)) 4/9 - i >= 1 of them are in both texts' rests, and one is
+  among the r - k + 1 first of x's rest in any order.
+* Two nodes that both link to c are joined already.
+
+So the next round's groups are those of a centre's nodes that share a shingle of their rests (all of the rest for nodes
+that link to the centre, the r - k + 1 first for the others, of which a group holds at least one), unless their nodes are
+all joined already. Pages of one template differ in their rests only, so their crowd falls apart; copies of one text
+mostly link to the centre. What is still a large crowd after ``ROUNDS`` rounds is cut into tiles, and each two tiles
+are a task.
+
+What moves: bands; sets of shingles, made once, of nodes that share a band with another or hang in a tree with one, to
+their crowds; and the rests of nodes that go on. Texts are written once, with their row numbers. They are met
+with the rows whose sets are wanted, or that go in the end, by broadcast of these numbers if there are at most ``FEW``
+of them, and else by shuffle.
 
 Defined results: null, empty and blank texts are copies of each other and of nothing else; with fewer words than a
 shingle the whole sequence is the shingle; A-Z count as a-z; null ids count as larger than all ids; an empty table
@@ -25,12 +34,13 @@ gives an empty result. Only named columns are read, so other columns can't clash
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,11 +52,11 @@ from docloom.session import materialise, new_path, scratch
 WORDS, RADIUS = 5, 4
 #: The least similarity of a link, as a fraction of whole numbers.
 LEAST = (4, 5)
-BANDS, BAND_ROWS = 16, 4
-#: Four-bit minima, of all 64, in which candidates agree.
-AGREE = 39
-#: Centres of a band, and pairs of a node, in each round after the first.
-CENTRES, TRIED = 3, 3
+BANDS, BAND_ROWS = 24, 4
+#: Nodes of a crowd that a task takes whole, and rounds before larger ones are cut into tiles.
+CROWD, ROUNDS = 512, 3
+#: Shingles that a task counts at once.
+COLUMNS = 1 << 13
 #: So many row numbers are broadcast.
 FEW = 1 << 20
 #: Shingles of a text that meet all multipliers at once.
@@ -85,59 +95,31 @@ def bands(least: np.ndarray) -> np.ndarray:
     return (parts * _MIX[::-1]).sum(axis=1, dtype=np.uint64)
 
 
-def four_bits(least: np.ndarray) -> np.ndarray:
-    """Four bits of each minimum, sixteen of them a word."""
-    bits = (least & np.uint64(15)).astype(np.uint8)
-    return (bits[0::2] | bits[1::2] << 4).view(np.uint64)
-
-
-SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("names", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("names", T.ArrayType(T.LongType()))])
 
 
 def _sketches(texts: pa.Array) -> pa.Array:
-    nodes, sizes, prints, names, bits = [], [], [], [], []
+    nodes, sizes, prints, names = [], [], [], []
     for text in texts.cast(pa.binary()).to_pylist():
         hashes = shingle_hashes(text or b"")
         own = np.unique(hashes)
-        least = minima(own)
         nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
         sizes.append(len(own))
         prints.append(_majority(hashes))
-        names.append(bands(least))
-        bits.append(four_bits(least))
+        names.append(bands(minima(own)))
     long = lambda a: pa.array(np.array(a, np.uint64).reshape(-1).view(np.int64))
     lists = lambda a, n: pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(nodes) + 1, n, dtype=np.int32)), long(a))
-    return pa.StructArray.from_arrays([long(nodes), pa.array(sizes, pa.int32()), long(prints), lists(names, BANDS), lists(bits, len(_ODD) // 16)], names=SKETCH.names)
+    return pa.StructArray.from_arrays([long(nodes), pa.array(sizes, pa.int32()), long(prints), lists(names, BANDS)], names=SKETCH.names)
 
 
 def _sets(texts: pa.Array) -> list:
     return [pa.array([np.unique(shingle_hashes(x or b"")).view(np.int64) for x in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))]
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of written pairs (u, v) those whose sets (node, shingles) are similar enough."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    if pairs.count() <= FEW // 2:  # only sets of these pairs are moved
-        sets = sets.join(F.broadcast(ends), "node", "left_semi")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    return both.where((LEAST[0] + LEAST[1]) * shared >= LEAST[0] * total).select("u", "v")
-
-
-def _agreeing(a: str, b: str) -> Column:
-    """In how many of the four-bit minima two lists of words agree."""
-    ones = F.lit(0x1111111111111111)
-    differing = F.lit(0)
-    for i in range(len(_ODD) // 16):
-        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
-        some = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
-        differing = differing + F.bit_count(some.bitwiseAND(ones))
-    return F.lit(len(_ODD)) - differing
-
-
-def _fits(a: str, b: str) -> Column:
-    """Whether two sizes allow the least similarity."""
-    return LEAST[1] * F.least(a, b) >= LEAST[0] * F.greatest(a, b)
+def _needed(a: Column, b: Column) -> Column:
+    """How many shingles sets of these sizes share at the least similarity."""
+    whole = LEAST[0] + LEAST[1]
+    return F.floor((LEAST[0] * (a + b) + F.lit(whole - 1)) / F.lit(whole))
 
 
 def _met(rows: DataFrame, numbers: DataFrame, how: str = "inner") -> DataFrame:
@@ -145,14 +127,10 @@ def _met(rows: DataFrame, numbers: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(F.broadcast(numbers) if numbers.count() <= FEW else numbers, "row", how)
 
 
-def _sets_of(pairs: DataFrame, had: DataFrame | None, nodes: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """The sets (node, shingles) of all nodes of the pairs (u, v): those ``had`` and those made now."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    ends = ends if had is None else ends.join(had.select("node"), "node", "left_anti")
-    wanted = materialise(nodes.select("node", "row").join(ends, "node", "left_semi"), "wanted")
+def _sets_of(wanted: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """The sets (node, shingles) of written nodes (node, row)."""
     made = arrow_map(_met(rows.select("row", text_col), wanted), ["node"], [F.col(text_col)], [T.StructField("shingles", T.ArrayType(T.LongType()))], _sets)
-    made = materialise(made, "shingle-sets")
-    return made if had is None else had.union(made)
+    return materialise(made, "shingle-sets")
 
 
 def _tree_pairs(nodes: DataFrame) -> DataFrame:
@@ -165,48 +143,138 @@ def _tree_pairs(nodes: DataFrame) -> DataFrame:
     return equal.select("u", "nu", "v", "nv").union(near.select("u", "nu", "v", "nv")).where("u <> v")
 
 
+def _held(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (node, n, centre, nc) with ``shared``, how many shingles they have in common, and ``rest``, what only the node has."""
+    own, other = sets.select("node", F.col("shingles").alias("a")), sets.select(F.col("node").alias("centre"), F.col("shingles").alias("b"))
+    return pairs.join(own, "node").join(other, "centre").select("node", "n", "centre", "nc", F.array_except("a", "b").alias("rest")).withColumn("shared", F.col("n") - F.size("rest"))
+
+
+def _in_groups(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """From (name, node, n, open): (node, n, centre, nc), the centre itself too, of the groups that may hold links.
+
+    These have two nodes or more, one of them open, and not all of them joined by ``roots``.
+    """
+    if roots is not None:
+        members = members.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        members = members.withColumn("root", F.col("node"))
+    groups = members.groupBy("name").agg(F.min(F.struct("n", "node")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("open").alias("open"))
+    met = members.join(groups.where("open AND low < high").select("name", "c"), "name")
+    return met.select("node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("nc")).distinct()
+
+
+def crowd_links(sizes: np.ndarray, sets: list[np.ndarray], split: int = 0) -> list[tuple[int, int]]:
+    """Links (i, j) that join the same nodes as all links between sets; with ``split``, links between the first so many and the others count."""
+    m = len(sets)
+    tokens = np.concatenate(sets)
+    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    some = times[column] > 1
+    renamed = np.cumsum(times > 1) - 1
+    column, owner = renamed[column[some]], owner[some]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared = np.zeros((m, m), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, z = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((m, int(column[z - 1]) + 1 - start), np.float32)
+        part[owner[a:z], column[a:z] - start] = 1
+        shared += part @ part.T  # whole numbers far below 2 ** 24
+    linked = (LEAST[0] + LEAST[1]) * shared >= LEAST[0] * (sizes[:, None] + sizes[None, :])
+    if split:
+        linked[:split, :split] = linked[split:, split:] = False
+    out, fresh = [], np.ones(m, bool)
+    for i in range(m):
+        if fresh[i]:
+            fresh[i] = False
+            stack = [i]
+            while stack:
+                k = stack.pop()
+                more = np.flatnonzero(linked[k] & fresh)
+                fresh[more] = False
+                stack += more.tolist()
+                out += [(k, j) for j in more.tolist()]
+    return out
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(values, pa.int64())
+
+
+def _whole_crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (centre, node, shingles) in order of centres."""
+    name, nodes, sets = None, [], []
+
+    def found() -> pa.RecordBatch:
+        pairs = crowd_links(np.array(list(map(len, sets)), np.int64), sets) if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([_longs([nodes[i] for i, _ in pairs]), _longs([nodes[j] for _, j in pairs])], names=["u", "v"])
+
+    for batch in batches:
+        for centre, node, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if centre != name:
+                yield found()
+                name, nodes, sets = centre, [], []
+            nodes.append(node)
+            sets.append(shingles.values.to_numpy())
+    yield found()
+
+
+def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (nodes, others): lists of (node, shingles); without others, links between the nodes."""
+    for batch in batches:
+        for nodes, others in zip(batch.column(0), batch.column(1)):
+            rows = [*nodes, *(others if others.is_valid else [])]
+            names = [r["node"].as_py() for r in rows]
+            sets = [r["shingles"].values.to_numpy() for r in rows]
+            pairs = crowd_links(np.array(list(map(len, sets)), np.int64), sets, len(nodes) if others.is_valid else 0)
+            yield pa.RecordBatch.from_arrays([_longs([names[i] for i, _ in pairs]), _longs([names[j] for _, j in pairs])], names=["u", "v"])
+
+
+def _tiled(crowds: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside crowds (centre, node) of any size, from tiles of about CROWD / 2 nodes each."""
+    tile = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / F.lit(CROWD // 2))).alias("tile")
+    dealt = crowds.join(sizes, "centre").select("centre", "node", tile).join(sets, "node")
+    tiles = materialise(dealt.groupBy("centre", "tile").agg(F.collect_list(F.struct("node", "shingles")).alias("nodes")), "tiles")
+    inside = tiles.select("nodes", F.lit(None).cast(tiles.schema["nodes"].dataType).alias("others"))
+    later = tiles.select("centre", F.col("tile").alias("later"), F.col("nodes").alias("others"))
+    across = tiles.join(later, "centre").where("tile < later").select("nodes", "others")
+    return inside.union(across).mapInArrow(_tile_pairs, "u long, v long")
+
+
 def _roots(nodes: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """From nodes (node, n, fp, names, bits, row): one row (v, root) for each node that a chain of links joins to a smaller one."""
-    named = nodes.select(F.explode("names").alias("name"), "node", "n", "bits")
-    shared = named.groupBy("name").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    members = materialise(named.join(shared, "name"), "members")
-    popular = members.groupBy("node").agg(F.sum("nodes").alias("popular"))
-    hub = F.max(F.struct("popular", F.xxhash64("node").alias("draw"), "node")).getField("node")
-    centres = members.select("name", "node").join(popular, "node").groupBy("name").agg(hub.alias("v"))
-    centres = materialise(centres.join(nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("centre_bits")), "v"), "centres")
-
-    met = members.join(centres, "name").where((F.col("node") != F.col("v")) & _fits("n", "nv")).withColumn("agreeing", _agreeing("bits", "centre_bits"))
-    best = F.max(F.struct("agreeing", F.xxhash64("v").alias("draw"), "v")).getField("v")
-    by_band = met.where(F.col("agreeing") >= AGREE).groupBy(F.col("node").alias("u")).agg(best.alias("v"))
-    by_tree = _tree_pairs(nodes).where(_fits("nu", "nv")).select("u", "v")
-    pairs = materialise(by_band.union(by_tree).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
-    sets = _sets_of(pairs, None, nodes, rows, text_col)
-    tried, found = pairs, materialise(_similar(pairs, sets), "links")
+    """From nodes (node, n, fp, names, row): one row (v, root) for each node that a chain of links joins to a smaller one."""
+    spark = nodes.sparkSession
+    members = nodes.select(F.explode("names").alias("name"), "node", "n", F.lit(True).alias("open"))
+    pairs = materialise(_in_groups(members, None), "group-pairs")
+    trees = materialise(_tree_pairs(nodes).select(F.col("u").alias("node"), F.col("nu").alias("n"), F.col("v").alias("centre"), F.col("nv").alias("nc")), "tree-pairs")
+    ends = pairs.select("node").union(trees.select("node")).union(trees.select("centre")).distinct()
+    sets = _sets_of(materialise(nodes.select("node", "row").join(ends, "node", "left_semi"), "wanted"), rows, text_col)
+    linked = F.col("shared") >= _needed(F.col("n"), F.col("nc"))
+    path = new_path(spark, "links")
+    _held(trees, sets).where(linked).select(F.col("node").alias("u"), F.col("centre").alias("v")).write.parquet(path)
     turn = 0
     while True:
-        roots = component_roots(found)  # a scan of what was written
+        sizes = materialise(pairs.groupBy("centre").agg(F.count("*").alias("crowd")), "crowds")
+        small = pairs.join(sizes.where(F.col("crowd") <= CROWD), "centre").select("centre", "node").join(sets, "node").select("centre", "node", "shingles")
+        small = small.repartition("centre").sortWithinPartitions("centre")
+        small.mapInArrow(_whole_crowds, "u long, v long").write.mode("append").parquet(path)
+        large = sizes.where(F.col("crowd") > CROWD)
+        if not large.limit(1).count():
+            return component_roots(spark.read.schema("u long, v long").parquet(path))
         turn += 1
-        placed = members.join(roots.withColumnRenamed("v", "node"), "node", "left").select("name", "node", "n", "bits", F.coalesce("root", "node").alias("root"))
-        unlike = placed.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("name")
-        inside = materialise(placed.join(unlike, "name"), "open-bands")
-        members = inside.drop("root")  # bands whose nodes are all joined stay so
-        drawn = Window.partitionBy("name").orderBy(F.xxhash64("node", "name", F.lit(turn)), "node")
-        centre = inside.withColumn("at", F.row_number().over(drawn)).where(F.col("at") <= CENTRES)
-        centre = centre.select("name", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("centre_bits"), F.col("root").alias("other"))
-        met = inside.join(centre, "name").where((F.col("root") != F.col("other")) & _fits("n", "nv")).withColumn("agreeing", _agreeing("bits", "centre_bits"))
-        met = met.where(F.col("agreeing") >= AGREE).select("node", F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"), "agreeing").distinct()
-        met = met.join(tried, ["u", "v"], "left_anti")
-        best = Window.partitionBy("node").orderBy(F.desc("agreeing"), "u", "v")
-        pairs = met.withColumn("at", F.row_number().over(best)).where(F.col("at") <= TRIED).select("u", "v").distinct()
-        pairs = materialise(pairs, "pairs")
-        more = None
-        if pairs.limit(1).count():
-            sets, tried = _sets_of(pairs, sets, nodes, rows, text_col), tried.union(pairs)
-            more = materialise(_similar(pairs, sets), "links")
-        if more is not None and more.limit(1).count():
-            found = roots.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more)
-        elif turn > 1:
-            return roots
+        pairs = pairs.join(large.select("centre"), "centre")
+        if turn > ROUNDS:
+            _tiled(pairs.select("centre", "node"), large, sets).write.mode("append").parquet(path)
+            return component_roots(spark.read.schema("u long, v long").parquet(path))
+        held = materialise(_held(pairs.where("node <> centre"), sets).withColumn("linked", linked), "held")
+        held.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v")).write.mode("append").parquet(path)
+        roots = component_roots(spark.read.schema("u long, v long").parquet(path))
+        least = F.greatest(F.col("nc"), F.floor((LEAST[0] * F.col("n") + F.lit(LEAST[1] - 1)) / F.lit(LEAST[1])))
+        first = F.size("rest") - (_needed(F.col("n"), least) - F.col("shared")) + 1
+        going = F.when(F.col("linked"), F.col("rest")).when(first > 0, F.slice(F.sort_array("rest"), 1, F.greatest(first, F.lit(1)).cast("int")))
+        on = held.select("centre", "node", "n", (~F.col("linked")).alias("open"), F.explode(going).alias("shingle"))
+        members = on.select(F.xxhash64("centre", "shingle").alias("name"), "node", "n", "open")
+        pairs = materialise(_in_groups(members, roots), "group-pairs")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +291,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     path = new_path(docs.sparkSession, "gone")
     with scratch(docs.sparkSession):  # what is written on the way to the rows that go isn't needed any more then
         narrow = rows.select(F.col(where[id_col]).alias("id"), "node", "row")
-        first = F.min(F.struct("row", "n", "fp", "names", "bits")).alias("s")
+        first = F.min(F.struct("row", "n", "fp", "names")).alias("s")
         nodes = materialise(rows.groupBy("node").agg(first).select("node", "s.*"), "nodes")
         roots = _roots(nodes, rows, where[text_col])
         rooted = materialise(narrow.join(roots.withColumnRenamed("v", "node"), "node", "left").select("id", "row", F.coalesce("root", "node").alias("root")), "rooted")

@@ -59,24 +59,80 @@ def test_supplied_documents(spark):
 
 def test_bands_meet_at_the_least_similarity():
     draw = random.Random(3)
-    met = 0
     for i in range(500):
         words = [f"{i}-{draw.random()}" for _ in range(180)]
         a, b = (near_copies.np.unique(near_copies.shingle_hashes(" ".join(w).encode())) for w in (words[:163], words[17:]))
         assert 0.79 < len(near_copies.np.intersect1d(a, b)) / len(near_copies.np.union1d(a, b)) < 0.81
-        x, y = near_copies.minima(a), near_copies.minima(b)
-        met += bool((near_copies.bands(x) == near_copies.bands(y)).any())
-        agree = sum((int(p) >> i & 15) == (int(q) >> i & 15) for p, q in zip(near_copies.four_bits(x), near_copies.four_bits(y)) for i in range(0, 64, 4))
-        assert agree == int(((x & near_copies.np.uint64(15)) == (y & near_copies.np.uint64(15))).sum()) >= near_copies.AGREE
-    assert met >= 498
-
-
-def test_agreement_in_columns(spark):
-    draw = random.Random(4)
-    words = [[draw.getrandbits(64) - (1 << 63) for _ in range(4)] for _ in range(60)]
-    rows = [(a, [x ^ (draw.getrandbits(64) & draw.getrandbits(64) & draw.getrandbits(64) & draw.getrandbits(62)) for x in a]) for a in words]
-    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_copies._agreeing("a", "b")).collect()
-    assert [r[0] for r in got] == [sum((x >> i & 15) == (y >> i & 15) for x, y in zip(a, b) for i in range(0, 64, 4)) for a, b in rows]
+        assert (near_copies.bands(near_copies.minima(a)) == near_copies.bands(near_copies.minima(b))).any()
+
+
+def pages(draw, n, template, own, changed):
+    """Pages of one template with words of their own, each with a copy in which some of these are changed."""
+    head = [f"t{draw.randrange(5000)}" for _ in range(template)]
+    rows = []
+    for i in range(n):
+        words = [f"p{i}-{k}" for k in range(own)]
+        rows.append((2 * i, " ".join(head + words)))
+        copy = list(words)
+        copy[-changed:] = [f"q{i}-{k}" for k in range(changed)]
+        rows.append((2 * i + 1, " ".join(head + copy)))
+    return rows
+
+
+def test_template_crowd_loses_no_copy(spark):
+    """Every page shares its bands with all others, at a similarity of 0.68; its copy is at 0.81."""
+    for n in (500, 1500):
+        rows = pages(random.Random(n), n, 160, 36, 20)
+        sets = brute_sets(rows[:4])
+        alike = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+        assert alike(0, 1) > 0.8 > 0.75 > alike(0, 2)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect()) == [2 * i for i in range(n)]
+
+
+def test_crowds_just_below_and_above(spark, monkeypatch):
+    """Templates within templates, sizes on both sides of the limit, copies of copies: as all pairs have it."""
+    draw = random.Random(12)
+    rows = []
+    for _ in range(4):
+        head = [f"h{draw.randrange(9000)}" for _ in range(100)]
+        for _ in range(6):
+            middle = [f"m{draw.randrange(9000)}" for _ in range(draw.randrange(5, 30))]
+            for _ in range(12):
+                words = head + middle + [f"o{draw.randrange(9000)}" for _ in range(draw.randrange(1, 20))]
+                for _ in range(draw.randrange(3)):
+                    words[draw.randrange(len(words))] = f"x{draw.randrange(9000)}"
+                rows.append((len(rows), " ".join(words)))
+    kept, pairs = brute_kept(rows)
+    assert len(pairs) > 150 and 40 < len(kept) < len(rows) - 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for crowd, rounds in ((512, 3), (8, 2), (8, 0)):
+        monkeypatch.setattr(near_copies, "CROWD", crowd)
+        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+        assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect()) == kept
+
+
+def test_links_of_a_crowd(monkeypatch):
+    """All linked sets are joined and no others, whatever is counted at once; by tiles only links across count."""
+    draw = near_copies.np.random.default_rng(6)
+    sets = [near_copies.np.unique(draw.choice(60, draw.integers(0, 50))) for _ in range(70)] + [near_copies.np.arange(40)] * 3
+    sizes = near_copies.np.array([len(s) for s in sets])
+
+    def joined(pairs):
+        label = list(range(len(sets)))
+        for _ in sets:
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    alike = lambda a, b: 9 * len(set(a) & set(b)) >= 4 * (len(a) + len(b))
+    truth = [(i, j) for j in range(len(sets)) for i in range(j) if alike(sets[i].tolist(), sets[j].tolist())]
+    for columns in (7, 1 << 13):
+        monkeypatch.setattr(near_copies, "COLUMNS", columns)
+        got = near_copies.crowd_links(sizes, sets)
+        assert joined(got) == joined(truth) and set(got) <= {*truth, *((j, i) for i, j in truth)}
+        across = near_copies.crowd_links(sizes, sets, 30)
+        assert joined(across) == joined([(i, j) for i, j in truth if i < 30 <= j])
 
 
 def test_many_rows_are_met_by_shuffle(spark, monkeypatch):
