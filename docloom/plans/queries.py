@@ -144,10 +144,22 @@ def page_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.zones(line_nodes(spark, sf_dir)).select("doc_id", "node_id", "page", "in_header", "in_footer")
 
 
-_NUMBERED = r"^(?:-|\( |\()?\b(?:(?i:page|pp\.|pg\.|pp|pg|p\.[pg]\.|p\.[pg]|p\.|p))? ?(?:[0-9]+|\b(?i:[ivxm]+)\b)\.?(?: -|-|\))?"
+def _numbered_sql(end: str) -> str:
+    """Whether a text begins with a page number before ``end``, from the rule in words.
 
+    A dash or an opening bracket (and a blank), or nothing; then digits, before which a word for page and a blank may
+    stand, or a Roman number, which no letter touches. What follows a number is spelt out, as RE2's boundaries are ASCII.
+    """
+    words = ["page", "p", r"p\.", "pp", "pg", r"p\.p", r"p\.g", r"pp\.", r"pg\.", r"p\.p\.", r"p\.g\."]
+    before_digits = "|".join(w + " ?" for w in words)
+    before_letters = "|".join(w + (" ?" if w.endswith(".") else " ") for w in words)
+    return rf"regexp_matches(text, '^(?:-|\( |\()?(?i:(?:{before_digits})?\p{{Nd}}+|(?:{before_letters})?[ivxm]+){end}')"
 
-@query(f"""WITH {LINES} SELECT doc_id, node_id, regexp_matches(text, '{_NUMBERED}\\b\\z') AS is_number, regexp_matches(text, '{_NUMBERED}\\b') AS starts_with_number FROM nodes""")
+
+_NOT_A_WORD = r"(?:[^\p{L}\p{N}\p{M}\p{Pc}]|\z)"
+
+
+@query(f"WITH {LINES} SELECT doc_id, node_id, {_numbered_sql(chr(92) + 'z')} AS is_number, {_numbered_sql(_NOT_A_WORD)} AS starts_with_number FROM nodes")
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_nodes(spark, sf_dir).select("doc_id", "node_id", tx.is_page_number(F.col("text")).alias("is_number"), tx.starts_with_page_number(F.col("text")).alias("starts_with_number"))
 

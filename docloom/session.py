@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 _OWN_SHARED: dict[str, str] = {}
 _SHIPPED: set[str] = set()
-_SCRATCH: list[str] = []
+_SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("docloom-scratch", default=())
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -65,24 +66,24 @@ def clear(spark: SparkSession) -> None:
 
 
 class scratch:
-    """``with scratch(spark):`` everything that is written between steps inside goes at its end."""
+    """``with scratch(spark):`` everything that this thread writes between steps inside goes at its end."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.name = spark, uuid.uuid4().hex
 
     def __enter__(self) -> scratch:
-        _SCRATCH.append(self.name)
+        self.outer = _SCRATCH.set((*_SCRATCH.get(), self.name))
         return self
 
     def __exit__(self, *_: object) -> None:
-        _SCRATCH.remove(self.name)
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{run_dir(self.spark)}/{self.name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([run_dir(self.spark), *_SCRATCH.get()]))
+        _SCRATCH.reset(self.outer)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return "/".join([run_dir(spark), *_SCRATCH, f"{label}-{uuid.uuid4().hex}"])
+    return "/".join([run_dir(spark), *_SCRATCH.get(), f"{label}-{uuid.uuid4().hex}"])
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -111,8 +112,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-#: Rows that Spark hands to Python at once, unless the session says something else than Spark's own 10,000: long texts
-#: would else make batches that neither side can hold.
+#: Rows that Spark hands to Python at once, unless the caller has set their number: long texts would else make batches
+#: that neither side can hold.
 BATCH_ROWS = 1024
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -120,7 +121,7 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship_package(spark: SparkSession) -> None:
     """Send this package's code to the executors, once per application, and bound the batches they get."""
     app = spark.sparkContext.applicationId
-    if spark.conf.get(_BATCH_SETTING) == "10000":
+    if _BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     if app in _SHIPPED:
         return

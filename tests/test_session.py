@@ -1,4 +1,5 @@
 import os
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -40,3 +41,37 @@ def test_a_cluster_needs_a_shared_folder():
             session.shared_dir(of(master))
         assert session.shared_dir(of(master, "hdfs://n/x/")) == "hdfs://n/x"
     assert session.shared_dir(of("local[4]")).startswith("file://")
+
+
+def test_two_threads_have_scratch_folders_of_their_own(spark):
+    """One thread's folder goes while the other's, begun inside that time, stays."""
+    began, ended, result = threading.Event(), threading.Event(), {}
+
+    def other():
+        began.wait(30)
+        with session.scratch(spark):
+            rows = session.materialise(spark.range(7), "other")
+            ended.set()
+            gone.wait(60)
+            result["n"] = rows.count()
+
+    gone = threading.Event()
+    thread = threading.Thread(target=other)
+    thread.start()
+    with session.scratch(spark):
+        session.materialise(spark.range(3), "own")
+        began.set()
+        ended.wait(60)
+    gone.set()
+    thread.join(60)
+    assert result == {"n": 7}
+
+
+def test_a_callers_batch_size_stays(spark):
+    other = spark.newSession()
+    session.ship_package(other)
+    assert other.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(session.BATCH_ROWS)
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    session.ship_package(own)
+    assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
