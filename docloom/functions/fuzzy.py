@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +34,159 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+#: Comparisons that go through the characters together, and characters between two looks at which are decided.
+TOGETHER, LOOK = 1 << 13, 32
+#: Fewer windows than this, and texts of more words of bits, are compared one by one.
+FEW_WINDOWS, WIDE = 64, 8
+
+
+class Texts:
+    """Texts as numbers of their characters, one after the other, and as bits: of each text and character its places."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = texts
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        alphabet, codes = np.unique(chars, return_inverse=True)
+        self.codes = codes.astype(np.int64)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = len(alphabet)
+        self.number = {chr(c): i for i, c in enumerate(alphabet.tolist())}
+
+    def histogram(self) -> np.ndarray:
+        """How often each text has each character."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return np.bincount(owner * self.letters + self.codes, minlength=len(self.sizes) * self.letters).reshape(len(self.sizes), self.letters)
+
+    def bits(self, which: np.ndarray) -> np.ndarray:
+        """Places (text, character, word) of some texts, 64 a word."""
+        sizes = self.sizes[which]
+        words = max(1, int(-(-sizes.max() // 64))) if len(which) else 1
+        out = np.zeros((len(which), self.letters, words), np.uint64)
+        row = np.repeat(np.arange(len(which)), sizes)
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        letter = self.codes[np.repeat(self.starts[which], sizes) + place]
+        np.bitwise_or.at(out, (row, letter, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+        return out
+
+
+def common_lengths(bits: np.ndarray, codes: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs, all of which go on by a character at a time.
+
+    A pair is a row of ``bits`` (places of each character of the one text) and a run of ``codes``. Pairs that can't
+    reach ``least`` any more are given up, with -1.
+    """
+    rows, letters, words = bits.shape
+    flat = bits.reshape(rows * letters, words)
+    out = np.zeros(len(row), np.int64)
+    order = np.argsort(-size, kind="stable")
+    for at in range(0, len(order), TOGETHER):
+        job = order[at : at + TOGETHER]
+        base, first, left = row[job] * letters, start[job], size[job]
+        state = np.full((words, len(job)), np.iinfo(np.uint64).max, np.uint64)
+        for t in range(int(left[0])):
+            k = int(np.searchsorted(-left, -t))  # so many have a character at t
+            if not k:
+                break
+            letter, carry = base[:k] + codes[first[:k] + t], None
+            for w in range(words):
+                x = state[w, :k]
+                hit = x & flat[letter, w]
+                y = x + hit
+                over = y < x
+                if carry is not None:
+                    z = y + carry
+                    over |= z < y
+                    y = z
+                state[w, :k] = y | (x ^ hit)
+                if w + 1 < words:
+                    carry = over.astype(np.uint64)
+            if least is not None and t % LOOK == LOOK - 1:
+                common = 64 * words - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
+                hopeless = common + np.maximum(left - t - 1, 0) < least[job]
+                if hopeless.any():
+                    out[job[hopeless]] = -1
+                    job, base, first, left, state = (x[..., ~hopeless] for x in (job, base, first, left, state))
+                    if not len(job):
+                        break
+        if len(job):
+            out[job] = 64 * words - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def shares(a: str, b: str, least: int) -> bool:
+    """Whether the longest common subsequence has at least so many characters; ends as soon as it can't."""
+    at, state = _masks(a), (1 << len(a)) - 1
+    full = state
+    for start in range(0, len(b), LOOK):
+        for c in b[start : start + LOOK]:
+            hit = state & at.get(c, 0)
+            state = (state + hit | state - hit) & full
+        common = len(a) - state.bit_count()
+        if common >= least:
+            return True
+        if common + len(b) - start - LOOK < least:
+            return False
+    return least <= 0
+
+
+def alike_pairs(texts: Texts, a: np.ndarray, b: np.ndarray, alike: float) -> np.ndarray:
+    """Which pairs (numbers of texts) have at least this Indel ratio. Sizes and letters sort out first."""
+    sizes = texts.sizes
+    # The same products and quotients as in ``indel_ratio``, so that both decide alike.
+    both = sizes[a] + sizes[b]
+    need = np.ceil(alike * both / 200.0 - 1e-9).astype(np.int64)
+    need += (both > 0) & (200.0 * need / np.maximum(both, 1) < alike)
+    out = np.zeros(len(a), bool)
+    able = np.flatnonzero(np.minimum(sizes[a], sizes[b]) >= need)
+    histogram = texts.histogram()
+    for at in range(0, len(able), TOGETHER):
+        some = able[at : at + TOGETHER]
+        some = some[np.minimum(histogram[a[some]], histogram[b[some]]).sum(axis=1) >= need[some]]
+        swap = sizes[a[some]] > sizes[b[some]]  # the shorter one as bits
+        short, long = np.where(swap, b[some], a[some]), np.where(swap, a[some], b[some])
+        words = -(-sizes[short] // 64)
+        for i in np.flatnonzero(words > WIDE).tolist():
+            out[some[i]] = shares(texts.texts[short[i]], texts.texts[long[i]], int(need[some[i]]))
+        for width in np.unique(words[words <= WIDE]):
+            same = words == width
+            which, row = np.unique(short[same], return_inverse=True)
+            common = common_lengths(texts.bits(which), texts.codes, row, texts.starts[long[same]], sizes[long[same]], need[some[same]])
+            out[some[same]] = common >= need[some[same]]
+    return out
+
+
+def _best_run(short: str, long: str, least: int) -> tuple[int, int]:
+    """Of the runs of ``long`` as long as ``short`` the first that has most in common with it, and how much; -1 and 0 if
+    none reaches ``least``.
+
+    Two runs that begin d characters apart differ by d at most, so of the runs between two known ones none has more than
+    half of what both have and their distance: halving goes on only where that may be the most.
+    """
+    n, count = len(short), len(long) - len(short) + 1
+    texts = Texts([short, long])
+    bits = texts.bits(np.array([0]))
+    known = np.full(count, -1, np.int64)
+
+    def look(starts: np.ndarray) -> None:
+        known[starts] = common_lengths(bits, texts.codes, np.zeros(len(starts), np.int64), n + starts, np.full(len(starts), n))
+
+    step = max(1, n // 8)
+    places = np.unique(np.append(np.arange(0, count, step), count - 1))
+    look(places)
+    while True:
+        gap = np.diff(places)
+        most = (known[places[:-1]] + known[places[1:]] + gap) // 2
+        open_ = (gap > 1) & (most >= max(least, int(known.max())))
+        if not open_.any():
+            break
+        fresh = places[:-1][open_] + gap[open_] // 2
+        look(fresh)
+        places = np.union1d(places, fresh)
+    top = int(known.max())
+    return (int(np.argmax(known)), top) if top >= least else (-1, 0)
+
+
 def indel_ratio(a: str, b: str) -> float:
     """0 to 100: twice the common subsequence over both lengths; two empty strings are alike."""
     both = len(a) + len(b)
@@ -55,6 +210,7 @@ def join_overlapping(a: str, b: str, between: str = " ", least: int = 1, most: i
     return (a + between + b).strip()
 
 
+@lru_cache(maxsize=64)
 def normalise_with_places(text: str) -> tuple[str, list[int]]:
     """Lower case with blanks for all but letters and digits, trimmed; and each character's place in ``text``."""
     chars, places = [], []
@@ -93,7 +249,7 @@ def best_window(short: str, long: str, cutoff: float = 0.0) -> tuple[float, int,
 
     Parts are all runs as long as ``short``, and shorter ones at either end of ``long``. Of equal ones the first counts:
     beginnings, then runs, then ends. Two runs that begin d characters apart differ by d at most in what they have in
-    common with ``short``, so from a run that falls short by d, the next d - 1 are passed over.
+    common with ``short``, so runs near one that falls far short are passed over.
     """
     if not short or not long:
         return 0.0, 0, 0
@@ -112,18 +268,24 @@ def best_window(short: str, long: str, cutoff: float = 0.0) -> tuple[float, int,
     for k, common in enumerate(_prefix_lengths(at, n, long[: n - 1]), 1):
         if better(score := 200.0 * common / (n + k)):
             best, span = score, (0, k)
-    full, start = (1 << n) - 1, 0
-    while start <= len(long) - n:
-        state = full
-        for c in long[start : start + n]:
-            hit = state & at.get(c, 0)
-            state = (state + hit | state - hit) & full
-        common = n - state.bit_count()
-        if better(score := 100.0 * common / n):
+    # Only so many characters in common are better than the best, and reach the cutoff.
+    least = max(int(best * n / 100.0 + 1e-9) + 1, math.ceil(cutoff * n / 100.0 - 1e-9))
+    if len(long) - n >= FEW_WINDOWS and n <= 64 * WIDE:
+        start, common = _best_run(short, long, least)
+        if start >= 0 and better(score := 100.0 * common / n):
             best, span = score, (start, start + n)
-        # Only so many characters in common would be better than the best, and reach the cutoff.
-        wanted = max(int(best * n / 100.0 + 1e-9) + 1, math.ceil(cutoff * n / 100.0 - 1e-9))
-        start += max(1, wanted - common)
+    else:
+        full, start = (1 << n) - 1, 0
+        while start <= len(long) - n:
+            state = full
+            for c in long[start : start + n]:
+                hit = state & at.get(c, 0)
+                state = (state + hit | state - hit) & full
+            common = n - state.bit_count()
+            if better(score := 100.0 * common / n):
+                best, span = score, (start, start + n)
+                least = max(least, common + 1)
+            start += max(1, least - common)
     back = _masks(short[::-1])
     ends = [200.0 * common / (n + k) for k, common in enumerate(_prefix_lengths(back, n, long[: len(long) - n : -1]), 1)]
     for k in range(len(ends), 0, -1):

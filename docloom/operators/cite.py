@@ -95,6 +95,8 @@ def cited_nodes(responses: DataFrame, sources: DataFrame, threshold: float = THR
 def alignments(responses: DataFrame, sources: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per sentence of a response its best passage, with spans in both texts as they are; the earliest of equal ones."""
     each = responses.select("query_id", F.posexplode_outer(sentences("response")).alias("sentence_no", "s")).where(F.col("s").isNotNull())
+    # Sentences are few bytes and much work: dealt out before they meet their sources.
+    each = each.repartition(responses.sparkSession.sparkContext.defaultParallelism, "query_id", "sentence_no")
     pairs = each.join(citable(sources).select("query_id", "node_id", "rank", "text"), "query_id")
     found = pairs.withColumn("a", alignment("s.text", "text", threshold)).where((F.col("a.score") >= threshold) & (F.col("a.sent_end") > F.col("a.sent_start")) & (F.col("a.node_end") > F.col("a.node_start")))
     part = lambda c, a, z: F.substring(c, F.col(a) + 1, F.col(z) - F.col(a))
