@@ -6,8 +6,9 @@ least similarity of 0.8 share none in 3 of a million cases, and more similar one
 is lost, however many nodes it has.
 
 The smallest node of a group is its centre, and groups of one centre are one crowd. A crowd of at most ``CROWD`` nodes
-goes to a task with its sets, which finds all links in it. Of a larger one all nodes are first held against the centre,
-set by set, which costs in proportion to the crowd:
+goes to a task with its sets, which finds all links in it. One of at most ``TILED`` nodes is cut into tiles, and each two
+tiles are a task, which tells of links between nodes that aren't joined inside a tile. Of a yet larger one all nodes are
+first held against the centre, set by set, which costs in proportion to the crowd:
 
 * Let x share i of its shingles with centre c, and let r be its other ones. x links to c if (x + c) 4/9 <= i, for numbers
   of shingles x and c.
@@ -19,8 +20,7 @@ set by set, which costs in proportion to the crowd:
 So the next round's groups are those of a centre's nodes that share a shingle of their rests (all of the rest for nodes
 that link to the centre, the r - k + 1 first for the others, of which a group holds at least one), unless their nodes are
 all joined already. Pages of one template differ in their rests only, so their crowd falls apart; copies of one text
-mostly link to the centre. What is still a large crowd after ``ROUNDS`` rounds is cut into tiles, and each two tiles
-are a task.
+mostly link to the centre. What is still that large after ``ROUNDS`` rounds is cut into tiles too.
 
 What moves: bands; sets of shingles, made once, of nodes that share a band with another or hang in a tree with one, to
 their crowds; and the rests of nodes that go on. Texts are written once, with their row numbers. They are met
@@ -53,8 +53,8 @@ WORDS, RADIUS = 5, 4
 #: The least similarity of a link, as a fraction of whole numbers.
 LEAST = (4, 5)
 BANDS, BAND_ROWS = 24, 4
-#: Nodes of a crowd that a task takes whole, and rounds before larger ones are cut into tiles.
-CROWD, ROUNDS = 512, 3
+#: Nodes of a crowd that a task takes whole, and of one that is cut into tiles at once; rounds for larger ones.
+CROWD, TILED, ROUNDS = 512, 1 << 14, 3
 #: Shingles that a task counts at once.
 COLUMNS = 1 << 13
 #: So many row numbers are broadcast.
@@ -163,11 +163,10 @@ def _in_groups(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return met.select("node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("nc")).distinct()
 
 
-def crowd_links(sizes: np.ndarray, sets: list[np.ndarray], split: int = 0) -> list[tuple[int, int]]:
-    """Links (i, j) that join the same nodes as all links between sets; with ``split``, links between the first so many and the others count."""
+def _linked(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which of some sets are similar enough, counted shingle by shingle."""
     m = len(sets)
-    tokens = np.concatenate(sets)
-    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(m), sizes)
     some = times[column] > 1
     renamed = np.cumsum(times > 1) - 1
@@ -180,20 +179,52 @@ def crowd_links(sizes: np.ndarray, sets: list[np.ndarray], split: int = 0) -> li
         part = np.zeros((m, int(column[z - 1]) + 1 - start), np.float32)
         part[owner[a:z], column[a:z] - start] = 1
         shared += part @ part.T  # whole numbers far below 2 ** 24
-    linked = (LEAST[0] + LEAST[1]) * shared >= LEAST[0] * (sizes[:, None] + sizes[None, :])
-    if split:
-        linked[:split, :split] = linked[split:, split:] = False
-    out, fresh = [], np.ones(m, bool)
+    return (LEAST[0] + LEAST[1]) * shared >= LEAST[0] * (sizes[:, None] + sizes[None, :])
+
+
+def _spanning(linked: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join the same nodes as all of ``linked``, and each node's part."""
+    m = len(linked)
+    out, part = [], np.full(m, -1)
     for i in range(m):
-        if fresh[i]:
-            fresh[i] = False
+        if part[i] < 0:
+            part[i] = i
             stack = [i]
             while stack:
                 k = stack.pop()
-                more = np.flatnonzero(linked[k] & fresh)
-                fresh[more] = False
+                more = np.flatnonzero(linked[k] & (part < 0))
+                part[more] = i
                 stack += more.tolist()
                 out += [(k, j) for j in more.tolist()]
+    return out, part
+
+
+def crowd_links(sizes: np.ndarray, sets: list[np.ndarray], split: int = 0) -> list[tuple[int, int]]:
+    """Links (i, j) that join the same nodes as all links between sets.
+
+    With ``split`` the first so many sets and the others are two tiles; the links inside each are known elsewhere, and
+    those are told that join what these leave apart.
+    """
+    linked = _linked(sizes, sets)
+    if not split:
+        return _spanning(linked)[0]
+    inside = linked.copy()
+    inside[:split, split:] = inside[split:, :split] = False
+    part = _spanning(inside)[1]
+    i, j = np.nonzero(linked[:split, split:])
+    _, first = np.unique(part[i] * len(sets) + part[split + j], return_index=True)  # one link for each two parts
+    out, above = [], {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    for a, b in zip(i[first].tolist(), (split + j[first]).tolist()):
+        one, other = top(int(part[a])), top(int(part[b]))
+        if one != other:
+            above[one] = other
+            out.append((a, b))
     return out
 
 
@@ -258,14 +289,15 @@ def _roots(nodes: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
         small = pairs.join(sizes.where(F.col("crowd") <= CROWD), "centre").select("centre", "node").join(sets, "node").select("centre", "node", "shingles")
         small = small.repartition("centre").sortWithinPartitions("centre")
         small.mapInArrow(_whole_crowds, "u long, v long").write.mode("append").parquet(path)
-        large = sizes.where(F.col("crowd") > CROWD)
-        if not large.limit(1).count():
+        whole = turn >= ROUNDS
+        tiled = sizes.where((F.col("crowd") > CROWD) & (F.lit(whole) | (F.col("crowd") <= TILED)))
+        if tiled.limit(1).count():
+            _tiled(pairs.join(tiled.select("centre"), "centre").select("centre", "node"), tiled, sets).write.mode("append").parquet(path)
+        large = sizes.where(F.col("crowd") > max(CROWD, TILED))
+        if whole or not large.limit(1).count():
             return component_roots(spark.read.schema("u long, v long").parquet(path))
         turn += 1
         pairs = pairs.join(large.select("centre"), "centre")
-        if turn > ROUNDS:
-            _tiled(pairs.select("centre", "node"), large, sets).write.mode("append").parquet(path)
-            return component_roots(spark.read.schema("u long, v long").parquet(path))
         held = materialise(_held(pairs.where("node <> centre"), sets).withColumn("linked", linked), "held")
         held.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v")).write.mode("append").parquet(path)
         roots = component_roots(spark.read.schema("u long, v long").parquet(path))

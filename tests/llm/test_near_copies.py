@@ -106,8 +106,9 @@ def test_crowds_just_below_and_above(spark, monkeypatch):
     kept, pairs = brute_kept(rows)
     assert len(pairs) > 150 and 40 < len(kept) < len(rows) - 40
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for crowd, rounds in ((512, 3), (8, 2), (8, 0)):
+    for crowd, tiled, rounds in ((512, 1 << 14, 3), (8, 1 << 14, 3), (8, 8, 2), (8, 16, 0)):
         monkeypatch.setattr(near_copies, "CROWD", crowd)
+        monkeypatch.setattr(near_copies, "TILED", tiled)
         monkeypatch.setattr(near_copies, "ROUNDS", rounds)
         assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect()) == kept
 
@@ -132,7 +133,11 @@ def test_links_of_a_crowd(monkeypatch):
         got = near_copies.crowd_links(sizes, sets)
         assert joined(got) == joined(truth) and set(got) <= {*truth, *((j, i) for i, j in truth)}
         across = near_copies.crowd_links(sizes, sets, 30)
-        assert joined(across) == joined([(i, j) for i, j in truth if i < 30 <= j])
+        inside = [(i, j) for i, j in truth if (i < 30) == (j < 30)]
+        assert set(across) <= {(i, j) for i, j in truth if i < 30 <= j}
+        assert joined(inside + across) == joined(truth)
+        parts = len(set(joined(inside))) - len(set(joined(truth)))
+        assert len(across) == parts
 
 
 def test_many_rows_are_met_by_shuffle(spark, monkeypatch):
