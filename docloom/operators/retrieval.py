@@ -5,118 +5,38 @@ Results are rows (query_id, node_id, score, rank). Everything is batched over qu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import tokens
-from docloom.operators.fusion import DIGITS, fuse, ranked
-from docloom.session import materialise, ship_package
-
-#: Usual parameters of BM25.
-K1, B = 1.5, 0.75
-#: Queries that meet a batch of vectors at once; this many vectors are broadcast, whatever the number of queries.
-BLOCK, CHUNK = 1024, 4096
+from docloom.operators import dense_index, sparse_index
+from docloom.operators.fusion import fuse, ranked
+from docloom.session import materialise, new_path
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", vector_col: str = "embedding", skip_own: bool = False) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", vector_col: str = "embedding", skip_own: bool = False, index: str | None = None) -> DataFrame:
     """The ``k`` nearest by cosine of every query (query_id, query_vec), exact.
 
-    Each chunk of the vectors keeps its own best and those that tie with the last of them, and no more than k rows a
-    query and task are shuffled. Queries beyond a block of BLOCK are served by passes of their own. Vectors that are
-    null or zero don't match.
+    They come from the stored index at the path ``index``; if it isn't there yet, or without a path, one is made of
+    ``vectors`` first. Vectors that are null or zero, or hold what isn't a finite number, don't match.
     """
-    ship_package(vectors.sparkSession)
-    id_kind = dict(vectors.dtypes)[id_col]
-    blocks = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec").orderBy("query_id")
-    waiting, found = blocks.toLocalIterator(), None
-    spark = vectors.sparkSession
-    while True:
-        rows = [r for _, r in zip(range(BLOCK), waiting)]
-        if not rows:
-            break
-        q = np.array([r["query_vec"] for r in rows], np.float64)
-        norms = np.sqrt((q * q).sum(axis=1))
-        q /= np.where(norms > 0, norms, 1.0)[:, None]
-        ids = [r["query_id"] for r in rows]
-
-        def scan(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, CHUNK):
-                    batch = whole.slice(at, CHUNK)
-                    names = batch.column(0).to_pylist()
-                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                    size = np.sqrt((x * x).sum(axis=1))
-                    scores = np.round(q @ (x / np.where(size > 0, size, 1.0)[:, None]).T, DIGITS)
-                    own = np.array(ids, object)[:, None] == np.array(names, object) if skip_own else False
-                    scores[:, size == 0] = -np.inf
-                    scores[own] = -np.inf
-                    if batch.num_rows > k:  # what is as good as the k-th stays, so that ties are settled by id
-                        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                        rows, places = np.nonzero((scores >= least) & np.isfinite(scores))
-                    else:
-                        rows, places = np.nonzero(np.isfinite(scores))
-                    out = ([ids[i] for i in rows], [names[j] for j in places], scores[rows, places])
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], query_arrow), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.float64())], names=["query_id", "node_id", "score"])
-
-        query_kind = dict(queries.dtypes)["query_id"]
-        query_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[query_kind]
-        usable = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) == q.shape[1]) & ~F.exists(vector_col, lambda x: x.isNull()))
-        part = usable.select(F.col(id_col), F.col(vector_col)).mapInArrow(scan, f"query_id {query_kind}, node_id {id_kind}, score double")
-        part = ranked(part).where(F.col("rank") <= k)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, node_id {id_kind}, score double, rank int")
-    return found
-
-
-def postings(nodes: DataFrame, id_col: str = "node_id", text_col: str = "text") -> DataFrame:
-    """node_id, length, term, tf: distinct terms of every node. A node without tokens has none."""
-    words = nodes.select(F.col(id_col).alias("node_id"), tokens(F.col(text_col)).alias("words"))
-    each = words.select("node_id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return each.groupBy("node_id", "length", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25_top_k(nodes: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "text") -> DataFrame:
-    """The ``k`` best nodes by BM25 of every query (query_id, query_text); each distinct query term counts once. Exact.
-
-    A term's ``bound`` is the most that it adds to any score. A query's rarest terms, which hold half of its bounds, give
-    partial scores, and the k-th best of them is a score that the k-th best node has at least (``least``). Its most
-    common terms whose bounds together stay below that can't bring a node up that has no other term: their postings,
-    the bulk of all, are looked up only for the nodes that the other terms find and that could still come in.
+    spark = queries.sparkSession
+    path = index or new_path(spark, "dense-index")
+    if not dense_index.exists(spark, path):
+        dense_index.build(vectors, path, id_col, vector_col)
+    return dense_index.Search(spark, path, queries, k, skip_own).result
+
+
+def bm25_top_k(nodes: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "text", index: str | None = None) -> DataFrame:
+    """The ``k`` best nodes by BM25 of every query (query_id, query_text), exact.
+
+    They come from the stored index at the path ``index``; if it isn't there yet, or without a path, one is made of
+    ``nodes`` first.
     """
-    wanted = materialise(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")), "query-terms")
-    texts = nodes.select(F.col(id_col).alias("node_id"), tokens(F.col(text_col)).alias("words"))
-    totals = texts.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    n, mean = float(totals["n"]), float(totals["mean"] or 1.0) or 1.0
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    index = postings(nodes, id_col, text_col).join(wanted.select("term").distinct(), "term", "left_semi")
-    index = materialise(index.select("node_id", "term", part.alias("part")), "postings")
-    known = index.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = wanted.join(known, "term").select("query_id", "term", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound"))
-    of_query = Window.partitionBy("query_id")
-    rarer, commoner = (F.sum("bound").over(of_query.orderBy(*o)) for o in (("df", "term"), (F.desc("df"), F.desc("term"))))
-    terms = materialise(weighted.withColumns({"rarer": rarer, "commoner": commoner, "all": F.sum("bound").over(of_query)}), "query-weights")
-
-    def scores(some: DataFrame) -> DataFrame:
-        return index.join(some.select("query_id", "term", "idf"), "term").groupBy("query_id", "node_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
-
-    first = ranked(scores(terms.where(F.col("rarer") - F.col("bound") < 0.5 * F.col("all")))).where(F.col("rank") == k)
-    least = materialise(first.select("query_id", F.col("score").alias("least")), "least-scores")
-    slack = 10.0**-DIGITS
-    terms = terms.join(least, "query_id", "left").withColumn("looked_up", F.coalesce(F.col("commoner") < F.col("least") - slack, F.lit(False)))
-    terms = materialise(terms.select("query_id", "term", "idf", "bound", "least", "looked_up"), "split-terms")
-    reach = terms.groupBy("query_id").agg(F.sum(F.when(F.col("looked_up"), F.col("bound")).otherwise(0.0)).alias("more"), F.max("least").alias("least"))
-    found = scores(terms.where(~F.col("looked_up"))).join(reach, "query_id")
-    found = materialise(found.where(F.col("least").isNull() | (F.col("score") + F.col("more") >= F.col("least") - slack)).select("query_id", "node_id", "score"), "candidates")
-    rest = found.select("query_id", "node_id").join(terms.where("looked_up").select("query_id", "term", "idf"), "query_id").join(index, ["node_id", "term"])
-    rest = rest.select("query_id", "node_id", (F.col("idf") * F.col("part")).alias("score"))
-    scored = found.unionByName(rest).groupBy("query_id", "node_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
-    return ranked(scored).where(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
+    spark = queries.sparkSession
+    path = index or new_path(spark, "sparse-index")
+    if not sparse_index.exists(spark, path):
+        sparse_index.append(nodes, path, id_col, text_col)
+    return sparse_index.top_k(spark, path, queries, k)
 
 
 def fill_gaps(results: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from docloom import schemas as S
 from docloom.functions import text as tx
 from docloom.operators import boilerplate, cite, combine, enrich, fusion, observe, postprocess, retrieval, split, structure
 from docloom.plans import documents as plans
-from docloom.session import materialise, new_path, spread
+from docloom.session import materialise, new_path, run_dir, spread
 from docloom.sources import readers, stores
 from docloom.streaming import event_log
 
@@ -285,7 +285,7 @@ def _dense(spark: SparkSession, sf_dir: str, k: int, paired: bool = False) -> Da
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
     asked = vectors.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node_id")), "node_id", "left_semi") if paired else vectors.where(F.col("node_id") % 50 == 0)
     asked = asked.select(F.col("node_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return retrieval.dense_top_k(vectors, asked, k)
+    return retrieval.dense_top_k(vectors, asked, k, index=_index_of(spark, sf_dir, "embeddings"))
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +293,14 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return retrieval.bm25_top_k(table(spark, sf_dir, "documents"), _passages(spark, sf_dir), k, "doc_id")
+    return retrieval.bm25_top_k(table(spark, sf_dir, "documents"), _passages(spark, sf_dir), k, "doc_id", index=_index_of(spark, sf_dir, "documents"))
+
+
+def _index_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where the index of a table is kept for this application: by names, sizes and times of its files."""
+    files = spark.read.parquet(f"{sf_dir}/{name}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.bit_xor(F.xxhash64("*")).alias("state")).first()["state"] or 0
+    return f"{run_dir(spark)}/index-of-{name}-{state & (1 << 64) - 1:016x}"
 
 
 @query(f"WITH {DENSE} SELECT query_id, node_id, score, rank::INT AS rank FROM dense WHERE rank <= 6")

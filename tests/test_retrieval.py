@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.operators import cite, enrich, fusion, observe, postprocess, retrieval, split, structure
+from docloom.operators import cite, dense_index, enrich, fusion, observe, postprocess, retrieval, split, structure
 from docloom.plans import documents as plans
 from docloom.sources import readers, stores
 
@@ -76,7 +76,9 @@ def test_filling_may_lead_to_merging(spark):
 
 
 def test_dense_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(dense_index, "GROUP", 3)
+    monkeypatch.setattr(dense_index, "BLOCK", 16)
+    monkeypatch.setattr(dense_index, "PER_CENTRE", 20)
     x = np.random.default_rng(0).standard_normal((200, 8)).astype(np.float32)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [1.0])], "node_id long, embedding array<float>").repartition(3)
     queries = vectors.where("node_id < 7").select(F.col("node_id").alias("query_id"), F.col("embedding").alias("query_vec"))
