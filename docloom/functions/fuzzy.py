@@ -197,17 +197,23 @@ def sequence_ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def overlap(a: str, b: str, least: int = 1, most: int = OVERLAP_MOST, like: float = OVERLAP_LIKE) -> int:
+    """The most characters, at the end of ``a`` and the start of ``b``, that are alike; 0 if there are none."""
+    for n in range(min(len(a), len(b), most), least - 1, -1):
+        end, start = a[-n:], b[:n]
+        # Matching blocks are a common subsequence, so its length bounds the ratio.
+        if end == start or lcs_length(end, start) >= like * n and sequence_ratio(end, start) >= like:
+            return n
+    return 0
+
+
 def join_overlapping(a: str, b: str, between: str = " ", least: int = 1, most: int = OVERLAP_MOST, like: float = OVERLAP_LIKE, keep: str = "both_dropped") -> str:
     """``a`` and ``b`` joined; the longest alike end of ``a`` and start of ``b`` goes.
 
     ``both_dropped`` loses it on both sides; ``one_kept`` keeps the one of ``a``.
     """
-    for n in range(min(len(a), len(b), most), least - 1, -1):
-        end, start = a[-n:], b[:n]
-        # Matching blocks are a common subsequence, so its length bounds the ratio.
-        if end == start or lcs_length(end, start) >= like * n and sequence_ratio(end, start) >= like:
-            return ((a if keep == "one_kept" else a[:-n]) + between + b[n:]).strip()
-    return (a + between + b).strip()
+    n = overlap(a, b, least, most, like)
+    return ((a if keep == "one_kept" or not n else a[:-n]) + between + b[n:]).strip()
 
 
 @lru_cache(maxsize=64)

@@ -3,35 +3,31 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom import schemas as S
-from docloom.functions.fuzzy import join_overlapping
+from docloom.functions.fuzzy import OVERLAP_MOST, join_overlapping, overlap
 from docloom.operators.structure import runs, sections
-from docloom.session import materialise, shipped
+from docloom.session import materialise, ship_package
 
 #: A fixed value: last characters after which a text goes on in the same line.
 GOES_ON = re.compile(r"[a-z\d\[\](){}<>%^&\"':;,/\-_+= \t\n\r]\Z")
 
 
-def combined_kind(a: Column, b: Column) -> Column:
+def combined_kind(a: str | None, b: str | None) -> str | None:
     """Of two kinds: the same, else a text composite of texts, an image of image and caption, else a composite."""
-    return (
-        F.when(a == b, a)
-        .when(a.isin(*S.TEXT_KINDS) & b.isin(*S.TEXT_KINDS), F.lit(S.TEXT_COMPOSITE))
-        .when(a.isin(*S.IMAGE_KINDS) & b.isin(*S.IMAGE_KINDS), F.lit(S.IMAGE))
-        .otherwise(F.lit(S.COMPOSITE))
-    )
-
-
-def folded_kind(kinds: Column) -> Column:
-    """Kinds of an array combined from left to right."""
-    return F.aggregate(F.slice(kinds, F.lit(2), F.greatest(F.size(kinds) - 1, F.lit(0))), F.get(kinds, F.lit(0)), combined_kind)
+    if a == b:
+        return a
+    for kinds, both in ((S.TEXT_KINDS, S.TEXT_COMPOSITE), (S.IMAGE_KINDS, S.IMAGE)):
+        if a in kinds and b in kinds:
+            return both
+    return S.COMPOSITE
 
 
 def combine_texts(a: str, b: str, keep: str) -> str:
@@ -42,58 +38,142 @@ def combine_texts(a: str, b: str, keep: str) -> str:
     return join_overlapping(a, b, " " if GOES_ON.search(a) else "\n", keep=keep)
 
 
-def fold_texts(keep: str = "one_kept") -> Callable[[Column], Column]:
-    """An Arrow function from an array of texts to the text that they make."""
-
-    @shipped
-    @F.pandas_udf(T.StringType())
-    def fold(groups: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in groups:
-            out = []
-            for texts in batch:
-                if texts is None:
-                    out.append(None)
-                    continue
-                made = texts[0] or ""
-                for text in texts[1:]:
-                    made = combine_texts(made, text or "", keep)
-                out.append(made)
-            yield pd.Series(out, dtype="object")
-
-    return fold
+class Growing:
+    """A text to which others are joined as ``combine_texts`` does, at the cost of what is added, not of what is there."""
+
+    def __init__(self, text: str, keep: str) -> None:
+        self.parts, self.size, self.keep, self.joined = [text] if text else [], len(text), keep, False
+
+    def whole(self) -> str:
+        self.parts = ["".join(self.parts)]
+        return self.parts[0]
+
+    def end(self, n: int) -> str:
+        """The last ``n`` characters, or all."""
+        out, missing = [], n
+        for part in reversed(self.parts):
+            out.append(part[-missing:])
+            missing -= len(out[-1])
+            if not missing:
+                break
+        return "".join(reversed(out))
+
+    def cut(self, n: int) -> None:
+        """Without the last ``n`` characters."""
+        while n:
+            part = self.parts.pop()
+            if len(part) > n:
+                self.parts.append(part[:-n])
+                self.size -= n
+                return
+            n -= len(part)
+            self.size -= len(part)
+            self.joined = bool(self.parts)
+
+    def strip(self) -> None:
+        while self.parts:
+            last = self.parts.pop()
+            kept = last.rstrip()
+            self.size -= len(last) - len(kept)
+            if kept:
+                self.parts.append(kept)
+                break
+        while self.parts and not self.joined:  # afterwards nothing is put in front
+            kept = self.parts[0].lstrip()
+            self.size -= len(self.parts[0]) - len(kept)
+            self.parts[0] = kept
+            if kept:
+                break
+            self.parts.pop(0)
+        self.joined = bool(self.parts)
+
+    def add(self, text: str) -> None:
+        if not text or self.size == len(text) and self.whole() == text:
+            return
+        if not self.size:
+            self.parts, self.size, self.joined = [text], len(text), False
+            return
+        # Only ends of so many characters can overlap.
+        end = self.end(OVERLAP_MOST)
+        between = " " if GOES_ON.search(end) else "\n"
+        n = overlap(end, text)
+        if n and self.keep != "one_kept":
+            self.cut(n)
+        added = between + text[n:]
+        self.parts.append(added)
+        self.size += len(added)
+        self.strip()
+
+
+class _Group:
+    """What the members of a group that were seen so far make."""
+
+    def __init__(self, key: tuple, seq: int, row: tuple, sets: int, keep: str) -> None:
+        self.key, self.seq, self.ids, self.kind = key, seq, row[:2], row[2]
+        self.text, self.members = Growing(row[3] or "", keep), 1
+        self.sets = [set(x or ()) for x in row[4 : 4 + sets]]
+        self.scalars = list(row[4 + sets :])
+
+    def add(self, row: tuple, last: bool) -> None:
+        if last:
+            self.ids = row[:2]
+        self.kind = combined_kind(self.kind, row[2])
+        self.text.add(row[3] or "")
+        self.members += 1
+        for own, more in zip(self.sets, row[4:]):
+            own.update(more or ())
+        for i, value in enumerate(row[4 + len(self.sets) :]):
+            if self.scalars[i] is None:
+                self.scalars[i] = value
+
+    def row(self) -> tuple:
+        ordered = [sorted(x - {None}) + [None] * (None in x) for x in self.sets]
+        return (*self.key, self.seq, *self.ids, self.kind, self.text.whole() if self.text.parts else "", *ordered, *self.scalars, self.members)
 
 
 def merged(members: DataFrame, group: str, survivor: str, keep: str) -> DataFrame:
-    """One node per (doc_id, ``group``); ``survivor`` says whether the first or the last member gives the id.
+    """One node per (doc_id, ``group``), with ``n_members``; ``survivor`` says whether the first or the last member gives the id.
 
-    A single member is taken as it is; Python gets only what there is to fold.
+    Members come sorted to the task that folds them, which holds what they have made so far and a batch of rows; so a
+    group may have any number of members, and costs in proportion to their texts.
     """
+    ship_package(members.sparkSession)
     sets = [c for c in S.SET_COLUMNS if c in members.columns]
     scalars = [c for c in members.columns if c not in {"doc_id", group, "seq", "node_id", "type", "text", "parent_id", "prev_id", "next_id", *sets}]
-    rows = members.groupBy("doc_id", group).agg(F.array_sort(F.collect_list(F.struct("seq", "node_id", "type", "text", "parent_id", *sets, *scalars))).alias("m"))
-    pick = F.element_at("m", 1 if survivor == "first" else -1)
-    values = lambda c: F.transform("m", lambda x: x[c])
-    there = lambda c: F.filter(values(c), lambda v: v.isNotNull())
-    rows = rows.select(
-        "doc_id",
-        F.element_at("m", 1)["seq"].alias("seq"),
-        pick["node_id"].alias("node_id"),
-        pick["parent_id"].alias("parent_id"),
-        folded_kind(values("type")).alias("type"),
-        values("node_id").alias("member_ids"),
-        values("text").alias("texts"),
-        *[F.array_sort(F.array_distinct(F.flatten(there(c)))).alias(c) for c in sets],
-        *[F.get(there(c), F.lit(0)).alias(c) for c in scalars],
-    )
-    folded = fold_texts(keep)(F.when(F.size("texts") > 1, F.col("texts")))
-    return rows.withColumn("text", F.coalesce(folded, F.get("texts", F.lit(0)), F.lit(""))).drop("texts")
+    columns = ["doc_id", group, "seq", "node_id", "parent_id", "type", "text", *sets, *scalars]
+    rows = members.select(*columns).repartition("doc_id", group).sortWithinPartitions("doc_id", group, "seq", "node_id")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField("n_members", T.LongType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(groups: list[_Group]) -> pa.RecordBatch:
+            columns = zip(*(g.row() for g in groups)) if groups else [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, columns), kinds)], names=schema.names)
+
+        now: _Group | None = None
+        for batch in batches:
+            done = []
+            for doc_id, name, seq, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is not None and now.key == (doc_id, name):
+                    now.add(tuple(row), survivor == "last")
+                    continue
+                if now is not None:
+                    done.append(now)
+                now = _Group((doc_id, name), seq, tuple(row), len(sets), keep)
+            yield batch_of(done)
+        if now is not None:
+            yield batch_of([now])
+
+    return rows.mapInArrow(fold, schema)
 
 
 def merge_runs(nodes: DataFrame, kind_name: str, survivor: str, keep: str = "one_kept") -> DataFrame:
     """Every maximal run of ``kind_name`` as one node; children of any member become children of the survivor."""
-    out = materialise(merged(runs(nodes, kind_name), "run", survivor, keep), "merged-runs")
-    moved = out.where(F.size("member_ids") > 1).select("doc_id", F.explode("member_ids").alias("parent_id"), F.col("node_id").alias("new_parent"))
-    joined = out.drop("member_ids").join(moved, ["doc_id", "parent_id"], "left")
+    members = runs(nodes, kind_name)
+    out = materialise(merged(members, "run", survivor, keep), "merged-runs")
+    grown = out.where("n_members > 1").select("doc_id", "run", F.col("node_id").alias("new_parent"))
+    moved = members.select("doc_id", "run", F.col("node_id").alias("parent_id")).join(grown, ["doc_id", "run"]).drop("run")
+    joined = out.drop("run", "n_members").join(moved, ["doc_id", "parent_id"], "left")
     return joined.withColumn("parent_id", F.coalesce("new_parent", "parent_id")).drop("new_parent")
 
 
@@ -113,7 +193,7 @@ def section_nodes(nodes: DataFrame, least: int = 1024, keep: str = "one_kept") -
     newline = is_title | F.col("type").isin(S.HEADER, S.FOOTER, S.TABLE)
     text = F.when(F.col("emitted") & newline, F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
     rows = placed.withColumn("text", text).withColumn("type", new_kind).drop("anchor", "emitted")
-    return merged(rows, "target", "first", keep).drop("member_ids")
+    return merged(rows, "target", "first", keep).drop("target", "n_members")
 
 
 def dead_letters(nodes: DataFrame, least: int = 1024) -> DataFrame:

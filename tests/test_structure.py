@@ -1,4 +1,5 @@
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,9 +74,33 @@ def test_runs_merge(spark):
     (["Title", "Title"], "Title"), (["NarrativeText", "ListItem"], S.TEXT_COMPOSITE), (["FigureCaption", "Image"], "Image"), (["Title", "NarrativeText"], "Composite"),
     ([S.TEXT_COMPOSITE, "Formula"], S.TEXT_COMPOSITE), (["Composite", "Composite"], "Composite"), (["Table", "Image"], "Composite"), (["Image"], "Image"),
 ])
-def test_kinds_combine(spark, kinds, made):
-    row = spark.createDataFrame([(kinds,)], "k array<string>").select(combine.folded_kind(F.col("k"))).first()
-    assert row[0] == made
+def test_kinds_combine(kinds, made):
+    assert reduce(combine.combined_kind, kinds) == made
+
+
+def test_growing_text_is_that_of_joining_whole_texts():
+    draw = random.Random(3)
+    for _ in range(3000):
+        keep = draw.choice(["one_kept", "both_dropped"])
+        texts = ["".join(draw.choice("ab. \nA") for _ in range(draw.choice([0, 1, 2, 5, 20, 80]))) for _ in range(draw.randrange(1, 7))]
+        texts += texts[:1] if draw.random() < 0.3 else []
+        grown = combine.Growing(texts[0], keep)
+        for text in texts[1:]:
+            grown.add(text)
+        made = reduce(lambda a, b: combine.combine_texts(a, b, keep), texts)
+        assert (grown.whole() if grown.parts else "", grown.size) == (made, len(made))
+
+
+def test_a_section_of_very_many_lines(spark):
+    """Its lines come one after the other through many batches; no row holds them all but the result."""
+    n = 60_000
+    lines = spark.range(n).selectExpr(
+        "1 AS doc_id", "CAST(id AS INT) AS seq", "concat('n', id) AS node_id", "IF(id = 0, 'Title', 'NarrativeText') AS type", "IF(id = 0, NULL, 'n0') AS parent_id",
+        "concat(hex(xxhash64(id)), ' number ', id, '.') AS text", "array(CAST(id DIV 1000 AS INT)) AS page_numbers", "IF(id < 5, NULL, id) AS first_known",
+    )
+    made = combine.section_nodes(lines).collect()
+    assert len(made) == 1 and made[0]["page_numbers"] == list(range(60)) and made[0]["first_known"] == 5
+    assert [x.strip() for x in made[0]["text"].split("\n")][1:] == [r["text"] for r in lines.orderBy("seq").select("text").collect()][1:]
 
 
 def test_sections_fold_texts_and_sets(spark):
