@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from docloom import schemas as S
 from docloom.functions.keywords import STOPWORDS, keywords_function
 from docloom.functions.sentences import split_sentences
-from docloom.session import shipped
+from docloom.session import materialise, shipped
 
 Adder = Callable[[DataFrame], DataFrame]
 
@@ -81,17 +81,27 @@ def summariser(most: int = 3) -> Callable[[Column], Column]:
 
 
 def tree_summary(nodes: DataFrame, summarise: Callable[[Column], Column] | None = None, width: int = 10) -> DataFrame:
-    """doc_id, summary, summary_oneline: groups of ``width`` nodes are summarised, then their summaries.
+    """doc_id, summary, summary_oneline: groups of ``width`` nodes are summarised, then groups of as many summaries, level
+    by level until a document has one.
 
-    A group is what one task must hold, however long a document is.
+    A group is what one task must hold, so no row is larger than ``width`` texts, however long a document is. A document
+    that has its summary takes no part in further levels.
     """
+    if width < 2:
+        raise ValueError("a group has two members at least")
     summarise = summarise or summariser(3)
-    texts = nodes.where(F.length("text") > 0)
-    groups = texts.groupBy("doc_id", F.floor(F.col("seq") / width).alias("g")).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("m"))
-    first = groups.select("doc_id", "g", summarise(F.transform("m", lambda x: x["text"])).alias("s"))
-    second = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("g", "s"))).alias("m"))
-    out = second.select("doc_id", summarise(F.transform("m", lambda x: x["s"])).alias("summary"))
-    return out.withColumn("summary_oneline", summariser(1)(F.array("summary")))
+    level = nodes.where(F.length("text") > 0).select("doc_id", F.floor(F.col("seq") / width).alias("g"), F.col("seq").alias("at"), F.col("text").alias("s"))
+    done: DataFrame | None = None
+    while True:
+        groups = level.groupBy("doc_id", "g").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("m"))
+        made = materialise(groups.select("doc_id", F.col("g").alias("at"), summarise(F.transform("m", lambda x: x["s"])).alias("s")), "summaries")
+        sizes = made.groupBy("doc_id").agg(F.count("*").alias("n"))
+        single = made.join(sizes.where("n = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("s").alias("summary"))
+        done = single if done is None else done.union(single)
+        left = made.join(sizes.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+        if not left.limit(1).count():
+            return materialise(done, "tree-summaries").withColumn("summary_oneline", summariser(1)(F.array("summary")))
+        level = materialise(left.withColumn("g", F.floor(F.col("at") / width)), "summary-level")
 
 
 def table_summaries(nodes: DataFrame, summarise: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -134,6 +134,27 @@ def test_enrichment(spark):
     assert [tuple(r) for r in enrich.composite_image_summaries(captions).collect()] == [(1, "p", "pic 78")]
 
 
+def test_summaries_of_any_depth(spark):
+    """A counting summariser shows that no group is wider than allowed, and that each level is made of the one below."""
+    lengths = {1: 1, 2: 4, 3: 5, 4: 64, 5: 65, 6: 1000}
+    rows = [(d, i, f"{d}-{i}") for d, n in lengths.items() for i in range(n)]
+    counted = lambda texts: F.concat(F.lit("("), F.array_join(texts, " "), F.lit(")"))
+    got = {r["doc_id"]: r["summary"] for r in enrich.tree_summary(spark.createDataFrame(rows, "doc_id long, seq int, text string"), counted, 4).collect()}
+
+    def nested(items):
+        return "(" + " ".join(items) + ")"
+
+    for d, n in lengths.items():
+        level = [f"{d}-{i}" for i in range(n)]
+        while True:
+            level = [nested(level[i : i + 4]) for i in range(0, len(level), 4)]
+            if len(level) == 1:
+                break
+        assert got[d] == level[0]
+    with pytest.raises(ValueError):
+        enrich.tree_summary(spark.createDataFrame(rows, "doc_id long, seq int, text string"), counted, 1)
+
+
 def test_citations(spark):
     text = "Long introduction with many words before it. The engine quotes its sources word for word. More text follows after it."
     sources = spark.createDataFrame([(1, "n1", text, "doc", [3], 0.9, 1, {"a": "b"}), (1, "n2", text, "doc2", [4], 0.8, 2, {"a": "b"}), (1, "n3", "unknown", "d", [1], 0.1, 3, {}), (2, "n1", text, "doc", [3], 0.9, 1, {"a": "b"})], "query_id long, node_id string, text string, name string, page_numbers array<int>, score double, rank int, extra map<string,string>")

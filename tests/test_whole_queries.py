@@ -197,13 +197,20 @@ def test_document_keywords(got, docs):
     assert {r["doc_id"]: r["keywords"] for r in got("document_keywords")} == {d: k for d, k in truth.items() if k}
 
 
+def tree_summary(rows, width=10):
+    """Groups of groups, until there is one."""
+    level = [(r["seq"], r["text"]) for r in rows]
+    while True:
+        level = [(at, key_sentences([t for _, t in run if t], 3)) for at, run in groupby(level, lambda x: x[0] // width)]
+        if len(level) == 1:
+            return level[0][1], key_sentences([level[0][1]] if level[0][1] else [], 1)
+
+
 def test_document_summaries(got, nodes):
     truth = {}
     for d, rows in nodes.items():
-        groups = [[r["text"] for r in run] for _, run in groupby(rows, lambda r: r["seq"] // 10)]
-        if groups:
-            summary = key_sentences([s for s in (key_sentences(g, 3) for g in groups) if s], 3)
-            truth[d] = summary, key_sentences([summary] if summary else [], 1)
+        if rows:
+            truth[d] = tree_summary(rows)
     assert {r["doc_id"]: (r["summary"], r["summary_oneline"]) for r in got("document_summaries")} == truth
 
 
@@ -219,10 +226,8 @@ def likeness(a, b):
 def test_routed_questions(got, passages, nodes):
     lines = {}
     for d, rows in nodes.items():
-        groups = [[r["text"] for r in run] for _, run in groupby(rows, lambda r: r["seq"] // 10)]
-        if groups:
-            summary = key_sentences([s for s in (key_sentences(g, 3) for g in groups) if s], 3)
-            lines[d] = key_sentences([summary] if summary else [], 1)
+        if rows:
+            lines[d] = tree_summary(rows)[1]
     found = defaultdict(dict)
     for r in got("routed_questions"):
         found[r["query_id"]][r["rank"]] = (r["doc_id"], r["score"])
