@@ -1,17 +1,20 @@
 """Quality rules: base rules on word statistics, then an isolation forest on rates made from them.
 
 One pass over whole texts makes the counts. From them come rates (symbols, capitals, marks, lines, repeated lines,
-repeated windows and echoed words by their wholes, word length), on logarithmic scales and not rounded. Rates, not
-sizes, so that long documents and rare languages aren't anomalies by themselves. What the forest sees is how far a rate
-lies outside the range that rows labelled good usually have (all but ``TAIL`` at either end, and half the range's width
-beyond): variation inside that range would else fill the trees with splits that tell nothing.
+repeated windows and echoed words by their wholes, word length), on logarithmic scales and neither rounded nor clipped.
+Rates, not sizes, so that long documents and rare languages aren't anomalies by themselves.
 
-Labelled rows that pass the base rules are split in two by a hash. Ranges and forest are fitted on the driver from at
-most ``FIT_ROWS`` rows of the one half (that bound is a parameter; each tree sees ``TREE_ROWS`` of them, as the method
+A tree splits the space of possible rates, not only the part that its rows fill: random cuts lie anywhere between a
+rate's least and greatest possible value, a part without rows is a leaf at once, and one with rows is cut further down
+to ``DEPTH``. Its rows are drawn from rows labelled good. So a document like these follows a long path, and one that
+differs in any rate, or in how rates go together, soon falls into an empty part, though no tree has seen its like.
+
+Labelled rows that pass the base rules are split in two by a hash. The forest is grown on the driver from at most
+``FIT_ROWS`` rows of the one half (that bound is a parameter; each tree sees ``TREE_ROWS`` of them, as the method
 has it); a document's anomaly comes from its mean path length over the trees' random splits. The threshold is
 calibrated on all rows of the other half, which the forest hasn't seen: the lowest score step from which on at most
-``max_good_loss`` of the good rows would go and at least half of what goes is bad. Without labelled rows, or if no step
-is good enough, only the base rules reject.
+``max_good_loss`` of the good rows would go and at least half of what goes is bad, lowered a quarter of the way to the next step
+that stays. Without labelled rows, or if no step is good enough, only the base rules reject.
 
 Defined results: a null, empty or blank text has no words and fails the base rules; labels of null ids or null
 quality are ignored; of conflicting labels the worse one counts; null ids are kept in the result; repeated rows get
@@ -38,9 +41,9 @@ FIT_ROWS, TREE_ROWS, TREES = 8192, 256, 100
 STEPS = 10_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_echoes"]
 WINDOW = 5
-#: The share of good rows at either end of a rate that isn't its usual range, and by how much of its width the range is
-#: widened at either end. A rate that is the same for all good rows, as that of symbols, gets no such margin.
-TAIL, MARGIN = 0.002, 0.5
+#: The least and greatest value of each of ``rates``: shares from none to all, and from half a character to 64 a word.
+LOW, HIGH = np.array([0.0] * 7 + [-1.0]), np.array([math.log2(1001)] * 7 + [6.0])
+DEPTH = 12
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -135,63 +138,49 @@ class Forest:
         return np.exp2(-total / (len(self.feature) * self.norm))
 
 
-def grow_forest(x: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42) -> Forest:
+def grow_forest(x: np.ndarray, low: np.ndarray = LOW, high: np.ndarray = HIGH, trees: int = TREES, tree_rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = 42) -> Forest:
+    """Trees over the box between ``low`` and ``high``, each for a sample of the rows ``x``."""
     random = np.random.default_rng(seed)
     tree_rows = min(tree_rows, len(x))
-    depth = max(1, math.ceil(math.log2(max(2, tree_rows))))
-    size = 2 ** (depth + 1)
-    feature = np.full((trees, size), -1, np.int32)
-    value, path = np.zeros((trees, size)), np.zeros((trees, size))
-    left = np.zeros((trees, size), np.int32)
-    for t in range(trees):
-        free = 1
-        stack = [(0, random.choice(len(x), tree_rows, replace=False), 0)]
+    grown = []
+    for _ in range(trees):
+        nodes: list[list] = [[-1, 0.0, 0, 0.0]]  # rate, cut, left child, path
+        stack = [(0, random.choice(len(x), tree_rows, replace=False), low, high, 0)]
         while stack:
-            node, rows, level = stack.pop()
-            low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-            wide = np.flatnonzero(high > low)
-            if level == depth or not len(wide):
-                path[t, node] = level + usual_path(len(rows))
+            node, rows, a, z, level = stack.pop()
+            if level == depth or not len(rows):
+                nodes[node][3] = level + usual_path(len(rows))
                 continue
-            f = int(random.choice(wide))
-            cut = random.uniform(low[f], high[f])
+            f = int(random.integers(len(low)))
+            cut = random.uniform(a[f], z[f])
             right = x[rows, f] >= cut
-            if right.all():  # the draw fell on the lower end
-                cut = np.nextafter(low[f], high[f])
-                right = x[rows, f] >= cut
-            feature[t, node], value[t, node], left[t, node] = f, cut, free
-            stack += [(free, rows[~right], level + 1), (free + 1, rows[right], level + 1)]
-            free += 2
-    return Forest(feature, value, left, path, depth, usual_path(tree_rows) or 1.0)
+            upper, lower = a.copy(), z.copy()
+            upper[f] = lower[f] = cut
+            nodes[node][:3] = f, cut, len(nodes)
+            stack += [(len(nodes), rows[~right], a, lower, level + 1), (len(nodes) + 1, rows[right], upper, z, level + 1)]
+            nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
+        grown.append(nodes)
+    size = max(map(len, grown))
+    column = lambda i, kind: np.array([[n[i] for n in nodes] + [-1 if i == 0 else 0] * (size - len(nodes)) for nodes in grown], kind)
+    return Forest(column(0, np.int32), column(1, float), column(2, np.int32), column(3, float), depth, usual_path(tree_rows) or 1.0)
 
 
 @dataclass
 class Model:
-    """Usual ranges and a forest, if there was something to fit them on, and the first score step that is rejected."""
+    """A forest, if there was something to fit it on, and the first score step that is rejected."""
 
     forest: Forest | None = None
-    low: np.ndarray | None = None
-    high: np.ndarray | None = None
     limit: int = STEPS + 1
 
-    def outside(self, counts: np.ndarray) -> np.ndarray:
-        """How far each rate lies outside its usual range, below it as a negative number."""
-        x = rates(counts)
-        return np.maximum(x - self.high, 0) + np.minimum(x - self.low, 0)
-
     def steps(self, counts: np.ndarray) -> np.ndarray:
         if self.forest is None or not len(counts):
             return np.zeros(len(counts), np.int32)
-        return np.floor(self.forest.scores(self.outside(counts)) * STEPS).astype(np.int32)
+        return np.floor(self.forest.scores(rates(counts)) * STEPS).astype(np.int32)
 
 
 def fitted(counts: np.ndarray, good: np.ndarray) -> Model:
-    """Ranges of the good rows (of all, if there are none), and a forest over all rows."""
-    usual = rates(counts[good] if good.any() else counts)
-    low, high = np.quantile(usual, [TAIL, 1 - TAIL], axis=0)
-    model = Model(None, low - MARGIN * (high - low), high + MARGIN * (high - low))
-    model.forest = grow_forest(model.outside(counts))
-    return model
+    """A forest over the good rows, or over all if there are none."""
+    return Model(grow_forest(rates(counts[good] if good.any() else counts)))
 
 
 def base_failed() -> F.Column:
@@ -242,7 +231,8 @@ def fit(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id_
 
 
 def calibrated(steps: dict[int, tuple[int, int]], max_good_loss: float) -> int:
-    """The lowest step from which on few good rows would go, and no more good ones than bad ones."""
+    """The lowest step from which on few good rows would go, and no more good ones than bad ones; lowered a quarter of the way to the
+    next step that stays, as what wasn't labelled lies on both sides of what was."""
     all_good = sum(good for good, _ in steps.values())
     limit, good, bad = STEPS + 1, 0, 0
     for step in sorted(steps, reverse=True):
@@ -251,7 +241,8 @@ def calibrated(steps: dict[int, tuple[int, int]], max_good_loss: float) -> int:
             break
         if bad >= good and steps[step][1]:
             limit = step
-    return limit
+    below = max((step for step in steps if step < limit), default=limit)
+    return limit if limit > STEPS else (3 * limit + below + 3) // 4
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_good_loss: float = 0.002) -> DataFrame:
