@@ -376,7 +376,34 @@ def merge_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.merge_up(found, nodes).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+def _settled_sql(rounds: int = 8) -> str:
+    """Gap filling and merging up, round by round. More rounds than anything needs change nothing more."""
+    out = f"""WITH {RESULTS},
+children AS (SELECT parent_id, count(*) AS n FROM linked WHERE parent_id IS NOT NULL GROUP BY parent_id),
+s0 AS (SELECT query_id, node_id, score, rank FROM results)"""
+    for i in range(rounds):
+        out += f""",
+k{i} AS (
+  SELECT s.query_id, s.node_id, s.score, s.rank, n.next_id, lead(n.prev_id) OVER w AS before_next, lead(s.score) OVER w AS next_score
+  FROM s{i} s JOIN linked n ON n.node_id = s.node_id WINDOW w AS (PARTITION BY s.query_id ORDER BY s.rank)),
+f{i} AS (
+  SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM (
+    SELECT query_id, node_id, score, rank::DOUBLE AS place FROM s{i}
+    UNION ALL SELECT query_id, next_id, (coalesce(score, 0) + coalesce(next_score, 0)) / 2, rank + 0.5 FROM k{i} k
+    WHERE next_id = before_next AND NOT EXISTS (SELECT 1 FROM s{i} s WHERE s.query_id = k.query_id AND s.node_id = k.next_id))),
+p{i} AS (SELECT f.query_id, f.node_id, f.score, f.rank, n.parent_id FROM f{i} f LEFT JOIN linked n ON n.node_id = f.node_id),
+m{i} AS (
+  SELECT query_id, parent_id, avg(coalesce(score, 0)) AS score FROM p{i} JOIN children USING (parent_id)
+  GROUP BY query_id, parent_id, n HAVING count(*) / n > 0.5),
+r{i} AS (SELECT query_id, node_id, score, rank::DOUBLE AS place FROM p{i} p WHERE NOT EXISTS (SELECT 1 FROM m{i} m WHERE m.query_id = p.query_id AND m.parent_id = p.parent_id)),
+s{i + 1} AS (
+  SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY place, score DESC, node_id) AS rank FROM (
+    SELECT * FROM r{i} UNION ALL SELECT query_id, parent_id, score, 1e18 FROM m{i} m WHERE NOT EXISTS (SELECT 1 FROM r{i} r WHERE r.query_id = m.query_id AND r.node_id = m.parent_id)))"""
+    return out + f"""
+SELECT query_id, node_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id))::INT AS rank FROM s{rounds}"""
+
+
+@query(_settled_sql())
 def settled_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, found = _results(spark, sf_dir)
     return retrieval.settle(found, nodes).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
@@ -416,7 +443,16 @@ def semantic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.semantic_groups(table(spark, sf_dir, "documents"))
 
 
-@query()
+PACKED = f"""WITH RECURSIVE {BM25},
+found AS (SELECT query_id, rank, length(text) AS n, text FROM sparse JOIN documents ON doc_id = node_id WHERE rank <= 3),
+walk AS (
+  SELECT query_id, rank, n AS used, 0 AS pack FROM found WHERE rank = 1
+  UNION ALL
+  SELECT f.query_id, f.rank, CASE WHEN used + f.n <= 4096 THEN used + f.n ELSE f.n END, CASE WHEN used + f.n <= 4096 THEN pack ELSE pack + 1 END FROM walk w JOIN found f ON f.query_id = w.query_id AND f.rank = w.rank + 1)
+SELECT query_id, pack, count(*)::INT AS n_contexts, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM walk JOIN found USING (query_id, rank) GROUP BY query_id, pack"""
+
+
+@query(PACKED)
 def compact_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.compact(_retrieved(spark, sf_dir, 3).select("query_id", "rank", "text"))
 
@@ -622,15 +658,9 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Retrieval and citation.
-@query(f"""WITH RECURSIVE {BM25},
-found AS (SELECT query_id, rank, length(text) AS n, text FROM sparse JOIN documents ON doc_id = node_id WHERE rank <= 3),
-walk AS (
-  SELECT query_id, rank, n AS used, 0 AS pack FROM found WHERE rank = 1
-  UNION ALL
-  SELECT f.query_id, f.rank, CASE WHEN used + f.n <= 4096 THEN used + f.n ELSE f.n END, CASE WHEN used + f.n <= 4096 THEN pack ELSE pack + 1 END FROM walk w JOIN found f ON f.query_id = w.query_id AND f.rank = w.rank + 1)
-SELECT query_id, pack, count(*)::INT AS n_contexts, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM walk JOIN found USING (query_id, rank) GROUP BY query_id, pack""")
+@query(PACKED)
 def packed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What ``compact_pack`` gives, with SQL that packs recursively."""
+    """What ``compact_pack`` gives, under the name of the contexts."""
     return split.compact(_retrieved(spark, sf_dir, 3).select("query_id", "rank", "text"))
 
 
