@@ -11,13 +11,16 @@ from pyspark.sql import types as T
 
 from docloom.session import shipped
 
-#: Words whose dot ends no sentence.
+#: Words whose dot ends no sentence; ``operators.abbreviations`` learns those of a corpus.
 UNFINISHED = frozenset("mr mrs ms dr prof jr sr st no fig eq vs etc al inc ltd co approx dept est p pp vol".split())
 _END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)|\n\s*\n")
 
 
-def split_sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, text) of each sentence, without the white space between them."""
+def split_sentences(text: str, unfinished: frozenset[str] = UNFINISHED) -> list[tuple[int, int, str]]:
+    """(start, end, text) of each sentence, without the white space between them.
+
+    ``unfinished`` holds words in lower case, with the dots inside them, whose last dot ends no sentence.
+    """
     out, start = [], 0
 
     def take(a: int, z: int) -> None:
@@ -30,9 +33,10 @@ def split_sentences(text: str) -> list[tuple[int, int, str]]:
 
     for end in _END.finditer(text):
         if end[0].startswith("."):
-            word = re.search(r"(\w+)$", text[max(0, end.start() - 30) : end.start()])
+            before = text[max(0, end.start() - 30) : end.start()]
+            word, whole = re.search(r"(\w+)$", before), re.search(r"((?:\w+\.)*\w+)$", before)
             follows = text[end.end() : end.end() + 3].lstrip()
-            if word and (word[1].lower() in UNFINISHED or len(word[1]) == 1 and word[1].isupper()) and follows:
+            if word and (word[1].lower() in unfinished or whole[1].lower() in unfinished or len(word[1]) == 1 and word[1].isupper()) and follows:
                 continue
             if follows[:1].islower():
                 continue

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import schemas as S
 from docloom.functions import text as tx
-from docloom.operators import boilerplate, cite, combine, enrich, fusion, observe, postprocess, retrieval, split, structure
+from docloom.operators import abbreviations, boilerplate, cite, combine, enrich, fusion, observe, postprocess, retrieval, split, structure
 from docloom.plans import documents as plans
 from docloom.session import materialise, new_path, run_dir, spread
 from docloom.sources import readers, stores
@@ -575,6 +575,18 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.sentence_rows(table(spark, sf_dir, "documents"))
 
 
+@query(r"""WITH tokens AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '\p{L}+(?:\.\p{L}+)*\.?')) AS token FROM documents),
+counts AS (SELECT lower(rtrim(token, '.')) AS word, count(*) FILTER (token LIKE '%.') AS dotted, count(*) FILTER (token NOT LIKE '%.') AS plain FROM tokens GROUP BY 1),
+usual AS (SELECT sum(dotted)::DOUBLE / sum(dotted + plain) AS p FROM counts),
+sized AS (SELECT *, length(replace(word, '.', ''))::DOUBLE AS letters, length(word) - length(replace(word, '.', '')) AS inner_dots FROM counts, usual WHERE dotted > 0),
+scored AS (
+  SELECT word, dotted, plain, round(2e0 * (dotted * (ln(0.99e0) - ln(p)) + plain * (ln(1e0 - 0.99e0) - ln(1e0 - p))) * exp(-letters) * (inner_dots + 1) * pow(letters, -plain), 6) AS score FROM sized)
+SELECT word, dotted, plain, score FROM scored WHERE score >= 0.3""")
+def learnt_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the documents' dots show to be abbreviations."""
+    return abbreviations.abbreviations(table(spark, sf_dir, "documents"))
+
+
 @query()
 def ingested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = plans.ingest(readers.text_elements(table(spark, sf_dir, "documents")), adders=())
