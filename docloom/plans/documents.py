@@ -19,6 +19,7 @@ from docloom.operators.postprocess import Step, apply_steps, overlap, prune_sent
 from docloom.operators.retrieval import retrieve, settle
 from docloom.operators.split import compact, cosine, hashed_embedding
 from docloom.operators.structure import linked, to_nodes
+from docloom.plans.questions import split_questions
 from docloom.session import materialise, shipped
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -97,17 +98,25 @@ def ask(nodes: DataFrame, embeddings: DataFrame, queries: DataFrame, embedder: C
 TOOLS = ("engine", "summary", "subquestions")
 
 
-def document_tools(documents: DataFrame, allowed: tuple[str, ...] = ("engine",), built: str | None = None) -> DataFrame:
-    """doc_id, tool, tool_id: the allowed tools of every document, as far as they are built on it.
+def tool_sets(documents: DataFrame, asked: tuple[str, ...], allowed: tuple[str, ...] = TOOLS, built: str | None = None) -> DataFrame:
+    """doc_id, tools, refused, missing: of the tools asked for those that a document offers, those that aren't allowed, and
+    those that are but aren't built on it.
 
-    ``built`` names an array column; without it every tool is. Allowing an unknown tool is an error.
+    ``built`` names an array column; without it every tool is built.
     """
-    unknown = set(allowed) - set(TOOLS)
-    if unknown:
-        raise ValueError(f"unknown tools: {sorted(unknown)}")
-    offered = F.array(*[F.lit(t) for t in allowed])
-    there = F.array_intersect(offered, F.col(built)) if built else offered
-    return documents.select("doc_id", F.explode(there).alias("tool")).withColumn("tool_id", F.concat_ws("/", "doc_id", "tool"))
+    wanted, may = (F.array(*[F.lit(t) for t in names]).cast("array<string>") for names in (asked, allowed))
+    usable = F.array_intersect(wanted, may)
+    there = F.coalesce(F.col(built), F.array().cast("array<string>")) if built else usable
+    return documents.select("doc_id", F.array_intersect(usable, there).alias("tools"), F.array_except(wanted, may).alias("refused"), F.array_except(usable, there).alias("missing"))
+
+
+def document_tools(documents: DataFrame, asked: tuple[str, ...] = ("engine",), built: str | None = None) -> DataFrame:
+    """doc_id, tool, tool_id: the tools asked for of every document, as far as they are allowed and built on it.
+
+    What isn't is told by ``tool_sets``.
+    """
+    rows = tool_sets(documents, asked, built=built).select("doc_id", F.explode("tools").alias("tool"))
+    return rows.withColumn("tool_id", F.concat_ws("/", "doc_id", "tool"))
 
 
 def route(questions: DataFrame, documents: DataFrame, top: int = 3, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
@@ -124,9 +133,9 @@ def route(questions: DataFrame, documents: DataFrame, top: int = 3, scorer: Call
 
 
 def sub_questions(queries: DataFrame) -> DataFrame:
-    """query_id, sub_id, query_text: a question taken apart at its question marks and semicolons."""
-    parts = F.filter(F.transform(F.split("query_text", r"(?<=\?)|;"), lambda p: F.trim(p)), lambda p: p != "")
-    return queries.select("query_id", F.posexplode(parts).alias("sub_id", "query_text"))
+    """query_id, sub_id, query_text: a question taken apart at its question marks and semicolons, each part on its own."""
+    parts = split_questions(queries)
+    return parts.select("query_id", "sub_id", F.regexp_replace("query_text", r" \(\{\d+\}\)\z", "").alias("query_text"))
 
 
 def ask_by_parts(nodes: DataFrame, embeddings: DataFrame, queries: DataFrame) -> DataFrame:

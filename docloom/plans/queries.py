@@ -9,6 +9,7 @@ from docloom import schemas as S
 from docloom.functions import text as tx
 from docloom.operators import abbreviations, boilerplate, cite, combine, enrich, fusion, observe, postprocess, retrieval, split, structure
 from docloom.plans import documents as plans
+from docloom.plans import questions
 from docloom.session import materialise, new_path, run_dir, spread
 from docloom.sources import readers, stores
 from docloom.streaming import event_log
@@ -519,6 +520,24 @@ def route_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.document_tools(table(spark, sf_dir, "documents"), ("engine", "summary"))
 
 
+@query(rf"""WITH cut AS (SELECT conv_id || '/' || turn AS query_id, list_filter(list_transform(string_split(replace(replace(text, '?', '?' || chr(1)), ';', chr(1)), chr(1)), lambda p: trim(p)), lambda p: p <> '') AS parts FROM conversations),
+each AS (SELECT query_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS sub_id FROM cut),
+marked AS (SELECT *, sub_id > 0 AND regexp_matches(lower(part), '(?:^|[^a-z])(?:{"|".join(questions.REFERRING)})(?:[^a-z]|$)') AS back FROM each)
+SELECT query_id, sub_id::INT AS sub_id, CASE WHEN back THEN part || ' ({{' || (sub_id - 1) || '}})' ELSE part END AS query_text, CASE WHEN back THEN (sub_id - 1)::VARCHAR ELSE '' END AS needs FROM marked""")
+def question_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of the conversations taken apart, with what each part needs."""
+    messages = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("text").alias("query_text"))
+    return questions.split_questions(messages).withColumn("needs", F.array_join(F.col("needs").cast("array<string>"), ","))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'engine' ELSE '' END AS tools, 'telepathy' AS refused, CASE WHEN lang = 'en' THEN 'summary' ELSE 'engine,summary' END AS missing FROM documents")
+def tool_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engines are built on the English documents only; one tool asked for isn't allowed."""
+    rows = table(spark, sf_dir, "documents").withColumn("built", F.when(F.col("lang") == "en", F.array(F.lit("engine"))))
+    sets = plans.tool_sets(rows, ("engine", "telepathy", "summary"), built="built")
+    return sets.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("tools", "refused", "missing")])
+
+
 @query()
 def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = enrich.tree_summary(line_nodes(spark, sf_dir))

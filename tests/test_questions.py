@@ -1,0 +1,87 @@
+"""Questions in parts: rounds, needs, errors, and a question whose second part uses the first's answer."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.operators import retrieval
+from docloom.plans import documents as plans
+from docloom.plans.questions import answered_parts, ask_in_rounds, split_questions
+
+GRAPH = "query_id long, sub_id int, query_text string, needs array<int>"
+
+
+def asker(batches):
+    """Answers a question by itself in brackets, and notes how many were asked at once."""
+
+    def ask(queries):
+        batches.append(queries.count())
+        return queries.select("query_id", F.concat(F.lit("["), "query_text", F.lit("]")).alias("response"))
+
+    return ask
+
+
+def of(spark, rows):
+    graph = spark.createDataFrame(rows, GRAPH)
+    return graph.select("query_id").distinct().withColumn("query_text", F.lit("whole")), lambda queries: graph
+
+
+def test_rounds_are_as_many_as_the_longest_chain(spark):
+    """A diamond, a chain and a lone part of three questions are three batches."""
+    rows = [(1, 0, "a", []), (1, 1, "b of {0}", [0]), (1, 2, "c of {0}", [0]), (1, 3, "{1} and {2}, not {9}", [1, 2])]
+    rows += [(2, 5, "end {7}", [7]), (2, 7, "start", None), (3, 0, "alone", [])]
+    queries, decompose = of(spark, rows)
+    batches = []
+    got = {(r["query_id"], r["sub_id"]): (r["round"], r["question"]) for r in answered_parts(queries, asker(batches), decompose).collect()}
+    assert got == {
+        (1, 0): (0, "a"), (1, 1): (1, "b of [a]"), (1, 2): (1, "c of [a]"), (1, 3): (2, "[b of [a]] and [c of [a]], not {9}"),
+        (2, 7): (0, "start"), (2, 5): (1, "end [start]"), (3, 0): (0, "alone"),
+    }
+    assert batches == [3, 3, 1]
+
+
+@pytest.mark.parametrize("rows", [[(1, 0, "a", [1]), (1, 1, "b", [0])], [(1, 0, "a", [4])], [(1, 0, "a", [0])], [(1, 0, "a", []), (1, 0, "b", [])]])
+def test_graphs_that_cannot_be_answered(spark, rows):
+    queries, decompose = of(spark, rows)
+    with pytest.raises(ValueError):
+        answered_parts(queries, asker([]), decompose)
+
+
+def test_whole_answers(spark):
+    queries = spark.createDataFrame([(1, "Who came? What did they bring; and why?"), (2, None), (3, " ? ;"), (4, "Nothing")], "query_id long, query_text string")
+    got = {r["query_id"]: r for r in ask_in_rounds(queries, asker([])).collect()}
+    assert got[1]["response"] == "[Who came?]\n\n[What did they bring ([Who came?])]\n\n[and why?]"
+    assert [p["round"] for p in got[1]["parts"]] == [0, 1, 0]
+    assert got[2]["response"] is None and got[3]["response"] == "[?]" and got[4]["response"] == "[Nothing]"
+    silent = ask_in_rounds(queries, lambda q: q.select("query_id", F.lit(None).cast("string").alias("response"))).collect()
+    assert all(r["response"] is None for r in silent)
+    assert ask_in_rounds(queries.limit(0), asker([])).collect() == []
+
+
+def test_needs_of_the_built_in_decomposer(spark):
+    queries = spark.createDataFrame([(1, "It rains? Is it wet? An item falls?")], "query_id long, query_text string")
+    assert [(r["sub_id"], r["needs"]) for r in split_questions(queries).collect()] == [(0, []), (1, [0]), (2, [])]
+
+
+def test_the_second_part_uses_the_first_answer(spark):
+    """Only the first answer names the place that the second part asks about."""
+    texts = [(1, "The grey heron nests in Alderfen every spring of the year."), (2, "Alderfen lies beside the old windmill near the northern dyke."), (3, "Something lies beside the cathedral.")]
+    nodes = spark.createDataFrame(texts, "node_id long, text string")
+
+    def ask(queries):
+        """The place that the best text names, or the text."""
+        best = retrieval.bm25_top_k(nodes, queries, 1).join(nodes, "node_id")
+        place = F.regexp_extract("text", " in ([A-Z][a-z]+)", 1)
+        return best.select("query_id", F.when(place != "", place).otherwise(F.col("text")).alias("response"))
+
+    alone = ask(spark.createDataFrame([(1, "What lies beside it?")], "query_id long, query_text string")).first()
+    assert alone["response"] == texts[2][1]
+    queries = spark.createDataFrame([(1, "Where does the grey heron nest? What lies beside it?")], "query_id long, query_text string")
+    parts = ask_in_rounds(queries, ask).first()["parts"]
+    assert [p["response"] for p in parts] == ["Alderfen", texts[1][1]] and "Alderfen" in parts[1]["question"]
+
+
+def test_tool_sets(spark):
+    docs = spark.createDataFrame([(1, ["engine", "summary"]), (2, []), (3, None)], "doc_id long, built array<string>")
+    got = {r["doc_id"]: (r["tools"], r["refused"], r["missing"]) for r in plans.tool_sets(docs, ("summary", "telepathy"), built="built").collect()}
+    assert got == {1: (["summary"], ["telepathy"], []), 2: ([], ["telepathy"], ["summary"]), 3: ([], ["telepathy"], ["summary"])}
+    assert {tuple(r["tools"]) for r in plans.tool_sets(docs, ("summary", "engine"), ("engine",)).collect()} == {("engine",)}

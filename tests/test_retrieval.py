@@ -200,8 +200,7 @@ def test_span_trees(spark):
 def test_tools_and_routes(spark):
     docs = spark.createDataFrame([(1, "about cats", ["engine"]), (2, "about dogs", [])], "doc_id long, summary_oneline string, built array<string>")
     assert [(r["doc_id"], r["tool_id"]) for r in plans.document_tools(docs, ("engine", "summary"), "built").collect()] == [(1, "1/engine")]
-    with pytest.raises(ValueError):
-        plans.document_tools(docs, ("telepathy",))
+    assert plans.document_tools(docs, ("telepathy",)).collect() == []
     assert [r["doc_id"] for r in plans.route(spark.createDataFrame([(1, "which cats")], "query_id long, query_text string"), docs).collect()] == [1]
     parts = plans.sub_questions(spark.createDataFrame([(1, "What is it? Who made it?")], "query_id long, query_text string"))
     assert [r["query_text"] for r in parts.orderBy("sub_id").collect()] == ["What is it?", "Who made it?"]
