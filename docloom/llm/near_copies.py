@@ -6,7 +6,7 @@ least similarity of 0.8 share none in 3 of a million cases, and more similar one
 is lost, however many nodes it has.
 
 The smallest node of a group is its centre, and groups of one centre are one crowd. A crowd of at most ``CROWD`` nodes
-goes to a task with its sets, which finds all links in it. One of at most ``TILED`` nodes is cut into tiles, and each two
+and ``SHINGLES`` shingles goes to a task with its sets, which finds all links in it. One of at most ``TILED`` nodes is cut into tiles, and each two
 tiles are a task, which tells of links between nodes that aren't joined inside a tile. Of a yet larger one all nodes are
 first held against the centre, set by set, which costs in proportion to the crowd:
 
@@ -55,6 +55,8 @@ LEAST = (4, 5)
 BANDS, BAND_ROWS = 24, 4
 #: Nodes of a crowd that a task takes whole, and of one that is cut into tiles at once; rounds for larger ones.
 CROWD, TILED, ROUNDS = 512, 1 << 14, 3
+#: Shingles of a crowd that a task takes whole, all nodes together; a tile has a quarter of them, or one node.
+SHINGLES = 1 << 20
 #: Shingles that a task counts at once.
 COLUMNS = 1 << 13
 #: So many row numbers are broadcast.
@@ -262,8 +264,9 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiled(crowds: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside crowds (centre, node) of any size, from tiles of about CROWD / 2 nodes each."""
-    tile = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / F.lit(CROWD // 2))).alias("tile")
+    """Links inside crowds (centre, node) of any size, from tiles of about CROWD / 2 nodes and SHINGLES / 4 shingles each."""
+    parts = F.greatest(F.ceil(F.col("crowd") / F.lit(CROWD // 2)), F.ceil(F.col("weight") / F.lit(SHINGLES // 4)))
+    tile = F.pmod(F.xxhash64("node"), parts).alias("tile")
     dealt = crowds.join(sizes, "centre").select("centre", "node", tile).join(sets, "node")
     tiles = materialise(dealt.groupBy("centre", "tile").agg(F.collect_list(F.struct("node", "shingles")).alias("nodes")), "tiles")
     inside = tiles.select("nodes", F.lit(None).cast(tiles.schema["nodes"].dataType).alias("others"))
@@ -285,12 +288,13 @@ def _roots(nodes: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     _held(trees, sets).where(linked).select(F.col("node").alias("u"), F.col("centre").alias("v")).write.parquet(path)
     turn = 0
     while True:
-        sizes = materialise(pairs.groupBy("centre").agg(F.count("*").alias("crowd")), "crowds")
-        small = pairs.join(sizes.where(F.col("crowd") <= CROWD), "centre").select("centre", "node").join(sets, "node").select("centre", "node", "shingles")
+        sizes = materialise(pairs.groupBy("centre").agg(F.count("*").alias("crowd"), F.sum("n").alias("weight")), "crowds")
+        fits = (F.col("crowd") <= CROWD) & (F.col("weight") <= SHINGLES)
+        small = pairs.join(sizes.where(fits), "centre").select("centre", "node").join(sets, "node").select("centre", "node", "shingles")
         small = small.repartition("centre").sortWithinPartitions("centre")
         small.mapInArrow(_whole_crowds, "u long, v long").write.mode("append").parquet(path)
         whole = turn >= ROUNDS
-        tiled = sizes.where((F.col("crowd") > CROWD) & (F.lit(whole) | (F.col("crowd") <= TILED)))
+        tiled = sizes.where(~fits & (F.lit(whole) | (F.col("crowd") <= max(CROWD, TILED))))
         if tiled.limit(1).count():
             _tiled(pairs.join(tiled.select("centre"), "centre").select("centre", "node"), tiled, sets).write.mode("append").parquet(path)
         large = sizes.where(F.col("crowd") > max(CROWD, TILED))

@@ -106,8 +106,9 @@ def test_crowds_just_below_and_above(spark, monkeypatch):
     kept, pairs = brute_kept(rows)
     assert len(pairs) > 150 and 40 < len(kept) < len(rows) - 40
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for crowd, tiled, rounds in ((512, 1 << 14, 3), (8, 1 << 14, 3), (8, 8, 2), (8, 16, 0)):
+    for crowd, tiled, rounds, shingles in ((512, 1 << 14, 3, 1 << 20), (8, 1 << 14, 3, 1 << 20), (8, 8, 2, 1 << 20), (8, 16, 0, 1 << 20), (512, 1 << 14, 3, 900)):
         monkeypatch.setattr(near_copies, "CROWD", crowd)
+        monkeypatch.setattr(near_copies, "SHINGLES", shingles)
         monkeypatch.setattr(near_copies, "TILED", tiled)
         monkeypatch.setattr(near_copies, "ROUNDS", rounds)
         assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect()) == kept
