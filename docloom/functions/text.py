@@ -18,7 +18,8 @@ ABBREVIATIONS = (
 )
 
 # Patterns that decide what counts as a page number, date, time, e-mail address, phone number and postal
-# address. All but the e-mail address ignore case; classes are those of Unicode.
+# address. All but the e-mail address ignore case; classes are those of Unicode. PAGE_NUMBER leaves out a boundary that
+# what follows it implies, and DATE is put together from its named parts; both match the same texts as the fixed values.
 PAGE_NUMBER = r"(?:-|\( ?)?\b(?:page|p\.?(?:[pg]\.?)?)? ?(?:\d+|\b[ivxm]+\b)\.?(?: ?-|\))?\b"
 MONTH = r"(?:jan\.?|january|feb\.?|february|mar\.?|march|apr\.?|april|may|jun\.?|june|jul\.?|july|aug\.?|august|sep\.?|september|oct\.?|october|nov\.?|november|dec\.?|december)"
 DAY = r"(?<!\:)(?<!\:\d)[0-3]?\d(?:st|nd|rd|th)?"

@@ -490,10 +490,10 @@ def citation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = passages.where(long).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, ANCHOR), " ")).alias("gram"))
     places = docs.select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), ANCHOR))).alias("gram"))
     pairs = places.join(named, "gram").select("doc_id", "item_id", "passage").distinct()
-    # Passages of fewer words have no inner words to go by and are looked for in every text.
+    # Passages of fewer words have no inner words to go by; every text is looked through for them, and only finds go on.
     short = passages.where(~long).select("item_id", "passage")
-    near = pairs.unionByName(docs.select("doc_id").join(short))
-    found = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
+    found = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
+    found = found.unionByName(docs.select("doc_id", "text").join(short, F.contains("text", "passage")).select(*found.columns))
     return found.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("node_id"), (F.instr("text", F.col("passage")) - 1).cast("long").alias("node_start"))
 
 
