@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.operators.fusion import DIGITS, ranked
-from docloom.session import materialise, ship_package
+from docloom.session import materialise, scratch, ship_package
 
 FIT_ROWS, PER_CENTRE, CENTRES, ROUNDS = 8192, 1024, 1024, 6
 BLOCK, GROUP = 1024, 1024
@@ -70,7 +70,12 @@ def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def build(vectors: DataFrame, path: str, id_col: str = "node_id", vector_col: str = "embedding") -> None:
-    """The index of all usable vectors; lengths that the sample lacks make one cluster each."""
+    """The index of all usable vectors; lengths that the sample lacks make one cluster each. Nothing else stays."""
+    with scratch(vectors.sparkSession):
+        _build(vectors, path, id_col, vector_col)
+
+
+def _build(vectors: DataFrame, path: str, id_col: str, vector_col: str) -> None:
     spark = vectors.sparkSession
     ship_package(spark)
     rows = usable(vectors, id_col, vector_col)

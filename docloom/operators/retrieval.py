@@ -5,6 +5,8 @@ Results are rows (query_id, node_id, score, rank). Everything is batched over qu
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from docloom.operators.fusion import fuse, ranked
 from docloom.session import materialise, new_path
 
 
+#: Two threads of an application that miss the same index make it once.
+_BUILDING = Lock()
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", vector_col: str = "embedding", skip_own: bool = False, index: str | None = None) -> DataFrame:
     """The ``k`` nearest by cosine of every query (query_id, query_vec), exact.
 
@@ -21,8 +27,9 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "n
     """
     spark = queries.sparkSession
     path = index or new_path(spark, "dense-index")
-    if not dense_index.exists(spark, path):
-        dense_index.build(vectors, path, id_col, vector_col)
+    with _BUILDING:
+        if not dense_index.exists(spark, path):
+            dense_index.build(vectors, path, id_col, vector_col)
     return dense_index.Search(spark, path, queries, k, skip_own).result
 
 
@@ -34,8 +41,9 @@ def bm25_top_k(nodes: DataFrame, queries: DataFrame, k: int, id_col: str = "node
     """
     spark = queries.sparkSession
     path = index or new_path(spark, "sparse-index")
-    if not sparse_index.exists(spark, path):
-        sparse_index.append(nodes, path, id_col, text_col)
+    with _BUILDING:
+        if not sparse_index.exists(spark, path):
+            sparse_index.append(nodes, path, id_col, text_col)
     return sparse_index.top_k(spark, path, queries, k)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
 from docloom.operators.fusion import DIGITS, ranked
-from docloom.session import materialise
+from docloom.session import materialise, scratch
 
 #: Usual parameters of BM25.
 K1, B = 1.5, 0.75
@@ -40,7 +40,12 @@ def _slot(node: Column, slots: Column) -> Column:
 
 
 def append(nodes: DataFrame, path: str, id_col: str = "node_id", text_col: str = "text") -> None:
-    """One more segment, of ``nodes``; they are tokenised here and never again."""
+    """One more segment, of ``nodes``; they are tokenised here and never again. Nothing else stays."""
+    with scratch(nodes.sparkSession):
+        _append(nodes, path, id_col, text_col)
+
+
+def _append(nodes: DataFrame, path: str, id_col: str, text_col: str) -> None:
     spark, segment = nodes.sparkSession, uuid.uuid4().hex
     words = materialise(postings(nodes, id_col, text_col), "postings")
     terms = words.groupBy("term").agg(F.count("*").alias("df"), F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
