@@ -99,7 +99,7 @@ def _build(vectors: DataFrame, path: str, id_col: str, vector_col: str) -> None:
     clusters = materialise(clusters, "cluster-sizes")
     shell = F.floor(F.col("away") / (F.col("radius") + 1e-9) * F.ceil(F.col("n") / BLOCK)).cast("int")
     shells = placed.join(clusters.select("size", "cluster", "n", "radius"), ["size", "cluster"]).withColumn("shell", shell)
-    shells = materialise(shells.drop("n", "radius"), "shells")
+    shells = shells.drop("n", "radius")
     crowded = shells.groupBy("size", "cluster", "shell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = shells.join(crowded, ["size", "cluster", "shell"]).withColumn("part", F.pmod(F.xxhash64("node_id"), F.col("parts")))
     blocks = dealt.groupBy("size", "cluster", "shell", "part").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.collect_list(F.struct("node_id", "vec")).alias("rows"))
