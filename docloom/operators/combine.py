@@ -110,16 +110,16 @@ class _Group:
 
     def __init__(self, key: tuple, seq: int, row: tuple, sets: int, keep: str) -> None:
         self.key, self.seq, self.ids, self.kind = key, seq, row[:2], row[2]
-        self.text, self.members = Growing(row[3] or "", keep), 1
+        self.text, self.others = Growing(row[3] or "", keep), []
         self.sets = [set(x or ()) for x in row[4 : 4 + sets]]
         self.scalars = list(row[4 + sets :])
 
     def add(self, row: tuple, last: bool) -> None:
+        self.others.append(self.ids[0] if last else row[0])
         if last:
             self.ids = row[:2]
         self.kind = combined_kind(self.kind, row[2])
         self.text.add(row[3] or "")
-        self.members += 1
         for own, more in zip(self.sets, row[4:]):
             own.update(more or ())
         for i, value in enumerate(row[4 + len(self.sets) :]):
@@ -128,21 +128,24 @@ class _Group:
 
     def row(self) -> tuple:
         ordered = [sorted(x - {None}) + [None] * (None in x) for x in self.sets]
-        return (*self.key, self.seq, *self.ids, self.kind, self.text.whole() if self.text.parts else "", *ordered, *self.scalars, self.members)
+        return (*self.key, self.seq, *self.ids, self.kind, self.text.whole() if self.text.parts else "", *ordered, *self.scalars, self.others)
 
 
-def merged(members: DataFrame, group: str, survivor: str, keep: str) -> DataFrame:
-    """One node per (doc_id, ``group``), with ``n_members``; ``survivor`` says whether the first or the last member gives the id.
+def merged(members: DataFrame, group: str, survivor: str, keep: str, dealt: bool = False) -> DataFrame:
+    """One node per (doc_id, ``group``), with ``others``, the ids of its other members; ``survivor`` says whether the first
+    or the last member gives the id.
 
     Members come sorted to the task that folds them, which holds what they have made so far and a batch of rows; so a
-    group may have any number of members, and costs in proportion to their texts.
+    group may have any number of members, and costs in proportion to their texts. ``dealt``: whole documents are in one
+    partition already, as a window by document leaves them, so texts needn't be shuffled once more.
     """
     ship_package(members.sparkSession)
     sets = [c for c in S.SET_COLUMNS if c in members.columns]
     scalars = [c for c in members.columns if c not in {"doc_id", group, "seq", "node_id", "type", "text", "parent_id", "prev_id", "next_id", *sets}]
     columns = ["doc_id", group, "seq", "node_id", "parent_id", "type", "text", *sets, *scalars]
-    rows = members.select(*columns).repartition("doc_id", group).sortWithinPartitions("doc_id", group, "seq", "node_id")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField("n_members", T.LongType())])
+    rows = members.select(*columns)
+    rows = (rows if dealt else rows.repartition("doc_id", group)).sortWithinPartitions("doc_id", group, "seq", "node_id")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField("others", T.ArrayType(members.schema["node_id"].dataType))])
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +172,11 @@ def merged(members: DataFrame, group: str, survivor: str, keep: str) -> DataFram
 
 def merge_runs(nodes: DataFrame, kind_name: str, survivor: str, keep: str = "one_kept") -> DataFrame:
     """Every maximal run of ``kind_name`` as one node; children of any member become children of the survivor."""
-    members = runs(nodes, kind_name)
-    out = materialise(merged(members, "run", survivor, keep), "merged-runs")
-    grown = out.where("n_members > 1").select("doc_id", "run", F.col("node_id").alias("new_parent"))
-    moved = members.select("doc_id", "run", F.col("node_id").alias("parent_id")).join(grown, ["doc_id", "run"]).drop("run")
-    joined = out.drop("run", "n_members").join(moved, ["doc_id", "parent_id"], "left")
+    out = materialise(merged(runs(nodes, kind_name), "run", survivor, keep, dealt=True).drop("run"), "merged-runs")
+    moved = out.select("doc_id", F.col("node_id").alias("new_parent"), F.explode("others").alias("parent_id"))
+    # Only rows whose parent changes meet the texts.
+    changed = materialise(out.select("doc_id", "node_id", "parent_id").join(moved, ["doc_id", "parent_id"]).select("doc_id", "node_id", "new_parent"), "moved-children")
+    joined = out.drop("others").join(changed, ["doc_id", "node_id"], "left")
     return joined.withColumn("parent_id", F.coalesce("new_parent", "parent_id")).drop("new_parent")
 
 
@@ -187,13 +190,14 @@ def merge_list_items(nodes: DataFrame, keep: str = "one_kept") -> DataFrame:
 
 def section_nodes(nodes: DataFrame, least: int = 1024, keep: str = "one_kept") -> DataFrame:
     """Sections: every emitted node with what goes into it. Dead letters are left out; see ``dead_letters``."""
-    placed = sections(nodes, least).where(F.col("target").isNotNull())
+    places = sections(nodes, least).where(F.col("target").isNotNull()).select("doc_id", "node_id", "target", "anchor", "emitted")
+    placed = nodes.join(materialise(places, "section-places"), ["doc_id", "node_id"])
     is_title = F.col("type") == S.TITLE
     new_kind = F.when(F.col("anchor") & is_title, S.COMPOSITE).when(F.col("anchor"), S.TEXT_COMPOSITE).otherwise(F.col("type"))
     newline = is_title | F.col("type").isin(S.HEADER, S.FOOTER, S.TABLE)
     text = F.when(F.col("emitted") & newline, F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
     rows = placed.withColumn("text", text).withColumn("type", new_kind).drop("anchor", "emitted")
-    return merged(rows, "target", "first", keep).drop("target", "n_members")
+    return merged(rows, "target", "first", keep).drop("target", "others")
 
 
 def dead_letters(nodes: DataFrame, least: int = 1024) -> DataFrame:

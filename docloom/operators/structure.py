@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import schemas as S
 from docloom.functions.text import file_name
+from docloom.session import materialise
 
 #: Keys that are hidden from a language model and from an embedder when a node is rendered.
 HIDDEN_FROM_LLM = ("doc_id", "seq", "node_id", "parent_id", "coordinates", "detection_class_prob", "filename", "image_path")
@@ -34,10 +35,11 @@ def kind() -> Column:
     )
 
 
-def to_nodes(elements: DataFrame) -> DataFrame:
+def to_nodes(elements: DataFrame, parents_there: bool = False) -> DataFrame:
     """Elements as nodes: a table's text is its HTML, page and name become lists, a parent must exist.
 
-    Absent optional columns count as null. The parent is looked up by an equi-join on (doc_id, parent_id).
+    Absent optional columns count as null. The parent is looked up by an equi-join on (doc_id, parent_id), which shuffles
+    all texts; ``parents_there`` says that the reader names no others than there are, as ``text_elements`` does.
     """
     known = set(elements.columns)
     optional = {"text_as_html": "string", "page_name": "string", "filename": "string", "file_directory": "string", "image_path": "string", "image_base64": "string", "orig_elements": "array<struct<text:string,category:string>>", "page_number": "int"}
@@ -64,6 +66,8 @@ def to_nodes(elements: DataFrame) -> DataFrame:
         "orig_elements",
         *[c for c in KEPT if c in known],
     )
+    if parents_there:
+        return nodes
     parents = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
     return nodes.join(parents, ["doc_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).drop("there")
 
@@ -109,10 +113,13 @@ def child_counts(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
 
 def without(nodes: DataFrame, removed: DataFrame) -> DataFrame:
     """Nodes less those removed; parents that are gone become null. Neighbours follow from what is left."""
-    gone = removed.select("doc_id", "node_id").distinct()
-    left = nodes.join(gone, ["doc_id", "node_id"], "left_anti")
-    lost = gone.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("lost"))
-    return left.join(lost, ["doc_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("lost").isNull(), F.col("parent_id"))).drop("lost")
+    gone = materialise(removed.select("doc_id", "node_id").distinct().withColumn("gone", F.lit(True)), "gone-nodes")
+    lost = gone.select("doc_id", F.col("node_id").alias("parent_id"))
+    orphans = nodes.select("doc_id", "node_id", "parent_id").join(lost, ["doc_id", "parent_id"], "left_semi").select("doc_id", "node_id", F.lit(False).alias("gone"))
+    # Only rows that change meet the texts, once.
+    changed = gone.union(orphans).groupBy("doc_id", "node_id").agg(F.max("gone").alias("gone"))
+    joined = nodes.join(materialise(changed, "changed-nodes"), ["doc_id", "node_id"], "left").where(~F.coalesce("gone", F.lit(False)))
+    return joined.withColumn("parent_id", F.when(F.col("gone").isNull(), F.col("parent_id"))).drop("gone")
 
 
 def visible(values: Column, hidden: tuple[str, ...]) -> Column:
@@ -142,8 +149,9 @@ def sections(nodes: DataFrame, least: int = 1024) -> DataFrame:
     eligible = ~F.col("type").isin(S.HEADER, S.FOOTER, S.IMAGE, S.TABLE)
     candidate = eligible & ((F.col("type") == S.TITLE) | F.col("parent_id").isNull())
     first = F.count(F.when(F.col("candidate"), 1)).over(before) == 0
-    anchor = F.col("candidate") & ((F.col("type") == S.TITLE) | (F.length("text") > least) | first)
-    marked = nodes.withColumn("eligible", eligible).withColumn("candidate", candidate).withColumn("anchor", anchor)
+    anchor = F.col("candidate") & ((F.col("type") == S.TITLE) | F.col("long") | first)
+    # Whether a text is long is known before the windows, so the places alone can be had without shuffling texts.
+    marked = nodes.withColumn("long", F.length("text") > least).withColumn("eligible", eligible).withColumn("candidate", candidate).withColumn("anchor", anchor)
     marked = marked.withColumn("emitted", F.col("anchor") | ~F.col("eligible"))
     absorbs = F.col("emitted") & ~F.col("type").isin(S.TABLE, S.IMAGE)
     marked = marked.withColumn("latest", F.last(F.when(absorbs, F.col("node_id")), ignorenulls=True).over(before))
@@ -151,4 +159,4 @@ def sections(nodes: DataFrame, least: int = 1024) -> DataFrame:
     joined = marked.join(anchors, ["doc_id", "parent_id"], "left")
     own_parent = F.when(F.col("parent_seq") < F.col("seq"), F.col("parent_id"))
     target = F.when(F.col("emitted"), F.col("node_id")).otherwise(F.coalesce(own_parent, "latest"))
-    return joined.withColumn("target", target).drop("eligible", "candidate", "latest", "parent_seq")
+    return joined.withColumn("target", target).drop("long", "eligible", "candidate", "latest", "parent_seq")

@@ -8,10 +8,12 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import wraps
 from pathlib import Path
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -86,6 +88,44 @@ def new_path(spark: SparkSession, label: str) -> str:
     return "/".join([run_dir(spark), *_SCRATCH.get(), f"{label}-{uuid.uuid4().hex}"])
 
 
+#: While we write, Spark deletes a write's shuffle files at its end instead of whenever the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITES, _WRITERS = Lock(), {}
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go at its end. The setting is as it was after the last thread has left."""
+    app = spark.sparkContext.applicationId
+    with _WRITES:
+        n, before = _WRITERS.get(app) or (0, spark.conf.get(_CLEANUP, None))
+        _WRITERS[app] = n + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _WRITES:
+            n, before = _WRITERS[app]
+            _WRITERS[app] = (n - 1, before) if n > 1 else None
+            if n == 1:
+                spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def kept(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written to the shared folder and read back; all else that it wrote there goes."""
+    path = new_path(spark, label)
+    with scratch(spark):
+        made = make()
+        with shuffles_dropped(spark):
+            made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of what was written.
 
@@ -99,7 +139,8 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with shuffles_dropped(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,13 +39,21 @@ def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Columns: doc_id, seq (the line's number), element_id, parent_id, category, text, page_number. A null text has no
     elements.
     """
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("seq", "text"))
-    lines = lines.where(F.trim("text") != "")
-    typed = lines.withColumn("element_id", F.concat_ws(":", "doc_id", "seq")).withColumn("category", line_kind(F.col("text")))
-    above = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.last(F.when(F.col("category") == S.TITLE, F.col("element_id")), ignorenulls=True).over(above)
+    # A document's lines are in its row: their titles are found there, so that no text is shuffled.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    rows = rows.withColumn("kinds", F.transform("lines", lambda x: F.when(F.trim(x) != "", line_kind(x))))
+    places = F.filter(F.transform("kinds", lambda k, i: F.when(k == S.TITLE, i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("titles", places)
+    # Each title is above the lines up to the next one, which included, or up to the end.
+    nexts = F.concat(F.slice("titles", 2, F.greatest(F.size("titles") - 1, F.lit(0))), F.array(F.size("lines") - 1))
+    below = F.flatten(F.zip_with("titles", nexts, lambda a, b: F.array_repeat(a, b - a)))
+    none = F.array_repeat(F.lit(None).cast("int"), F.when(F.size("titles") > 0, F.get("titles", F.lit(0)) + 1).otherwise(F.size("lines")))
+    above = F.when(F.size("titles") > 0, F.concat(none, below)).otherwise(none)
+    each = rows.withColumn("above", above).select("doc_id", F.posexplode(F.arrays_zip("lines", "kinds", "above")).alias("seq", "line"))
+    typed = each.select("doc_id", "seq", F.col("line.lines").alias("text"), F.col("line.kinds").alias("category"), F.col("line.above").alias("above")).where(F.col("category").isNotNull())
+    parent = F.when((F.col("category") != S.TITLE) & F.col("above").isNotNull(), F.concat_ws(":", "doc_id", "above"))
     page = (F.floor(F.col("seq") / PAGE_LINES) + 1).cast("int")
-    return typed.select("doc_id", "seq", "element_id", F.when(F.col("category") != S.TITLE, parent).alias("parent_id"), "category", "text", page.alias("page_number"))
+    return typed.select("doc_id", "seq", F.concat_ws(":", "doc_id", "seq").alias("element_id"), parent.alias("parent_id"), "category", "text", page.alias("page_number"))
 
 
 #: What becomes of HTML tags: blocks that start an element of a kind, and containers that make all within them of one.
