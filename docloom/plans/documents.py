@@ -124,10 +124,15 @@ def route(questions: DataFrame, documents: DataFrame, top: int = 3, scorer: Call
 
     Questions and documents meet by shared words only.
     """
-    asked = questions.select("query_id", "query_text", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    told = documents.select("doc_id", "summary_oneline", F.explode(F.array_distinct(tokens(F.col("summary_oneline")))).alias("term"))
-    pairs = asked.join(told, "term").groupBy("query_id", "doc_id").agg(F.any_value("query_text").alias("q"), F.any_value("summary_oneline").alias("s"))
-    scored = pairs.withColumn("score", scorer(F.col("q"), F.col("s")))
+    terms = lambda text: F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")
+    asked = materialise(questions.select("query_id", terms("query_text")), "question-terms")
+    # Pairs are found, and scored, where the document is: each question's best of a task travel on.
+    spark = questions.sparkSession
+    many = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    told = documents.select("doc_id", "summary_oneline").repartition(many, "doc_id")
+    pairs = told.select("doc_id", "summary_oneline", terms("summary_oneline")).join(asked, "term").groupBy("doc_id", "query_id").agg(F.any_value("summary_oneline").alias("s"))
+    texts = materialise(questions.select("query_id", F.col("query_text").alias("q")), "question-texts")
+    scored = pairs.join(texts, "query_id").select("query_id", "doc_id", scorer(F.col("q"), F.col("s")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "doc_id", "score", "rank")
 

@@ -46,3 +46,11 @@ def test_runs_shuffle_texts_once(spark):
     assert plan(combine.merged(structure.runs(nodes, "Title"), "run", "last", "one_kept", dealt=True)).count("Exchange") == 1
     rows = combine.merge_titles(nodes).orderBy("seq").collect()
     assert [(r["node_id"], r["parent_id"], r["text"]) for r in rows] == [("1:1", None, "A\nB"), ("1:2", "1:1", "c."), ("1:3", None, "D")]
+
+
+def test_pairs_of_question_and_document_stay_where_the_document_is(spark):
+    questions = spark.createDataFrame([(1, "red fox"), (2, "blue sea")], "query_id long, query_text string")
+    told = materialise(spark.createDataFrame([(7, "a red sea"), (8, "the fox is red"), (9, "none")], "doc_id long, summary_oneline string"), "told")
+    routed = plans.route(questions, told, 1)
+    assert not re.search(r"hashpartitioning\((?:query_id#\w+, doc_id|doc_id#\w+, query_id)", plan(routed))
+    assert sorted((r["query_id"], r["doc_id"]) for r in routed.collect()) == [(1, 8), (2, 7)]
