@@ -13,7 +13,7 @@ from docloom import schemas as S
 from docloom.functions.fuzzy import Texts, alike_pairs, indel_similarity
 from docloom.functions.text import is_page_number, starts_with_page_number, without_page_numbers
 from docloom.operators.structure import without
-from docloom.session import materialise, ship_package
+from docloom.session import kept, materialise, ship_package
 
 WINDOW, ALIKE = 3, 80.0
 #: Texts of a zone, or of a part of it, that a task compares.
@@ -146,7 +146,10 @@ def repeated_alike(found: DataFrame, alike: float = ALIKE) -> DataFrame:
 def remove_repeated(nodes: DataFrame, window: int = WINDOW, alike: float = ALIKE) -> DataFrame:
     """Nodes without repeated headers and footers and without bare page numbers; neighbours are to be linked anew."""
     zoned = materialise(stripped(zones(nodes, window)), "zoned")
-    found = materialise(candidates(zoned), "zone-candidates")
-    numbers = zoned.where("page_number_only").select("doc_id", "node_id")
-    gone = numbers.union(repeated_exact(found).select("doc_id", "node_id")).union(repeated_alike(found, alike).select("doc_id", "node_id"))
-    return without(zoned.select(*nodes.columns), gone)
+
+    def repeated() -> DataFrame:
+        found = materialise(candidates(zoned), "zone-candidates")
+        numbers = zoned.where("page_number_only").select("doc_id", "node_id")
+        return numbers.union(repeated_exact(found).select("doc_id", "node_id")).union(repeated_alike(found, alike).select("doc_id", "node_id"))
+
+    return without(zoned.select(*nodes.columns), kept(nodes.sparkSession, "repeated", repeated))

@@ -20,7 +20,7 @@ from docloom.operators.retrieval import retrieve, settle
 from docloom.operators.split import compact, cosine, hashed_embedding
 from docloom.operators.structure import linked, to_nodes
 from docloom.plans.questions import split_questions
-from docloom.session import materialise, shipped
+from docloom.session import delete, materialise, new_path, scratch, shipped, shuffles_dropped
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -35,14 +35,28 @@ def cleaned(nodes: DataFrame) -> DataFrame:
 POST_READERS: tuple[Stage, ...] = (cleaned, merge_titles, merge_list_items, remove_repeated, section_nodes)
 
 
-def ingest(elements: DataFrame, post_readers: tuple[Stage, ...] = POST_READERS, parser: Stage | None = None, adders: tuple[Adder, ...] | None = None) -> DataFrame:
-    """Elements to sections with links and metadata. Stages that read their input twice write it first."""
-    nodes = to_nodes(elements)
-    for stage in post_readers:
-        nodes = stage(nodes)
-    if parser:
-        nodes = parser(nodes)
-    nodes = materialise(nodes, "nodes")
+def ingest(elements: DataFrame, post_readers: tuple[Stage, ...] = POST_READERS, parser: Stage | None = None, adders: tuple[Adder, ...] | None = None, parents_there: bool = False) -> DataFrame:
+    """Elements to sections with links and metadata. Stages that read their input twice write it first.
+
+    What a stage has written goes once its result is written, and its input with it. ``parents_there``: see ``to_nodes``.
+    """
+    spark = elements.sparkSession
+    nodes, held = to_nodes(elements, parents_there), None
+    for stage in (*post_readers, *([parser] if parser else [])):
+        if stage is cleaned:  # it writes nothing, and goes with the next one
+            nodes = stage(nodes)
+            continue
+        path = new_path(spark, "nodes")
+        with scratch(spark):
+            made = stage(nodes)
+            with shuffles_dropped(spark):
+                made.write.parquet(path)
+        nodes = spark.read.schema(made.schema).parquet(path)
+        if held:
+            delete(spark, held)
+        held = path
+    if not held:
+        nodes = materialise(nodes, "nodes")
     nodes = add_all(nodes, list(adders if adders is not None else (keyword_adder(),)))
     return linked(nodes)
 

@@ -54,3 +54,15 @@ def test_pairs_of_question_and_document_stay_where_the_document_is(spark):
     routed = plans.route(questions, told, 1)
     assert not re.search(r"hashpartitioning\((?:query_id#\w+, doc_id|doc_id#\w+, query_id)", plan(routed))
     assert sorted((r["query_id"], r["doc_id"]) for r in routed.collect()) == [(1, 8), (2, 7)]
+
+
+def test_only_the_result_is_kept(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    rows = []
+    assert left_by(spark, lambda: rows.append(kept(spark, "result", lambda: materialise(spark.range(5), "step").where("id > 2")))) == ["result"]
+    assert sorted(r["id"] for r in rows[0].collect()) == [3, 4] and spark.conf.get(setting, None) == before
+
+
+def test_ingest_leaves_its_sections_only(spark, small_tables):
+    assert left_by(spark, lambda: QUERIES["ingested_sections"](spark, small_tables)) == ["nodes"]
