@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
 from docloom.operators.fusion import DIGITS, ranked
-from docloom.session import materialise, scratch
+from docloom.session import kept, materialise, scratch, shuffles_dropped
 
 #: Usual parameters of BM25.
 K1, B = 1.5, 0.75
@@ -47,14 +47,19 @@ def append(nodes: DataFrame, path: str, id_col: str = "node_id", text_col: str =
 
 def _append(nodes: DataFrame, path: str, id_col: str, text_col: str) -> None:
     spark, segment = nodes.sparkSession, uuid.uuid4().hex
-    words = materialise(postings(nodes, id_col, text_col), "postings")
-    terms = words.groupBy("term").agg(F.count("*").alias("df"), F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
-    terms.write.parquet(f"{path}/terms/segment={segment}")
-    slots = spark.read.parquet(f"{path}/terms/segment={segment}").select("term", "slots")
-    dealt = words.join(slots, "term").select("term", _slot(F.col("node_id"), F.col("slots")).alias("slot"), "node_id", "tf", "length")
-    blocks = dealt.groupBy("term", "slot").agg(F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.collect_list(F.struct("node_id", "tf", "length")).alias("postings"))
-    blocks = materialise(blocks, "blocks")  # so that neither sampling the ranges nor sorting makes them again
-    blocks.repartitionByRange("term", "slot").sortWithinPartitions("term", "slot").write.parquet(f"{path}/blocks/segment={segment}")
+
+    def made() -> DataFrame:
+        words = materialise(postings(nodes, id_col, text_col), "postings")
+        terms = words.groupBy("term").agg(F.count("*").alias("df"), F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
+        with shuffles_dropped(spark):
+            terms.write.parquet(f"{path}/terms/segment={segment}")
+        slots = spark.read.parquet(f"{path}/terms/segment={segment}").select("term", "slots")
+        dealt = words.join(slots, "term").select("term", _slot(F.col("node_id"), F.col("slots")).alias("slot"), "node_id", "tf", "length")
+        return dealt.groupBy("term", "slot").agg(F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.collect_list(F.struct("node_id", "tf", "length")).alias("postings"))
+
+    blocks = kept(spark, "blocks", made)  # so that neither sampling the ranges nor sorting makes them again
+    with shuffles_dropped(spark):
+        blocks.repartitionByRange("term", "slot").sortWithinPartitions("term", "slot").write.parquet(f"{path}/blocks/segment={segment}")
     lengths = nodes.select(F.size(tokens(F.col(text_col))).alias("length"))
     lengths.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).write.parquet(f"{path}/totals/segment={segment}")
 
