@@ -17,6 +17,9 @@ ABBREVIATIONS = (
     (r"etc\.", "etc"),
 )
 
+#: A dot with what ABBREVIATIONS may find before it: a text without any stays as it is. Dots are looked for first.
+ABBREVIATED = r"(?i)(?U)\.(?<=(?:no|fig|eq|mrs?|dr|jr|etc)\.)"
+
 # Patterns that decide what counts as a page number, date, time, e-mail address, phone number and postal
 # address. All but the e-mail address ignore case; classes are those of Unicode. PAGE_NUMBER leaves out a boundary that
 # what follows it implies, and DATE is put together from its named parts; both match the same texts as the fixed values.
@@ -36,11 +39,17 @@ def clean_control_chars(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[\p{Cc}\p{Cs}]+", ""), r"\(cid:[0-9]+\)", "")
 
 
+def clean_lines(text: Column) -> Column:
+    """Each line as ``clean_control_chars`` has it; the line breaks stay."""
+    return F.regexp_replace(F.regexp_replace(text, r"[\p{Cc}\p{Cs}&&[^\n]]+", ""), r"\(cid:[0-9]+\)", "")
+
+
 def clean_abbreviations(text: Column) -> Column:
     """ABBREVIATIONS spelled out or without their dots; "No." takes the blank after it along."""
+    plainer = text
     for found, plain in ABBREVIATIONS:
-        text = F.regexp_replace(text, r"(?i)(?U)\b" + found, plain)
-    return text
+        plainer = F.regexp_replace(plainer, r"(?i)(?U)\b" + found, plain)
+    return F.when(text.rlike(ABBREVIATED), plainer).otherwise(text)
 
 
 def is_page_number(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.text import clean_abbreviations, clean_control_chars, tokens
+from docloom.functions.text import clean_abbreviations, clean_lines, tokens
 from docloom.operators.boilerplate import remove_repeated
 from docloom.operators.cite import cite, with_citations
 from docloom.operators.combine import merge_list_items, merge_titles, section_nodes
@@ -27,8 +27,8 @@ Stage = Callable[[DataFrame], DataFrame]
 
 def cleaned(nodes: DataFrame) -> DataFrame:
     """Line by line without control characters, with abbreviations spelled out."""
-    text = F.array_join(F.transform(F.split("text", "\n", -1), clean_control_chars), "\n")
-    return nodes.withColumn("text", clean_abbreviations(text))
+    lines = nodes.withColumn("text", clean_lines(F.col("text")))
+    return lines.withColumn("text", clean_abbreviations(F.col("text")))
 
 
 #: What is done to nodes after reading, in this order.
