@@ -108,6 +108,9 @@ def ask(nodes: DataFrame, embeddings: DataFrame, queries: DataFrame, embedder: C
     return cite(answer(results, queries, steps), results.drop("query_text"), threshold)
 
 
+#: Words of all questions together, with repeats, that are sent to where the documents are.
+FEW_TERMS = 1 << 17
+
 #: What can be asked of a document.
 TOOLS = ("engine", "summary", "subquestions")
 
@@ -136,17 +139,26 @@ def document_tools(documents: DataFrame, asked: tuple[str, ...] = ("engine",), b
 def route(questions: DataFrame, documents: DataFrame, top: int = 3, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
     """query_id, doc_id, score, rank: documents whose one-line summary is most like the question.
 
-    Questions and documents meet by shared words only.
+    Questions and documents meet by shared words only. Their number is what ``overlap`` needs to know of a pair; any other
+    scorer gets both texts.
     """
-    terms = lambda text: F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")
-    asked = materialise(questions.select("query_id", terms("query_text")), "question-terms")
+    words = lambda text: F.array_distinct(tokens(F.col(text)))
+    asked = questions.select("query_id", words("query_text").alias("words")).select("query_id", F.size("words").alias("q_words"), F.explode("words").alias("term"))
+    asked = materialise(asked, "question-terms")
+    asked = F.broadcast(asked) if asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS else asked
     # Pairs are found, and scored, where the document is: each question's best of a task travel on.
     spark = questions.sparkSession
     many = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
     told = documents.select("doc_id", "summary_oneline").repartition(many, "doc_id")
-    pairs = told.select("doc_id", "summary_oneline", terms("summary_oneline")).join(asked, "term").groupBy("doc_id", "query_id").agg(F.any_value("summary_oneline").alias("s"))
-    texts = materialise(questions.select("query_id", F.col("query_text").alias("q")), "question-texts")
-    scored = pairs.join(texts, "query_id").select("query_id", "doc_id", scorer(F.col("q"), F.col("s")).alias("score"))
+    if scorer is overlap:
+        each = told.select("doc_id", words("summary_oneline").alias("words")).select("doc_id", F.size("words").alias("d_words"), F.explode("words").alias("term"))
+        shared = each.join(asked, "term").groupBy("doc_id", "query_id").agg(F.count("*").alias("shared"), F.any_value("q_words").alias("q_words"), F.any_value("d_words").alias("d_words"))
+        score = F.round(F.col("shared") / F.sqrt(F.col("q_words") * F.col("d_words").cast("double")), DIGITS)
+    else:
+        pairs = told.select("doc_id", "summary_oneline", F.explode(words("summary_oneline")).alias("term")).join(asked, "term").groupBy("doc_id", "query_id").agg(F.any_value("summary_oneline").alias("s"))
+        texts = materialise(questions.select("query_id", F.col("query_text").alias("q")), "question-texts")
+        shared, score = pairs.join(texts, "query_id"), scorer(F.col("q"), F.col("s"))
+    scored = shared.select("query_id", "doc_id", score.alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "doc_id", "score", "rank")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fuzzy
 from docloom.functions import text as tx
+from docloom.operators.postprocess import overlap
 from docloom.plans import documents as plans
 
 
@@ -43,3 +44,12 @@ def test_texts_without_abbreviations_are_looked_at_once(spark):
     made = plans.cleaned(rows)
     assert sorted(made.collect(), key=lambda r: r["node_id"]) == sorted(rows.withColumn("text", each).collect(), key=lambda r: r["node_id"])
     assert "CASE WHEN RLIKE" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_routes_by_shared_words_look_at_no_pair_of_texts(spark):
+    questions = spark.createDataFrame([(1, "Red fox, red FOX and hen"), (2, "blue sea"), (3, "nothing shared"), (4, "?"), (5, None)], "query_id long, query_text string")
+    told = spark.createDataFrame([(7, "a red sea, a red hen"), (8, "The fox is red."), (9, "none"), (10, "Sea of blue: blue sea"), (11, ""), (12, None)], "doc_id long, summary_oneline string")
+    by_count = plans.route(questions, told, 2)
+    by_texts = plans.route(questions, told, 2, lambda q, s: overlap(q, s))
+    assert sorted(by_count.collect()) == sorted(by_texts.collect()) and by_count.count() == 4
+    assert "array_intersect" not in by_count._jdf.queryExecution().optimizedPlan().toString()
