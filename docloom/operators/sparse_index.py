@@ -78,7 +78,8 @@ def top_k(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFra
     partial scores, and the k-th best of them is a score that the k-th best node has at least (``least``). Of the other
     terms, blocks are passed over whose bound with those of all other terms stays below it. A query's most common
     terms whose bounds together stay below it can't bring a node up that has no other term: of their blocks only those
-    are read that hold nodes which the other terms found and which could still come in.
+    are read that hold nodes which the other terms found and which could still come in: with those terms' bounds they
+    reach the k-th best score that the other terms give.
     """
     wanted = materialise(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")), "query-terms")
     segments = [r["segment"] for r in spark.read.parquet(f"{path}/totals").select("segment").distinct().collect()]
@@ -114,7 +115,11 @@ def top_k(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFra
     reach = terms.groupBy("query_id").agg(F.sum(F.when(F.col("looked_up"), F.col("bound")).otherwise(0.0)).alias("more"), F.max("least").alias("least"))
     able = F.col("idf") * part(F.col("most_tf"), F.col("least_length")) + F.col("all") - F.col("bound")
     found = scores(terms.where(~F.col("looked_up")), F.col("least").isNull() | (able >= F.col("least") - slack)).join(reach, "query_id")
-    found = materialise(found.where(F.col("least").isNull() | (F.col("score") + F.col("more") >= F.col("least") - slack)).select("query_id", "segment", "node_id", "score"), "candidates")
+    found = materialise(found.where(F.col("least").isNull() | (F.col("score") + F.col("more") >= F.col("least") - slack)).select("query_id", "segment", "node_id", "score", "more"), "candidates")
+    # By now scores hold all but the common terms, so the k-th best of them says more than that of the rarest terms alone.
+    sure = ranked(found.select("query_id", "node_id", "score")).where(F.col("rank") == k).select("query_id", F.col("score").alias("sure"))
+    able = F.col("sure").isNull() | (F.col("score") + F.col("more") >= F.col("sure") - slack)
+    found = materialise(found.join(sure, "query_id", "left").where(able).select("query_id", "segment", "node_id", "score"), "best-candidates")
     places = dictionary.select("segment", "term", "slots")
     needed = found.join(terms.where("looked_up").select("query_id", "term", "idf"), "query_id").join(places, ["segment", "term"])
     needed = materialise(needed.select("query_id", "segment", "term", "node_id", "idf", _slot(F.col("node_id"), F.col("slots")).alias("slot")), "looked-up")

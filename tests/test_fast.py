@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fuzzy
 from docloom.functions import text as tx
+from docloom.operators import sparse_index
 from docloom.operators.postprocess import overlap
 from docloom.plans import documents as plans
+from docloom.plans.queries import QUERIES
 
 
 def every_overlap(a, b, least, most, like):
@@ -53,3 +55,12 @@ def test_routes_by_shared_words_look_at_no_pair_of_texts(spark):
     by_texts = plans.route(questions, told, 2, lambda q, s: overlap(q, s))
     assert sorted(by_count.collect()) == sorted(by_texts.collect()) and by_count.count() == 4
     assert "array_intersect" not in by_count._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_that_fall_short_are_not_looked_up(spark, small_tables, monkeypatch):
+    written, write = {}, sparse_index.materialise
+    monkeypatch.setattr(sparse_index, "materialise", lambda df, label, *rest: written.setdefault(label, write(df, label, *rest)))
+    rows = QUERIES["bm25_topk"](spark, small_tables).collect()
+    asked = written["looked-up"].select("query_id", "node_id").distinct().count()
+    assert asked < written["candidates"].count() / 2
+    assert len(rows) == 120
